@@ -21,6 +21,11 @@ PHONE = r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\
 PATTERN = "|".join((EMAIL, DATE, SSN, IP, PHONE, CARD))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _noise(key: str, tweak: str, i: Column, x: Column, modulus: Column) -> Column:
     """0 to modulus - 1 from the key, the format, the round and the other half."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), x.cast("string")).cast("binary"), 256)
@@ -43,13 +48,14 @@ def _digits_permuted(digits: Column, key: str, tweak: str) -> Column:
     power = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("bigint")
     part = lambda s: F.coalesce(F.when(s != "", s).cast("bigint"), F.lit(0))
     out = feistel(part(F.substring(digits, F.lit(1), left)), part(F.substring(digits, left + 1, right)), power(left), power(right), key, tweak)
-    return F.concat(F.when(left > 0, F.lpad(out["a"].cast("string"), left, "0")).otherwise(""), F.lpad(out["b"].cast("string"), right, "0"))
+    return let(out, lambda o: F.concat(F.when(left > 0, F.lpad(o["a"].cast("string"), left, "0")).otherwise(""), F.lpad(o["b"].cast("string"), right, "0")))
 
 
 def _into(shape: Column, digits: Column) -> Column:
     """The digits of `shape` replaced, in order; all else stays."""
-    places = F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(shape, i, F.lit(1))))
-    return F.array_join(places, "")
+    def places(d: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)).rlike("[0-9]"), F.substring(d, F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(shape, i, F.lit(1))))
+    return let(digits, lambda d: F.array_join(places(d), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -64,15 +70,14 @@ def _luhn(digits: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     body = _digits_permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _into(m, F.concat(body, check))
+    return _into(m, let(body, lambda b: F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
 def _ip(m: Column, key: str) -> Column:
     p = F.split(m, r"\.")
     n = [p[i].cast("int") for i in range(4)]
     out = feistel(n[0] * 256 + n[1], n[2] * 256 + n[3], F.lit(65536), F.lit(65536), key, "ip")
-    return F.concat_ws(".", F.floor(out["a"] / 256).cast("int"), (out["a"] % 256).cast("int"), F.floor(out["b"] / 256).cast("int"), (out["b"] % 256).cast("int"))
+    return let(out, lambda o: F.concat_ws(".", F.floor(o["a"] / 256).cast("int"), (o["a"] % 256).cast("int"), F.floor(o["b"] / 256).cast("int"), (o["b"] % 256).cast("int")))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -81,10 +86,10 @@ def _date(m: Column, key: str) -> Column:
     year, leap = F.year(d), (F.month(d) == 2) & (F.dayofmonth(d) == 29)
     day = F.datediff(F.make_date(F.lit(2001), F.month(d), F.when(leap, 28).otherwise(F.dayofmonth(d))), F.lit("2001-01-01").cast("date"))
     other = feistel(year - 1900, day, F.lit(200), F.lit(365), key, "date")
-    moved = F.date_add(F.lit("2001-01-01").cast("date"), other["b"].cast("int"))
+    plain = let(other, lambda o: F.concat((1900 + o["a"]).cast("string"), F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), o["b"].cast("int")), "-MM-dd")))
     k = F.floor((year - 1904) / 4)
     feb = feistel(F.floor(k / 7), k % 7, F.lit(7), F.lit(7), key, "leap")
-    return F.when(leap, F.concat((1904 + 4 * (feb["a"] * 7 + feb["b"])).cast("string"), F.lit("-02-29"))).otherwise(F.concat((1900 + other["a"]).cast("string"), F.date_format(moved, "-MM-dd")))
+    return F.when(leap, let(feb, lambda f: F.concat((1904 + 4 * (f["a"] * 7 + f["b"])).cast("string"), F.lit("-02-29")))).otherwise(plain)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -92,8 +97,10 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, i, n).cast("int") for i, n in ((1, 3), (5, 2), (8, 4)))
     rank = area - F.when(area > 666, 2).otherwise(1)
     out = feistel(rank * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn")
-    r = F.floor(out["a"] / 99)
-    return F.concat_ws("-", F.lpad((r + F.when(r + 1 >= 666, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((out["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((out["b"] + 1).cast("string"), 4, "0"))
+    def written(o: Column) -> Column:
+        r = F.floor(o["a"] / 99)
+        return F.concat_ws("-", F.lpad((r + F.when(r + 1 >= 666, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((o["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((o["b"] + 1).cast("string"), 4, "0"))
+    return let(out, written)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -119,12 +126,12 @@ def kind(m: Column) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    k = kind(m)
+    """m, if it validates, moved within its format; else m itself."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    return (
+    return let(kind(m), lambda k: (
         F.when(k == "card", _card(m, key)).when(k == "ip", _ip(m, key)).when(k == "date", _date(m, key)).when(k == "ssn", _ssn(m, key))
         .when(k == "email", _email(m, key)).when(k == "phone", _into(m, _digits_permuted(digits, key, "phone"))).otherwise(m)
-    )
+    ))
 
 
 def pseudonymise(docs: DataFrame, key: str = "trackweave", text: str = "text") -> DataFrame:
