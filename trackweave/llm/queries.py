@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import chat, licenses, mixing, pii
+from trackweave.llm import chat, jaccard, licenses, mixing, pii
 from trackweave.llm.common import table
 
 
+#: 100 * intersection >= 90 * union of 3-word shingles.
+JOIN = jaccard.JaccardParams(n=3, percent=90)
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), JOIN)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
 
@@ -29,9 +37,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
+    "op5_jaccard": jaccard.near_duplicates_sql(JOIN.n, JOIN.percent),
     "op8_chat_format": chat.format_digest_sql(f"select conv_id, turn, role, text from conversations union all select * from (values {_hostile}) v(conv_id, turn, role, text)"),
     "op9_licenses": licenses.scan_sql(),
     "op10_mixing": mixing.mix_sql(),
