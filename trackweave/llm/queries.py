@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import chat, jaccard, licenses, mixing, pii
+from trackweave.llm import chat, jaccard, licenses, mixing, pii, warc
 from trackweave.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 #: 100 * intersection >= 90 * union of 3-word shingles.
 JOIN = jaccard.JaccardParams(n=3, percent=90)
 
@@ -37,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
     "op5_jaccard": jaccard.near_duplicates_sql(JOIN.n, JOIN.percent),
