@@ -33,7 +33,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def flat_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space of each text (null: none): row offsets, index of each word, distinct words."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.take(pc.fill_null(texts.cast(pa.large_string()), ""), pa.array(np.arange(len(texts))))  # a fresh array: splitting a slice reads the wrong bytes
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

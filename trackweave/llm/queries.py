@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trackweave.llm import chat, jaccard, licenses, mixing, pii, warc
+import corpus_pipeline
+from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, warc
 from trackweave.llm.common import table
 
 
@@ -12,6 +13,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: 100 * intersection >= 90 * union of 3-word shingles.
 JOIN = jaccard.JaccardParams(n=3, percent=90)
 
@@ -41,7 +50,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_language, op4_decontaminate, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES["pipeline"] = corpus_pipeline.run
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
     "op5_jaccard": jaccard.near_duplicates_sql(JOIN.n, JOIN.percent),
