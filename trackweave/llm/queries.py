@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, warc
+from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, topk, warc
 from trackweave.llm.common import table
 
 
@@ -13,6 +13,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+#: Queries are the rows whose vec_id is divisible by 50.
+SEARCH = topk.SearchParams(k=5, scale=256)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), 50, SEARCH)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -50,10 +58,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_language, op4_decontaminate, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_language, op4_decontaminate, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
+    "op2_topk": topk.search_sql(50, SEARCH.k, SEARCH.scale),
     "op5_jaccard": jaccard.near_duplicates_sql(JOIN.n, JOIN.percent),
     "op8_chat_format": chat.format_digest_sql(f"select conv_id, turn, role, text from conversations union all select * from (values {_hostile}) v(conv_id, turn, role, text)"),
     "op9_licenses": licenses.scan_sql(),
