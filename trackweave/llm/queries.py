@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, topk, warc
+from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, secrets, topk, warc
 from trackweave.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), JOIN)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii")
 
@@ -58,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_language, op4_decontaminate, op5_jaccard, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_language, op4_decontaminate, op5_jaccard, op6_secrets, op7_pii, op8_chat_format, op9_licenses, op10_mixing)}
 QUERIES["pipeline"] = corpus_pipeline.run
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
