@@ -5,7 +5,8 @@ group of copies costs one row. All sets are sorted by one global order, rarest f
 fixed size that counts all n-grams of all documents by hash. If two sets are to overlap enough, the prefixes of
 length |x| - ceil(t |x|) + l share at least l tokens. A longer prefix finds more rows in the join but asks
 for more matches, so each document picks the l with the least estimated cost, and a pair needs
-min(l_x, l_y) shared prefix tokens, and as many as its two sizes imply, before its sets are compared exactly.
+min(l_x, l_y) shared prefix tokens, and as many as its two sizes imply, before its sets are compared exactly. Of a
+pair's smaller set a shorter prefix does, |y| - ceil(2 t / (1 + t) |y|) + l, as its partner is no smaller.
 
 Only components are asked for, so pairs that are already known to be connected are not compared again:
 each document is first compared with the smallest document of each of its prefix blocks (one row per
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame, p: JaccardParams) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
-    """token, doc_id, size, matches, length: a row per prefix token."""
+    """token, doc_id, size, matches, length, short, early: a row per prefix token. short: length of the prefix as a pair's smaller set; early: whether the token is in it."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     average = float(table.sum()) / max(1, len(table))
 
@@ -126,7 +127,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         for b in batches:
-            tokens, rows = [], []
+            tokens, rows, early = [], [], []
             for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), p.n), strict=True):
                 if not len(s) or i is None:
                     continue
@@ -134,11 +135,13 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
                 order = np.lexsort((s, own))[: len(s) - (p.percent * len(s) + 99) // 100 + p.longest]
                 length, matches = prefix_lengths(np.maximum(own[order] - average, 0), len(s), p.percent, p.longest)
                 tokens.append(s[order[:length]])
-                rows.append((i, len(s), matches, length))
+                short = min(length, len(s) - (2 * p.percent * len(s) + 99 + p.percent) // (100 + p.percent) + matches)
+                early.append(np.arange(length) < short)
+                rows.append((i, len(s), matches, length, short))
             if rows:
                 n = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.repeat(np.array(c, np.int64), n)) for c in zip(*rows, strict=True)]], ["token", "doc_id", "size", "matches", "length"])
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, size long, matches long, length long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.repeat(np.array(c, np.int64), n)) for c in zip(*rows, strict=True)], pa.array(np.concatenate(early))], ["token", "doc_id", "size", "matches", "length", "short", "early"])
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, size long, matches long, length long, short long, early boolean")
 
 
 def token_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
@@ -148,27 +151,33 @@ def token_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
 
 
-def _enough(p: JaccardParams, x: str, y: str) -> str:
-    """A pair's least number of shared prefix tokens, as SQL over x_size, x_length, x_matches and y's."""
-    overlap = f"({p.percent} * ({x}_size + {y}_size) + {100 + p.percent - 1}) div {100 + p.percent}"
-    return f"greatest(least({x}_matches, {y}_matches), {overlap} - greatest({x}_size - {x}_length, {y}_size - {y}_length))"
-
-
 def _candidates(left: DataFrame, right: DataFrame, condition: str, p: JaccardParams) -> DataFrame:
-    """Pairs x < y with enough shared prefix tokens; left and right: token, doc_id, size, matches, length, cluster, major."""
-    names = ("doc_id", "size", "matches", "length", "cluster", "major")
+    """Pairs x < y with enough shared prefix tokens; left and right: token, doc_id, size, matches, length, short, early, cluster, major."""
+    names = ("doc_id", "size", "matches", "length", "short", "early", "cluster", "major")
     a = left.select("token", *[F.col(n).alias(f"x_{n}") for n in names])
     b = right.select("token", *[F.col(n).alias(f"y_{n}") for n in names])
     fits = f"100 * least(x_size, y_size) >= {p.percent} * greatest(x_size, y_size)"
-    j = a.join(b, "token").filter(f"{condition} and {fits}")
-    j = j.selectExpr("if(x_doc_id < y_doc_id, x_doc_id, y_doc_id) as x", "if(x_doc_id < y_doc_id, y_doc_id, x_doc_id) as y", f"{_enough(p, 'x', 'y')} as need")
+    smaller = "(x_size < y_size or x_size = y_size and x_doc_id < y_doc_id)"
+    j = a.join(b, "token").filter(f"{condition} and {fits} and if({smaller}, x_early, y_early)")
+    overlap = f"({p.percent} * (x_size + y_size) + {100 + p.percent - 1}) div {100 + p.percent}"
+    unseen = f"greatest(x_size - if({smaller}, x_short, x_length), y_size - if({smaller}, y_length, y_short))"
+    j = j.selectExpr("if(x_doc_id < y_doc_id, x_doc_id, y_doc_id) as x", "if(x_doc_id < y_doc_id, y_doc_id, x_doc_id) as y", f"greatest(least(x_matches, y_matches), {overlap} - {unseen}) as need")
     return j.groupBy("x", "y").agg(F.count("*").alias("_shared"), F.max("need").alias("_need")).filter("_shared >= _need").select("x", "y")
 
 
+#: Ids that are sent to all executors at most (16 bytes each); beyond it, the texts are shuffled by id.
+IDS_SENT = 500_000
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the ids of a computed table."""
+    return docs.join(F.broadcast(ids) if ids.count() <= IDS_SENT else ids, "doc_id", how)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardParams) -> DataFrame:
     """The pairs that link, by their whole sets."""
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = settled(token_sets(docs.join(involved, "doc_id", "left_semi"), p))
+    involved = settled(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    sets = token_sets(_by_ids(docs, involved, "left_semi"), p)
     j = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("b")), "y")
     both = F.size(F.array_intersect("a", "b"))
     return j.withColumn("_both", both).filter(f"100 * _both >= {p.percent} * (size(a) + size(b) - _both)").select("x", "y")
@@ -208,8 +217,8 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     docs = docs.select("doc_id", "text")
     signed = settled(signatures(docs, p))
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    firsts = settled(classes.select(F.col("first").alias("doc_id")))
-    distinct = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    copies = signed.join(classes, "set_key").filter("doc_id <> first").select("doc_id").distinct().join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
+    distinct = _by_ids(docs, settled(copies), "left_anti")
     table = rarity_table(docs, p)
     rows = prefixes(distinct, table, p)
     alone = rows.groupBy("token").agg(F.count("*").alias("_n")).filter("_n > 1").select("token")
@@ -218,11 +227,11 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     for _ in range(p.star_rounds):
         # the centre of a block: the smallest document of its largest cluster, then of the others
         block = _block_majors(rows)
-        centre = block.filter("not major").groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "cluster")).alias("c")).select("token", "c.*") if links else rows.groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "cluster")).alias("c")).select("token", "c.*")
+        centre = block.filter("not major").groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "short", "early", "cluster")).alias("c")).select("token", "c.*") if links else rows.groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "short", "early", "cluster")).alias("c")).select("token", "c.*")
         found = _verified(settled(_candidates(centre.withColumn("major", F.lit(False)), block if links else rows, "x_cluster <> y_cluster", p)), distinct, p)
         links.append(settled(found))
         near = components(_union(links))
-        rows = settled(rows.drop("cluster").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).select("token", "doc_id", "size", "matches", "length", "cluster", "major"))
+        rows = settled(rows.drop("cluster").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).select("token", "doc_id", "size", "matches", "length", "short", "early", "cluster", "major"))
     block = settled(_block_majors(rows))
     rest = _candidates(block.filter("not major"), block, "x_cluster <> y_cluster and (y_major or x_doc_id < y_doc_id)", p)
     links.append(settled(_verified(settled(rest), distinct, p)))
