@@ -13,12 +13,12 @@ The benchmark is broadcast in slices of at most `slice_bytes` of text, with one
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,7 +43,7 @@ class LeakParams:
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row offsets and a code of each word; words of punctuation only are left out."""
     offsets, index, words = flat_words(texts)
-    clean = [re.sub(r"[\W_]+", "", w.lower()) for w in words.to_pylist()]
+    clean = pc.utf8_lower(pc.replace_substring_regex(words, r"[^\pL\pN]+", "")).to_pylist()
     codes = np.fromiter((xxhash.xxh32_intdigest(w) | 1 if w else 0 for w in clean), np.uint32, len(clean))
     codes = codes[index] if len(index) else np.empty(0, np.uint32)
     keep = codes != 0
@@ -134,7 +134,7 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
     offsets, codes = coded(texts)
     most = max((b.steps for b in index.bands), default=0)
     padded = np.concatenate([codes, np.zeros(most + 1, np.uint32)])
-    found: set[tuple[int, int, int]] = set()
+    lengths, hits = np.array([len(w) for w in index.items]), [np.empty((0, 3), np.int64)]
     for band in index.bands:
         for a in range(0, len(codes), 1 << 17):
             starts = np.arange(a, min(a + (1 << 17), len(codes)), dtype=np.int32)
@@ -149,13 +149,12 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
             item, offset = band.windows[which].T
             row = np.searchsorted(offsets, place, "right") - 1
             # places nearer than a quarter of the item are one, as the stretch that is checked is longer by half on both sides
-            near = (place - offset - offsets[row]) // np.maximum(1, np.array([len(w) for w in index.items])[item] // 4)
-            found.update(zip(row.tolist(), item.tolist(), near.tolist(), strict=True))
+            near = (place - offset - offsets[row]) // np.maximum(1, lengths[item] // 4)
+            hits.append(np.stack([item, row, near], 1))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for row, item, near in sorted(found):
-        by_item.setdefault(item, []).append((row, near))
-    for item, places in by_item.items():
+    found = np.unique(np.concatenate(hits), axis=0)
+    for group in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
+        item, places = int(group[0, 0]), group[:, 1:]
         w = index.items[item]
         n = len(w)
         margin = n // 2 + 1
@@ -167,8 +166,13 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
                 start = near * max(1, n // 4) - margin
                 s = codes[offsets[row] + max(0, start) : min(offsets[row + 1], offsets[row] + max(0, start + stretch.shape[1]))]
                 stretch[r, : len(s)] = s
+            # every word of the item that has no equal in the stretch is an edit
+            able = np.isin(stretch, w).sum(1) >= n - limit
+            part, stretch = part[able], stretch[able]
+            if not len(part):
+                continue
             edits, ends = distances(w, stretch)
-            for (row, near), d, e in zip(part, edits.tolist(), ends.tolist(), strict=True):
+            for (row, near), d, e in zip(part.tolist(), edits.tolist(), ends.tolist(), strict=True):
                 if d <= limit:
                     end = max(0, near * max(1, n // 4) - margin) + e
                     best[row, item] = min(best.get((row, item), (d, end)), (d, end))
