@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Text that is held in work arrays at a time, in bytes; a longer single text is a piece of its own.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about PIECE_BYTES of text each, so that memory follows the longest text and not the number of rows in a batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // PIECE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+    for a, b in itertools.pairwise(cuts):
+        yield batch.slice(a, b - a)
+
+
 def flat_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space of each text (null: none): row offsets, index of each word, distinct words."""
     texts = pc.take(pc.fill_null(texts.cast(pa.large_string()), ""), pa.array(np.arange(len(texts))))  # a fresh array: splitting a slice reads the wrong bytes

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.llm.common import flat_words, mixed, settled
+from trackweave.llm.common import flat_words, mixed, pieces, settled
 
 
 @dataclass(frozen=True)
@@ -76,8 +76,8 @@ def rarity_table(docs: DataFrame, p: JaccardParams) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
-        for b in batches:
-            for s in shingle_sets(b.column(0), p.n):
+        for b in (x for batch in batches for x in pieces(batch)):
+            for s in shingle_sets(b.column("text"), p.n):
                 np.add.at(table, (s & np.uint64(size - 1)).astype(np.int64), 1) if len(s) < 2000 else np.add(table, np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), out=table)
         cut = np.split(table.astype(np.uint32), parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "counts"])
@@ -112,7 +112,7 @@ def prefix_lengths(counts: np.ndarray, size: int, percent: int, longest: int) ->
 def signatures(docs: DataFrame, p: JaccardParams) -> DataFrame:
     """doc_id, n_shingles and set_key, 128 bits of the whole set; null key for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             sets = shingle_sets(b.column("text"), p.n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
@@ -126,7 +126,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             tokens, rows, early = [], [], []
             for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), p.n), strict=True):
                 if not len(s) or i is None:
@@ -146,7 +146,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
 
 def token_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(shingle_sets(b.column("text"), p.n))], ["doc_id", "tokens"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
 
