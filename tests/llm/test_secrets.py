@@ -46,7 +46,7 @@ def test_viterbi_is_the_best_path():
 
 def test_cut_runs_give_the_whole_path():
     """Decoding only what is unsure is decoding all."""
-    texts = [f"some words here then key password = hunter{k}Secret9 and so on until token: abcdef{k}12345 ends here plainly" for k in range(40)]
+    texts = [f"some words here then key password = hunter{k}Secret9 and so on until token: abcdef{k}12345 ends here plainly " + "and more plain words " * 12 for k in range(40)]
     field = secrets.fit(texts, secrets.SecretParams(epochs=60))
     offsets, index, words = flat_words(pa.array(texts), lower=False)
     e = secrets.emissions(offsets, index, words, field)
@@ -81,7 +81,7 @@ def test_whole_table(spark):
 
 
 def test_field_finds_what_no_pattern_names():
-    texts = [f"plain words of prose number {k} go on\nexport SERVICE_PASSWORD={'aB3xY9' * 3}{k}Q\nthen more plain words follow here until the end of this" for k in range(60)]
+    texts = [f"plain words of prose number {k} go on\nexport SERVICE_PASSWORD={'aB3xY9' * 3}{k}Q\nthen more plain words follow here until the end of this " + "and more plain words " * 12 for k in range(60)]
     field = secrets.fit(texts, secrets.SecretParams(epochs=120))
     offsets, index, words = flat_words(pa.array(["plain words go on\nexport SERVICE_CREDENTIAL=zT4kW8zT4kW8zT4kW8R\nthen more plain words follow", "plain words go on and on"]), lower=False)
     tokens = [words[i].as_py() for i in index]

@@ -3,7 +3,7 @@
 Tokens (between ASCII white space) are tagged as begin, inside or outside of a secret from the shape of the token, the tokens before
 and after it and features of the file. The field is trained here, by its log-likelihood, on a bounded sample of documents labelled
 by the patterns, and generalises to secrets that no pattern names. Decoding is by Viterbi. The best path goes through `outside` at every
-token whose score for it exceeds the others by more than all transitions together could win back; the text is cut at these tokens,
+token whose score for it exceeds the others by more than its transitions, and a next token that would have to begin anew, could win back; the text is cut at these tokens,
 which leaves the path as it is, and only the short runs between are decoded.
 """
 
@@ -76,14 +76,12 @@ class Field:
     file: np.ndarray
     moves: np.ndarray  # from x to; the first row also for the start
 
-    def margin(self) -> float:
-        """More than any transitions into and out of a state can gain over those through outside."""
+    def margins(self) -> tuple[float, float]:
+        """What a state other than outside can gain by its transitions over outside: before a token that isn't inside, and before one that is and would have to begin anew (but for that token's own scores)."""
         m = self.moves
-        legal = np.where(np.isfinite(m), m, -np.inf)
-        gain = max(legal[a, s] + legal[s, b] - legal[a, OUTSIDE] - legal[OUTSIDE, b] for a in range(3) for s in (1, 2) for b in range(3) if np.isfinite(legal[a, s] + legal[s, b]) and np.isfinite(legal[OUTSIDE, b]))
-        # where a path goes on inside after this token, cutting it there makes it begin anew
-        anew = max(0.0, max(legal[s, INSIDE] - legal[OUTSIDE, BEGIN] for s in (1, 2)))
-        return max(0.0, gain) + anew
+        gain = max(m[a, s] + m[s, b] - m[a, OUTSIDE] - m[OUTSIDE, b] for a in range(3) for s in (BEGIN, INSIDE) for b in (OUTSIDE, BEGIN))
+        anew = max(m[a, s] - m[a, OUTSIDE] + m[s, INSIDE] - m[OUTSIDE, BEGIN] + m[INSIDE, c] - m[BEGIN, c] for a in range(3) for s in (BEGIN, INSIDE) for c in range(3))
+        return float(gain), float(anew)
 
 
 def file_features(offsets: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -136,9 +134,12 @@ def tagged(offsets: np.ndarray, index: np.ndarray, words: pa.Array, field: Field
     e = emissions(offsets, index, words, field)
     if not len(e):
         return []
-    unsure = e[:, OUTSIDE] - e[:, 1:].max(1) <= field.margin()
     starts = np.zeros(len(e), bool)
     starts[offsets[:-1][offsets[:-1] < len(e)]] = True
+    gain, anew = field.margins()
+    inside = np.full(len(e), -np.inf)  # what the next token of the text loses if it has to begin anew
+    inside[:-1] = np.where(starts[1:], -np.inf, e[1:, INSIDE] - e[1:, BEGIN])
+    unsure = e[:, OUTSIDE] - e[:, 1:].max(1) <= np.maximum(gain, anew + inside)
     at = np.flatnonzero(unsure)
     runs = np.split(at, np.flatnonzero((np.diff(at) > 1) | starts[at[1:]]) + 1) if len(at) else []
     out = []
