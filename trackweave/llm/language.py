@@ -4,8 +4,9 @@ The kernel of two texts is the number of character n-grams, n = 1 to 3, that bot
 root of the product of how many each holds (a blended-spectrum presence kernel). Characters are folded first: a lower-case
 letter is one of 127 symbols (a to z their own), anything else a break. Landmark texts give a Nyström map of
 the kernel, and kernel ridge regression, one language against the rest, is fitted in it on the driver from a
-bounded sample of labelled documents. Texts are scored in batches: presence matrix times landmark matrix gives the
-kernel values, these times one more matrix the scores.
+bounded sample of labelled documents. Texts are scored in batches: the presence matrix of a batch times the landmark
+matrix gives the kernel values, these times the weights the scores; the last two matrices are multiplied once, when
+the model is made.
 """
 
 from __future__ import annotations
@@ -46,29 +47,41 @@ def symbol_table() -> np.ndarray:
     return out
 
 
-def marked(text: str, symbols: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Distinct n-gram codes of a text, breaks only excepted, and whether it has a letter. flags: all False, and left so.
+def _symbols_of(text: str, symbols: np.ndarray) -> np.ndarray:
+    try:  # one byte a character, as in most texts of Latin letters
+        return symbols[np.frombuffer(text.encode("latin-1"), np.uint8)].astype(np.int32)
+    except UnicodeEncodeError:
+        return symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
+def marked(text: str, symbols: np.ndarray, flags: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Distinct n-gram codes of a text, breaks only excepted, ascending, and whether it has a letter. flags isn't needed and stays as it is.
 
     An n-gram's code is its symbols in base 128; shorter ones start with break symbols, as does one after a break, so that the start of a word counts.
+    The longest are taken from the text, the shorter ones from the ends of these and from the text's first symbols.
     """
-    codes, letters = [], False
-    for at in range(0, max(1, len(text)), PIECE):
-        s = symbols[np.frombuffer(text[max(0, at - N + 1) : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+    found, letters = [], False
+    for at in range(0, len(text), PIECE):
+        s = _symbols_of(text[max(0, at - N + 1) : at + PIECE], symbols)
         letters = letters or bool(s.any())
-        for n in range(1, N + 1):
-            if len(s) >= n:
-                x = s[n - 1 :].copy()
-                for k in range(1, n):
-                    x += s[n - 1 - k : len(s) - k] << (WIDTH * k)
-                flags[x] = True
-                codes.append(x)
-    if not codes:
+        grams = s
+        for n in range(2, N + 1):
+            found.append(grams[:1])
+            if len(s) < n:
+                grams = s[:0]
+                break
+            grams = s[n - 1 :] + (grams[:-1] << WIDTH)
+        found.append(_distinct(grams))
+    if not found:
         return np.empty(0, np.int32), False
-    x = np.concatenate(codes)
-    flags[0] = False
-    first = x[flags[x]]
-    flags[first] = False
-    return np.unique(first) if len(first) < 4096 else np.flatnonzero(np.bincount(first, minlength=1)).astype(np.int32), letters
+    longest = np.concatenate(found)
+    codes = _distinct(np.concatenate([longest & ((1 << WIDTH * n) - 1) for n in range(N, 0, -1)]))
+    return codes[codes != 0], letters
 
 
 @dataclass
@@ -79,19 +92,22 @@ class Model:
     weights: np.ndarray  # landmarks x languages
     symbols: np.ndarray
 
+    def __post_init__(self) -> None:
+        """Landmarks and weights as one matrix, vocabulary x languages: the product of both is the same for every text."""
+        self.folded = (self.presence.astype(np.float64) @ self.weights).astype(np.float32)
+        self.place = np.full(CODES, -1, np.int32)
+        self.place[self.vocabulary] = np.arange(len(self.vocabulary))
+
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by language, and which texts have a letter."""
-        flags = np.zeros(CODES, bool)
         rows = np.zeros((len(texts), len(self.vocabulary)), np.float32)
         sizes, letters = np.ones(len(texts)), np.zeros(len(texts), bool)
         for i, t in enumerate(texts):
-            codes, letters[i] = marked(t or "", self.symbols, flags)
-            flags[codes] = True
-            rows[i] = flags[self.vocabulary]
-            flags[codes] = False
+            codes, letters[i] = marked(t or "", self.symbols)
+            at = self.place[codes]
+            rows[i, at[at >= 0]] = 1
             sizes[i] = max(1, len(codes))
-        kernel = (rows @ self.presence) / np.sqrt(sizes)[:, None]
-        return kernel @ self.weights, letters
+        return (rows @ self.folded) / np.sqrt(sizes)[:, None], letters
 
 
 def fit(codes: list[np.ndarray], labels: list[str], p: LanguageParams, symbols: np.ndarray) -> Model:
@@ -148,9 +164,8 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
     shared = spark.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(CODES, bool)
         for b in batches:
-            codes = [marked(t or "", shared.value, flags)[0].astype(np.int32) for t in b.column("text").to_pylist()]
+            codes = [marked(t or "", shared.value)[0].astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", "lang", "codes"])
 
     rows = docs.select("doc_id", "lang", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, codes binary").collect()
