@@ -93,3 +93,11 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).collect() == []
     nothing = spark.createDataFrame([(1, None, None, None), (2, "", "en", "src1")], "doc_id long, text string, lang string, source string")
     assert all(r["tokens"] == 0 for r in mixing.mix(nothing).collect())
+
+
+def test_many_leaves_join_by_salt(spark):
+    """Beyond broadcast_leaves the same documents come out of the shuffled join."""
+    rows = [(k if k % 9 else None, "w " * (k * 5 % 30), ("en", "de")[k % 2], ("src1", "src2", None)[k % 3]) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    key = lambda plan: sorted(map(str, mixing.mix(df, plan).collect()))
+    assert key(mixing.MixPlan(broadcast_leaves=0)) == key(mixing.MixPlan())

@@ -19,7 +19,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from trackweave.llm.common import settled
+
 LEVELS = ("domain", "lang", "source")
+#: Tasks that a leaf's documents are dealt to where the leaves are too many for a broadcast.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -28,6 +32,7 @@ class MixPlan:
 
     domains: (name, regex on source) tried in order; `other_domain` when none matches.
     budget_percent: total budget as a percentage of all tokens. bucket_digits: hex digits of the order key per bucket.
+    broadcast_leaves: up to so many leaves, counted, their rows (about 100 bytes each) are broadcast.
     """
 
     domain_weights: Mapping[str, int] = field(default_factory=lambda: {"web": 55, "reference": 30, "forum": 15})
@@ -40,6 +45,7 @@ class MixPlan:
     max_epochs: int = 3
     seed: int = 7
     bucket_digits: int = 3
+    broadcast_leaves: int = 100_000
 
 
 def _weight(column: str, weights: Mapping[str, int], default: int) -> Column:
@@ -98,6 +104,15 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def _with_leaf(keyed: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
+    """Joins its leaf's row to each document: broadcast where the leaves, counted before, are few; else by leaf and salt, so that a large leaf is dealt to SALTS tasks."""
+    if few:
+        return keyed.join(F.broadcast(leaves), list(LEVELS))
+    salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")
+    return keyed.withColumn("_salt", salt).join(salted, [*LEVELS, "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """doc_id, domain, lang, source, tokens, copies of every document that is taken at least once.
 
@@ -107,15 +122,16 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     empty result. Extra columns are ignored.
     """
     keyed = with_leaves(docs, plan)
-    leaves = leaf_budgets(keyed.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), plan)
-    keyed = keyed.join(leaves.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("_key", order_key(F.col("doc_id"), F.col("epochs"), plan.seed))
-    keyed = keyed.withColumn("_bucket", F.substring("_key", 1, plan.bucket_digits))
-    buckets = keyed.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_tokens"), F.first("rest").alias("rest"))
+    leaves = settled(leaf_budgets(keyed.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), plan).select(*LEVELS, "epochs", "rest"))
+    few = leaves.count() <= plan.broadcast_leaves
+    ordered = _with_leaf(keyed, leaves, few).withColumn("_key", order_key(F.col("doc_id"), F.col("epochs"), plan.seed))
+    ordered = ordered.withColumn("_bucket", F.substring("_key", 1, plan.bucket_digits))
+    buckets = ordered.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_tokens"), F.first("rest").alias("rest"))
     upto = F.sum("_tokens").over(W.partitionBy(*LEVELS).orderBy("_bucket"))
     buckets = buckets.withColumn("_upto", upto).withColumn("_base", F.col("_upto") - F.col("_tokens"))
     cut = buckets.filter("_upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", "_base")).alias("_cut"))
     cut = cut.select(*LEVELS, F.col("_cut._bucket").alias("_cut"), F.col("_cut._base").alias("_base"))
-    x = keyed.join(cut, list(LEVELS), "left")
+    x = _with_leaf(ordered, settled(leaves.select(*LEVELS).join(cut, list(LEVELS), "left")), few)
     whole = x.filter("_cut is null or _bucket <> _cut").withColumn("_in", F.expr("_cut is null or _bucket < _cut"))
     split = x.filter("_bucket = _cut").withColumn("_sum", F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("_key", "doc_id", "tokens")))
     split = split.withColumn("_in", F.col("_base") + F.col("_sum") <= F.col("rest"))
