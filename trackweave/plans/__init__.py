@@ -1 +1,3 @@
 
+
+from trackweave.plans import catalog, more  # noqa: F401  more adds to the catalog
