@@ -60,3 +60,10 @@ def test_mode_filter_keeps_own_value_on_ties(spark):
     d = spark.createDataFrame([(1, k, v) for k, v in enumerate([1, 2, 1, 2, None, 2])], "t int, k int, v int")
     got = [r["v_mode"] for r in windows.mode_filter(d, "v", "t", ["k"], 1).orderBy("k").collect()]
     assert got == [1, 1, 2, 2, None, 2]
+
+
+def test_distances_reach_far_nodes(spark):
+    """A chain of more edges than any fixed number of rounds; node 99 has a long edge of its own, too."""
+    rows = [(k + 1, k, 0.5) for k in range(99)] + [(99, 0, 60.0)]
+    got = {r["node"]: r["dist"] for r in states.distances_to(spark.createDataFrame(rows, "src int, dst int, length double"), 0).collect()}
+    assert got == {k: 0.5 * k for k in range(100)}
