@@ -28,6 +28,61 @@ def test_rules(spark):
     assert found(spark, ["word " * 300_000 + ". Licensed under the Apache License, Version 2.0. " + "word " * 10]) == ["Apache-2.0"]
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+   copyright notice, this list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+WRAPPED_IDS = ["MITPermission,MITCondition,AsIs", "BSDRedist,BSDEndorse", "GPLFree", "ApacheVer,ApacheNotice,ApacheCopy,ApacheAsIs"]
+
+
+def test_sentences_over_lines(spark):
+    for leader in ("", "// ", " * ", "# ", ";; ", "dnl "):
+        for end in ("\n", "\r\n"):
+            texts = [end.join(f"{leader}{line}" for line in t.split("\n")) for t in WRAPPED.values()]
+            rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+            assert [r["licenses"] for r in rows] == list(WRAPPED)
+            assert [r["sentence_ids"] for r in rows] == WRAPPED_IDS
+
+
+def test_lines_that_are_sentences_stay_apart(spark):
+    cases = {
+        "Neither the name of\nLicensed under the MIT license\nmay be used to endorse or promote products derived from this software": "MIT",
+        "SPDX-License-Identifier:\nLicensed under the MIT license": "MIT",
+        "Licensed under the\n\nMIT license": "",
+        "Some title\nCopyright 2020 X\nLicensed under the MIT license\nmore words\nReleased under the\nGNU General Public License\nversion 2": "GPL-2.0,MIT",
+    }
+    assert found(spark, list(cases)) == list(cases.values())
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = licenses.scan(odd_docs.withColumns({"licenses": F.lit("own"), "_rest": F.lit("own"), "sentence_ids": F.lit("own")})).collect()
     assert len(rows) == odd_docs.count() and all(r["licenses"] == r["sentence_ids"] == "" for r in rows)

@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each is normalised (lower case, runs of other than letters, digits and
 full stops inside numbers become one space) and mapped to the identifier of a known licence
-sentence. The identifiers in order of appearance then run through ordered rules; the first rule whose
+sentence. A sentence may go on over line breaks and comment leaders, up to a full stop, a blank line or a line that
+is a known sentence by itself. The identifiers in order of appearance then run through ordered rules; the first rule whose
 sequence occurs, adjacent, names the licence, its identifiers are consumed, and the rest is matched again
 by the later rules.
 """
@@ -51,14 +52,37 @@ RULES = (
     ("BSD-2-Clause", ("BSDRedist",)),
     ("SPDX-declared", ("SPDX",)),
 )
-#: A sentence ends at a line break, or at a full stop, question or exclamation mark before white space or the end.
-END = r"[\r\n]+|[.!?;]+(?=\s|$)"
+#: A sentence ends at a full stop, question or exclamation mark or semicolon before white space or the end, and at a blank line.
+END = r"[.!?;]+(?=\s|$)"
 #: Every pattern of SENTENCES has one of these in any sentence that it matches.
 TRIGGER = r"licens|permission|warranty|redistribut|copyright|all rights reserved|endorse"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " "), r"\.(?![0-9])|(?<![0-9])\.", ""))
+#: Starts of lines that are no text: punctuation, and the words that begin a comment in m4 and in batch files.
+LEADER = r"(?md)^[^a-z0-9\n]*(?:(?:dnl|rem)\b[^a-z0-9\n]*)?"
+#: A later line of a sentence may begin so; it is no copyright line.
+GOES_ON = r"(?<![|])copyright[ \n](?:notice|holder|owner|law|licen[cs]e|protection|interest|statement|permission)"
+
+
+def _over_lines(pattern: str) -> str:
+    """The pattern of a sentence in text() that may go on over line breaks; its last .* ends with a line."""
+    body, tail = (pattern[:-2], r"[^\n|\x01]*") if pattern.endswith(".*") else (pattern, "")
+    return body.replace(".*)", r"[^\n|]*)").replace(".*", "[^|\x01]*").replace(r"\S", r"[^\s|\x01]").replace(" ", r"[ \n]") + tail
+
+
+#: Known sentences on a line of their own, and over lines.
+LINE = "|".join(p.replace(".*", r"[^\n|]*").replace(r"\S", r"[^\s|]") for i, p in SENTENCES if i != "Copyright")
+KNOWN = rf"(?<=[\n|\x01])(?!{GOES_ON})({'|'.join(_over_lines(p) for _, p in SENTENCES)})(?=[\n|])"
+
+
+def normalised(text: Column) -> Column:
+    """The text's words with one space, one line feed or, where a sentence ends, | between them; \\x01 stands before a line that is a known sentence."""
+    for pattern, by in (
+        (r"\r\n?", "\n"), (LEADER, ""), (END, "\n\n"), (r"[^a-z0-9.\n]+", " "), (r"\.(?![0-9])|(?<![0-9])\.", ""), (r" *\n *", "\n"), (r"\n\n+|^\n?|\n?\z", "|"),
+        (rf"(?<=[\n|])(?=(?:{LINE})[\n|])", "\x01"),
+    ):
+        text = F.regexp_replace(F.lower(text) if pattern == r"\r\n?" else text, pattern, by)
+    return text
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -75,8 +99,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Null, empty and unlicensed texts: both columns are ''. Repeated rows are kept. Texts are read whole;
     a text without any trigger word has no known sentence and is not cut up. Extra columns are ignored.
     """
-    hits = F.transform(F.filter(F.split(F.col("text"), END), lambda s: F.lower(s).rlike(TRIGGER)), lambda s: sentence_id(normalised(s)))
-    ids = F.when(F.lower(F.col("text")).rlike(TRIGGER), F.array_join(F.filter(hits, lambda x: x.isNotNull()), ",")).otherwise("")
+    hits = F.transform(F.regexp_extract_all(normalised(F.col("text")), F.lit(KNOWN), F.lit(1)), lambda s: sentence_id(F.translate(s, "\n", " ")))
+    ids = F.when(F.lower(F.col("text")).rlike(TRIGGER.replace(" ", "[^a-z0-9]+")), F.array_join(F.filter(hits, lambda x: x.isNotNull()), ",")).otherwise("")
     x = docs.select("doc_id", F.coalesce(ids, F.lit("")).alias("sentence_ids"))
     x = x.withColumn("_rest", F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(",")))
     found = []
