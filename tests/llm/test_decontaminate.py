@@ -70,3 +70,14 @@ def test_slices_of_the_benchmark_give_the_same(spark):
     for p in (decontaminate.LeakParams(), decontaminate.LeakParams(slice_bytes=4000)):
         assert sorted((x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(docs, items, p).collect()) == [(k, k) for k in range(40)]
         assert decontaminate.without_leaks(docs, items, p).count() == 0
+
+
+def test_all_are_found_at_the_limit(spark):
+    """Items of every length with just as many edits as are allowed."""
+    r = random.Random(8)
+    lengths = [n for n in (*range(5, 41), 47, 59, 90) for _ in range(8)]
+    items = [(k, " ".join(f"t{r.randrange(5000)}" for _ in range(n))) for k, n in enumerate(lengths)]
+    docs = [(k, f"{prose(k, 30)} {' '.join(edited(r, t.split(), len(t.split()) * 20 // 100))} {prose(k + 9000, 30)}") for k, t in items]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: r["edits"] for r in found.filter("doc_id = item_id").collect()}
+    assert got == {k: least_edits(t.split(), d.split()) for (k, t), (_, d) in zip(items, docs)}

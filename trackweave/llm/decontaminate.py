@@ -1,11 +1,9 @@
-"""Benchmark decontamination by a random-walk embedding (CGK) and bit-sampling LSH, verified by edit distance.
-
-Texts and items are sequences of words (lower case, punctuation removed). A walk over a window writes the word under its
-pointer at every step and then moves the pointer on by a random bit of (step, word), so that windows of a small edit distance
-get embeddings of a small Hamming distance. A band is one walk and `samples` random steps of it; windows whose sampled
-words are equal are candidates. Windows start at every word of a document, and for each item at every word from which enough
-of it remains, so an edit spoils only the windows around it; `bands` walks are made to reach the recall. A window is
-dropped at the first sampled step at which no item has its words, which gives the same candidates at a small part of the cost.
+"""Benchmark decontamination by exact seeds, verified by edit distance.
+
+Texts and items are sequences of words (lower case, punctuation removed). With at most k edits allowed, an item is cut into
+k + 1 pieces; any stretch within the limit holds at least one of them unchanged. So each place of a text where a piece stands
+is a candidate, and no leak is missed, whatever the item's length and wherever the edits are: the recall is 1. Pieces are found
+by hashes of their first 1, 2, ... words; a place is dropped at the first length at which no piece begins like it.
 Each candidate's place is then checked by exact edit distance of the whole item against the best stretch of the text there.
 
 The benchmark is broadcast in slices of at most `slice_bytes` of text, with one pass over the documents for each.
@@ -13,6 +11,7 @@ The benchmark is broadcast in slices of at most `slice_bytes` of text, with one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from trackweave.llm.common import flat_words
 
 MULTIPLIER, TABLE_BITS = np.uint32(0x9E3779B1), 20
+#: Words of a piece that are looked up; what a longer one has beyond is left to the edit distance.
+LONGEST_SEED = 8
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,7 @@ class LeakParams:
     """A leak is a stretch within percent / 100 * (words of the item) word edits. Items under min_words words are no evidence of anything and are left out."""
 
     percent: int = 20
-    bands: int = 6
-    samples: int = 4
-    steps: tuple = (24, 8)
     min_words: int = 5
-    seed: int = 11
     slice_bytes: int = 16 << 20
 
 
@@ -51,42 +48,25 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Band:
-    """steps: of the walk; samples: sampled steps; multipliers: of the step's random bit; tables: at each sampled step, which hashes items have; keys, windows: full hashes and their (item, offset)."""
+class Level:
+    """Of seeds' first words, so many as the level's number: table: which hashes there are; keys, windows: hashes of the seeds of just this length and their (item, offset)."""
 
-    steps: int
-    samples: list[int]
-    multipliers: np.ndarray
-    tables: list[np.ndarray]
+    table: np.ndarray
     keys: np.ndarray
     windows: np.ndarray
 
 
-def walk(words: np.ndarray, starts: np.ndarray, band: Band, filtered: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Windows that are left (places in starts) and their hashes after each sampled step; words must go on `steps` beyond the last start."""
-    at, left, h, hashes = starts.astype(np.int32), None, None, []
-    for step in range(band.samples[-1] + 1):
-        now = words[at]
-        if step in band.samples:
-            h = now * MULTIPLIER if h is None else (h ^ now) * MULTIPLIER
-            h = h ^ (h >> np.uint32(15))
-            hashes.append(h)
-            if filtered:
-                ok = np.flatnonzero(band.tables[len(hashes) - 1][h >> np.uint32(32 - TABLE_BITS)])
-                at, h, now = at[ok], h[ok], now[ok]
-                left = ok if left is None else left[ok]
-                hashes[-1] = h
-                if not len(ok):
-                    break
-        at = at + ((now * band.multipliers[step]) >> np.uint32(31)).astype(np.int32)
-    return (np.arange(len(starts)) if left is None else left), hashes
-
-
 @dataclass
 class Index:
     ids: list
     items: list[np.ndarray]
-    bands: list[Band]
+    levels: list[Level]
+
+
+def extended(h: np.ndarray | None, words: np.ndarray) -> np.ndarray:
+    """Hashes of sequences with one more word."""
+    h = words * MULTIPLIER if h is None else (h ^ words) * MULTIPLIER
+    return h ^ (h >> np.uint32(15))
 
 
 def build_index(ids: list, texts: list[str | None], p: LeakParams) -> Index:
@@ -94,26 +74,24 @@ def build_index(ids: list, texts: list[str | None], p: LeakParams) -> Index:
     items = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     kept = [k for k, w in enumerate(items) if len(w) >= p.min_words]
     ids, items = [ids[k] for k in kept], [items[k] for k in kept]
-    rng, bands = np.random.default_rng(p.seed), []
-    classes: dict[int, list[int]] = {}
+    seeds = []
     for k, w in enumerate(items):
-        classes.setdefault(next((s for s in p.steps if len(w) >= s), len(w)), []).append(k)
-    for steps, members in sorted(classes.items()):
-        where = np.array([(k, o) for k in members for o in range(len(items[k]) - steps + 1)])
-        flat = np.concatenate([*items, np.zeros(1, np.uint32)])
-        first = np.concatenate([[0], np.cumsum([len(w) for w in items])])[where[:, 0]] + where[:, 1]
-        for _ in range(p.bands):
-            samples = sorted(rng.choice(steps, min(p.samples, steps), replace=False).tolist())
-            band = Band(steps, samples, rng.integers(0, 2**32, steps, dtype=np.uint32) | np.uint32(1), [], np.empty(0), where)
-            _, hashes = walk(flat, first, band, False)
-            for h in hashes:
-                table = np.zeros(1 << TABLE_BITS, bool)
-                table[h >> np.uint32(32 - TABLE_BITS)] = True
-                band.tables.append(table)
-            order = np.argsort(hashes[-1], kind="stable")
-            band.keys, band.windows = hashes[-1][order], where[order]
-            bands.append(band)
-    return Index(ids, items, bands)
+        parts = len(w) * p.percent // 100 + 1
+        cuts = [len(w) * j // parts for j in range(parts + 1)]
+        seeds += [(k, a, min(b - a, LONGEST_SEED)) for a, b in itertools.pairwise(cuts)]
+    seeds = np.array(seeds, np.int64).reshape(-1, 3)
+    flat = np.concatenate([*items, np.zeros(1, np.uint32)])
+    at = np.concatenate([[0], np.cumsum([len(w) for w in items])]).astype(np.int64)[seeds[:, 0]] + seeds[:, 1]
+    levels, h = [], None
+    for n in range(1, int(seeds[:, 2].max(initial=0)) + 1):
+        h = extended(h, flat[at + n - 1])
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[h >> np.uint32(32 - TABLE_BITS)] = True
+        whole = seeds[:, 2] == n
+        order = np.argsort(h[whole], kind="stable")
+        levels.append(Level(table, h[whole][order], seeds[whole, :2][order]))
+        seeds, at, h = seeds[~whole], at[~whole], h[~whole]
+    return Index(ids, items, levels)
 
 
 def distances(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,21 +110,22 @@ def distances(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int, int, int]]:
     """(row, item, edits, end word) of the best place of each pair within the limit."""
     offsets, codes = coded(texts)
-    most = max((b.steps for b in index.bands), default=0)
-    padded = np.concatenate([codes, np.zeros(most + 1, np.uint32)])
+    padded = np.concatenate([codes, np.zeros(len(index.levels), np.uint32)])
     lengths, hits = np.array([len(w) for w in index.items]), [np.empty((0, 3), np.int64)]
-    for band in index.bands:
-        for a in range(0, len(codes), 1 << 17):
-            starts = np.arange(a, min(a + (1 << 17), len(codes)), dtype=np.int32)
-            left, hashes = walk(padded, starts, band, True)
-            if not len(left) or len(hashes) < len(band.samples):
-                continue
-            lo, hi = np.searchsorted(band.keys, hashes[-1], "left"), np.searchsorted(band.keys, hashes[-1], "right")
+    for a in range(0, len(codes), 1 << 17):
+        at, h = np.arange(a, min(a + (1 << 17), len(codes))), None
+        for n, level in enumerate(index.levels):
+            h = extended(h, padded[at + n])
+            ok = np.flatnonzero(level.table[h >> np.uint32(32 - TABLE_BITS)])
+            at, h = at[ok], h[ok]
+            if not len(at):
+                break
+            lo, hi = np.searchsorted(level.keys, h, "left"), np.searchsorted(level.keys, h, "right")
             hit = np.flatnonzero(hi > lo)
-            n = (hi - lo)[hit]
-            which = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(starts[left[hit]], n)
-            item, offset = band.windows[which].T
+            times = (hi - lo)[hit]
+            which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            place = np.repeat(at[hit], times)
+            item, offset = level.windows[which].T
             row = np.searchsorted(offsets, place, "right") - 1
             # places nearer than a quarter of the item are one, as the stretch that is checked is longer by half on both sides
             near = (place - offset - offsets[row]) // np.maximum(1, lengths[item] // 4)
