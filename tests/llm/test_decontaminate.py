@@ -81,3 +81,17 @@ def test_all_are_found_at_the_limit(spark):
     found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {r["doc_id"]: r["edits"] for r in found.filter("doc_id = item_id").collect()}
     assert got == {k: least_edits(t.split(), d.split()) for (k, t), (_, d) in zip(items, docs)}
+
+
+def test_short_items_are_found_by_exact_copies(spark):
+    items = [(n, " ".join(f"t{n}w{k}" for k in range(n))) for n in (2, 3, 4)]
+    docs = [(n, f"{prose(n, 20)} {t}, {prose(n + 50, 20)}") for n, t in items] + [(10 + n, f"{prose(n, 20)} {t.replace('w1', 'x')}") for n, t in items] + [(20, "t4w0 t4w1 t4w2 between t4w3")]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(2, 2, 0), (3, 3, 0), (4, 4, 0)]
+
+
+def test_scripts_without_spaces(spark):
+    items = [(1, "水の沸点は標高によって変わりますか"), (2, "中国的首都是哪一座城市"), (3, "เมืองหลวงของประเทศไทยคือเมืองใด")]
+    docs = [(k, f"{'前文' if k < 3 else 'ก่อน'}{t}。{prose(k, 10)}\u3000") for k, t in items] + [(4, "中国的首者是哪一座城市吗"), (5, "中文的首者是那一座城镇吗"), (6, None), (7, "é ß")]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 2, 1)]
