@@ -101,3 +101,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert pii.pseudonymise(no_docs).collect() == []
     long = "word " * 200_000 + "10.0.0.1"
     assert swapped(spark, [long])[0] == ["word " * 200_000 + ip("10.0.0.1")]
+
+
+def test_cards_with_digits_beside(spark):
+    c, d, a = "4111 1111 1111 1111", "5500000000000004", "3400 000000 00009"
+    cases = [f"{c} 123", f"{d} 12/26", f"123 {c}", f"no 2024 {c} 12", f"{d} {c}", f"{a} 1234", f"77 {a}", f"{c} 2001-02-03 9"]
+    got, n = swapped(spark, cases)
+    for v in (c, d, a):
+        cases = [t.replace(v, card(v)) for t in cases]
+    assert [g for g, t in zip(got, cases) if "2001" not in t] == cases[:-1] and n == [1, 1, 1, 1, 2, 1, 1, 2]
+    assert got[-1].startswith(card(c)) and "2001-02-03" not in got[-1]
+
+
+def test_dates_day_or_month_first(spark):
+    day = datetime.date(1999, 1, 1)
+    days = [day + datetime.timedelta(k) for k in range(800)]
+    for pattern in ("%d.%m.%Y", "%m/%d/%Y", "%d-%m-%Y"):
+        values = [x.strftime(pattern) for x in days] + [x.strftime("%d/%m/%Y") for x in days if x.day > 12 and pattern == "%m/%d/%Y"]
+        got, n = swapped(spark, [f"on {v}." for v in values])
+        assert n == [1] * len(values) and len(set(got)) == len(values)
+        for v, g in zip(values, got):
+            datetime.datetime.strptime(g[3:-1], pattern if int(v[:2]) <= 12 or pattern != "%m/%d/%Y" else "%d/%m/%Y")
+    got, n = swapped(spark, ["32.12.1999", "13/13/1999", "30.2.2000", "1.2.3.1999", "1/2/1999", "31.12.1999"])
+    assert n == [0, 0, 0, 0, 1, 1] and got[:4] == ["32.12.1999", "13/13/1999", "30.2.2000", "1.2.3.1999"] and got[5] != "31.12.1999"

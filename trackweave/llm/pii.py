@@ -2,8 +2,9 @@
 
 Card numbers, telephone numbers, IPv4 addresses, social security numbers, dates and the names in e-mail
 addresses are found by one pattern, validated, and moved by a keyed Feistel permutation within their own
-format: a card keeps its length, separators and a right check digit, a date stays a date, an address an
-address. Equal values get equal pseudonyms in every document; different ones stay different. What
+format: a card keeps its length, separators and a right check digit, a date of 1900 to 2099 stays a date in its order of
+day, month and year, an address an address. In a run of numbers that is no card as a whole, each card grouping, date,
+social security and telephone number in it is tried by itself. Equal values get equal pseudonyms in every document; different ones stay different. What
 doesn't validate (a long number without a right check digit) is left alone.
 """
 
@@ -15,10 +16,14 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
 IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"
-DATE = r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])"
+DATE = r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])|" + "|".join(rf"(?<![\d-])(?<!\d[./])\d\d?{s}\d\d?{s}(?:19|20)\d\d(?!\d|[./-]\d)" for s in (r"\.", "/", "-"))
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .-]\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-PATTERN = "|".join((EMAIL, DATE, SSN, IP, PHONE, CARD))
+#: Numbers one after another, among which there may be cards; it takes no digits of an address behind.
+RUN = r"(?<![\d.-])\d[\d -]{11,}\d(?![\d-]|\.\d|[A-Za-z0-9._%+-]*@|[./]\d\d?[./]\d{4})"
+PATTERN = "|".join((EMAIL, DATE, SSN, IP, PHONE, RUN, CARD))
+#: Cards as they are written. One of a kind may start at a number.
+CARDS = (r"\d{13,19}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{3}", r"\d{4}([ -])\d{6}\2\d{5}", r"\d{4}([ -])\d{6}\2\d{4}")
 
 
 def let(value: Column, then) -> Column:
@@ -80,16 +85,42 @@ def _ip(m: Column, key: str) -> Column:
     return let(out, lambda o: F.concat_ws(".", F.floor(o["a"] / 256).cast("int"), (o["a"] % 256).cast("int"), F.floor(o["b"] / 256).cast("int"), (o["b"] % 256).cast("int")))
 
 
+def _date_read(m: Column) -> tuple[Column, Column, Column]:
+    """The date or null, whether its month comes first, and whether that is against its separator's habit (month first with /, day first with . and -) as the other reading is none."""
+    iso = m.rlike(r"^\d{4}")
+    part = lambda i: F.lpad(F.regexp_extract(m, r"(\d+)\D(\d+)\D(\d+)", i), 2, "0")
+    late = ~iso & F.when(m.contains("/"), part(1) > "12").otherwise(part(2) > "12")
+    month_first = ~iso & (m.contains("/") != late)
+    text = F.when(iso, m).when(month_first, F.concat_ws("-", F.substring(m, -4, 4), part(1), part(2))).otherwise(F.concat_ws("-", F.substring(m, -4, 4), part(2), part(1)))
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), month_first, late
+
+
 def _date(m: Column, key: str) -> Column:
-    """Within 1900-2099: 29 February to 29 February, other days to other days."""
-    d = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
+    """Within 1900-2099: 29 February to 29 February, other days to other days, those against the habit to days from the 13th on, so that no two dates meet."""
+    read = F.struct(*(c.alias(n) for c, n in zip(_date_read(m), ("d", "month_first", "late"), strict=True)))
+    return let(read, lambda r: let(_day(r["d"], r["late"], key), lambda o: F.when(m.rlike(r"^\d{4}"), F.date_format(o, "yyyy-MM-dd")).otherwise(_date_written(m, o, r["month_first"]))))
+
+
+def _date_written(m: Column, day: Column, month_first: Column) -> Column:
+    """With the separator of m, and with leading zeros unless m leaves one out."""
+    two = lambda c: F.when(m.rlike(r"^\d\D|\D\d\D"), c.cast("string")).otherwise(F.lpad(c.cast("string"), 2, "0"))
+    d, mo = two(F.dayofmonth(day)), two(F.month(day))
+    between = F.substring(m, -5, 1)
+    return F.concat(F.when(month_first, mo).otherwise(d), between, F.when(month_first, d).otherwise(mo), between, F.year(day).cast("string"))
+
+
+def _day(d: Column, late: Column, key: str) -> Column:
     year, leap = F.year(d), (F.month(d) == 2) & (F.dayofmonth(d) == 29)
-    day = F.datediff(F.make_date(F.lit(2001), F.month(d), F.when(leap, 28).otherwise(F.dayofmonth(d))), F.lit("2001-01-01").cast("date"))
-    other = feistel(year - 1900, day, F.lit(200), F.lit(365), key, "date")
-    plain = let(other, lambda o: F.concat((1900 + o["a"]).cast("string"), F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), o["b"].cast("int")), "-MM-dd")))
+    first = F.lit("2001-01-01").cast("date")
+    day = F.datediff(F.make_date(F.lit(2001), F.month(d), F.when(leap, 28).otherwise(F.dayofmonth(d))), first)
+    placed = lambda y, n: F.make_date(y.cast("int"), F.month(F.date_add(first, n.cast("int"))), F.dayofmonth(F.date_add(first, n.cast("int"))))
+    plain = let(feistel(year - 1900, day, F.lit(200), F.lit(365), key, "date"), lambda o: placed(1900 + o["a"], o["b"]))
+    # days from the 13th on, counted without the first twelve of each month
+    months = lambda n: sum((F.when(n >= c, 1).otherwise(0) for c in (19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)), F.lit(1))
+    rest = let(feistel(year - 1900, day - 12 * F.month(d), F.lit(200), F.lit(221), key, "late"), lambda o: placed(1900 + o["a"], o["b"] + 12 * months(o["b"])))
     k = F.floor((year - 1904) / 4)
     feb = feistel(F.floor(k / 7), k % 7, F.lit(7), F.lit(7), key, "leap")
-    return F.when(leap, let(feb, lambda f: F.concat((1904 + 4 * (f["a"] * 7 + f["b"])).cast("string"), F.lit("-02-29")))).otherwise(plain)
+    return F.when(leap, let(feb, lambda f: F.make_date((1904 + 4 * (f["a"] * 7 + f["b"])).cast("int"), F.lit(2), F.lit(29)))).when(late, rest).otherwise(plain)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -117,10 +148,11 @@ def kind(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(m.contains("@"), F.lit("email"))
-        .when(whole(r"\d{4}-\d\d-\d\d"), F.when(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).isNotNull(), F.lit("date")))
+        .when(whole(r"\d{4}-\d\d-\d\d|\d\d?([./-])\d\d?\1\d{4}"), F.when(_date_read(m)[0].isNotNull(), F.lit("date")))
         .when(whole(r"\d{3}-\d\d-\d{4}"), F.when(~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"), F.lit("ssn")))
         .when(whole(r"\d{1,3}(\.\d{1,3}){3}"), F.lit("ip"))
-        .when(whole(r"[\d -]+") & F.length(digits).between(13, 19) & ~m.contains("("), F.when(_luhn(digits) % 10 == 0, F.lit("card")))
+        .when(whole(CARD), F.when(_luhn(digits) % 10 == 0, F.lit("card")))
+        .when(whole(r"[\d -]{13,}") & ~whole(PHONE), F.lit(None))
         .when(F.length(digits) >= 7, F.lit("phone"))
     )
 
@@ -134,6 +166,19 @@ def pseudonym(m: Column, key: str) -> Column:
     ))
 
 
+def resolved(m: Column, key: str) -> Column:
+    """A match with its pseudonyms as (text, n): of the whole, if it validates, else of the values in a run of numbers."""
+    inner = [F.regexp_extract_all(m, F.lit(f"({CARD})"), F.lit(1)), *(F.regexp_extract_all(m, F.lit(rf"(?<!\d)(?=({c})(?!\d))"), F.lit(1)) for c in CARDS), F.regexp_extract_all(m, F.lit(f"({DATE}|{SSN}|{PHONE})"), F.lit(1))]
+    def step(acc: Column, v: Column) -> Column:
+        place = F.concat(F.lit(r"(?<!\d)"), v, F.lit(r"(?!\d)"))
+        n = F.regexp_count(acc["text"], place)
+        return F.when(n > 0, F.struct(F.regexp_replace(acc["text"], place, pseudonym(v, key)).alias("text"), (acc["n"] + n).alias("n"))).otherwise(acc)
+    values = F.filter(F.array_distinct(F.concat(*inner)), lambda v: kind(v).isNotNull())
+    within = F.aggregate(values, F.struct(m.alias("text"), F.lit(0).alias("n")), step)
+    is_run = m.rlike(r"^[\d -]{13,}$")
+    return let(kind(m), lambda k: F.when(k.isNotNull() | ~is_run, F.struct(pseudonym(m, key).alias("text"), k.isNotNull().cast("int").alias("n"))).otherwise(within))
+
+
 def pseudonymise(docs: DataFrame, key: str = "trackweave", text: str = "text") -> DataFrame:
     """All columns of the table, `text` with pseudonyms, and n_pii (validated values found).
 
@@ -144,5 +189,8 @@ def pseudonymise(docs: DataFrame, key: str = "trackweave", text: str = "text") -
     found = F.regexp_extract_all(t, F.lit(f"({PATTERN})"), F.lit(1))
     parts = F.split(t, PATTERN, -1)
     hit = t.contains("@") | t.rlike("[0-9]")  # in every match; a text without is left as it is
-    joined = F.array_join(F.zip_with(parts, F.concat(F.transform(found, lambda m: pseudonym(m, key)), F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-    return docs.withColumns({"n_pii": F.when(hit, F.size(F.filter(found, lambda m: kind(m).isNotNull()))).otherwise(0).cast("bigint"), text: F.when(hit, joined).otherwise(t)})
+    done = F.transform(found, lambda m: resolved(m, key))
+    joined = lambda x: F.array_join(F.zip_with(parts, F.concat(F.transform(x, lambda r: r["text"]), F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
+    out = let(done, lambda x: F.struct(joined(x).alias("text"), F.aggregate(x, F.lit(0), lambda n, r: n + r["n"]).alias("n")))
+    docs = docs.withColumn("n_pii", F.when(hit, out))
+    return docs.withColumns({"n_pii": F.coalesce(F.col("n_pii.n"), F.lit(0)).cast("bigint"), text: F.when(hit, F.col("n_pii.text")).otherwise(t)})
