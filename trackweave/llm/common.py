@@ -33,6 +33,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a batch that is sent to a Python worker, on the way there and in it; Spark's own limit is eight times as much, or 10,000 rows of any length.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes from now on, unless the session has a lower limit, so that an executor's memory doesn't follow the rows' length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "") or ""
+    if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 #: Text that is held in work arrays at a time, in bytes; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
 

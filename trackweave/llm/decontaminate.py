@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from trackweave.llm.common import flat_words
+from trackweave.llm.common import flat_words, small_batches
 
 MULTIPLIER, TABLE_BITS = np.uint32(0x9E3779B1), 20
 #: Words of a piece that are looked up; what a longer one has beyond is left to the edit distance.
@@ -167,6 +167,7 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
 
 def slices(benchmark: DataFrame, p: LeakParams) -> Iterator[Index]:
     """Indexes over slices of the benchmark, each of about slice_bytes of text at most."""
+    small_batches(benchmark.sparkSession)
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-4 * size // p.slice_bytes))
     for k in range(n):

@@ -8,9 +8,14 @@ for more matches, so each document picks the l with the least estimated cost, an
 min(l_x, l_y) shared prefix tokens, and as many as its two sizes imply, before its sets are compared exactly. Of a
 pair's smaller set a shorter prefix does, |y| - ceil(2 t / (1 + t) |y|) + l, as its partner is no smaller.
 
+Each prefix row carries its place in the set and its rank among the document's tokens that stand in a block of several clusters. A pair that meets
+at a token shares at most the smaller rank up to it and the fewer of what is left after it; the join's condition drops it if that isn't
+enough. Rows whose sets differ in many rare tokens are so ruled out in the largest blocks. The last join adds a bound from a bitmap
+of each set: two sets differ in at least as many tokens as their parity bitmaps do in bits.
+
 Only components are asked for, so pairs that are already known to be connected are not compared again:
 each document is first compared with the smallest document of each of its prefix blocks (one row per
-prefix token, not per pair); later joins only pair rows of different clusters, and never two rows of the
+prefix token, not per pair), again with other centres while that still connects a good part; later joins only pair rows of different clusters, and never two rows of the
 cluster that most of a block belongs to. No link between clusters is lost.
 """
 
@@ -25,21 +30,21 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.llm.common import flat_words, mixed, pieces, settled
+from trackweave.llm.common import flat_words, mixed, pieces, settled, small_batches
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     """Links: 100 * intersection >= percent * union of sets of n-word shingles.
 
-    table_bits: size of the rarity table. longest: most matches that a prefix may ask for. star_rounds: comparisons with block centres before the pairs.
+    table_bits: size of the rarity table. longest: most matches that a prefix may ask for. star_rounds: comparisons with block centres before the pairs, at most.
     """
 
     n: int = 5
     percent: int = 80
     table_bits: int = 20
     longest: int = 6
-    star_rounds: int = 2
+    star_rounds: int = 5
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -72,13 +77,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def rarity_table(docs: DataFrame, p: JaccardParams) -> np.ndarray:
     """Counts of all n-grams (of each distinct text once per row) by their lowest bits: 2**table_bits numbers, whatever the input."""
-    size, parts = 1 << p.table_bits, 64
+    size, parts, groups = 1 << p.table_bits, 64, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
         for b in (x for batch in batches for x in pieces(batch)):
-            for s in shingle_sets(b.column("text"), p.n):
-                np.add.at(table, (s & np.uint64(size - 1)).astype(np.int64), 1) if len(s) < 2000 else np.add(table, np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), out=table)
+            cells = [(s & np.uint64(size - 1)).astype(np.int64) for s in shingle_sets(b.column("text"), p.n)]
+            np.add.at(table, np.concatenate(cells) if cells else np.empty(0, np.int64), 1)
         cut = np.split(table.astype(np.uint32), parts)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "counts"])
 
@@ -90,7 +95,10 @@ def rarity_table(docs: DataFrame, p: JaccardParams) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect()
+    counted = docs.select("text").mapInArrow(count, schema)
+    # added up in a tree: no task gets more than its share of groups
+    counted = counted.repartition("part", F.spark_partition_id() % groups).mapInArrow(add, schema)
+    rows = counted.repartition("part").mapInArrow(add, schema).collect()
     return np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(size, np.uint32)
 
 
@@ -109,17 +117,35 @@ def prefix_lengths(counts: np.ndarray, size: int, percent: int, longest: int) ->
     return chosen
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes | None]:
+    """256 bits of each set: the parity of how many of its tokens fall on each."""
+    out = []
+    for s in sets:
+        flags = np.bincount((s >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+        out.append(np.packbits(flags.astype(np.uint8), bitorder="little").tobytes() if len(s) else None)
+    return out
+
+
+#: The bitmap as columns of 64 bits.
+BITS = ("b0", "b1", "b2", "b3")
+
+
 def signatures(docs: DataFrame, p: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles and set_key, 128 bits of the whole set; null key for empty sets."""
+    """doc_id, n_shingles, set_key, 128 bits of the whole set, and its bitmap; null key for empty sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in pieces(batch)):
             sets = shingle_sets(b.column("text"), p.n)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "set_key"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+            bits = np.frombuffer(b"".join(x or bytes(32) for x in bitmaps(sets)), np.int64).reshape(len(sets), 4)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), *(pa.array(bits[:, k]) for k in range(4))], ["doc_id", "n_shingles", "set_key", *BITS])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, b0 long, b1 long, b2 long, b3 long")
+
+
+#: Of the document, in each of its prefix rows.
+PREFIX, PREFIX_TYPES = ("doc_id", "size", "matches", "length", "short"), (pa.int64(), *[pa.int32()] * 4)
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
-    """token, doc_id, size, matches, length, short, early: a row per prefix token. short: length of the prefix as a pair's smaller set; early: whether the token is in it."""
+    """token, place, doc_id, size, matches, length, short: a row per prefix token. place: of the token in the ordered set, from 1; short: length of the prefix as a pair's smaller set."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     average = float(table.sum()) / max(1, len(table))
 
@@ -127,7 +153,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         for b in (x for batch in batches for x in pieces(batch)):
-            tokens, rows, early = [], [], []
+            tokens, rows = [], []
             for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), p.n), strict=True):
                 if not len(s) or i is None:
                     continue
@@ -136,12 +162,11 @@ def prefixes(docs: DataFrame, table: np.ndarray, p: JaccardParams) -> DataFrame:
                 length, matches = prefix_lengths(np.maximum(own[order] - average, 0), len(s), p.percent, p.longest)
                 tokens.append(s[order[:length]])
                 short = min(length, len(s) - (2 * p.percent * len(s) + 99 + p.percent) // (100 + p.percent) + matches)
-                early.append(np.arange(length) < short)
                 rows.append((i, len(s), matches, length, short))
             if rows:
                 n = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.repeat(np.array(c, np.int64), n)) for c in zip(*rows, strict=True)], pa.array(np.concatenate(early))], ["token", "doc_id", "size", "matches", "length", "short", "early"])
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, doc_id long, size long, matches long, length long, short long, early boolean")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in n])), *[pa.array(np.repeat(np.array(c, np.int64), n), t) for c, t in zip(zip(*rows, strict=True), PREFIX_TYPES, strict=True)]], ["token", "place", *PREFIX])
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, place int, doc_id long, size int, matches int, length int, short int")
 
 
 def token_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
@@ -152,14 +177,18 @@ def token_sets(docs: DataFrame, p: JaccardParams) -> DataFrame:
 
 
 def _candidates(left: DataFrame, right: DataFrame, condition: str, p: JaccardParams) -> DataFrame:
-    """Pairs x < y with enough shared prefix tokens; left and right: token, doc_id, size, matches, length, short, early, cluster, major."""
-    names = ("doc_id", "size", "matches", "length", "short", "early", "cluster", "major")
+    """Pairs x < y with enough shared prefix tokens; left and right: token, place, rank, PREFIX, cluster, major, and the bitmap if both have it."""
+    bits = [b for b in BITS if b in left.columns and b in right.columns]
+    names = (*PREFIX, "place", "rank", "cluster", "major", *bits)
     a = left.select("token", *[F.col(n).alias(f"x_{n}") for n in names])
     b = right.select("token", *[F.col(n).alias(f"y_{n}") for n in names])
-    fits = f"100 * least(x_size, y_size) >= {p.percent} * greatest(x_size, y_size)"
+    fits = f"100L * least(x_size, y_size) >= {p.percent}L * greatest(x_size, y_size)"
     smaller = "(x_size < y_size or x_size = y_size and x_doc_id < y_doc_id)"
-    j = a.join(b, "token").filter(f"{condition} and {fits} and if({smaller}, x_early, y_early)")
-    overlap = f"({p.percent} * (x_size + y_size) + {100 + p.percent - 1}) div {100 + p.percent}"
+    early = f"if({smaller}, x_place <= x_short, y_place <= y_short)"
+    overlap = f"({p.percent}L * (x_size + y_size) + {100 + p.percent - 1}) div {100 + p.percent}"
+    reach = f"least(x_rank, y_rank) + least(x_size - x_place, y_size - y_place) >= {overlap}"
+    differ = f" and coalesce({' + '.join(f'bit_count(x_{n} ^ y_{n})' for n in bits)} <= x_size + y_size - 2 * ({overlap}), true)" if bits else ""
+    j = a.join(b, "token").filter(f"{condition} and {fits} and {early} and {reach}{differ}")
     unseen = f"greatest(x_size - if({smaller}, x_short, x_length), y_size - if({smaller}, y_length, y_short))"
     j = j.selectExpr("if(x_doc_id < y_doc_id, x_doc_id, y_doc_id) as x", "if(x_doc_id < y_doc_id, y_doc_id, x_doc_id) as y", f"greatest(least(x_matches, y_matches), {overlap} - {unseen}) as need")
     return j.groupBy("x", "y").agg(F.count("*").alias("_shared"), F.max("need").alias("_need")).filter("_shared >= _need").select("x", "y")
@@ -200,11 +229,12 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _block_majors(rows: DataFrame) -> DataFrame:
-    """Rows of blocks (equal tokens) with two clusters or more; major: whether the row's cluster is the block's largest one."""
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of blocks (equal tokens) with two clusters or more. major: whether the row's cluster is the block's largest one; rank: of the token among the document's rows that are left."""
     per = rows.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     most = per.groupBy("token").agg(F.max(F.struct("n", "cluster")).alias("top"), F.count("*").alias("clusters")).filter("clusters > 1").select("token", F.col("top.cluster").alias("_top"))
-    return rows.join(most, "token").withColumn("major", F.col("cluster") == F.col("_top")).drop("_top")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("place"))  # a prefix at most
+    return rows.join(most, "token").withColumns({"major": F.col("cluster") == F.col("_top"), "rank": rank}).drop("_top")
 
 
 def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
@@ -212,8 +242,9 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
 
     Null and empty texts, and those of white space only, have no shingles, link with nothing and are their own component. Copies link by their equal
     sets. Repeated doc_ids are one document each if their texts are the same, else their links are joined; a null doc_id gets a null component. An
-    empty table gives an empty result. Extra columns are ignored.
+    empty table gives an empty result. doc_id is a long. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = settled(signatures(docs, p))
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
@@ -222,17 +253,21 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     table = rarity_table(docs, p)
     rows = prefixes(distinct, table, p)
     alone = rows.groupBy("token").agg(F.count("*").alias("_n")).filter("_n > 1").select("token")
-    rows = settled(rows.join(alone, "token").withColumns({"cluster": F.col("doc_id"), "major": F.lit(False)}))
-    links = []
+    block = settled(_blocks(rows.join(alone, "token").withColumn("cluster", F.col("doc_id"))))
+    links, linked = [], []
     for _ in range(p.star_rounds):
-        # the centre of a block: the smallest document of its largest cluster, then of the others
-        block = _block_majors(rows)
-        centre = block.filter("not major").groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "short", "early", "cluster")).alias("c")).select("token", "c.*") if links else rows.groupBy("token").agg(F.min(F.struct("doc_id", "size", "matches", "length", "short", "early", "cluster")).alias("c")).select("token", "c.*")
-        found = _verified(settled(_candidates(centre.withColumn("major", F.lit(False)), block if links else rows, "x_cluster <> y_cluster", p)), distinct, p)
-        links.append(settled(found))
+        # the centre of a block: its smallest document, later the smallest outside of its largest cluster
+        centre = (block.filter("not major") if links else block).groupBy("token").agg(F.min(F.struct("doc_id", *PREFIX[1:], "place", "rank", "cluster")).alias("c")).select("token", "c.*").withColumn("major", F.lit(False))
+        found = settled(_verified(settled(_candidates(centre, block, "x_cluster <> y_cluster", p)), distinct, p))
+        links.append(found)
+        linked.append(found.count())
         near = components(_union(links))
-        rows = settled(rows.drop("cluster").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).select("token", "doc_id", "size", "matches", "length", "short", "early", "cluster", "major"))
-    block = settled(_block_majors(rows))
+        rows = block.drop("cluster", "major", "rank").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
+        block = settled(_blocks(rows))
+        if linked[-1] * 50 <= linked[0]:
+            break
+    signs = signed.filter("set_key is not null").groupBy("doc_id").agg(*(F.min(b).alias(b) for b in BITS), F.min("set_key").alias("_k"), F.max("set_key").alias("_l")).filter("_k = _l").drop("_k", "_l")  # an id with several texts has none
+    block = settled(block.join(signs, "doc_id", "left"))
     rest = _candidates(block.filter("not major"), block, "x_cluster <> y_cluster and (y_major or x_doc_id < y_doc_id)", p)
     links.append(settled(_verified(settled(rest), distinct, p)))
     near = components(_union(links)).select(F.col("node").alias("first"), "component")
@@ -249,9 +284,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
-    """The documents with one of each component left, that of the smallest doc_id; rows of null doc_id stay, and of repeated rows one."""
-    kept = near_duplicates(docs, p).filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The documents with one of each component left, that of the smallest doc_id. Rows of null doc_id stay; of rows with equal doc_id and text one stays, of a doc_id with several texts each of them."""
+    found = settled(near_duplicates(docs, p))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    twice = settled(found.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id"))
+    kept = _by_ids(docs, settled(gone.unionAll(twice).distinct()), "left_anti").select(docs.columns)
+    if twice.isEmpty():
+        return kept
+    return kept.unionByName(_by_ids(docs, twice, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
 
 
 def near_duplicates_sql(n: int, percent: int) -> str:

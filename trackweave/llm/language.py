@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from trackweave.llm.common import small_batches
+
 SYMBOLS, WIDTH, N = 128, 7, 3
 CODES = SYMBOLS**N
 #: Texts are read in pieces of so many characters, overlapping by N - 1.
@@ -154,6 +156,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
     """From at most per_language documents of each language that aren't held out, in an order by hash of doc_id; the texts' n-grams are taken on the executors."""
     spark = docs.sparkSession
+    small_batches(spark)
     symbols = symbol_table()
     ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()]

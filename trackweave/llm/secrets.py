@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from trackweave.llm.common import flat_words
+from trackweave.llm.common import flat_words, pieces, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -254,6 +254,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive, by start, then kind (assign, access, hex, crf), comma-joined. A secret of
     the field that overlaps a pattern's match adds nothing and is left out. Texts are read whole; repeated rows are repeated.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.llm.common import settled
+from trackweave.llm.common import settled, small_batches
 
 
 @dataclass(frozen=True)
@@ -145,6 +145,7 @@ def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()
     Vectors that are null or hold a null or a non-finite component take no part, nor do null ids; those of another length than the query's are no candidates;
     repeated ids count once; equal scores go to smaller ids; an empty table gives an empty result. Extra columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     x = settled(quantised(vectors, p.scale))
     seeds = [r.asDict() for r in x.orderBy(F.desc("norm"), "vec_id").limit(p.seeds).select("vec_id", "v").collect()]
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
