@@ -40,7 +40,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes from now on, unless the session has a lower limit, so that an executor's memory doesn't follow the rows' length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "") or ""
+    held = spark.conf.get(key)
     if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
