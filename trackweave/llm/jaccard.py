@@ -15,7 +15,7 @@ of each set: two sets differ in at least as many tokens as their parity bitmaps
 
 Only components are asked for, so pairs that are already known to be connected are not compared again:
 each document is first compared with the smallest document of each of its prefix blocks (one row per
-prefix token, not per pair), again with other centres while that still connects a good part; later joins only pair rows of different clusters, and never two rows of the
+prefix token, not per pair), again with other centres while large blocks are left and that still connects a good part; later joins only pair rows of different clusters, and never two rows of the
 cluster that most of a block belongs to. No link between clusters is lost.
 """
 
@@ -212,21 +212,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: JaccardParams) -> DataFrame:
     return j.withColumn("_both", both).filter(f"100 * _both >= {p.percent} * (size(a) + size(b) - _both)").select("x", "y")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (least node reachable) of all nodes with links (x, y), by alternating large-star and small-star rounds."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, component (least node reachable) of all nodes with links (x, y), by alternating large-star and small-star rounds.
+
+    With a number of rounds, it stops after these: equal components are then connected, but connected nodes may still have several.
+    """
     edges = settled(links.selectExpr("greatest(x, y) as u", "least(x, y) as v").filter("u <> v").distinct())
-    before = None
-    while True:
+    before, done = None, 0
+    while done != rounds:
         both = edges.unionAll(edges.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
         large = both.join(least, "u").filter("v > u").selectExpr("v as u", "m as v").filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("v as u", "m as v").filter("u <> v").unionAll(low.selectExpr("u", "m as v")).distinct()
         edges = settled(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            return edges.selectExpr("u as node", "v as component").unionAll(edges.selectExpr("v as node", "v as component").distinct())
-        before = state
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() if rounds is None else None
+        if rounds is None and state == before:
+            break
+        before, done = state, done + 1
+    ends = edges.selectExpr("u as node", "v as component").unionAll(edges.selectExpr("v as node", "v as component"))
+    return ends.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -253,7 +258,7 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
     table = rarity_table(docs, p)
     rows = prefixes(distinct, table, p)
     alone = rows.groupBy("token").agg(F.count("*").alias("_n")).filter("_n > 1").select("token")
-    block = settled(_blocks(rows.join(alone, "token").withColumn("cluster", F.col("doc_id"))))
+    block = settled(_blocks(settled(rows.join(alone, "token").withColumn("cluster", F.col("doc_id")))))
     links, linked = [], []
     for _ in range(p.star_rounds):
         # the centre of a block: its smallest document, later the smallest outside of its largest cluster
@@ -261,10 +266,11 @@ def near_duplicates(docs: DataFrame, p: JaccardParams = JaccardParams()) -> Data
         found = settled(_verified(settled(_candidates(centre, block, "x_cluster <> y_cluster", p)), distinct, p))
         links.append(found)
         linked.append(found.count())
-        near = components(_union(links))
+        near = components(_union(links), 2)
         rows = block.drop("cluster", "major", "rank").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
         block = settled(_blocks(rows))
-        if linked[-1] * 50 <= linked[0]:
+        left, most = block.groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("major")).alias("m")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("m")), F.lit(0.0))).first()
+        if linked[-1] * 50 <= linked[0] or most <= 8 * left:  # another round finds little, or has little to spare
             break
     signs = signed.filter("set_key is not null").groupBy("doc_id").agg(*(F.min(b).alias(b) for b in BITS), F.min("set_key").alias("_k"), F.max("set_key").alias("_l")).filter("_k = _l").drop("_k", "_l")  # an id with several texts has none
     block = settled(block.join(signs, "doc_id", "left"))
