@@ -1,17 +1,20 @@
-"""Benchmark decontamination by exact seeds, verified by edit distance.
+"""Benchmark decontamination: CGK walks, bit-sampling hashes, exact edit distance.
 
-Texts and items are sequences of words (lower case, punctuation removed; in scripts without spaces, of characters). With at most k edits allowed, an item is cut into
-k + 1 pieces; any stretch within the limit holds at least one of them unchanged. So each place of a text where a piece stands
-is a candidate, and no leak is missed, whatever the item's length and wherever the edits are: the recall is 1. Pieces are found
-by hashes of their first 1, 2, ... words; a place is dropped at the first length at which no piece begins like it.
-Each candidate's place is then checked by exact edit distance of the whole item against the best stretch of the text there.
+Texts and items are sequences of words (lower case, punctuation removed; in scripts without spaces, of characters). A CGK walk reads a word at each
+step and moves on by a random bit of the step and the word, so two sequences within few edits fall into step again and give walks of small
+Hamming distance. A band samples some steps of a walk of its own; equal samples make a candidate. Windows start at each word of a text and of an item;
+how many steps an item's windows take (never past its end) and how many bands it needs follow from its length: the longest walk and the fewest bands that reach
+the target recall on made-up items of that length with as many random edits as are allowed. Items of one or two words are met at each place of theirs.
+A text's walk ends at the first sample at which no item's window has begun alike.
+
+Each candidate's place is then checked by exact edit distance of the whole item against the best stretch of the text there, on 64-bit codes of the words.
 
 The benchmark is broadcast in slices of at most `slice_bytes` of text, with one pass over the documents for each.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,22 +24,31 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from trackweave.llm.common import flat_words, small_batches
+from trackweave.llm.common import flat_words, pieces, small_batches
 
-MULTIPLIER, TABLE_BITS = np.uint32(0x9E3779B1), 20
-#: Words of a piece that are looked up; what a longer one has beyond is left to the edit distance.
-LONGEST_SEED = 8
+TABLE_BITS = 20
+#: Places of a text whose windows are walked at a time, and candidates that are listed at a time.
+AT_ONCE, LISTED = 1 << 17, 1 << 20
 #: Characters that are words of their own, in scripts without spaces, and white space beyond ASCII.
 ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}\p{Z}\x{85}]"
 
 
 @dataclass(frozen=True)
 class LeakParams:
-    """A leak is a stretch within percent / 100 * (words of the item) word edits, so at 20 % an item under five words leaks by exact copies. Items under min_words words (a single word) are no evidence of anything and are left out."""
+    """A leak is a stretch within percent / 100 * (words of the item) word edits, so at 20 % an item under five words leaks by exact copies. Items under min_words words (a single word) are no evidence of anything and are left out.
+
+    recall: that of the candidates at the limit, for items of any length, measured in so many trials. walks: lengths to choose from. bands: how many there are at most. sampled: share of a walk's steps that a band samples.
+    """
 
     percent: int = 20
     min_words: int = 2
     slice_bytes: int = 16 << 20
+    recall: float = 0.998
+    trials: int = 600
+    walks: tuple = (14, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2)
+    bands: int = 10
+    sampled: float = 0.7
+    seed: int = 11
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +59,111 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if pc.any(wide).as_py():
         texts = pc.replace_with_mask(texts, wide, pc.replace_substring_regex(texts.filter(wide), ALONE, r" \0 "))
     offsets, index, words = flat_words(texts)
-    clean = pc.utf8_lower(pc.replace_substring_regex(words, r"[^\pL\pN]+", "")).to_pylist()
-    codes = np.fromiter((xxhash.xxh32_intdigest(w) | 1 if w else 0 for w in clean), np.uint32, len(clean))
-    codes = codes[index] if len(index) else np.empty(0, np.uint32)
+    odd = pc.invert(pc.utf8_is_alnum(words))
+    clean = words if not pc.any(odd).as_py() else pc.replace_with_mask(words, odd, pc.replace_substring_regex(words.filter(odd), r"[^\pL\pN]+", ""))
+    clean = pc.utf8_lower(clean).to_pylist()
+    codes = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in clean), np.uint64, len(clean))
+    codes = codes[index] if len(index) else np.empty(0, np.uint64)
     keep = codes != 0
     return np.concatenate([[0], np.cumsum(keep)])[offsets], codes[keep]
 
 
+@dataclass
+class Band:
+    """What a band draws: multipliers of each step's bits, and which steps it samples (the first always)."""
+
+    bits: np.ndarray
+    samples: np.ndarray
+
+
+def drawn(p: LeakParams) -> list[Band]:
+    r = np.random.default_rng(p.seed)
+    longest = max(p.walks)
+    out = []
+    for _ in range(p.bands):
+        bits = r.integers(0, 2**32, longest, dtype=np.uint32) | np.uint32(1)
+        samples = r.random(longest) < p.sampled
+        samples[0] = True
+        out.append(Band(bits, samples))
+    return out
+
+
+def narrow(codes: np.ndarray) -> np.ndarray:
+    """The upper halves of words' codes, which walks are made of."""
+    return (codes >> np.uint64(32)).astype(np.uint32)
+
+
+def sampled(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of samples with one more word."""
+    h = (h ^ words) * np.uint32(0x9E3779B1)
+    return h ^ (h >> np.uint32(15))
+
+
+def moved(at: np.ndarray, words: np.ndarray, bit: np.uint32) -> np.ndarray:
+    """The walks' next places."""
+    return at + ((words * bit) >> np.uint32(31)).astype(at.dtype)
+
+
+def windows(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, steps: int, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the walks from starts over so many steps, and which of them stay before their ends."""
+    at, h, inside = starts.copy(), np.zeros(len(starts), np.uint32), np.ones(len(starts), bool)
+    for t in range(steps):
+        inside &= at < ends
+        w = words[np.minimum(at, len(words) - 1)]
+        if band.samples[t]:
+            h = sampled(h, w)
+        at = moved(at, w, band.bits[t])
+    return h, inside
+
+
+def with_edits(items: np.ndarray, k: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with k random edits each (a word replaced, put in or taken out), and their lengths; behind them stand other words."""
+    rows, n = items.shape
+    out, length, at = np.concatenate([items, r.integers(0, 2**32, (rows, k), dtype=np.uint32)], 1), np.full(rows, n), np.arange(rows)
+    place = np.arange(n + k)
+    for _ in range(k):
+        kind, where = r.integers(0, 3, rows), (r.random(rows) * length).astype(np.int64)
+        # where each word comes from: one to the left behind a word put in, one to the right behind one taken out
+        source = place + ((kind[:, None] == 2) & (place >= where[:, None])) - ((kind[:, None] == 1) & (place > where[:, None]))
+        out = np.take_along_axis(out, np.minimum(source, n + k - 1), 1)
+        fresh = kind < 2
+        out[at[fresh], where[fresh]] = r.integers(0, 2**32, fresh.sum(), dtype=np.uint32)
+        length = length + (kind == 1) - (kind == 2)
+    return out, length
+
+
+def recall_at_limit(n: int, steps: int, bands: list[Band], percent: int, trials: int, seed: int = 3) -> np.ndarray:
+    """Share of made-up items of n different words that share a window with a copy of n * percent / 100 random edits, by the first 1, 2, ... bands."""
+    r = np.random.default_rng(seed + n)
+    items = r.integers(0, 2**32, (trials, n), dtype=np.uint32)
+    copies, lengths = with_edits(items, n * percent // 100, r)
+    texts = np.concatenate([copies, r.integers(0, 2**32, (trials, steps), dtype=np.uint32)], 1)
+    row, column = np.divmod(np.arange(items.size), n)
+    text_row, text_column = np.divmod(np.arange(texts.size), texts.shape[1])
+    of_copy = text_column < lengths[text_row]
+    hit = np.zeros((trials, len(bands)), bool)
+    for j, band in enumerate(bands):
+        a, inside = windows(items.ravel(), (row + 1) * n, np.arange(items.size), steps, band)
+        b, _ = windows(texts.ravel(), (text_row[of_copy] + 1) * texts.shape[1], np.flatnonzero(of_copy), steps, band)
+        met = np.isin(row[inside] << 32 | a[inside], text_row[of_copy] << 32 | b)
+        hit[row[inside][met], j] = True
+    return np.maximum.accumulate(hit, axis=1).mean(0)
+
+
+@functools.lru_cache(maxsize=512)
+def plan(n: int, p: LeakParams) -> tuple[int, int]:
+    """(steps, bands) for items of n words: the longest walk that reaches the target recall, with twice the fewest bands that do, four at least, as edits needn't be as random as in the trials."""
+    bands = drawn(p)
+    for steps in p.walks:
+        reached = recall_at_limit(n, steps, bands, p.percent, p.trials)
+        if reached[-1] >= p.recall:
+            return steps, min(p.bands, max(4, 2 * int(np.argmax(reached >= p.recall)) + 2))
+    return min(p.walks), p.bands
+
+
 @dataclass
 class Level:
-    """Of seeds' first words, so many as the level's number: table: which hashes there are; keys, windows: hashes of the seeds of just this length and their (item, offset)."""
+    """Of a band's windows after a step: table: which hashes there are; keys, windows: hashes of those that end here and their (item, offset)."""
 
     table: np.ndarray
     keys: np.ndarray
@@ -67,38 +174,45 @@ class Level:
 class Index:
     ids: list
     items: list[np.ndarray]
-    levels: list[Level]
-
-
-def extended(h: np.ndarray | None, words: np.ndarray) -> np.ndarray:
-    """Hashes of sequences with one more word."""
-    h = words * MULTIPLIER if h is None else (h ^ words) * MULTIPLIER
-    return h ^ (h >> np.uint32(15))
+    bands: list[tuple[Band, list[Level]]]
 
 
 def build_index(ids: list, texts: list[str | None], p: LeakParams) -> Index:
+    """Equal items are one, with all their ids."""
     offsets, codes = coded(pa.array(texts, pa.string()))
-    items = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    kept = [k for k, w in enumerate(items) if len(w) >= p.min_words]
-    ids, items = [ids[k] for k in kept], [items[k] for k in kept]
-    seeds = []
-    for k, w in enumerate(items):
-        parts = len(w) * p.percent // 100 + 1
-        cuts = [len(w) * j // parts for j in range(parts + 1)]
-        seeds += [(k, a, min(b - a, LONGEST_SEED)) for a, b in itertools.pairwise(cuts)]
-    seeds = np.array(seeds, np.int64).reshape(-1, 3)
-    flat = np.concatenate([*items, np.zeros(1, np.uint32)])
-    at = np.concatenate([[0], np.cumsum([len(w) for w in items])]).astype(np.int64)[seeds[:, 0]] + seeds[:, 1]
-    levels, h = [], None
-    for n in range(1, int(seeds[:, 2].max(initial=0)) + 1):
-        h = extended(h, flat[at + n - 1])
-        table = np.zeros(1 << TABLE_BITS, bool)
-        table[h >> np.uint32(32 - TABLE_BITS)] = True
-        whole = seeds[:, 2] == n
-        order = np.argsort(h[whole], kind="stable")
-        levels.append(Level(table, h[whole][order], seeds[whole, :2][order]))
-        seeds, at, h = seeds[~whole], at[~whole], h[~whole]
-    return Index(ids, items, levels)
+    by_words: dict[bytes, list] = {}
+    for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        if b - a >= p.min_words:
+            by_words.setdefault(codes[a:b].tobytes(), []).append(ids[k])
+    items = [np.frombuffer(w, np.uint64) for w in by_words]
+    lengths = np.array([len(w) for w in items], np.int64)
+    # from 64 words on, more windows only add to the recall
+    plans = np.array([(1, 1) if n <= 2 else plan(min(n, 64), p) for n in lengths.tolist()], np.int64).reshape(-1, 2)
+    flat = narrow(np.concatenate([*items, np.zeros(1, np.uint64)]))
+    first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    item = np.repeat(np.arange(len(items)), lengths)
+    offset = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    bands = []
+    for j, band in enumerate(drawn(p)):
+        own = plans[item, 1] > j
+        k, o = item[own], offset[own]
+        steps, at, h, ends = plans[k, 0], first[k] + o, np.zeros(len(k), np.uint32), first[k] + lengths[k]
+        levels = []
+        for t in range(int(steps.max(initial=0))):
+            ok = at < ends
+            k, o, steps, at, h, ends = (x[ok] for x in (k, o, steps, at, h, ends))
+            w = flat[at]
+            if band.samples[t]:
+                h = sampled(h, w)
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[h >> np.uint32(32 - TABLE_BITS)] = True
+            over = steps == t + 1
+            order = np.argsort(h[over], kind="stable")
+            levels.append(Level(table, h[over][order], np.stack([k[over], o[over]], 1)[order]))
+            at = moved(at, w, band.bits[t])
+            k, o, steps, at, h, ends = (x[~over] for x in (k, o, steps, at, h, ends))
+        bands.append((band, levels))
+    return Index(list(by_words.values()), items, bands)
 
 
 def distances(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,28 +231,35 @@ def distances(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int, int, int]]:
     """(row, item, edits, end word) of the best place of each pair within the limit."""
     offsets, codes = coded(texts)
-    padded = np.concatenate([codes, np.zeros(len(index.levels), np.uint32)])
-    lengths, hits = np.array([len(w) for w in index.items]), [np.empty((0, 3), np.int64)]
-    for a in range(0, len(codes), 1 << 17):
-        at, h = np.arange(a, min(a + (1 << 17), len(codes))), None
-        for n, level in enumerate(index.levels):
-            h = extended(h, padded[at + n])
-            ok = np.flatnonzero(level.table[h >> np.uint32(32 - TABLE_BITS)])
-            at, h = at[ok], h[ok]
-            if not len(at):
-                break
-            lo, hi = np.searchsorted(level.keys, h, "left"), np.searchsorted(level.keys, h, "right")
-            hit = np.flatnonzero(hi > lo)
-            times = (hi - lo)[hit]
-            which = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            place = np.repeat(at[hit], times)
-            item, offset = level.windows[which].T
-            row = np.searchsorted(offsets, place, "right") - 1
-            # places nearer than a quarter of the item are one, as the stretch that is checked is longer by half on both sides
-            near = (place - offset - offsets[row]) // np.maximum(1, lengths[item] // 4)
-            hits.append(np.stack([item, row, near], 1))
+    lengths, found = np.array([len(w) for w in index.items]), np.empty((0, 3), np.int64)
+    words = np.concatenate([narrow(codes), np.zeros(max(p.walks), np.uint32)])
+    for band, levels in index.bands:
+        for a in range(0, len(codes), AT_ONCE):
+            start = np.arange(a, min(a + AT_ONCE, len(codes)))
+            at, h = start, np.zeros(len(start), np.uint32)
+            for t, level in enumerate(levels):
+                w = words[at]
+                if band.samples[t]:
+                    h = sampled(h, w)
+                    ok = np.flatnonzero(level.table[h >> np.uint32(32 - TABLE_BITS)])
+                    start, at, h, w = start[ok], at[ok], h[ok], w[ok]
+                    if not len(at):
+                        break
+                if len(level.keys):
+                    lo, hi = np.searchsorted(level.keys, h, "left"), np.searchsorted(level.keys, h, "right")
+                    hit = np.flatnonzero(hi > lo)
+                    group = np.cumsum((hi - lo)[hit]) // LISTED
+                    for part in np.split(hit, np.flatnonzero(np.diff(group)) + 1) if len(hit) else []:
+                        times = (hi - lo)[part]
+                        which = np.repeat(lo[part], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        place = np.repeat(start[part], times)
+                        item, offset = level.windows[which].T
+                        row = np.searchsorted(offsets, place, "right") - 1
+                        # places nearer than a quarter of the item are one, as the stretch that is checked is longer by half on both sides
+                        near = (place - offset - offsets[row]) // np.maximum(1, lengths[item] // 4)
+                        found = np.unique(np.concatenate([found, np.stack([item, row, near], 1)]), axis=0)
+                at = moved(at, w, band.bits[t])
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    found = np.unique(np.concatenate(hits), axis=0)
     for group in np.split(found, np.flatnonzero(np.diff(found[:, 0])) + 1) if len(found) else []:
         item, places = int(group[0, 0]), group[:, 1:]
         w = index.items[item]
@@ -147,7 +268,7 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
         limit = n * p.percent // 100
         for a in range(0, len(places), 512):
             part = places[a : a + 512]
-            stretch = np.zeros((len(part), n + max(1, n // 4) + 2 * margin), np.uint32)
+            stretch = np.zeros((len(part), n + max(1, n // 4) + 2 * margin), np.uint64)
             for r, (row, near) in enumerate(part):
                 start = near * max(1, n // 4) - margin
                 s = codes[offsets[row] + max(0, start) : min(offsets[row + 1], offsets[row] + max(0, start + stretch.shape[1]))]
@@ -190,11 +311,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             x = shared.value
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
-                    rows = leaks(b.column("text"), x, p)
+                for b in pieces(whole):
                     ids = b.column("doc_id").to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([ids[r] for r, *_ in rows], [x.ids[i] for _, i, *_ in rows], [d for *_, d, _ in rows], [len(x.items[i]) for _, i, *_ in rows], [e for *_, e in rows]), [pa.int64()] * 5, strict=True)], ["doc_id", "item_id", "edits", "n_words", "end_word"])
+                    rows = [(ids[r], own, d, len(x.items[i]), e) for r, i, d, e in leaks(b.column("text"), x, p) for own in x.ids[i]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "edits", "n_words", "end_word"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long, n_words long, end_word long")
         out = part if out is None else out.unionAll(part)
@@ -202,14 +322,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, p: LeakParams = LeakParams()) -> DataFrame:
-    """The documents in which no item leaks, all columns as they are."""
+    """The documents in which no item leaks, all columns as they are; those with a null or empty text stay, as do all if the benchmark is empty. Repeated rows stay or go together."""
     for index in slices(benchmark, p):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
+                for b in pieces(whole):
                     keep = np.ones(b.num_rows, bool)
                     keep[[r for r, *_ in leaks(b.column("text"), shared.value, p)]] = False
                     yield b.filter(pa.array(keep))
