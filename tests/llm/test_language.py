@@ -75,3 +75,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
     kept = language.with_known_language(odd_docs)
     assert kept.columns == odd_docs.columns and not {3, 4, 5} & {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_without_labels(spark):
+    """If nothing can be learned, texts with a letter stay."""
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language.with_known_language(docs).collect()] == [1]
+    assert {r["lang_pred"] for r in language.identify(docs).collect()} == {"und"}
+
+
+def test_many_labels_are_all_learned():
+    """Bounds on documents and landmarks leave one of each label at least."""
+    symbols = language.symbol_table()
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}q" for k in range(300)]
+    codes = [language.marked(f"{w} {w}{w}", symbols)[0] for w in words]
+    model = language.fit(codes, words, language.LanguageParams(all_landmarks=100), symbols)
+    assert len(model.languages) == 300
+    scores, _ = model.scores([f"{w} {w}" for w in words[:50]])
+    assert [model.languages[k] for k in scores.argmax(1)] == words[:50]

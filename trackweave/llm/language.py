@@ -30,11 +30,13 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """per_language bounds the sample of labelled documents, landmarks how many of these are landmarks; languages the labels that are learned, the most frequent first."""
+    """per_language bounds the sample of labelled documents of a label, landmarks how many of these are landmarks. All labels are learned; with many, each has less, so that
+    documents stay within all_documents and landmarks within all_landmarks, but for one of each label at least."""
 
     per_language: int = 200
     landmarks: int = 40
-    languages: int = 200
+    all_documents: int = 20_000
+    all_landmarks: int = 1_000
     ridge: float = 0.2
 
 
@@ -86,19 +88,47 @@ def marked(text: str, symbols: np.ndarray, flags: np.ndarray | None = None) -> t
     return codes[codes != 0], letters
 
 
+#: Codes that are held as a dense block at a time.
+BLOCK = 1 << 15
+
+
+def presence(sets: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """Rows of the n-grams from code low to high, each set divided by the root of its size."""
+    out = np.zeros((len(sets), high - low), np.float32)
+    for r, s in enumerate(sets):
+        out[r, s[np.searchsorted(s, low) : np.searchsorted(s, high)] - low] = 1 / np.sqrt(max(1, len(s)))
+    return out
+
+
+def kernel(a: list[np.ndarray], b: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """Kernel values of all pairs, block by block of the codes; vocabulary: that of b."""
+    out = np.zeros((len(a), len(b)))
+    for low in np.unique(vocabulary // BLOCK) * BLOCK:
+        out += presence(a, low, low + BLOCK) @ presence(b, low, low + BLOCK).T
+    return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     vocabulary: np.ndarray  # codes of the landmarks' n-grams
-    presence: np.ndarray  # vocabulary x landmarks, each landmark divided by the root of its size
+    landmarks: list[np.ndarray]
     weights: np.ndarray  # landmarks x languages
     symbols: np.ndarray
 
     def __post_init__(self) -> None:
         """Landmarks and weights as one matrix, vocabulary x languages: the product of both is the same for every text."""
-        self.folded = (self.presence.astype(np.float64) @ self.weights).astype(np.float32)
         self.place = np.full(CODES, -1, np.int32)
         self.place[self.vocabulary] = np.arange(len(self.vocabulary))
+        self.folded = np.zeros((len(self.vocabulary), len(self.languages)), np.float32)
+        for low in np.unique(self.vocabulary // BLOCK) * BLOCK:
+            rows = slice(*np.searchsorted(self.vocabulary, (low, low + BLOCK)))
+            self.folded[rows] = presence(self.landmarks, low, low + BLOCK)[:, self.vocabulary[rows] - low].T @ self.weights
+
+    @property
+    def presence(self) -> np.ndarray:
+        """Vocabulary x landmarks, dense."""
+        return presence(self.landmarks, 0, CODES)[:, self.vocabulary].T
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by language, and which texts have a letter."""
@@ -111,42 +141,39 @@ class Model:
             sizes[i] = max(1, len(codes))
         return (rows @ self.folded) / np.sqrt(sizes)[:, None], letters
 
+    def at_once(self) -> int:
+        """Texts that are scored at a time: a block of them holds 32 MB at most."""
+        return max(1, min(128, (8 << 20) // max(1, len(self.vocabulary))))
+
 
 def fit(codes: list[np.ndarray], labels: list[str], p: LanguageParams, symbols: np.ndarray) -> Model:
-    """codes: distinct n-grams of each labelled text; the first `landmarks` texts of each language are the landmarks."""
+    """codes: distinct n-grams of each labelled text; the first texts of each language are the landmarks."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0)), symbols)
+        return Model([], np.empty(0, np.int64), [], np.empty((0, 0)), symbols)
     seen: dict[str, int] = {}
     chosen = []
+    each = max(1, min(p.landmarks, p.all_landmarks // len(languages)))
     for i, (c, lab) in enumerate(zip(codes, labels, strict=True)):
-        if len(c) and seen.setdefault(lab, 0) < p.landmarks:
+        if len(c) and seen.setdefault(lab, 0) < each:
             seen[lab] += 1
             chosen.append(i)
-    vocabulary = np.unique(np.concatenate([codes[i] for i in chosen])) if chosen else np.empty(0, np.int64)
-    place = np.full(CODES, -1, np.int32)
-    place[vocabulary] = np.arange(len(vocabulary))
-
-    def presence(which: list[int]) -> np.ndarray:
-        out = np.zeros((len(which), len(vocabulary)), np.float32)
-        for r, i in enumerate(which):
-            at = place[codes[i]]
-            out[r, at[at >= 0]] = 1 / np.sqrt(max(1, len(codes[i])))
-        return out
-
-    marks = presence(chosen)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    marks = [codes[i] for i in chosen]
+    vocabulary = np.unique(np.concatenate(marks)) if marks else np.empty(0, np.int64)
+    values, vectors = np.linalg.eigh(kernel(marks, marks, vocabulary))
     keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
     gram = np.zeros((root.shape[1], root.shape[1]))
     target = np.zeros((root.shape[1], len(languages)))
+    number = {lab: k for k, lab in enumerate(languages)}
     for a in range(0, len(codes), 256):
-        which = list(range(a, min(a + 256, len(codes))))
-        mapped = (presence(which) @ marks.T) @ root
+        mapped = kernel(codes[a : a + 256], marks, vocabulary) @ root
         gram += mapped.T @ mapped
-        target += mapped.T @ np.array([[labels[i] == lab for lab in languages] for i in which], float)
+        ones = np.zeros((len(mapped), len(languages)))
+        ones[np.arange(len(mapped)), [number[lab] for lab in labels[a : a + 256]]] = 1
+        target += mapped.T @ ones
     weights = root @ np.linalg.solve(gram + p.ridge * np.eye(len(gram)), target)
-    return Model(languages, vocabulary, np.ascontiguousarray(marks.T), weights, symbols)
+    return Model(languages, vocabulary, marks, weights, symbols)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -154,14 +181,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
-    """From at most per_language documents of each language that aren't held out, in an order by hash of doc_id; the texts' n-grams are taken on the executors."""
+    """From at most per_language documents of each language that aren't held out, in an order by hash of doc_id; the texts' n-grams are taken on the executors, and of rows of equal doc_id and language one counts."""
     spark = docs.sparkSession
     small_batches(spark)
     symbols = symbol_table()
     ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()]
+    most = max(1, min(p.per_language, p.all_documents // max(1, ids.select("lang").distinct().count())))
     by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.filter(F.col("lang").isin(common)).withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= p.per_language)
+    chosen = ids.distinct().withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
     rank = {(r["doc_id"], r["lang"]): r["_rank"] for r in chosen.collect()}
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted({i for i, _ in rank})], "doc_id long"))
     shared = spark.sparkContext.broadcast(symbols)
@@ -171,12 +198,12 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
             codes = [marked(t or "", shared.value)[0].astype(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", "lang", "codes"])
 
-    rows = docs.select("doc_id", "lang", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, codes binary").collect()
+    rows = docs.select("doc_id", "lang", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, codes binary").filter("lang is not null").groupBy("doc_id", "lang").agg(F.min("codes").alias("codes")).collect()
     rows = sorted((r for r in rows if (r["doc_id"], r["lang"]) in rank), key=lambda r: (r["lang"], rank[r["doc_id"], r["lang"]], bytes(r["codes"])))
     return fit([np.frombuffer(r["codes"], np.int32) for r in rows], [r["lang"] for r in rows], p, symbols)
 
 
-def predict(docs: DataFrame, model: Model, batch: int = 128) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) of every row; `und` and 0 for a null text or one without a letter, or if no language was learned.
 
     Texts are read whole; an empty text is `und`; of equal scores the first language by name wins; repeated rows are repeated.
@@ -185,6 +212,7 @@ def predict(docs: DataFrame, model: Model, batch: int = 128) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        batch = m.at_once()
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 b = whole.slice(at, batch)
@@ -206,17 +234,20 @@ def identify(docs: DataFrame, p: LanguageParams = LanguageParams()) -> DataFrame
 
 
 def with_known_language(docs: DataFrame, least: float = 0.1, p: LanguageParams = LanguageParams()) -> DataFrame:
-    """The documents whose language is recognised with a score of `least` or more; all columns stay as they are."""
+    """The documents whose language is recognised with a score of `least` or more; all columns stay as they are.
+
+    Documents with a null or empty text or without any letter go. If no document has a label to learn from, those with a letter stay. Repeated rows stay or go together; an empty table gives an empty result.
+    """
     model = train(docs, p)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        batch = m.at_once()
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                if m.languages and b.num_rows:
-                    scores, letters = m.scores(b.column("text").to_pylist())
-                    yield b.filter(pa.array(letters & (scores.max(1) >= least)))
+            for at in range(0, whole.num_rows, batch):
+                b = whole.slice(at, batch)
+                scores, letters = m.scores(b.column("text").to_pylist())
+                yield b.filter(pa.array(letters & (scores.max(1) >= least) if m.languages else letters))
 
     return docs.mapInArrow(run, docs.schema)
