@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackweave.llm import pii
 
-KEY = "trackweave"
+KEY = "a key that only the tests have"
 
 
 def feistel(a, b, size_a, size_b, tweak):
@@ -50,7 +50,7 @@ def ip(m):
 
 
 def swapped(spark, texts):
-    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()
     return [r["text"] for r in rows], [r["n_pii"] for r in rows]
 
 
@@ -124,3 +124,14 @@ def test_dates_day_or_month_first(spark):
             datetime.datetime.strptime(g[3:-1], pattern if int(v[:2]) <= 12 or pattern != "%m/%d/%Y" else "%d/%m/%Y")
     got, n = swapped(spark, ["32.12.1999", "13/13/1999", "30.2.2000", "1.2.3.1999", "1/2/1999", "31.12.1999"])
     assert n == [0, 0, 0, 0, 1, 1] and got[:4] == ["32.12.1999", "13/13/1999", "30.2.2000", "1.2.3.1999"] and got[5] != "31.12.1999"
+
+
+def test_keys(spark):
+    """No key that others know: short ones are an error, and without one the session's own links equal values."""
+    docs = spark.createDataFrame([(1, "card 4111111111111111"), (2, "4111111111111111 again")], "doc_id long, text string")
+    for key in ("", "short"):
+        with pytest.raises(ValueError, match="key"):
+            pii.pseudonymise(docs, key)
+    drawn = [re.search(r"\d{16}", r["text"])[0] for r in pii.pseudonymise(docs).collect()]
+    keyed = [re.search(r"\d{16}", r["text"])[0] for r in pii.pseudonymise(docs, KEY).collect()]
+    assert drawn[0] == drawn[1] != keyed[0] == keyed[1]

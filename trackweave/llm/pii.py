@@ -10,7 +10,9 @@ doesn't validate (a long number without a right check digit) is left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -179,12 +181,25 @@ def resolved(m: Column, key: str) -> Column:
     return let(kind(m), lambda k: F.when(k.isNotNull() | ~is_run, F.struct(pseudonym(m, key).alias("text"), k.isNotNull().cast("int").alias("n"))).otherwise(within))
 
 
-def pseudonymise(docs: DataFrame, key: str = "trackweave", text: str = "text") -> DataFrame:
-    """All columns of the table, `text` with pseudonyms, and n_pii (validated values found).
+#: The session's setting with the secret key, 16 characters or more; without it a session draws its own, so that pseudonyms of different sessions don't link.
+KEY = "trackweave.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    if not spark.conf.get(KEY, ""):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
+    """All columns of the table, `text` with pseudonyms, and n_pii (validated values found). key: secret, of 16 characters or more, else an error; that of the session if none is given.
 
     A null text stays null, with n_pii 0, and so does an empty one; texts are read whole; repeated rows stay repeated and get
     the same pseudonyms; an own column n_pii of the table is replaced.
     """
+    key = session_key(docs.sparkSession) if key is None else key
+    if len(key) < 16:
+        raise ValueError("a key of 16 characters or more is needed: whoever has it can invert the pseudonyms")
     t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(f"({PATTERN})"), F.lit(1))
     parts = F.split(t, PATTERN, -1)
