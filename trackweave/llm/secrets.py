@@ -240,11 +240,18 @@ def fit(texts: list[str], p: SecretParams) -> Field:
 
 
 def train(docs: DataFrame, p: SecretParams = SecretParams()) -> Field:
-    """From `sample` documents in an order by hash of doc_id, first of those with a match of a pattern, then of all."""
-    small = docs.filter(F.col("text").isNotNull() & (F.length("text") <= p.longest)).select("doc_id", "text")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    marked = small.filter(F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}"))
-    rows = marked.orderBy(*order).limit(p.sample // 2).collect() + small.orderBy(*order).limit(p.sample // 2).collect()
+    """From about `sample` documents, half of them with a match of a pattern if there are as many, chosen by hash of doc_id and text.
+
+    The documents are counted first; then only those whose hash is below a bound that leaves about half as many again as are wanted are collected, so what reaches the driver doesn't grow with the input.
+    """
+    small = docs.filter(F.col("text").isNotNull() & (F.length("text") <= p.longest)).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("_h"), F.xxhash64("text").alias("_t"))
+    small = small.withColumn("_m", F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}"))
+    n, marked = small.agg(F.count("*"), F.count_if("_m")).first()
+    half = p.sample // 2
+    bound = lambda total: int(min(1.0, (1.5 * half + 50) / max(1, total)) * (1 << 40))
+    taken = small.filter((F.col("_h") < bound(n)) | F.col("_m") & (F.col("_h") < bound(marked))).dropDuplicates(["_h", "_t"]).collect()
+    taken = sorted(taken, key=lambda r: (r["_h"], r["_t"]))
+    rows = [r for r in taken if r["_m"] and r["_h"] < bound(marked)][:half] + [r for r in taken if r["_h"] < bound(n)][:half]
     return fit(sorted({r["text"] for r in rows}), p)
 
 
@@ -259,8 +266,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in pieces(whole):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 offsets, index, words = flat_words(b.column("text"), lower=False)
                 more: dict[int, list[tuple[int, int]]] = {}
