@@ -15,7 +15,7 @@ def brute(rows, every, k, scale):
     out = []
     for q, a in xs:
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in xs if i != q and len(a) == len(b))[:k]
+            scored = sorted((-min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1), i) for i, b in xs if i != q and len(a) == len(b))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -45,11 +45,18 @@ def test_odd_vectors(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
     rows += [(100, None), (150, [1.0, None, 0.0, 0.0]), (200, [math.nan] * 4), (250, [math.inf, 0.0, 0.0, 0.0]), (None, [1.0] * 4), (300, [0.0] * 4), (350, [1.0, 2.0]), (351, [3.0, 4.0]), (400, []), (450, [1e12, 1e12, -1e12, 3.5]), (451, [1e12, -1e12, 1e12, 2.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "norm": F.lit("own"), "v": F.lit("own"), "dim": F.lit("own")})
-    got_rows = [x for x in got(df.filter("vec_id is null or vec_id < 450"), 50, topk.SearchParams())]
-    assert got_rows == brute([x for x in rows if x[0] is None or x[0] < 450], 50, 5, 256)
+    assert got(df, 50, topk.SearchParams()) == brute(rows, 50, 5, 256)
     assert got(df.limit(0), 50, topk.SearchParams()) == []
 
 
+def test_repeated_ids(spark):
+    """Each row is a candidate, and a query's rows are one query."""
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.25, 0.0]), (1, [0.5, 0.0]), (2, [0.125, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 2.0]), (3, [0.0, 1.0])]
+    found = got(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 50, topk.SearchParams(k=3))
+    assert [x for x in found if x[0] == 0] == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 1, 16384)]
+    assert [x for x in found if x[0] == 50] == [(50, 1, 3, 131072), (50, 2, 3, 65536), (50, 3, 0, 0)]
+
+
 def test_large_numbers_are_exact():
     a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 5.0], [-(2.0**40), 1.0]])
     assert topk.products(a, b, 2.0**81).tolist() == [[2**80 + 15, -(2**80) + 3]]

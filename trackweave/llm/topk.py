@@ -3,7 +3,7 @@
 Vectors are grouped by length: candidates are range-partitioned by norm and cut into buckets of similar norm, queries into
 blocks likewise. The longest candidates, a bounded number, give each query a first lower bound of its k-th best score. A bucket can hold a
 better one only if bound / (norm of the query * longest norm in the bucket), the local cosine threshold, is at most 1; blocks
-whose queries all rule a bucket out never meet it. For the others, each query picks how it prunes by its local threshold: by
+whose queries all rule a bucket out never meet it. A task takes its buckets by falling norm and raises its queries' bounds as scores come in. For the others, each query picks how it prunes by its local threshold: by
 coordinate, if it is high (a unit vector of that cosine must lie in a narrow range on the query's largest coordinates; ranges are
 found in sorted columns), or else by length (only candidates long enough). What is left is verified by exact products.
 
@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -37,35 +39,35 @@ class SearchParams:
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v (whole numbers as doubles), dim, norm. A vector that is null or holds a null or non-finite component is left out, as is a null id; of a repeated id the smallest vector counts."""
+    """vec_id, v (whole numbers as doubles), dim, norm. A vector that is null or holds a null or non-finite component is left out, as is a null id. Products beyond 64 bits are cut to its limits, as are components."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
     v = v.select("vec_id", F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("double")).alias("v"))
-    v = v.groupBy("vec_id").agg(F.min("v").alias("v"))
     return v.withColumns({"dim": F.size("v"), "norm": F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))})
 
 
 def packed(x: DataFrame, size: int) -> DataFrame:
     """Blocks of vectors near in norm: dim, least and greatest norm, ids and vectors packed. x is range-partitioned by (dim, norm)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[int], list[list[float]], list[float]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            ids, vectors, norms = held.pop(dim)
-            order = np.argsort(-np.array(norms), kind="stable")
-            data = np.array(vectors, np.float64).reshape(len(ids), dim)[order]
-            return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([min(norms)]), pa.array([max(norms)]), pa.array([np.array(ids, np.int64)[order].tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dim", "low", "high", "ids", "data"])
+        def out(dim: int) -> Iterator[pa.RecordBatch]:
+            ids, data, norms = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
+            for a in range(0, len(ids), size):
+                part = np.argsort(-norms[a : a + size], kind="stable") + a
+                yield pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([norms[part[-1]]]), pa.array([norms[part[0]]]), pa.array([ids[part].tobytes()], pa.binary()), pa.array([data[part].tobytes()], pa.binary())], ["dim", "low", "high", "ids", "data"])
         for b in batches:
-            for i, v, n in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist(), b.column("norm").to_pylist(), strict=True):
-                h = held.setdefault(len(v), ([], [], []))
-                h[0].append(i)
-                h[1].append(v)
-                h[2].append(n)
-                if len(h[0]) == size:
-                    yield out(len(v))
+            ids, norms, v = (b.column(c) for c in ("vec_id", "norm", "v"))
+            lengths = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                data = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                held.setdefault(int(dim), []).append((ids.to_numpy()[at], data, norms.to_numpy()[at]))
+                if sum(len(x[0]) for x in held[int(dim)]) >= size:
+                    yield from out(int(dim))
         for dim in list(held):
-            yield out(dim)
+            yield from out(dim)
     return x.mapInArrow(run, "dim long, low double, high double, ids binary, data binary")
 
 
@@ -107,6 +109,7 @@ def kept(query: np.ndarray, norm: float, low_score: float, vectors: np.ndarray,
 def best_of_bucket(qi: np.ndarray, q: np.ndarray, least: np.ndarray, ci: np.ndarray, c: np.ndarray, p: SearchParams) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best in the bucket that score at least its bound, equal scores by smaller id."""
     norms, q_norms = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
+    least = np.where(np.abs(least) >= 2.0**53, np.nextafter(least, -np.inf), least)  # rounded scores
     bound = float(norms.max(initial=0) * q_norms.max(initial=0))
     local = np.where(q_norms * norms.max(initial=0) > 0, least / np.maximum(q_norms * norms.max(initial=0), 1e-300), 0)
     narrow = (least > 0) & (local >= p.cosine)
@@ -135,15 +138,15 @@ def _top(query: int, scores: np.ndarray, ids: np.ndarray, least: float, k: int)
     if len(ok) > k:
         s = scores[ok]
         ok = ok[s >= np.partition(s, len(s) - k)[len(s) - k]]
-    found = sorted((-int(scores[j]), int(ids[j])) for j in ok)[:k]
+    found = sorted((-min(max(int(scores[j]), -(2**63)), 2**63 - 1), int(ids[j])) for j in ok)[:k]
     return [(int(query), i, -s) for s, i in found]
 
 
 def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each vector whose id is divisible by `every`.
 
-    Vectors that are null or hold a null or a non-finite component take no part, nor do null ids; those of another length than the query's are no candidates;
-    repeated ids count once; equal scores go to smaller ids; an empty table gives an empty result. Extra columns are ignored.
+    Vectors that are null or hold a null or a non-finite component take no part, nor do null ids; those of another length than the query's are no candidates. Rows of
+    a repeated id are candidates each, and as queries one with the best of all; rows of the query's id are no candidates. Equal scores go to smaller ids; an empty table gives an empty result. Extra columns are ignored.
     """
     small_batches(vectors.sparkSession)
     x = settled(quantised(vectors, p.scale))
@@ -179,14 +182,21 @@ def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()
     # blocks meet buckets in groups: a bucket goes to one, each block of queries to all
     spread = buckets.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     q = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least", "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_group"))
-    pairs = q.join(spread, ["_group", "dim"]).filter("high >= need").select("dim", "q_ids", "q_data", "least", "ids", "data")
+    pairs = q.join(spread, ["_group", "dim"]).filter("high >= need").select("dim", "q_ids", "q_data", "least", "high", "ids", "data").sortWithinPartitions(F.desc("high"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, np.ndarray] = {}  # by block of queries: the k best scores that this task has seen of each
         for b in batches:
             for i in range(b.num_rows):
                 dim, q_ids, q_data, least, ids, data = (b.column(c)[i].as_py() for c in ("dim", "q_ids", "q_data", "least", "ids", "data"))
                 qi, q = unpacked(q_ids, q_data, dim)
-                rows = best_of_bucket(qi, q, np.frombuffer(least), *unpacked(ids, data, dim), p)
+                seen = best.setdefault((dim, xxhash.xxh3_128_digest(q_ids + q_data)), np.full((len(qi), p.k), -np.inf))
+                rows = best_of_bucket(qi, q, np.maximum(np.frombuffer(least), seen.min(1)), *unpacked(ids, data, dim), p)
+                if rows and len(np.unique(qi)) == len(qi):
+                    of = {x: r for r, x in enumerate(qi.tolist())}
+                    for query, _, score in rows:
+                        r = of[query]
+                        seen[r, seen[r].argmin()] = max(seen[r].min(), score)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 
