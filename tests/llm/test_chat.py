@@ -62,3 +62,10 @@ def test_odd_rows(spark):
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 2, 2: 1, None: 1, 3: 2, 4: 1}
     assert got[3]["loss_chars"] == 8 and got[2]["loss_chars"] == 0 and got[2]["formatted_chars"] > 500_000
     assert chat.format_digest(df.limit(0)).collect() == []
+
+
+def test_roles_with_breaks_come_back(spark):
+    rows = [(1, 0, "us\ner", "hi"), (1, 1, "a\\n\r", "there"), (1, 2, "<|im_end|>\n", "x"), (1, 3, "assistant", "yes")]
+    record = chat.turns_to_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = chat.format_records(record).select(chat.parse_formatted(F.col("formatted")).alias("t")).first()["t"]
+    assert [(t["role"], t["content"]) for t in back] == [(r, t) for _, _, r, t in rows]

@@ -55,15 +55,27 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])(\\*)\\(?={CONTROL})", r"$1$2")
 
 
+def role_written(role: Column) -> Column:
+    """A role on one line: its control strings escaped, then backslashes and line breaks."""
+    out = F.replace(escaped(role), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def role_read(role: Column) -> Column:
+    parts = F.regexp_extract_all(role, F.lit(r"(?s)(\\.|[^\\]+)"), F.lit(1))
+    plain = F.array_join(F.transform(parts, lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\\\", "\\").otherwise(p)), "")
+    return unescaped(F.when(F.instr(role, "\\") > 0, plain).otherwise(role))
+
+
 def format_records(records: DataFrame, key: str = "conv_id") -> DataFrame:
     """Per record: key, fingerprint, formatted, segments (text, loss) that make it up, and loss_spans (start, end; end exclusive).
 
-    A null content is an empty text, a null role an empty name; line breaks in role names become spaces. Records of an unknown layout come back with null in all
+    A null content is an empty text, a null role an empty name. Records of an unknown layout come back with null in all
     but key and fingerprint, those without turns with an empty text. Records need distinct keys. Extra columns are ignored.
     """
     x = canonical(records.select(key, "record")).select(key, "fingerprint", "turns")
     t = x.select(key, "fingerprint", F.col("turns").isNull().alias("_unknown"), F.posexplode_outer("turns").alias("_pos", "_turn"))
-    role = F.regexp_replace(escaped(F.coalesce(F.col("_turn.role"), F.lit(""))), r"[\r\n]", " ")
+    role = role_written(F.coalesce(F.col("_turn.role"), F.lit("")))
     t = t.withColumns({"_head": F.when(F.col("_pos").isNull(), "").otherwise(F.concat(F.lit(OPEN), role, F.lit("\n"))), "_text": F.when(F.col("_pos").isNull(), "").otherwise(escaped(F.coalesce(F.col("_turn.content"), F.lit("")))), "_foot": F.when(F.col("_pos").isNull(), "").otherwise(CLOSE), "_loss": F.coalesce(F.col("_turn.role") == "assistant", F.lit(False))})
     so_far = F.sum(F.length("_head") + F.length("_text") + F.length("_foot")).over(W.partitionBy(key).orderBy("_pos"))
     t = t.withColumn("_end", so_far - F.length("_foot")).withColumn("_start", F.col("_end") - F.length("_text"))
@@ -81,7 +93,7 @@ def parse_formatted(formatted: Column) -> Column:
     pieces = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda _, i: i > 0)
     def turn(p: Column) -> Column:
         cut = F.instr(p, "\n")
-        return F.struct(unescaped(F.substring(p, F.lit(1), cut - 1)).alias("role"), unescaped(F.substring(p, cut + 1, F.length(p) - cut - len(CLOSE))).alias("content"))
+        return F.struct(role_read(F.substring(p, F.lit(1), cut - 1)).alias("role"), unescaped(F.substring(p, cut + 1, F.length(p) - cut - len(CLOSE))).alias("content"))
     return F.transform(pieces, turn)
 
 
@@ -100,7 +112,7 @@ def format_digest(conversations: DataFrame) -> DataFrame:
     f = format_records(turns_to_records(conversations))
     f = f.withColumn("_back", parse_formatted(F.col("formatted")))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    learned = F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: unescaped(s.text)), "")
+    learned = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int")))), "")
     return f.withColumn("_learned", learned).select(
         "conv_id", F.size("_back").cast("bigint").alias("n_turns"), sha(F.array_join(F.transform("_back", lambda t: F.concat(t.role, F.lit("\n"), t.content, F.lit("\n"))), "")).alias("turns_sha256"),
         F.length("_learned").cast("bigint").alias("loss_chars"), sha(F.col("_learned")).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
@@ -113,5 +125,5 @@ def format_digest_sql(rows: str) -> str:
     with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from ({rows}))
     select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
-      sum(length({esc('role')}) + length({esc('text')}) + {len(OPEN) + 1 + len(CLOSE)})::bigint formatted_chars
+      sum(length(replace(replace(replace({esc('role')}, '\\', '\\\\'), chr(10), '--'), chr(13), '--')) + length({esc('text')}) + {len(OPEN) + 1 + len(CLOSE)})::bigint formatted_chars
     from r group by conv_id"""
