@@ -121,7 +121,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     (order key, doc_id, tokens) the prefix takes them together or not at all. An empty table gives an
     empty result. Extra columns are ignored.
     """
-    keyed = with_leaves(docs, plan)
+    keyed = settled(with_leaves(docs, plan))  # narrow; the texts are read once
     leaves = settled(leaf_budgets(keyed.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), plan).select(*LEVELS, "epochs", "rest"))
     few = leaves.count() <= plan.broadcast_leaves
     ordered = _with_leaf(keyed, leaves, few).withColumn("_key", order_key(F.col("doc_id"), F.col("epochs"), plan.seed))
