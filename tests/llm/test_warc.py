@@ -80,3 +80,20 @@ def test_payloads_of_unwanted_records_are_not_taken(tmp_path, monkeypatch):
 
 def test_no_archives(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_odd_archives(spark, tmp_path):
+    """A length that can't be read ends its record at the next one's first line; long headers and well packed payloads are read in parts."""
+    import gzip
+
+    record = lambda n, body, length=None, more="": f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{n}>\r\n{more}Content-Length: {length or len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    data = record(1, "lost", "four") + record(2, "x" * 9_000_000) + record(3, "end", more=f"X-Long: {'y' * 3_000_000}\r\n") + record(4, "last")
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(data)
+    (tmp_path / "packed" / "a.warc.gz").write_bytes(gzip.compress(data))
+    spark.dataSource.register(warc.WarcSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for folder in ("plain", "packed"):
+        rows = spark.read.format("warc").load(f"file://{tmp_path}/{folder}").select("record_id", "payload_bytes", F.length("payload").alias("n")).collect()
+        assert [(r["record_id"][-2:-1], r["payload_bytes"], r["n"]) for r in rows if r["record_id"][-2:-1] in "24"] == [("2", 9_000_000, 9_000_000), ("4", 4, 4)]

@@ -88,7 +88,8 @@ class WarcReader(DataSourceReader):
             body = bool(BODY & set(names))
             for headers in source:
                 row = {c: headers.get(h) for c, h in HEADERS.items()}
-                length = row["content_length"] = int(headers.get("content-length", 0))
+                written = headers.get("content-length", "0")
+                length = row["content_length"] = int(written) if written.isascii() and written.isdigit() else 0  # of none that can be read, reading goes on at the next line that starts a record
                 if not all(_passes(test, row[c] if c in row else headers.get(c)) for c, test in self.tests):
                     source.skip(length)
                     continue
@@ -118,15 +119,17 @@ def _fields(lines: bytes) -> dict[str, str]:
 class _Stream:
     """Headers of the records in turn; between two, skip() or block() takes the record's block."""
 
-    #: The longest block of headers that is taken for one.
+    #: Bytes of a line, and of a record's headers, that are held at most; headers beyond are passed over.
     HEAD = 1 << 20
 
     def head(self) -> dict[str, str] | None:
-        lines = []
-        while (line := self.line()) in (b"\r\n", b"\n"):
-            pass
+        lines, size = [], 0
+        while (line := self.line()) and not line.startswith(b"WARC/"):
+            pass  # blank lines between records, and what stands behind a record of unknown length
         while line.strip():
-            lines.append(line.rstrip(b"\r\n"))
+            if size < self.HEAD:
+                lines.append(line.rstrip(b"\r\n"))
+            size += len(line)
             line = self.line()
         return _fields(b"\r\n".join(lines)) if lines else None
 
@@ -154,7 +157,7 @@ class _Plain(_Stream):
         self.buffer = io.BufferedReader(f, 1 << 18)
 
     def line(self):
-        return self.buffer.readline()
+        return self.buffer.readline(self.HEAD)
 
     def take(self, n):
         return self.buffer.read(n)
@@ -176,20 +179,19 @@ class _Members(_Stream):
     def more(self) -> bool:
         while True:
             if self.z.eof:
-                self.raw = self.z.unused_data
-                self.z = zlib.decompressobj(31)
+                self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
             raw = self.raw or self.f.read(1 << 18)
-            self.raw = b""
-            if not raw:
-                return False
-            got = self.z.decompress(raw)
+            got = self.z.decompress(raw, 1 << 22)
+            self.raw = self.z.unconsumed_tail
             if got:
                 self.data += got
                 return True
+            if not raw:
+                return False
 
     def line(self):
         while (i := self.data.find(b"\n")) < 0:
-            if not self.more():
+            if len(self.data) >= self.HEAD or not self.more():
                 out, self.data = self.data, b""
                 return out
         out, self.data = self.data[: i + 1], self.data[i + 1 :]
