@@ -73,6 +73,19 @@ def test_sentences_over_lines(spark):
             assert [r["sentence_ids"] for r in rows] == WRAPPED_IDS
 
 
+def test_further_licenses_and_declared_ones(spark):
+    cases = {
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed": "MPL-2.0",
+        "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that": "ISC",
+        "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it": "Zlib",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "Licensed under the terms of the GNU Affero General Public License version 3": "AGPL-3.0",
+        "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: Apache-2.0\nLicensed under the MIT license": "MIT,apache-2.0",
+    }
+    assert found(spark, list(cases)) == list(cases.values())
+
+
 def test_lines_that_are_sentences_stay_apart(spark):
     cases = {
         "Neither the name of\nLicensed under the MIT license\nmay be used to endorse or promote products derived from this software": "MIT",

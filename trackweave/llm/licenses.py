@@ -5,7 +5,7 @@ full stops inside numbers become one space) and mapped to the identifier of a kn
 sentence. A sentence may go on over line breaks and comment leaders, up to a full stop, a blank line or a line that
 is a known sentence by itself. The identifiers in order of appearance then run through ordered rules; the first rule whose
 sequence occurs, adjacent, names the licence, its identifiers are consumed, and the rest is matched again
-by the later rules.
+by the later rules. A line that declares an SPDX identifier has the identifier `SPDX:` and the declared words, which name the licence by themselves.
 """
 
 from __future__ import annotations
@@ -31,9 +31,20 @@ SENTENCES = (
     ("CCBY4", r"(this \S+ is )?licensed under (a )?(cc by|creative commons attribution) 4\.0( international)?( license)?"),
     ("BSDRedist", r"redistribution and use in source and binary forms with or without modification are permitted.*"),
     ("BSDEndorse", r"neither the name of .* may be used to endorse or promote products derived from this software.*"),
+    ("AGPLv3", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?gnu affero general public license.*"),
+    ("MPL2", r"this source code form is subject to the terms of the mozilla public license( v| v\.? ?2(\.0)?)?"),
+    ("MPL2Under", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?mozilla public license,? (v|version)\.? ?2(\.0)?"),
+    ("EPL2", r"this program and the accompanying materials are made available under the terms of the eclipse public license,? (v|v |version )?2(\.0)?.*"),
+    ("ISCPermission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("ZlibPermission", r"permission is granted to anyone to use this software for any purpose including commercial applications.*"),
+    ("BSLPermission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software.*"),
+    ("UnlicenseDomain", r"this is free and unencumbered software released into the public domain"),
+    ("CC0", r"(this \S+ is )?(licensed|released|dedicated) (under|to the public domain under) (the )?cc0 1\.0( universal)?( license)?"),
     ("SPDX", r"spdx license identifier .*"),
     ("Copyright", r"(copyright|all rights reserved).*"),
 )
+#: What stands before a declared identifier, normalised.
+DECLARED = "spdx license identifier "
 #: Licence and its sequence of identifiers, the longest and most specific first.
 RULES = (
     ("Apache-2.0", ("ApacheVer", "ApacheNotice", "ApacheCopy", "ApacheAsIs")),
@@ -50,12 +61,20 @@ RULES = (
     ("CC-BY-SA-4.0", ("CCBYSA4",)),
     ("CC-BY-4.0", ("CCBY4",)),
     ("BSD-2-Clause", ("BSDRedist",)),
-    ("SPDX-declared", ("SPDX",)),
+    ("AGPL-3.0", ("AGPLv3",)),
+    ("MPL-2.0", ("MPL2",)),
+    ("MPL-2.0", ("MPL2Under",)),
+    ("EPL-2.0", ("EPL2",)),
+    ("ISC", ("ISCPermission",)),
+    ("Zlib", ("ZlibPermission",)),
+    ("BSL-1.0", ("BSLPermission",)),
+    ("Unlicense", ("UnlicenseDomain",)),
+    ("CC0-1.0", ("CC0",)),
 )
 #: A sentence ends at a full stop, question or exclamation mark or semicolon before white space or the end, and at a blank line.
 END = r"[.!?;]+(?=\s|$)"
 #: Every pattern of SENTENCES has one of these in any sentence that it matches.
-TRIGGER = r"licens|permission|warranty|redistribut|copyright|all rights reserved|endorse"
+TRIGGER = r"licens|public domain|permission|warranty|redistribut|copyright|all rights reserved|endorse"
 
 
 #: Starts of lines that are no text: punctuation, and the words that begin a comment in m4 and in batch files.
@@ -89,7 +108,8 @@ def sentence_id(sentence: Column) -> Column:
     """Identifier of a normalised sentence, or null; the first pattern wins."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        out = F.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
+        value = F.lit(name) if name != "SPDX" else F.concat(F.lit("SPDX:"), F.replace(F.substring(sentence, len(DECLARED) + 1, 200), F.lit(" "), F.lit("-")))
+        out = F.when(sentence.rlike(f"^(?:{pattern})$"), value).otherwise(out)
     return out
 
 
@@ -109,13 +129,14 @@ def scan(docs: DataFrame) -> DataFrame:
         x = x.withColumn(f"_r{i}", F.when(F.col("_rest").contains(f",{key},"), F.lit(name)))
         x = x.withColumn("_rest", F.replace("_rest", F.lit(f",{key},"), F.lit("|")))
         found.append(f"_r{i}")
-    return x.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), ",").alias("licenses"))
+    declared = F.regexp_extract_all("sentence_ids", F.lit("SPDX:([^,]+)"), F.lit(1))
+    return x.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*found), declared)))), ",").alias("licenses"))
 
 
 def scan_sql() -> str:
     quoted = lambda s: s.replace("'", "''")
     norm = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.([^0-9]|$)', '\1', 'g'), '(^|[^0-9])\.', '\1', 'g'))"
-    case = "case " + " ".join(f"when regexp_full_match(n, '{quoted(p)}') then '{i}'" for i, p in SENTENCES) + " end"
+    case = "case " + " ".join(f"when regexp_full_match(n, '{quoted(p)}') then " + (f"'{i}'" if i != "SPDX" else f"'SPDX:' || replace(substr(n, {len(DECLARED) + 1}, 200), ' ', '-')") for i, p in SENTENCES) + " end"
     rest, steps = "r0", []
     for i, (_name, sequence) in enumerate(RULES):
         key = "," + ",,".join(sequence) + ","
@@ -128,4 +149,4 @@ def scan_sql() -> str:
     i as (select rid, string_agg(id, ',' order by k) ids from (select rid, k, {case} id from n) where id is not null group by rid),
     t0 as (select doc_id, coalesce(ids, '') sentence_ids, ',' || replace(coalesce(ids, ''), ',', ',,') || ',' r0 from q left join i using (rid)),
     {', '.join(steps)}
-    select doc_id, sentence_ids, coalesce(array_to_string(list_sort(list_distinct(list_filter([{found}], lambda x: x is not null))), ','), '') licenses from t{len(RULES)}"""
+    select doc_id, sentence_ids, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_concat([{found}], regexp_extract_all(sentence_ids, 'SPDX:([^,]+)', 1)), lambda x: x is not null))), ','), '') licenses from t{len(RULES)}"""
