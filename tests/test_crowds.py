@@ -37,3 +37,10 @@ def test_frames(spark):
     found = {r["row_id"]: r["cluster"] for r in crowds.density_clusters(d).collect()}
     assert len(found) == 13 and found[9] is None and found[12] is None
     assert crowds.voronoi_density(d.limit(0)).count() == 0
+
+
+def test_occupied_area():
+    area = lambda *p: crowds.occupied_area(np.array(p, float).reshape(-1, 2))
+    assert area() == area((3, 4)) == area((0, 0), (0.5, 0)) == area((1, 1), (1, 1), (1, 1)) == 1
+    assert area((0, 0), (4, 0)) == np.pi * 4 and area((0, 0), (0, 3), (3, 0)) == 4.5
+    np.testing.assert_allclose(area((0, 0), (1, 0), (8, 0)), np.pi * 25)

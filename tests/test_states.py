@@ -59,7 +59,9 @@ def test_ned_round_trip(spark):
 def test_mode_filter_keeps_own_value_on_ties(spark):
     d = spark.createDataFrame([(1, k, v) for k, v in enumerate([1, 2, 1, 2, None, 2])], "t int, k int, v int")
     got = [r["v_mode"] for r in windows.mode_filter(d, "v", "t", ["k"], 1).orderBy("k").collect()]
-    assert got == [1, 1, 2, 2, None, 2]
+    assert got == [1, 1, 2, 2, 2, 2]
+    d = spark.createDataFrame([(1, k, v, s) for k, (v, s) in enumerate([(1, 0), (1, 0), (2, 1), (None, 1), (None, 0)])], "t int, k int, v int, s int")
+    assert [r["v_mode"] for r in windows.mode_filter(d, "v", "t", ["k"], 3, "s").orderBy("k").collect()] == [1, 1, 2, 2, None]
 
 
 def test_distances_reach_far_nodes(spark):

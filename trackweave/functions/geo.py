@@ -97,3 +97,102 @@ def truthy(c: Column) -> Column:
 def finite(c: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def gimbal_axes(mode: Column, pitch: Column, yaw: Column, roll: Column, drone_yaw: Column, drone_roll: Column, use_gimbal_yaw: bool = False, add_drone_yaw: bool = False, declination: float = 0.0, offset: float = 0.0) -> list[list[Column]]:
+    """Rotation from camera to NED. The yaw is the airframe's, or the gimbal's if asked for (added to the airframe's in the modes that follow it, if that is asked for, too); in FPV mode the roll is added to the airframe's."""
+    fpv = F.lower(mode).contains("fpv")
+    own = F.lower(mode).contains("free") | F.lower(mode).contains("lock")
+    heading_deg = drone_yaw if not use_gimbal_yaw else F.when(own & ~fpv, yaw).otherwise(drone_yaw + yaw) if add_drone_yaw else yaw
+    return camera_axes(heading_deg + declination + offset, pitch, F.when(fpv, drone_roll + roll).otherwise(roll))
+
+
+def camera_to_ned(r: list[list[Column]], point: tuple[Column, Column, Column], camera: tuple[Column, Column, Column]) -> tuple[Column, ...]:
+    return tuple(a + b for a, b in zip(rotate(r, point), camera, strict=True))
+
+
+#: Semi-major axis and flattening of WGS84.
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+_E2 = WGS84_F * (2 - WGS84_F)
+
+
+def ecef(lat: Column, lon: Column, alt: Column) -> tuple[Column, Column, Column]:
+    """Earth-centred coordinates on the WGS84 ellipsoid."""
+    la, lo = F.radians(lat), F.radians(lon)
+    n = WGS84_A / F.sqrt(1 - _E2 * F.sin(la) * F.sin(la))
+    return (n + alt) * F.cos(la) * F.cos(lo), (n + alt) * F.cos(la) * F.sin(lo), (n * (1 - _E2) + alt) * F.sin(la)
+
+
+def _to_north_east_down(lat0: Column, lon0: Column) -> list[list[Column]]:
+    sa, ca, so, co = (f(F.radians(x)) for x in (lat0, lon0) for f in (F.sin, F.cos))
+    return [[-sa * co, -sa * so, ca], [-so, co, F.lit(0.0)], [-ca * co, -ca * so, -sa]]
+
+
+def geodetic_to_ned(lat: Column, lon: Column, alt: Column, lat0: Column, lon0: Column, alt0: Column) -> tuple[Column, ...]:
+    here, there = ecef(lat, lon, alt), ecef(lat0, lon0, alt0)
+    return rotate(_to_north_east_down(lat0, lon0), tuple(a - b for a, b in zip(here, there, strict=True)))
+
+
+def ned_to_geodetic(n: Column, e: Column, d: Column, lat0: Column, lon0: Column, alt0: Column, rounds: int = 6) -> tuple[Column, Column, Column]:
+    """The inverse; the latitude by so many fixed-point steps, each of which gains over two digits near the ground."""
+    r = _to_north_east_down(lat0, lon0)
+    back = rotate([[r[j][i] for j in range(3)] for i in range(3)], (n, e, d))
+    x, y, z = (a + b for a, b in zip(back, ecef(lat0, lon0, alt0), strict=True))
+    p = F.hypot(x, y)
+    start = F.atan2(z, p * (1 - _E2))
+
+    def step(la: Column, _: Column) -> Column:
+        big = WGS84_A / F.sqrt(1 - _E2 * F.sin(la) * F.sin(la))
+        return F.atan2(z + _E2 * big * F.sin(la), p)
+    la = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    big = WGS84_A / F.sqrt(1 - _E2 * F.sin(la) * F.sin(la))
+    return F.degrees(la), F.degrees(F.atan2(y, x)), p * F.cos(la) + z * F.sin(la) - WGS84_A * WGS84_A / big
+
+
+def local_metres(lat: Column, lon: Column, lat0: Column, lon0: Column, radius: float = 6_371_000.0) -> tuple[Column, Column]:
+    """(east, north) on a sphere about a start."""
+    return F.radians(lon - lon0) * radius * F.cos(F.radians(lat0)), F.radians(lat - lat0) * radius
+
+
+def turned(east: Column, north: Column, yaw: Column) -> tuple[Column, Column]:
+    """(right, ahead) of a start that looks along yaw."""
+    a = F.radians(yaw)
+    return east * F.cos(a) - north * F.sin(a), east * F.sin(a) + north * F.cos(a)
+
+
+def euler(r: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """(pitch, roll, yaw) of a rotation of x right, y down, z forward."""
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -r[1][2])))), F.degrees(F.atan2(r[1][0], r[1][1])), F.degrees(F.atan2(r[0][2], r[2][2]))
+
+
+def matrix_quaternion(r: list[list[Column]]) -> tuple[Column, Column, Column, Column]:
+    """x, y, z, w (w not negative) of a rotation, from its largest component."""
+    t = [1 + r[0][0] - r[1][1] - r[2][2], 1 - r[0][0] + r[1][1] - r[2][2], 1 - r[0][0] - r[1][1] + r[2][2], 1 + r[0][0] + r[1][1] + r[2][2]]
+    off = {(0, 1): r[0][1] + r[1][0], (0, 2): r[0][2] + r[2][0], (1, 2): r[1][2] + r[2][1], (0, 3): r[2][1] - r[1][2], (1, 3): r[0][2] - r[2][0], (2, 3): r[1][0] - r[0][1]}
+    most = F.greatest(*t)
+    root = 2 * F.sqrt(most)
+
+    def part(i: int) -> Column:
+        out = F.lit(None).cast("double")
+        for k in reversed(range(4)):
+            out = F.when(t[k] == most, root / 4 if i == k else off[min(i, k), max(i, k)] / root).otherwise(out)
+        return out
+    q = [part(i) for i in range(4)]
+    sign = F.when(q[3] < 0, -1.0).otherwise(1.0)
+    return tuple(c * sign for c in q)
+
+
+def distorted(x: Column, y: Column, k1: float, k2: float) -> tuple[Column, Column]:
+    r2 = x * x + y * y
+    s = 1 + k1 * r2 + k2 * r2 * r2
+    return x * s, y * s
+
+
+def undistorted(u: Column, v: Column, k1: float, k2: float, rounds: int = 12) -> tuple[Column, Column]:
+    """The inverse of distorted(), by fixed-point steps."""
+    def step(p: Column, _: Column) -> Column:
+        r2 = p.x * p.x + p.y * p.y
+        s = 1 + k1 * r2 + k2 * r2 * r2
+        return F.struct((u / s).alias("x"), (v / s).alias("y"))
+    p = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u.alias("x"), v.alias("y")), step)
+    return p["x"], p["y"]

@@ -137,13 +137,24 @@ def polygon_area(p: np.ndarray) -> float:
     return float(abs(n @ np.roll(e, -1) - e @ np.roll(n, -1)) / 2)
 
 
+def occupied_area(p: np.ndarray, least: float = 1.0) -> float:
+    """Area that people at p take, `least` at least: of their convex hull; the circle over two of them; of three or more in a line the circle around their mean that holds all."""
+    if len(p) < 2:
+        return least
+    if len(p) == 2:
+        return max(least, float(np.pi * ((p[0] - p[1]) ** 2).sum() / 4))
+    hull = convex_hull(p)
+    area = polygon_area(hull) if len(hull) > 2 else 0.0
+    return max(least, area if area > 1e-9 else float(np.pi * ((p - p.mean(0)) ** 2).sum(1).max()))
+
+
 def hull_areas(d: DataFrame) -> DataFrame:
-    """frame_id, crowd_id, n, area of each crowd's hull: 1 for a single place, the circle over two places or a line."""
+    """video_id, frame_id, crowd_id, n, area of each crowd; rows without a place don't count for the area."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = convex_hull(g[["pos_n", "pos_e"]].dropna().to_numpy(float))
-        area = 1.0 if len(p) < 2 else np.pi * ((p.max(0) - p.min(0)) ** 2).sum() / 4 if len(p) == 2 else polygon_area(p)
-        return pd.DataFrame({"frame_id": [g["frame_id"].iloc[0]], "crowd_id": [g["crowd_id"].iloc[0]], "n": [len(g)], "area": [round(float(area), 6)]})
-    return d.select("frame_id", "crowd_id", "pos_n", "pos_e").groupBy("frame_id", "crowd_id").applyInPandas(run, "frame_id int, crowd_id int, n long, area double")
+        area = occupied_area(g[["pos_n", "pos_e"]].dropna().to_numpy(float))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in ("video_id", "frame_id", "crowd_id")}, "n": [len(g)], "area": [round(float(area), 6)]})
+    keys = ("video_id", "frame_id", "crowd_id")
+    return d.select(*keys, "pos_n", "pos_e").groupBy(*keys).applyInPandas(run, "video_id int, frame_id int, crowd_id int, n long, area double")
 
 
 def cell_area(p: np.ndarray, k: int, box: tuple[np.ndarray, np.ndarray]) -> float:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from trackweave.sources.shared import settled
+
 
 def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_id: str, bucket_us: int = 3_600_000_000) -> DataFrame:
     """left plus right's row of the least distance in time (whole microseconds), the earlier one (by time, then right_id) on a tie.
@@ -34,16 +38,43 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_tim
     return x.withColumn("_rt", F.col("_m.t")).join(ties, "_rt", "left").select("_row.*", right_id, F.abs(F.col("_rt") - F.col("_t")).alias("dt_us"))
 
 
-def radius_neighbours(d: DataFrame, frame: str, n: str, e: str, key: str, radius: float = 10.0, slack: float = 1e-9) -> DataFrame:
+def radius_neighbours(d: DataFrame, frame: list[str], n: str, e: str, key: str, radius: float = 10.0, slack: float = 1e-9) -> DataFrame:
     """key and the number of other rows of the frame within the radius, by grid cells of its size."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    base = d.select(F.col(frame).alias("_f"), F.col(key).alias("_k"), F.col(n).alias("_n"), F.col(e).alias("_e"), cell(n).alias("_cn"), cell(e).alias("_ce"))
+    base = d.select(F.struct(*frame).alias("_f"), F.col(key).alias("_k"), F.col(n).alias("_n"), F.col(e).alias("_e"), cell(n).alias("_cn"), cell(e).alias("_ce"))
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     near = base.select("_f", F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), F.col("_e").alias("_e2"), "_cn", "_ce", F.explode(shifts).alias("_s")).withColumns({"_cn": F.col("_cn") + F.col("_s.a"), "_ce": F.col("_ce") + F.col("_s.b")}).drop("_s")
     hit = (F.col("_n") - F.col("_n2")) ** 2 + (F.col("_e") - F.col("_e2")) ** 2 <= radius * radius + slack
     return base.join(near, ["_f", "_cn", "_ce"]).filter(hit).groupBy("_k").agg((F.count("*") - 1).alias("density")).withColumnRenamed("_k", key)
 
 
+def nearest_point(points: DataFrame, key: str, n: str, e: str, nodes: DataFrame, node: str, node_n: str, node_e: str, cell: float) -> DataFrame:
+    """points with the nearest node (squared distances rounded to 9 places; the smaller node on a tie), by grid cells: what has no node within a cell's width
+    among the nine cells around it is looked up again in cells four times as wide, until nothing is left. Without nodes, or with a null place, there is none."""
+    left = points.select(F.col(key).alias("_k"), F.col(n).cast("double").alias("_n"), F.col(e).cast("double").alias("_e")).filter("_n is not null and _e is not null")
+    at = nodes.select(F.col(node).alias("_node"), F.col(node_n).alias("_x"), F.col(node_e).alias("_y"))
+    span = at.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).crossJoin(left.agg(F.min("_n").alias("n0"), F.max("_n").alias("n1"), F.min("_e").alias("e0"), F.max("_e").alias("e1"))).first()
+    done = []
+    if None not in span:
+        widest = max(max(span["x1"], span["n1"]) - min(span["x0"], span["n0"]), max(span["y1"], span["e1"]) - min(span["y0"], span["e0"]))
+        shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        while True:
+            around = left.withColumn("_s", F.explode(shifts)).withColumns({"_cn": F.floor(F.col("_n") / cell) + F.col("_s.a"), "_ce": F.floor(F.col("_e") / cell) + F.col("_s.b")}).drop("_s")
+            near = around.join(at.withColumns({"_cn": F.floor(F.col("_x") / cell), "_ce": F.floor(F.col("_y") / cell)}), ["_cn", "_ce"])
+            best = near.groupBy("_k").agg(F.min(F.struct(F.round((F.col("_n") - F.col("_x")) ** 2 + (F.col("_e") - F.col("_y")) ** 2, 9).alias("d"), F.col("_node").alias("node"))).alias("_b"))
+            last = cell > widest
+            best = settled(best if last else best.filter(F.col("_b.d") <= cell * cell))
+            done.append(best)
+            if last:
+                break
+            left = settled(left.join(best, "_k", "left_anti"))
+            if left.isEmpty():
+                break
+            cell *= 4
+    found = reduce(DataFrame.unionAll, done) if done else left.limit(0).crossJoin(at.limit(0)).select("_k", F.struct(F.lit(0.0).alias("d"), F.col("_node").alias("node")).alias("_b"))
+    return points.join(found.select(F.col("_k").alias(key), F.col("_b.node").alias(node)), key, "left")
+
+
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Edges of each ring and the polygon's area (shoelace)."""
     by = W.partitionBy("name", "ring_id").orderBy("seq")

@@ -14,11 +14,11 @@ def persons(d: DataFrame) -> DataFrame:
 
 def crowd_metrics(d: DataFrame) -> DataFrame:
     """One row: switches between consecutive known crowds of a track, share without a crowd (1 if there is nobody), crowds, and the spread of crowds per frame."""
-    p = persons(d).select("track_id", "frame_id", "row_id", "crowd_id")
+    p = persons(d).select("video_id", "track_id", "frame_id", "row_id", "crowd_id")
     before = F.lag("crowd_id").over(W.partitionBy("track_id").orderBy("frame_id", "row_id"))
     switches = p.filter("crowd_id is not null").withColumn("_b", before).agg(F.coalesce(F.sum((F.col("_b") != F.col("crowd_id")).cast("int")), F.lit(0)).cast("bigint").alias("switches"))
     share = p.agg(F.coalesce(F.avg(F.col("crowd_id").isNull().cast("double")), F.lit(1.0)).alias("noise_ratio"), F.countDistinct("crowd_id").alias("unique_ids"))
-    spread = p.groupBy("frame_id").agg(F.countDistinct("crowd_id").alias("_n")).agg(F.coalesce(F.stddev_pop("_n"), F.lit(0.0)).alias("count_std"))
+    spread = p.groupBy("video_id", "frame_id").agg(F.countDistinct("crowd_id").alias("_n")).agg(F.coalesce(F.stddev_pop("_n"), F.lit(0.0)).alias("count_std"))
     return switches.crossJoin(share).crossJoin(spread).select("switches", F.round("noise_ratio", 6).alias("noise_ratio"), "unique_ids", F.round("count_std", 6).alias("count_std"))
 
 
@@ -36,13 +36,13 @@ def counts(d: DataFrame) -> DataFrame:
 
 
 def cluster_states(d: DataFrame) -> DataFrame:
-    """Median place and size of each crowd in each frame."""
-    return persons(d).filter("crowd_id is not null").groupBy("frame_id", "crowd_id").agg(F.median("pos_n").alias("centre_n"), F.median("pos_e").alias("centre_e"), F.count("*").alias("n"))
+    """Median place and size of each crowd in each frame of a video."""
+    return persons(d).filter("crowd_id is not null").groupBy("video_id", "frame_id", "crowd_id").agg(F.median("pos_n").alias("centre_n"), F.median("pos_e").alias("centre_e"), F.count("*").alias("n"))
 
 
 def zscores(d: DataFrame, columns: tuple[str, ...] = ("pos_n", "pos_e"), least: float = 1e-6) -> DataFrame:
-    by = W.partitionBy("frame_id")
-    return persons(d).select("row_id", *[F.round((F.col(c) - F.avg(c).over(by)) / F.greatest(F.stddev_pop(c).over(by), F.lit(least)), 6).alias(f"z_{c}") for c in columns])
+    by = W.partitionBy("video_id", "frame_id")
+    return persons(d).select("row_id", *[(F.round((F.col(c) - F.avg(c).over(by)) / F.greatest(F.stddev_pop(c).over(by), F.lit(least)), 6) + F.lit(0.0)).alias(f"z_{c}") for c in columns])
 
 
 def residency(tracks: DataFrame, place: str = "place") -> DataFrame:
@@ -78,8 +78,3 @@ def frame_rate(d: DataFrame) -> DataFrame:
     """(rows - 1) / seconds between the first and the last; 24 if that is undefined."""
     t = d.agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us"))
     return t.select(F.round(F.when(F.col("us") > 0, (F.col("n") - 1) * 1e6 / F.col("us")).otherwise(24.0), 9).alias("fps"))
-
-
-def rms_errors(a: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    per = [F.sqrt(F.avg(F.col(f"err_{x}") ** 2)) for x in axes]
-    return a.agg(*[F.round(p, 6).alias(f"rms_{x}") for x, p in zip(axes, per, strict=True)], F.round(F.sqrt(sum((F.avg(F.col(f"err_{x}") ** 2) for x in axes), F.lit(0.0))), 6).alias("rms"))

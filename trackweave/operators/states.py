@@ -10,28 +10,35 @@ from trackweave.sources.shared import settled
 
 
 def kalman_axis(frames: np.ndarray, z: np.ndarray, dt: float, accel: float, sigma: float) -> np.ndarray:
-    """Positions and velocities of a constant-velocity filter on one axis; a gap of g frames is g predictions, a repeated frame none."""
+    """Positions and velocities of a constant-velocity filter on one axis. A gap of g frames is g predictions, in closed form; a repeated frame none."""
     out = np.empty((len(z), 2))
-    x, p = np.array([z[0], 0.0]), np.diag([25.0, 4.0])
-    f = np.array([[1, dt], [0, 1]])
-    q = accel**2 * np.array([[dt**4 / 4, dt**3 / 2], [dt**3 / 2, dt**2]])
-    out[0] = x
-    for k in range(1, len(z)):
-        for _ in range(int(frames[k] - frames[k - 1])):
-            x, p = f @ x, f @ p @ f.T + q
-        gain = p[:, 0] / (p[0, 0] + sigma**2)
-        x, p = x + gain * (z[k] - x[0]), p - np.outer(gain, p[0])
-        out[k] = x
+    x, v, p00, p01, p11 = float(z[0]), 0.0, 25.0, 0.0, 4.0
+    q, r = accel**2, sigma**2
+    out[0] = x, v
+    for k, g in enumerate(np.diff(frames).astype(float), 1):
+        t = g * dt
+        x += t * v
+        p00 += 2 * t * p01 + t * t * p11 + q * dt**4 * (g / 4 + g * (g - 1) / 2 + g * (g - 1) * (2 * g - 1) / 6)
+        p01 += t * p11 + q * dt**3 * (g / 2 + g * (g - 1) / 2)
+        p11 += q * dt**2 * g
+        gain, lift = p00 / (p00 + r), p01 / (p00 + r)
+        off = float(z[k]) - x
+        x, v = x + gain * off, v + lift * off
+        p00, p01, p11 = p00 - gain * p00, p01 - gain * p01, p11 - lift * p01
+        out[k] = x, v
     return out
 
 
-def kalman_tracks(d: DataFrame, dt: float = 1.0, accel: float = 2.0, sigma: float = 3.0) -> DataFrame:
-    """row_id, smoothed place and velocity by track. Axes don't interact, so each has a filter of two states."""
+def kalman_tracks(d: DataFrame, fps: float = 24.0, accel: float = 0.5, sigma: float = 5.0, sigma_down: float = 2.0) -> DataFrame:
+    """row_id, track_id, smoothed place (kf_n, kf_e, kf_d) and velocity by track. Axes don't interact, so each has a filter of two states; those with equal noise share their gains."""
+    axes = {"n": sigma, "e": sigma, "d": sigma_down}
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["frame_id", "row_id"])
-        n, e = (kalman_axis(g["frame_id"].to_numpy(), g[c].to_numpy(), dt, accel, sigma) for c in ("pos_n", "pos_e"))
-        return pd.DataFrame({"row_id": g["row_id"], "track_id": g["track_id"], "kf_n": n[:, 0], "kf_e": e[:, 0], "kf_vn": n[:, 1], "kf_ve": e[:, 1]})
-    return d.select("row_id", "track_id", "frame_id", "pos_n", "pos_e").groupBy("track_id").applyInPandas(run, "row_id long, track_id long, kf_n double, kf_e double, kf_vn double, kf_ve double")
+        s = {x: kalman_axis(g["frame_id"].to_numpy(), g[f"pos_{x}"].to_numpy(), 1 / fps, accel, r) for x, r in axes.items()}
+        return pd.DataFrame({"row_id": g["row_id"], "track_id": g["track_id"], **{f"kf_{x}": s[x][:, 0] for x in axes}, **{f"kf_v{x}": s[x][:, 1] for x in axes}})
+    schema = "row_id long, track_id long, " + ", ".join(f"kf_{x} double" for x in ("n", "e", "d", "vn", "ve", "vd"))
+    return d.select("row_id", "track_id", "frame_id", "pos_n", "pos_e", "pos_d").groupBy("track_id").applyInPandas(run, schema)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:

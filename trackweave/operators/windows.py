@@ -37,12 +37,16 @@ def with_runs(d: DataFrame, value: str, key: str, order: list[str]) -> DataFrame
     return d.withColumn("_new", run_id(value, key, order)).withColumn("run", F.sum("_new").over(by).cast("bigint")).drop("_new")
 
 
-def mode_filter(d: DataFrame, value: str, key: str, order: list[str], half: int = 7) -> DataFrame:
-    """The most frequent non-null value among `half` rows either way; the row's own if it is among the most frequent, else the one that appears first. A null stays null."""
-    by = W.partitionBy(key).orderBy(*order).rowsBetween(-half, half)
+def mode_filter(d: DataFrame, value: str, key: str, order: list[str], half: int = 7, segment: str | None = None) -> DataFrame:
+    """The most frequent non-null value among `half` rows either way, within stretches of a constant `segment`; the row's own if it is among the most frequent, else the one that appears first. A null gets the mode, too, and stays null where all around are."""
+    keys = [key]
+    if segment:
+        d, keys = with_runs(d, segment, key, order), [key, "run"]
+    by = W.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
     x = d.withColumn("_w", F.collect_list(value).over(by))
-    counts = F.transform(F.array_distinct("_w"), lambda c: F.struct(F.size(F.filter("_w", lambda o: o == c)).alias("n"), (c == F.col(value)).cast("int").alias("own"), (-F.array_position(F.col("_w"), c)).alias("first"), c.alias("value")))
-    return x.withColumn(f"{value}_mode", F.when(F.col(value).isNotNull(), F.array_max(counts)["value"])).drop("_w")
+    own = lambda c: F.coalesce(c == F.col(value), F.lit(False)).cast("int")
+    counts = F.transform(F.array_distinct("_w"), lambda c: F.struct(F.size(F.filter("_w", lambda o: o == c)).alias("n"), own(c).alias("own"), (-F.array_position(F.col("_w"), c)).alias("first"), c.alias("value")))
+    return x.withColumn(f"{value}_mode", F.array_max(counts)["value"]).drop("_w", "run" if segment else "_w")
 
 
 def first_per(d: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,3 +1,3 @@
 
 
-from trackweave.plans import catalog, more  # noqa: F401  more adds to the catalog
+from trackweave.plans import catalog, depth, more  # noqa: F401  both add to the catalog

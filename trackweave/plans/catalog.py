@@ -34,11 +34,11 @@ C = F.col
 
 query("detections", sql=f""", p as {P}, s as (select crowd_id, lag(crowd_id) over (partition by track_id order by frame_id, row_id) b from p where crowd_id is not null)
  select (select coalesce(sum(case when b <> crowd_id then 1 else 0 end), 0)::bigint from s) switches, (select round(coalesce(avg(case when crowd_id is null then 1.0::double else 0 end), 1), 6) from p) noise_ratio,
- (select count(distinct crowd_id) from p) unique_ids, (select round(coalesce(stddev_pop(n), 0), 6) from (select count(distinct crowd_id) n from p group by frame_id)) count_std""")(metrics.crowd_metrics)
+ (select count(distinct crowd_id) from p) unique_ids, (select round(coalesce(stddev_pop(n), 0), 6) from (select count(distinct crowd_id) n from p group by video_id, frame_id)) count_std""")(metrics.crowd_metrics)
 query("detections", sql=f"select track_id, median(pos_n) median_n, median(pos_e) median_e, min(frame_id) first_frame, count(*) n_rows from {P} group by track_id")(metrics.track_medians)
 query("detections", sql="select count(*) n_rows, count(*) filter (where class_name = 'person') n_persons, count(distinct track_id) n_tracks, count(*) filter (where crowd_id is null) n_unassigned from detections")(metrics.counts)
-query("detections", sql=f"select frame_id, crowd_id, median(pos_n) centre_n, median(pos_e) centre_e, count(*) n from {P} where crowd_id is not null group by frame_id, crowd_id")(metrics.cluster_states)
-query("detections", sql=f"select row_id, round((pos_n - avg(pos_n) over w) / greatest(stddev_pop(pos_n) over w, 1e-6), 6) z_pos_n, round((pos_e - avg(pos_e) over w) / greatest(stddev_pop(pos_e) over w, 1e-6), 6) z_pos_e from {P} window w as (partition by frame_id)")(metrics.zscores)
+query("detections", sql=f"select video_id, frame_id, crowd_id, median(pos_n) centre_n, median(pos_e) centre_e, count(*) n from {P} where crowd_id is not null group by video_id, frame_id, crowd_id")(metrics.cluster_states)
+query("detections", sql=f"select row_id, round((pos_n - avg(pos_n) over w) / greatest(stddev_pop(pos_n) over w, 1e-6), 6) + 0 z_pos_n, round((pos_e - avg(pos_e) over w) / greatest(stddev_pop(pos_e) over w, 1e-6), 6) + 0 z_pos_e from {P} window w as (partition by video_id, frame_id)")(metrics.zscores)
 query("depth_pixels", sql="select round(quantile_cont(depth, 0.01), 6) p1, round(quantile_cont(depth, 0.99), 6) p99, count(*) n from depth_pixels where isfinite(depth) and depth > 0")(metrics.depth_range)
 query("depth_pixels", sql="select frame_id, round(median(depth), 6) centre_depth from depth_pixels where u between 3 and 4 and v between 3 and 4 group by frame_id")(metrics.centre_depth)
 query("depth_pixels", sql=", c as (select frame_id, quantile_cont(depth, 0.7) cut from depth_pixels group by frame_id) select frame_id, round(median(depth), 6) robust_depth from depth_pixels join c using (frame_id) where depth <= cut group by frame_id")(metrics.robust_depth)
@@ -140,12 +140,15 @@ def crowd_runs(d):
     return windows.with_runs(d, "crowd_id", "track_id", ["frame_id", "row_id"]).groupBy("track_id").agg((F.max("run") - 1).alias("transitions"))
 
 
-@query("detections", sql=""", r as (select row_id, track_id, crowd_id, row_number() over (partition by track_id order by frame_id, row_id) k from detections),
- c as (select a.row_id, a.crowd_id own, b.crowd_id v, count(*) n, min(b.k) f from r a join r b on a.track_id = b.track_id and b.k between a.k - 7 and a.k + 7 and a.crowd_id is not null and b.crowd_id is not null group by all),
- m as (select row_id, v, row_number() over (partition by row_id order by n desc, (v = own) desc, f) q from c)
- select r.row_id, m.v crowd_id_mode from r left join m on m.row_id = r.row_id and q = 1""")
+@query("detections", sql=""", a as (select row_id, track_id, crowd_id, cast(floor(pos_n / 16) as int) street, row_number() over (partition by track_id order by frame_id, row_id) k from detections),
+ r as (select *, k - row_number() over (partition by track_id, street order by k) island from a),
+ c as (select x.row_id, x.crowd_id own, y.crowd_id v, count(*) n, min(y.k) f from r x join r y on x.track_id = y.track_id and x.street = y.street and x.island = y.island and abs(x.k - y.k) <= 7 where y.crowd_id is not null group by all),
+ m as (select row_id, arg_max(v, (n, case when v = own then 1 else 0 end, -f)) v from c group by row_id)
+ select r.row_id, m.v crowd_id_mode from r left join m on m.row_id = r.row_id""")
 def mode_filter(d):
-    return windows.mode_filter(d, "crowd_id", "track_id", ["frame_id", "row_id"]).select("row_id", "crowd_id_mode")
+    """Within stretches of one street (here: bands of 16 m)."""
+    x = d.withColumn("street", F.floor(C("pos_n") / 16).cast("int"))
+    return windows.mode_filter(x, "crowd_id", "track_id", ["frame_id", "row_id"], segment="street").select("row_id", "crowd_id_mode")
 
 
 @query("detections", sql="select row_id, track_id, video_id from (select *, row_number() over (partition by video_id, frame_id order by row_id) k from detections) where k = 1")
@@ -186,9 +189,9 @@ def telemetry_nearest(d, t):
     return joins.nearest_in_time(d.select("row_id", _us("ts").alias("us")), t.select(C("seq").cast("bigint").alias("seq"), _us("ts").alias("us")), "us", "us", "seq").select("row_id", C("seq").cast("int").alias("seq"), "dt_us")
 
 
-@query("detections", sql=f", p as {P} select a.row_id, count(*) - 1 density from p a join p b on a.frame_id = b.frame_id and (a.pos_n-b.pos_n)*(a.pos_n-b.pos_n)+(a.pos_e-b.pos_e)*(a.pos_e-b.pos_e) <= 100 + 1e-9 group by a.row_id")
+@query("detections", sql=f", p as {P} select a.row_id, count(*) - 1 density from p a join p b on a.video_id = b.video_id and a.frame_id = b.frame_id and (a.pos_n-b.pos_n)*(a.pos_n-b.pos_n)+(a.pos_e-b.pos_e)*(a.pos_e-b.pos_e) <= 100 + 1e-9 group by a.row_id")
 def neighbour_density_10m(d):
-    return joins.radius_neighbours(metrics.persons(d), "frame_id", "pos_n", "pos_e", "row_id")
+    return joins.radius_neighbours(metrics.persons(d), ["video_id", "frame_id"], "pos_n", "pos_e", "row_id")
 
 
 _poly = f""", p as {P}, g as (select name, n, e, coalesce(lead(n) over w, first_value(n) over w) n2, coalesce(lead(e) over w, first_value(e) over w) e2 from polygon_vertices window w as (partition by name, ring_id order by seq)),
@@ -229,10 +232,7 @@ def nearest_node(d, g):
 
 def _snapped(d, g):
     n = g.select(C("src").alias("node"), "x1", "y1").distinct()
-    held = n.agg(F.collect_list(F.struct("node", "x1", "y1")).alias("_nodes"))  # the graph of one area: its size doesn't follow the detections
-    p = metrics.persons(d).crossJoin(F.broadcast(held))
-    at = F.array_min(F.transform("_nodes", lambda k: F.struct(F.round((C("pos_n") - k.x1) ** 2 + (C("pos_e") - k.y1) ** 2, 9).alias("d"), k.node.alias("node"))))
-    return p.withColumn("node", at["node"]).drop("_nodes")
+    return joins.nearest_point(metrics.persons(d), "row_id", "pos_n", "pos_e", n, "node", "x1", "y1", cell=8.0)
 
 
 @query("detections", "graph_edges", sql=f""", recursive_placeholder as (select 1)""")
@@ -270,16 +270,42 @@ def telemetry_resample(t):
     return joins.resample_index(t.withColumn("seq", C("seq").cast("bigint")), "seq", 120, n).select("sample", C("seq").cast("int").alias("seq"), "altitude")
 
 
-@query("detections", sql=f", p as {P}, c as (select frame_id, crowd_id, median(pos_n) n, median(pos_e) e from p where crowd_id is not null group by all) select a.frame_id, a.crowd_id a, b.crowd_id b, round(sqrt((a.n-b.n)*(a.n-b.n)+(a.e-b.e)*(a.e-b.e)), 6) cost from c a join c b on b.frame_id = a.frame_id + 1")
+@query("detections", sql=f", p as {P}, c as (select video_id, frame_id, crowd_id, median(pos_n) n, median(pos_e) e from p where crowd_id is not null group by all) select a.video_id, a.frame_id, a.crowd_id a, b.crowd_id b, round(sqrt((a.n-b.n)*(a.n-b.n)+(a.e-b.e)*(a.e-b.e)), 6) cost from c a join c b on b.video_id = a.video_id and b.frame_id = a.frame_id + 1")
 def cluster_cost_matrix(d):
     c = metrics.cluster_states(d)
-    b = c.select((C("frame_id") - 1).alias("frame_id"), C("crowd_id").alias("b"), C("centre_n").alias("n2"), C("centre_e").alias("e2"))
-    return c.join(b, "frame_id").select("frame_id", C("crowd_id").alias("a"), "b", F.round(F.hypot(C("centre_n") - C("n2"), C("centre_e") - C("e2")), 6).alias("cost"))
+    b = c.select("video_id", (C("frame_id") - 1).alias("frame_id"), C("crowd_id").alias("b"), C("centre_n").alias("n2"), C("centre_e").alias("e2"))
+    return c.join(b, ["video_id", "frame_id"]).select("video_id", "frame_id", C("crowd_id").alias("a"), "b", F.round(F.hypot(C("centre_n") - C("n2"), C("centre_e") - C("e2")), 6).alias("cost"))
+
+
+
+
+def _kalman_sql() -> str:
+    """The same filter, row by row of a track: covariances of the horizontal axes (h) and the vertical one (z), predicted over a gap in closed form."""
+    dt, q, g = "(1.0::double/24.0::double)", "0.25::double", "(n.frame_id - w.frame_id)::double"
+    grown = (
+        lambda a: f"w.{a}00 + 2*{g}*{dt}*w.{a}01 + {g}*{g}*{dt}*{dt}*w.{a}11 + {q}*{dt}*{dt}*{dt}*{dt}*({g}/4 + {g}*({g}-1)/2 + {g}*({g}-1)*(2*{g}-1)/6)",
+        lambda a: f"w.{a}01 + {g}*{dt}*w.{a}11 + {q}*{dt}*{dt}*{dt}*({g}/2 + {g}*({g}-1)/2)",
+        lambda a: f"w.{a}11 + {q}*{dt}*{dt}*{g}",
+    )
+    predicted = ", ".join(f"{f(a)} {a}{k}" for a in "hz" for f, k in zip(grown, ("00", "01", "11"), strict=True))
+    moved = ", ".join(f"w.{x} + {g}*{dt}*w.v{x} {x}, w.v{x} v{x}" for x in ("pn", "pe", "pd"))
+    gain = ", ".join(f"{a}00/({a}00+{r}) {a}k, {a}01/({a}00+{r}) {a}l" for a, r in (("h", "25.0::double"), ("z", "4.0::double")))
+    new = ", ".join(f"{x} + {a}k*(m{x} - {x}) {x}, v{x} + {a}l*(m{x} - {x}) v{x}" for x, a in (("pn", "h"), ("pe", "h"), ("pd", "z")))
+    left = ", ".join(f"{a}00 - {a}k*{a}00 {a}00, {a}01 - {a}k*{a}01 {a}01, {a}11 - {a}l*{a}01 {a}11" for a in "hz")
+    return ctes("detections").replace("with ", "with recursive ", 1) + f""", m as (select row_id, track_id, frame_id, pos_n mpn, pos_e mpe, -(40 + row_id % 60)::double mpd, row_number() over (partition by track_id order by frame_id, row_id) k from detections),
+     w as (select row_id, track_id, frame_id, k, mpn pn, 0.0::double vpn, mpe pe, 0.0::double vpe, mpd pd, 0.0::double vpd, 25.0::double h00, 0.0::double h01, 4.0::double h11, 25.0::double z00, 0.0::double z01, 4.0::double z11 from m where k = 1
+      union all select row_id, track_id, frame_id, k, {new}, {left} from (select *, {gain} from (select n.row_id, n.track_id, n.frame_id, n.k, mpn, mpe, mpd, {moved}, {predicted} from m n join w on n.track_id = w.track_id and n.k = w.k + 1)))
+     select row_id, track_id, round(pn, 6) + 0 kf_n, round(pe, 6) + 0 kf_e, round(pd, 6) + 0 kf_d, round(vpn, 6) + 0 kf_vn, round(vpe, 6) + 0 kf_ve, round(vpd, 6) + 0 kf_vd from w"""
 
 
 @query("detections")
 def kalman_tracks(d):
-    return states.kalman_tracks(d)
+    """Places in three axes; heights made up from the row, as detections have none."""
+    k = states.kalman_tracks(d.withColumn("pos_d", -(40 + C("row_id") % 60).cast("double")))
+    return k.select("row_id", "track_id", *((F.round(f"kf_{x}", 6) + F.lit(0.0)).alias(f"kf_{x}") for x in ("n", "e", "d", "vn", "ve", "vd")))
+
+
+SQL["kalman_tracks"] = _kalman_sql()
 
 
 @query("detections")

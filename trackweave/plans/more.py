@@ -16,7 +16,7 @@ _day = "epoch_us(ts) // 86400000000"
 
 @query("detections", sql=f""", p as {P}, s as (select track_id, crowd_id, lag(crowd_id) over (partition by track_id order by frame_id, row_id) b from p where crowd_id is not null)
  select round((select coalesce(sum(case when b <> crowd_id then 1 else 0 end), 0) from s) / greatest((select count(*) from p), 1)::double + 50 * (select coalesce(round(avg(case when crowd_id is null then 1.0::double else 0 end), 6), 1) from p)
-  + 0.5 * (select count(distinct crowd_id) from p) + 2 * (select coalesce(round(stddev_pop(n), 6), 0) from (select count(distinct crowd_id) n from p group by frame_id)), 5)::double as cost""")
+  + 0.5 * (select count(distinct crowd_id) from p) + 2 * (select coalesce(round(stddev_pop(n), 6), 0) from (select count(distinct crowd_id) n from p group by video_id, frame_id)), 5)::double as cost""")
 def tuning_cost(d):
     return metrics.composite_cost(metrics.crowd_metrics(d).crossJoin(metrics.persons(d).agg(F.count("*").alias("n"))))
 

@@ -46,8 +46,18 @@ from events where event_type='view'""",
 }
 
 
+#: Spark numbers the telemetry's rows within hours and adds how many come before each hour, from a table of a row per hour; the numbers are those of one sort over all.
+NUMBERED = (
+    ("cast(row_number() over (order by ts,event_id) - 1 as int)", "cast(row_number() over (partition by e.hour_no order by ts,event_id) - 1 + earlier as int)"),
+    ("from events where event_type='view'", """from (select *, cast(floor({EP}/cast(3600000000 as double)) as bigint) as hour_no from events where event_type='view') e
+ join (select hour_no as h, sum(n) over (order by hour_no) - n as earlier from (select cast(floor({EP}/cast(3600000000 as double)) as bigint) as hour_no, count(*) as n from events where event_type='view' group by 1)) on h = e.hour_no"""),
+)
+
+
 def sql(name: str, dialect: str) -> str:
     text = QUERIES[name]
+    for before, after in NUMBERED if (name, dialect) == ("telemetry", "spark") else ():
+        text = text.replace(before, after)
     for token, value in TOKENS[dialect].items():
         text = text.replace(token, value)
     for k in range(9):
