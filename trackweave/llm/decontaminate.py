@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackweave.llm.common import flat_words, pieces, small_batches
 
-TABLE_BITS = 20
 #: Places of a text whose windows are walked at a time, and candidates that are listed at a time.
 AT_ONCE, LISTED = 1 << 17, 1 << 20
 #: Characters that are words of their own, in scripts without spaces, and white space beyond ASCII.
@@ -169,6 +168,24 @@ class Level:
     keys: np.ndarray
     windows: np.ndarray
 
+    @classmethod
+    def of(cls, h: np.ndarray, keys: np.ndarray, windows: np.ndarray) -> Level:
+        """The table has 32 places or more for each hash."""
+        table = np.zeros(1 << max(12, (32 * len(h)).bit_length()), bool)
+        out = cls(table, keys, windows)
+        table[out.places(h)] = True
+        return out
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint32(33 - len(self.table).bit_length())
+
+    def __getstate__(self) -> tuple:
+        return len(self.table), np.packbits(self.table), self.keys, self.windows
+
+    def __setstate__(self, state: tuple) -> None:
+        n, bits, self.keys, self.windows = state
+        self.table = np.unpackbits(bits, count=n).view(bool)
+
 
 @dataclass
 class Index:
@@ -204,11 +221,9 @@ def build_index(ids: list, texts: list[str | None], p: LeakParams) -> Index:
             w = flat[at]
             if band.samples[t]:
                 h = sampled(h, w)
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[h >> np.uint32(32 - TABLE_BITS)] = True
             over = steps == t + 1
             order = np.argsort(h[over], kind="stable")
-            levels.append(Level(table, h[over][order], np.stack([k[over], o[over]], 1)[order]))
+            levels.append(Level.of(h, h[over][order], np.stack([k[over], o[over]], 1)[order]))
             at = moved(at, w, band.bits[t])
             k, o, steps, at, h, ends = (x[~over] for x in (k, o, steps, at, h, ends))
         bands.append((band, levels))
@@ -241,7 +256,7 @@ def leaks(texts: pa.Array, index: Index, p: LeakParams) -> list[tuple[int, int,
                 w = words[at]
                 if band.samples[t]:
                     h = sampled(h, w)
-                    ok = np.flatnonzero(level.table[h >> np.uint32(32 - TABLE_BITS)])
+                    ok = np.flatnonzero(level.table[level.places(h)])
                     start, at, h, w = start[ok], at[ok], h[ok], w[ok]
                     if not len(at):
                         break
