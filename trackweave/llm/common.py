@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 from collections.abc import Iterator
@@ -27,10 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_settled = itertools.count(1)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the shared folder, so that it is neither computed again nor lost with an executor."""
+    """Computed once and kept in the shared folder, so that it is neither computed again nor lost with an executor.
+
+    What led to it isn't needed any more, but Spark deletes shuffle files only once the driver's JVM has collected the objects that stand for them, which a long chain of small steps
+    doesn't make it do; so it is asked to after every third step.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if next(_settled) % 3 == 0:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Bytes of a batch that is sent to a Python worker, on the way there and in it; Spark's own limit is eight times as much, or 10,000 rows of any length.

@@ -187,8 +187,11 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
     symbols = symbol_table()
     ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     most = max(1, min(p.per_language, p.all_documents // max(1, ids.select("lang").distinct().count())))
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.distinct().withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    parts = ids.distinct().withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))  # the first of each part of a frequent language, then of all parts
+    parts = parts.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("_rank") <= most)
+    by = W.partitionBy("lang").orderBy(*order)
+    chosen = parts.drop("_part").withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= most)
     rank = {(r["doc_id"], r["lang"]): r["_rank"] for r in chosen.collect()}
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in sorted({i for i, _ in rank})], "doc_id long"))
     shared = spark.sparkContext.broadcast(symbols)
