@@ -1,6 +1,7 @@
 """Clusters, hulls and cells against plain constructions."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trackweave.operators import crowds
 
@@ -44,3 +45,27 @@ def test_occupied_area():
     assert area() == area((3, 4)) == area((0, 0), (0.5, 0)) == area((1, 1), (1, 1), (1, 1)) == 1
     assert area((0, 0), (4, 0)) == np.pi * 4 and area((0, 0), (0, 3), (3, 0)) == 4.5
     np.testing.assert_allclose(area((0, 0), (1, 0), (8, 0)), np.pi * 25)
+
+
+def test_velocities_and_streets(spark):
+    """Two groups in one place that move apart are two by velocities; streets number their own."""
+    rng = np.random.default_rng(1)
+    rows = [(1, 0, k, float(rng.normal()), float(rng.normal()), 5.0 * (k % 2) + float(rng.normal(0, 0.1)), 1 + k % 2) for k in range(24)]
+    d = spark.createDataFrame(rows, "video_id int, frame_id int, row_id long, pos_n double, pos_e double, vel_n double, street_index int")
+    by = {r["row_id"]: r["cluster"] for r in crowds.density_clusters(d, 5, 3, features=(("pos_n", 0.1), ("pos_e", 0.1), ("vel_n", 10.0))).collect()}
+    assert len({by[k] for k in range(0, 24, 2)}) == len({by[k] for k in range(1, 24, 2)}) == 1 and by[0] != by[1]
+    got = crowds.by_street(d.withColumn("street_index", F.when(F.col("row_id") < 2, 0).otherwise(F.col("street_index"))), least=3).collect()
+    assert {r["crowd"] // 10_000 for r in got if r["crowd"] is not None} <= {1, 2} and all(r["crowd"] is None for r in got if r["row_id"] < 2)
+    assert crowds.search_parameters(d, [(3, 2), (30, 2)]).filter("least = 30").first()["cost"] == 50.0
+
+
+def test_plane(spark):
+    from trackweave.plans.depth import ransac_plane
+
+    rng = np.random.default_rng(2)
+    xy = rng.uniform(-5, 5, (200, 2))
+    z = 0.5 * xy[:, 0] - 0.2 * xy[:, 1] + 3
+    z[:40] += 20
+    rows = [(7, k % 20, k // 20, *map(float, p), float(h)) for k, (p, h) in enumerate(zip(xy, z, strict=True))] + [(8, 0, 0, 1.0, 1.0, 1.0)]
+    r = ransac_plane(spark.createDataFrame(rows, "frame_id int, u int, v int, x double, y double, z double"), 0.1).collect()
+    assert len(r) == 1 and abs(r[0]["alpha"] - 0.5) + abs(r[0]["beta"] + 0.2) + abs(r[0]["gamma"] - 3) < 1e-6 and r[0]["inlier_ratio"] == 0.8

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackweave.functions import geo
-from trackweave.operators import states, windows
+from trackweave.operators import joins, states, windows
 
 
 def test_kalman_axes_do_not_interact():
@@ -69,3 +69,30 @@ def test_distances_reach_far_nodes(spark):
     rows = [(k + 1, k, 0.5) for k in range(99)] + [(99, 0, 60.0)]
     got = {r["node"]: r["dist"] for r in states.distances_to(spark.createDataFrame(rows, "src int, dst int, length double"), 0).collect()}
     assert got == {k: 0.5 * k for k in range(100)}
+
+
+def test_stable_numbers(spark):
+    """A crowd whose number changes keeps the first; a far one gets in under its own; one unseen for too long is forgotten."""
+    rows = [(1, 0, 5, 0.0, 0.0), (1, 1, 8, 1.0, 0.0), (1, 1, 9, 90.0, 0.0), (1, 2, 5, 90.5, 0.0), (1, 2, 9, 1.0, 0.0), (2, 2, 7, 1.0, 0.0)]
+    d = spark.createDataFrame(rows, "street_index int, frame_id int, crowd_id long, n double, e double")
+    got = {(r["street_index"], r["frame_id"], r["crowd_id"]): r["stable_id"] for r in states.stabilised(d, limit=6.0).collect()}
+    assert got == {(1, 0, 5): 5, (1, 1, 8): 5, (1, 1, 9): 9, (1, 2, 5): 9, (1, 2, 9): 5, (2, 2, 7): 7}
+    gone = spark.createDataFrame([(1, 0, 5, 0.0, 0.0), *((1, f, 6, 500.0, 0.0) for f in range(1, 5)), (1, 5, 8, 0.0, 0.0)], d.schema)
+    last = {r["crowd_id"]: r["stable_id"] for r in states.stabilised(gone, memory=3).collect() if r["frame_id"] == 5}
+    assert last == {8: 8}
+
+
+def test_farthest_order(spark):
+    d = spark.createDataFrame([(1, k, float(x)) for k, x in enumerate((0, 1, 10, 4))], "g int, k int, x double")
+    assert [r["k"] for r in states.farthest_order(d, "g", "k", ["x"]).orderBy("rank").collect()] == [0, 2, 1, 3]
+
+
+def test_nearest_points(spark):
+    import random
+
+    r = random.Random(4)
+    nodes = [(k, r.uniform(0, 50), r.uniform(0, 50)) for k in range(30)] + [(99, 4000.0, 4000.0)]
+    points = [(k, r.uniform(-20, 70), r.uniform(-20, 70)) for k in range(200)] + [(500, 3000.0, 3000.0), (501, None, 1.0)]
+    got = {x["k"]: x["node"] for x in joins.nearest_point(spark.createDataFrame(points, "k int, n double, e double"), "k", "n", "e", spark.createDataFrame(nodes, "node int, x double, y double"), "node", "x", "y", 2.0).collect()}
+    want = {k: min(nodes, key=lambda m: ((n - m[1]) ** 2 + (e - m[2]) ** 2, m[0]))[0] for k, n, e in points if n is not None}
+    assert got == {**want, 501: None}

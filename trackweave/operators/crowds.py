@@ -5,9 +5,11 @@ Frames are independent and a frame holds what one camera sees, so Spark groups b
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int]]:
@@ -101,19 +103,38 @@ def split_large(x: np.ndarray, labels: np.ndarray, most: int, rounds: int = 50)
     return out
 
 
-def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: int = 40, keys: tuple[str, ...] = ("video_id", "frame_id")) -> DataFrame:
-    """row_id, cluster (null for noise) by frame over z-scored places; a frame of fewer than `least` rows, or rows without a finite place, are noise."""
+def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: int = 40, keys: tuple[str, ...] = ("video_id", "frame_id"), features: tuple[tuple[str, float], ...] = (("pos_n", 1.0), ("pos_e", 1.0))) -> DataFrame:
+    """row_id, cluster (null for noise) by frame over z-scored features times their weights, such as places and velocities; a frame of fewer than `least` rows, or rows without finite features, are noise."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row_id")
-        x = g[["pos_n", "pos_e"]].to_numpy(float)
+        x = g[[f for f, _ in features]].to_numpy(float)
         ok = np.isfinite(x).all(1)
         z = x[ok]
         labels = np.zeros(len(g), int)
         if len(z):
-            z = (z - z.mean(0)) / np.maximum(z.std(0), 1e-6)
+            z = (z - z.mean(0)) / np.maximum(z.std(0), 1e-6) * np.array([w for _, w in features])
             labels[ok] = split_large(z, stable_clusters(z, least, min(neighbours, least)), most)
         return pd.DataFrame({"row_id": g["row_id"], "cluster": pd.array(np.where(labels > 0, labels, -1), dtype="Int64").astype("Int64")}).replace({"cluster": {-1: pd.NA}})
-    return d.select(*keys, "row_id", "pos_n", "pos_e").groupBy(*keys).applyInPandas(run, "row_id long, cluster long")
+    return d.select(*keys, "row_id", *(f for f, _ in features)).groupBy(*keys).applyInPandas(run, "row_id long, cluster long")
+
+
+def by_street(d: DataFrame, street: str = "street_index", stride: int = 10_000, **clustering) -> DataFrame:
+    """row_id, crowd: clusters within each street and frame, their numbers in the street's own range; people outside of streets (0 or null) have none."""
+    inside = d.filter(F.col(street) > 0)
+    found = density_clusters(inside, keys=("video_id", "frame_id", street), **clustering)
+    return d.select("row_id", street).join(found, "row_id", "left").select("row_id", (F.col(street).cast("bigint") * stride + F.col("cluster")).alias("crowd"))
+
+
+def search_parameters(d: DataFrame, trials: list[tuple[int, int]], weights: tuple[float, float] = (50.0, 2.0)) -> DataFrame:
+    """trial, least, neighbours, cost of each pair of parameters, all trials at once: share of people without a cluster and spread of clusters per frame, weighted."""
+    spark = d.sparkSession
+    costs = []
+    for k, (least, neighbours) in enumerate(trials):
+        c = density_clusters(d, least=least, neighbours=neighbours).join(d.select("row_id", "video_id", "frame_id"), "row_id")
+        per = c.groupBy("video_id", "frame_id").agg(F.count_if(F.col("cluster").isNull()).alias("noise"), F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+        cost = weights[0] * F.sum("noise") / F.sum("n") + weights[1] * F.stddev_pop("clusters")
+        costs.append(per.agg(F.lit(k).alias("trial"), F.lit(least).alias("least"), F.lit(neighbours).alias("neighbours"), F.round(cost, 6).alias("cost")))
+    return reduce(DataFrame.unionByName, costs) if costs else spark.createDataFrame([], "trial int, least int, neighbours int, cost double")
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:

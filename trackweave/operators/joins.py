@@ -101,3 +101,18 @@ def resample_index(d: DataFrame, index: str, count: int, total: int) -> DataFram
     spark = d.sparkSession
     i = spark.range(count).select(F.col("id").alias("sample"), F.floor(F.col("id") * (total - 1) / max(1, count - 1)).cast("bigint").alias(index))
     return i.join(d, index)
+
+
+def near_lines(points: DataFrame, key: str, n: str, e: str, lines: DataFrame, ends: tuple[str, str, str, str], metres: float, cell: float = 8.0, slack: float = 1e-9) -> DataFrame:
+    """key and near: whether the point is within so many metres of any line segment; by grid cells that each segment's widened box covers."""
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ends)
+    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - metres) / cell), F.floor((F.greatest(a, b) + metres) / cell)))
+    s = lines.select(x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2"))
+    s = s.withColumn("_cn", span(F.col("_x1"), F.col("_x2"))).withColumn("_ce", span(F.col("_y1"), F.col("_y2")))
+    p = points.select(F.col(key).alias("_k"), F.col(n).alias("_n"), F.col(e).alias("_e")).withColumns({"_cn": F.floor(F.col("_n") / cell), "_ce": F.floor(F.col("_e") / cell)})
+    dn, de = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    along = F.when(dn * dn + de * de > 0, ((F.col("_n") - F.col("_x1")) * dn + (F.col("_e") - F.col("_y1")) * de) / (dn * dn + de * de)).otherwise(0.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    off = (F.col("_n") - F.col("_x1") - t * dn) ** 2 + (F.col("_e") - F.col("_y1") - t * de) ** 2
+    hit = p.join(s, ["_cn", "_ce"]).filter(off <= metres * metres + slack).select("_k").distinct().withColumn("near", F.lit(True))
+    return p.select("_k").join(hit, "_k", "left").select(F.col("_k").alias(key), F.coalesce("near", F.lit(False)).alias("near"))

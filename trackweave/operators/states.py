@@ -102,6 +102,52 @@ def cluster_identity(states: DataFrame, key: str, limit: float = 6.0, memory: in
     return states.groupBy(key).applyInPandas(run, f"{key} int, frame_id int, label int, identity int")
 
 
+def stabilised(d: DataFrame, street: str = "street_index", limit: float = 40.0, memory: int = 30, weight: float = 0.4) -> DataFrame:
+    """street, frame_id, crowd_id, stable_id of crowds (street, frame_id, crowd_id, n, e: their centres in metres) that keep a number over a street's frames.
+
+    Centres are matched at least cost within the limit; those remembered follow with `weight` and are forgotten after `memory` frames unseen, counting frames that have crowds. A new crowd keeps its own number, also if another
+    is remembered under it, which it then replaces; it is a frame old at once. Sequential over the frames of a street, with a row per crowd.
+    """
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, tuple[np.ndarray, int]] = {}
+        out = []
+        for frame, now in g.sort_values(["frame_id", "crowd_id"]).groupby("frame_id", sort=True):
+            ids, centres = now["crowd_id"].tolist(), now[["n", "e"]].to_numpy(float)
+            known, seen, stable = list(held), set(), list(ids)
+            if known:
+                cost = np.sqrt(((np.array([held[k][0] for k in known])[:, None] - centres[None]) ** 2).sum(2))
+                for a, b in assignment(cost):
+                    if cost[a, b] <= limit:
+                        stable[b] = known[a]
+                        seen.add(b)
+                        held[known[a]] = (weight * centres[b] + (1 - weight) * held[known[a]][0], -1)
+            hit = {stable[b] for b in seen}
+            for b, own in enumerate(ids):
+                if b not in seen:
+                    held[own] = (centres[b], 0)
+            held = {k: (c, 0 if k in hit else age + 1) for k, (c, age) in held.items() if k in hit or age + 1 < memory}
+            out += [(frame, own, new) for own, new in zip(ids, stable, strict=True)]
+        r = pd.DataFrame(out, columns=["frame_id", "crowd_id", "stable_id"])
+        r.insert(0, street, g[street].iloc[0])
+        return r
+    return d.select(street, "frame_id", "crowd_id", "n", "e").groupBy(street).applyInPandas(run, f"{street} int, frame_id int, crowd_id long, stable_id long")
+
+
+def farthest_order(d: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """key, order, rank: rows of a group from the first on, each the farthest from the one before among those left (the first of equals). A group goes to one task, as each pick needs the last."""
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order).reset_index(drop=True)
+        x, left, at, picked = g[columns].to_numpy(float), np.ones(len(g), bool), 0, []
+        for _ in range(len(g)):
+            picked.append(at)
+            left[at] = False
+            if left.any():
+                at = int(np.where(left, ((x - x[at]) ** 2).sum(1), -1).argmax())
+        return pd.DataFrame({key: g[key], order: g[order]}).iloc[picked].assign(rank=range(len(picked)))
+    kinds = dict(d.dtypes)
+    return d.select(key, order, *columns).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, rank int")
+
+
 def distances_to(edges: DataFrame, target: int) -> DataFrame:
     """node, dist: least length from each node to the target, by rounds of relaxation until nothing changes (lengths aren't negative); parallel edges count by the shortest. The graph stays distributed."""
     spark = edges.sparkSession

@@ -1,3 +1,3 @@
+"""The catalog of queries."""
 
-
-from trackweave.plans import catalog, depth, more  # noqa: F401  both add to the catalog
+from trackweave.plans import catalog, depth, more, streets  # noqa: F401  all add to the catalog

@@ -279,7 +279,7 @@ def cluster_cost_matrix(d):
 
 
 
-def _kalman_sql() -> str:
+def _kalman_sql(down: float = 4.0) -> str:
     """The same filter, row by row of a track: covariances of the horizontal axes (h) and the vertical one (z), predicted over a gap in closed form."""
     dt, q, g = "(1.0::double/24.0::double)", "0.25::double", "(n.frame_id - w.frame_id)::double"
     grown = (
@@ -289,7 +289,7 @@ def _kalman_sql() -> str:
     )
     predicted = ", ".join(f"{f(a)} {a}{k}" for a in "hz" for f, k in zip(grown, ("00", "01", "11"), strict=True))
     moved = ", ".join(f"w.{x} + {g}*{dt}*w.v{x} {x}, w.v{x} v{x}" for x in ("pn", "pe", "pd"))
-    gain = ", ".join(f"{a}00/({a}00+{r}) {a}k, {a}01/({a}00+{r}) {a}l" for a, r in (("h", "25.0::double"), ("z", "4.0::double")))
+    gain = ", ".join(f"{a}00/({a}00+{r}) {a}k, {a}01/({a}00+{r}) {a}l" for a, r in (("h", "25.0::double"), ("z", f"{down}::double")))
     new = ", ".join(f"{x} + {a}k*(m{x} - {x}) {x}, v{x} + {a}l*(m{x} - {x}) v{x}" for x, a in (("pn", "h"), ("pe", "h"), ("pd", "z")))
     left = ", ".join(f"{a}00 - {a}k*{a}00 {a}00, {a}01 - {a}k*{a}01 {a}01, {a}11 - {a}l*{a}01 {a}11" for a in "hz")
     return ctes("detections").replace("with ", "with recursive ", 1) + f""", m as (select row_id, track_id, frame_id, pos_n mpn, pos_e mpe, -(40 + row_id % 60)::double mpd, row_number() over (partition by track_id order by frame_id, row_id) k from detections),
@@ -308,6 +308,16 @@ def kalman_tracks(d):
 SQL["kalman_tracks"] = _kalman_sql()
 
 
+@query("detections")
+def kalman_isotropic(d):
+    """Equal noise on all axes."""
+    k = states.kalman_tracks(d.withColumn("pos_d", -(40 + C("row_id") % 60).cast("double")), sigma_down=5.0)
+    return k.select("row_id", "track_id", *((F.round(f"kf_{x}", 6) + F.lit(0.0)).alias(f"kf_{x}") for x in ("n", "e", "d", "vn", "ve", "vd")))
+
+
+SQL["kalman_isotropic"] = _kalman_sql(25.0)
+
+
 @query("detections")
 def crowd_identity(d):
     c = metrics.persons(d).filter("crowd_id is not null").groupBy("video_id", "frame_id", C("crowd_id").alias("label")).agg(F.median("pos_n").alias("centre_n"), F.median("pos_e").alias("centre_e"))
