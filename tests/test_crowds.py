@@ -69,3 +69,13 @@ def test_plane(spark):
     rows = [(7, k % 20, k // 20, *map(float, p), float(h)) for k, (p, h) in enumerate(zip(xy, z, strict=True))] + [(8, 0, 0, 1.0, 1.0, 1.0)]
     r = ransac_plane(spark.createDataFrame(rows, "frame_id int, u int, v int, x double, y double, z double"), 0.1).collect()
     assert len(r) == 1 and abs(r[0]["alpha"] - 0.5) + abs(r[0]["beta"] + 0.2) + abs(r[0]["gamma"] - 3) < 1e-6 and r[0]["inlier_ratio"] == 0.8
+
+
+def test_groups_nearer_than_epsilon_are_one():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.05, (12, 2)) for c in ((0, 0), (1, 0), (30, 0), (31, 0))])
+    sets = lambda labels: {tuple(np.flatnonzero(labels == k)) for k in set(labels) - {0}}
+    pairs = {tuple(range(24)), tuple(range(24, 48))}
+    assert len(sets(crowds.stable_clusters(x, 4, 3))) == 4
+    assert sets(crowds.stable_clusters(x, 4, 3, 0.01)) == sets(crowds.stable_clusters(x, 4, 3))
+    assert sets(crowds.stable_clusters(x, 4, 3, 5.0)) == sets(crowds.stable_clusters(x, 4, 3, 500.0)) == pairs

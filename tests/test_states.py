@@ -96,3 +96,35 @@ def test_nearest_points(spark):
     got = {x["k"]: x["node"] for x in joins.nearest_point(spark.createDataFrame(points, "k int, n double, e double"), "k", "n", "e", spark.createDataFrame(nodes, "node int, x double, y double"), "node", "x", "y", 2.0).collect()}
     want = {k: min(nodes, key=lambda m: ((n - m[1]) ** 2 + (e - m[2]) ** 2, m[0]))[0] for k, n, e in points if n is not None}
     assert got == {**want, 501: None}
+
+
+def test_crossing_crowds_keep_their_identities(spark):
+    """Two crowds that meet and pass: by places alone they would swap; a frame without clusters ages what is remembered."""
+    from trackweave.operators import crowds
+
+    rows, found = [], []
+    for f in range(9):
+        for k in range(10):
+            way = 1 if k < 5 else -1
+            rows.append((1, f, 10 * f + k, way * (f - 4.1) * 2.0, 0.1 * (k % 5), 2.0 * way, 0.01 * k))
+            found.append((10 * f + k, None if f == 4 else 1 + (way > 0) if f % 2 else 2 - (way > 0)))
+    d = spark.createDataFrame(rows, "video_id int, frame_id int, row_id long, n double, e double, vn double, ve double")
+    c = spark.createDataFrame(found, "row_id long, cluster long")
+    m = crowds.macro_states(d, c)
+    assert m.filter("label is null").count() == 1 and m.count() == 17
+    got = {(r["frame_id"], r["label"]): r["identity"] for r in states.moving_identity(m).collect()}
+    assert len(got) == 16
+    for way in (1, -1):
+        assert len({got[f, 1 + (way > 0) if f % 2 else 2 - (way > 0)] for f in range(9) if f != 4}) == 1
+    short = {r["identity"] for r in states.moving_identity(m, memory=1).collect()}
+    assert short == {1, 2, 3, 4}
+    assert states.moving_identity(m.limit(0)).count() == 0
+
+
+def test_nearby_draws(spark):
+    d = spark.createDataFrame([(0,), (5,), (5,), (99,), (None,)], "f int")
+    rows = joins.nearby(d, "f", F.lit(100), 4, 3, seed=1).collect()
+    assert len(rows) == 20 and all(r["picked"] is None for r in rows if r["f"] is None)
+    assert all(max(0, r["f"] - 3) <= r["picked"] < min(100, r["f"] + 3) for r in rows if r["f"] is not None)
+    assert [r["picked"] for r in rows if r["k"] == 0 and r["f"] is not None] == [0, 5, 5, 99]
+    assert len({(r["f"], r["k"], r["picked"]) for r in rows}) == 16

@@ -28,11 +28,11 @@ def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int
     return sorted(edges)
 
 
-def stable_clusters(x: np.ndarray, least: int, neighbours: int) -> np.ndarray:
+def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float = 0.0) -> np.ndarray:
     """Labels from 1, 0 for noise, of the clusters that persist longest over falling density (the root is none).
 
     Groups merge along the tree; a merge of two groups of `least` or more closes both, and their stability is compared
-    with that of the group they form; ties go to the larger group.
+    with that of the group they form; ties go to the larger group. Groups that merge nearer than epsilon are not told apart.
     """
     n = len(x)
     labels = np.zeros(n, int)
@@ -53,7 +53,7 @@ def stable_clusters(x: np.ndarray, least: int, neighbours: int) -> np.ndarray:
         """Stability and choice of a group that ends at this density."""
         s = state[root]
         own = s["sum"] - len(members[root]) * density
-        return (own, [list(members[root])]) if own >= s["below"] else (s["below"], s["choice"])
+        return max(own, s["below"]), [list(members[root])] if s["near"] or own >= s["below"] else s["choice"]
 
     edges = _spanning_tree(x, neighbours)
     for k, (length, a, b) in enumerate(edges):
@@ -61,17 +61,17 @@ def stable_clusters(x: np.ndarray, least: int, neighbours: int) -> np.ndarray:
         a, b = find(a), find(b)
         if len(members[a]) < len(members[b]):
             a, b = b, a
-        below, choice, total = 0.0, [], None
+        below, choice, total, near = 0.0, [], None, False
         if a in state and b in state:
             (sa, ca), (sb, cb) = closed(a, density), closed(b, density)
-            below, choice = sa + sb, ca + cb
+            below, choice, near = sa + sb, ca + cb, length < epsilon
         elif a in state:
-            total, below, choice = state[a]["sum"] + len(members[b]) * density, state[a]["below"], state[a]["choice"]
+            total, below, choice, near = state[a]["sum"] + len(members[b]) * density, state[a]["below"], state[a]["choice"], state[a]["near"]
         parent[b] = a
         members[a] += members.pop(b)
         state.pop(b, None)
         if len(members[a]) >= least:
-            state[a] = {"sum": len(members[a]) * density if total is None else total, "below": below, "choice": choice}
+            state[a] = {"sum": len(members[a]) * density if total is None else total, "below": below, "choice": choice, "near": near}
         if k == len(edges) - 1:
             for c, who in enumerate(sorted((sorted(w) for w in state[a]["choice"]), key=lambda w: w[0]), 1):
                 labels[who] = c
@@ -103,7 +103,7 @@ def split_large(x: np.ndarray, labels: np.ndarray, most: int, rounds: int = 50)
     return out
 
 
-def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: int = 40, keys: tuple[str, ...] = ("video_id", "frame_id"), features: tuple[tuple[str, float], ...] = (("pos_n", 1.0), ("pos_e", 1.0))) -> DataFrame:
+def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: int = 40, keys: tuple[str, ...] = ("video_id", "frame_id"), features: tuple[tuple[str, float], ...] = (("pos_n", 1.0), ("pos_e", 1.0)), epsilon: float = 0.0) -> DataFrame:
     """row_id, cluster (null for noise) by frame over z-scored features times their weights, such as places and velocities; a frame of fewer than `least` rows, or rows without finite features, are noise."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row_id")
@@ -113,7 +113,7 @@ def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: in
         labels = np.zeros(len(g), int)
         if len(z):
             z = (z - z.mean(0)) / np.maximum(z.std(0), 1e-6) * np.array([w for _, w in features])
-            labels[ok] = split_large(z, stable_clusters(z, least, min(neighbours, least)), most)
+            labels[ok] = split_large(z, stable_clusters(z, least, min(neighbours, least), epsilon), most)
         return pd.DataFrame({"row_id": g["row_id"], "cluster": pd.array(np.where(labels > 0, labels, -1), dtype="Int64").astype("Int64")}).replace({"cluster": {-1: pd.NA}})
     return d.select(*keys, "row_id", *(f for f, _ in features)).groupBy(*keys).applyInPandas(run, "row_id long, cluster long")
 
@@ -125,6 +125,14 @@ def by_street(d: DataFrame, street: str = "street_index", stride: int = 10_000,
     return d.select("row_id", street).join(found, "row_id", "left").select("row_id", (F.col(street).cast("bigint") * stride + F.col("cluster")).alias("crowd"))
 
 
+def macro_states(d: DataFrame, clusters: DataFrame) -> DataFrame:
+    """video_id, frame_id, label, n, e, vn, ve (medians of a cluster) and sd_n, sd_e, sd_vn, sd_ve (deviations over the frame) of rows (video_id, frame_id, row_id, n, e, vn, ve); a frame without clusters has one row with a null label."""
+    columns, keys = ("n", "e", "vn", "ve"), ["video_id", "frame_id"]
+    spread = d.groupBy(*keys).agg(*(F.greatest(F.stddev_pop(c), F.lit(1e-6)).alias(f"sd_{c}") for c in columns))
+    own = d.join(clusters.filter("cluster is not null"), "row_id").groupBy(*keys, F.col("cluster").alias("label")).agg(*(F.median(c).alias(c) for c in columns))
+    return spread.join(own, keys, "left")
+
+
 def search_parameters(d: DataFrame, trials: list[tuple[int, int]], weights: tuple[float, float] = (50.0, 2.0)) -> DataFrame:
     """trial, least, neighbours, cost of each pair of parameters, all trials at once: share of people without a cluster and spread of clusters per frame, weighted."""
     spark = d.sparkSession

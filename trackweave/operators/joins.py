@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from trackweave.sources.shared import settled
@@ -116,3 +116,15 @@ def near_lines(points: DataFrame, key: str, n: str, e: str, lines: DataFrame, en
     off = (F.col("_n") - F.col("_x1") - t * dn) ** 2 + (F.col("_e") - F.col("_y1") - t * de) ** 2
     hit = p.join(s, ["_cn", "_ce"]).filter(off <= metres * metres + slack).select("_k").distinct().withColumn("near", F.lit(True))
     return p.select("_k").join(hit, "_k", "left").select(F.col("_k").alias(key), F.coalesce("near", F.lit(False)).alias("near"))
+
+
+def nearby(d: DataFrame, frame: str, total: Column, count: int, reach: int | None = None, seed: int = 0) -> DataFrame:
+    """frame, k, picked: the frame itself (k = 0) and count - 1 frames drawn with repetition from [frame - reach, frame + reach) within 0 and total; reach is twice the count by default.
+
+    Draws follow from seed, frame and k alone, so they are the same over any partitions. A null frame has null picks; repeated rows draw alike.
+    """
+    reach = 2 * count if reach is None else reach
+    low, high = F.greatest(F.lit(0), F.col(frame) - reach), F.least(total, F.col(frame) + reach)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), frame, "k")), 1, 8), 16, 10).cast("bigint")
+    x = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return x.select(frame, "k", F.when((F.col("k") == 0) | F.col(frame).isNull(), F.col(frame)).otherwise(low + F.pmod(drawn, high - low)).cast("int").alias("picked"))

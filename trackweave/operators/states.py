@@ -102,6 +102,40 @@ def cluster_identity(states: DataFrame, key: str, limit: float = 6.0, memory: in
     return states.groupBy(key).applyInPandas(run, f"{key} int, frame_id int, label int, identity int")
 
 
+def moving_identity(clusters: DataFrame, key: str = "video_id", weight: float = 1.5, limit: float = 5.0, memory: int = 30, alpha: float = 0.7) -> DataFrame:
+    """key, frame_id, label, identity of clusters (as crowds.macro_states gives them) that last over frames.
+
+    The cost of taking a cluster for a remembered one is the distance of their places plus weight times that of their velocities, each axis over the frame's deviation;
+    pairs are of least total cost, and none beyond the limit counts. Those remembered follow with alpha and are forgotten after `memory` frames unseen, frames without clusters included.
+    Sequential over the frames of a key, with a row per cluster; frames that aren't there don't count. No rows give none.
+    """
+    places, spread = ["n", "e", "vn", "ve"], ["sd_n", "sd_e", "sd_vn", "sd_ve"]
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, tuple[np.ndarray, int]] = {}
+        new, out = 1, []
+        for frame, rows in g.sort_values(["frame_id", "label"]).groupby("frame_id", sort=True):
+            rows = rows[rows["label"].notna()]
+            now, found = rows[places].to_numpy(float), {}
+            if len(now) and held:
+                ids = list(held)
+                apart = (np.array([held[i][0] for i in ids])[:, None] - now[None]) / rows[spread].iloc[0].to_numpy(float)
+                cost = np.hypot(apart[..., 0], apart[..., 1]) + weight * np.hypot(apart[..., 2], apart[..., 3])
+                found = {b: ids[a] for a, b in assignment(cost) if cost[a, b] <= limit}
+            for k, state in enumerate(now):
+                if k in found:
+                    state = alpha * state + (1 - alpha) * held[found[k]][0]
+                else:
+                    found[k], new = new, new + 1
+                held[found[k]] = (state, -1)
+            held = {i: (state, age + 1) for i, (state, age) in held.items() if age + 1 < memory}
+            out += [(frame, int(label), found[k]) for k, label in enumerate(rows["label"])]
+        r = pd.DataFrame(out, columns=["frame_id", "label", "identity"])
+        r.insert(0, key, g[key].iloc[0])
+        return r
+    return clusters.select(key, "frame_id", "label", *places, *spread).groupBy(key).applyInPandas(run, f"{key} int, frame_id int, label long, identity long")
+
+
 def stabilised(d: DataFrame, street: str = "street_index", limit: float = 40.0, memory: int = 30, weight: float = 0.4) -> DataFrame:
     """street, frame_id, crowd_id, stable_id of crowds (street, frame_id, crowd_id, n, e: their centres in metres) that keep a number over a street's frames.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from trackweave.operators import crowds, joins, metrics, states
 from trackweave.plans.catalog import P, SQL, _placed, _poly, query
 from trackweave.sources import readers, writers
+from trackweave.sources.shared import settled
 
 C = F.col
 
@@ -198,3 +199,24 @@ def stable_crowds(d):
 def farthest_frames(p):
     x = p.withColumn("segment", F.floor(C("frame_id") / 50).cast("int"))
     return states.farthest_order(x, "segment", "frame_id", ["tx", "ty", "tz"])
+
+
+@query("detections")
+def crowd_tracks(d):
+    """row_id, crowd of people by place and smoothed velocity: clusters of each frame, matched over frames by both."""
+    k = states.kalman_tracks(d.withColumn("pos_d", F.lit(0.0)))
+    x = metrics.persons(d).select("video_id", "frame_id", "row_id").join(k, "row_id").select("video_id", "frame_id", "row_id", C("kf_n").alias("n"), C("kf_e").alias("e"), C("kf_vn").alias("vn"), C("kf_ve").alias("ve"))
+    x = settled(x)
+    found = settled(crowds.density_clusters(x, features=(("n", 1.0), ("e", 1.0), ("vn", 1.5), ("ve", 1.5)), epsilon=0.2))
+    names = states.moving_identity(crowds.macro_states(x, found))
+    return x.join(found, "row_id").join(names.withColumnRenamed("label", "cluster"), ["video_id", "frame_id", "cluster"], "left").select("row_id", C("identity").alias("crowd"))
+
+
+_draw = "('0x' || substring(md5(concat_ws('-', 7, frame_id, k)), 1, 8))::bigint"
+
+
+@query("poses", sql=f", b as (select frame_id, greatest(0, frame_id - 16) low, least((select max(frame_id) + 1 from poses), frame_id + 16) high from poses) select frame_id, k::int k, (case when k = 0 then frame_id else low + {_draw} % (high - low) end)::int picked from b, range(0, 8) r(k)")
+def nearby_frames(p):
+    """Of each frame, itself and seven drawn with repetition from those less than twice as many frames away."""
+    top = p.agg((F.max("frame_id") + 1).alias("total"))
+    return joins.nearby(p.select("frame_id").join(F.broadcast(top)), "frame_id", C("total"), 8, seed=7)
