@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from trackweave.llm import chat, decontaminate, jaccard, language, licenses, mixing, pii, repair, secrets, tokens, topk, warc
+from trackweave.llm import chat, collocations, decontaminate, jaccard, language, licenses, mixing, pii, repair, secrets, tokens, topk, warc
 from trackweave.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_language, op4_decontaminate, op5_jaccard, op6_secrets, op7_pii, op8_chat_format, op9_licenses, op10_mixing, op12_tokens, op13_repair)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_topk, op3_language, op4_decontaminate, op5_jaccard, op6_secrets, op7_pii, op8_chat_format, op9_licenses, op10_mixing, op11_collocations, op12_tokens, op13_repair)}
 QUERIES["pipeline"] = corpus_pipeline.run
 _hostile = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in HOSTILE)
 SQL = {
@@ -80,4 +84,5 @@ SQL = {
     "op8_chat_format": chat.format_digest_sql(f"select conv_id, turn, role, text from conversations union all select * from (values {_hostile}) v(conv_id, turn, role, text)"),
     "op9_licenses": licenses.scan_sql(),
     "op10_mixing": mixing.mix_sql(),
+    "op11_collocations": collocations.collocations_sql(),
 }
