@@ -32,8 +32,8 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, domain, lang, source, tokens and copies of the documents that the mixture takes."""
-    return mixing.mix(docs)
+    """doc_id, domain, lang, source, tokens, copies, text and n_chars of the documents that the mixture takes: the corpus."""
+    return mixing.mix(docs, keep=("text", "n_chars"))
 
 
 STAGES = [("language", language_stage), ("near_duplicates", duplicate_stage), ("decontamination", benchmark_stage), ("pii", privacy_stage), ("mixing", mixture_stage)]
@@ -43,6 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus: what the last stage wrote, texts included. Each stage's table stays in the folder of its own run, under the shared one."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:

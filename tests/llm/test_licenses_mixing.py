@@ -169,3 +169,15 @@ def test_many_leaves_join_by_salt(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     key = lambda plan: sorted(map(str, mixing.mix(df, plan).collect()))
     assert key(mixing.MixPlan(broadcast_leaves=0)) == key(mixing.MixPlan())
+
+
+def test_rows_of_one_key(spark):
+    """20,000 rows without an id, three tokens each, budget for 16,000 of them."""
+    df = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'one two three' text", "'en' lang", "'src1' source")
+    for few in (100_000, 0):
+        got = mixing.mix(df, mixing.MixPlan(max_epochs=1, broadcast_leaves=few), keep=("text",))
+        assert got.count() == 16_000 and got.filter("text = 'one two three' and copies = 1").count() == 16_000
+    rows = [(None if k % 3 else k, "w " * (k % 5), "en", "src1") for k in range(600)] * 3
+    plan = mixing.MixPlan(bucket_digits=1)
+    got = sorted(((r["doc_id"], r["domain"], r["lang"], r["source"], r["tokens"], r["copies"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), plan).collect()), key=str)
+    assert got == brute(rows, plan)

@@ -8,12 +8,13 @@ its children's. A leaf with budget b and supply s takes floor(b / s) whole epoch
 epoch's seeded order, the longest prefix of documents whose tokens fit in the rest.
 
 Only tables of one row per leaf or per (leaf, hash bucket) are windowed. Documents are compared with
-their leaf's cut; rows are ordered one by one only inside the single bucket where the cut falls.
+their leaf's cut; in the single bucket where the cut falls, rows of equal order key and length are counted in SLICES
+parts first, and rows are numbered one by one only inside the part where the cut falls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,8 @@ from trackweave.llm.common import settled
 LEVELS = ("domain", "lang", "source")
 #: Tasks that a leaf's documents are dealt to where the leaves are too many for a broadcast.
 SALTS = 64
+#: Parts of rows that no key tells apart.
+SLICES = 256
 
 
 @dataclass(frozen=True)
@@ -60,13 +63,14 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x"), r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("bigint")
 
 
-def with_leaves(docs: DataFrame, plan: MixPlan) -> DataFrame:
-    """doc_id, mix_tokens and the tree levels. Null language or source: 'unknown'."""
+def with_leaves(docs: DataFrame, plan: MixPlan, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, tokens, the tree levels, _row (a number of its own) and _kept (the columns `keep`). Null language or source: 'unknown'."""
     source = F.coalesce(F.col("source"), F.lit("unknown"))
     domain = F.lit(plan.other_domain)
     for name, pattern in reversed(plan.domains):
         domain = F.when(source.rlike(pattern), F.lit(name)).otherwise(domain)
-    return docs.select("doc_id", token_count(F.col("text")).alias("tokens"), domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"), source.alias("source"))
+    kept = F.struct(*keep) if keep else F.lit(None).cast("int")
+    return docs.select("doc_id", token_count(F.col("text")).alias("tokens"), domain.alias("domain"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("lang"), source.alias("source"), F.monotonically_increasing_id().alias("_row"), kept.alias("_kept"))
 
 
 def _water_fill(nodes: DataFrame, parent: list[str], name: str, budget: str, out: str) -> DataFrame:
@@ -109,34 +113,43 @@ def _with_leaf(keyed: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
     if few:
         return keyed.join(F.broadcast(leaves), list(LEVELS))
     salted = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")
     return keyed.withColumn("_salt", salt).join(salted, [*LEVELS, "_salt"]).drop("_salt")
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """doc_id, domain, lang, source, tokens, copies of every document that is taken at least once.
+def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, domain, lang, source, tokens, copies, and the columns `keep`, of every document that is taken at least once.
 
     Nulls: a null or empty text has 0 tokens and never ends a prefix; null lang and source form the
-    leaf 'unknown'; a null doc_id is ordered as ''. Repeated rows are separate documents; among equal
-    (order key, doc_id, tokens) the prefix takes them together or not at all. An empty table gives an
+    leaf 'unknown'; a null doc_id is ordered as ''. Repeated rows are separate documents; of rows of equal order key the shorter
+    come first, and of equally long ones as many as fit are taken, by a running number. An empty table gives an
     empty result. Extra columns are ignored.
     """
-    keyed = settled(with_leaves(docs, plan))  # narrow; the texts are read once
+    keyed = settled(with_leaves(docs, plan, keep))  # the texts are read once
     leaves = settled(leaf_budgets(keyed.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), plan).select(*LEVELS, "epochs", "rest"))
     few = leaves.count() <= plan.broadcast_leaves
     ordered = _with_leaf(keyed, leaves, few).withColumn("_key", order_key(F.col("doc_id"), F.col("epochs"), plan.seed))
     ordered = ordered.withColumn("_bucket", F.substring("_key", 1, plan.bucket_digits))
     buckets = ordered.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_tokens"), F.first("rest").alias("rest"))
-    upto = F.sum("_tokens").over(W.partitionBy(*LEVELS).orderBy("_bucket"))
-    buckets = buckets.withColumn("_upto", upto).withColumn("_base", F.col("_upto") - F.col("_tokens"))
-    cut = buckets.filter("_upto > rest").groupBy(*LEVELS).agg(F.min(F.struct("_bucket", "_base")).alias("_cut"))
-    cut = cut.select(*LEVELS, F.col("_cut._bucket").alias("_cut"), F.col("_cut._base").alias("_base"))
-    x = _with_leaf(ordered, settled(leaves.select(*LEVELS).join(cut, list(LEVELS), "left")), few)
-    whole = x.filter("_cut is null or _bucket <> _cut").withColumn("_in", F.expr("_cut is null or _bucket < _cut"))
-    split = x.filter("_bucket = _cut").withColumn("_sum", F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("_key", "doc_id", "tokens")))
-    split = split.withColumn("_in", F.col("_base") + F.col("_sum") <= F.col("rest"))
-    columns = ["doc_id", *LEVELS, "tokens", (F.col("epochs") + F.when(F.col("_in"), 1).otherwise(0)).cast("bigint").alias("copies")]
-    return whole.select(*columns).unionByName(split.select(*columns)).filter("copies > 0")
+    x = _with_leaf(ordered, settled(leaves.select(*LEVELS).join(_cut(buckets, ["_bucket"], F.lit(0)), list(LEVELS), "left")), few)
+    whole = x.filter("_cut is null or _bucket <> _cut._bucket").withColumn("_in", F.expr("_cut is null or _bucket < _cut._bucket"))
+    split = x.filter("_bucket = _cut._bucket").withColumn("_slice", F.pmod(F.xxhash64("_row"), F.lit(SLICES)))
+    groups = split.groupBy(*LEVELS, "_key", "tokens", "_slice").agg(F.sum("tokens").alias("_tokens"), F.first("rest").alias("rest"), F.first("_base").alias("_before"))
+    at = settled(_cut(groups, ["_key", "tokens", "_slice"], F.col("_before")))
+    split = _with_leaf(split.drop("_cut", "_base"), at, few)
+    place = F.struct("_key", "tokens", "_slice")
+    sides = split.filter(place != F.col("_cut")).withColumn("_in", place < F.col("_cut"))
+    last = split.filter(place == F.col("_cut")).withColumn("_in", F.col("_base") + F.sum("tokens").over(W.partitionBy(*LEVELS).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)) <= F.col("rest"))
+    copies = (F.col("epochs") + F.when(F.col("_in"), 1).otherwise(0)).cast("bigint").alias("copies")
+    parts = [part.select("doc_id", *LEVELS, "tokens", copies, *(F.col(f"_kept.{c}").alias(c) for c in keep)) for part in (whole, sides, last)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("copies > 0")
+
+
+def _cut(groups: DataFrame, order: list[str], before: Column) -> DataFrame:
+    """LEVELS, _cut (the group, by `order`, in which a leaf's rest ends) and _base (tokens before it, with those of `before`), of leaves that don't take all groups."""
+    upto = before + F.sum("_tokens").over(W.partitionBy(*LEVELS).orderBy(*order))
+    cut = groups.withColumn("_upto", upto).filter("_upto > rest").groupBy(*LEVELS).agg(F.min(F.struct(F.struct(*order).alias("at"), (F.col("_upto") - F.col("_tokens")).alias("base"))).alias("_cut"))
+    return cut.select(*LEVELS, F.col("_cut.at").alias("_cut"), F.col("_cut.base").alias("_base"))
 
 
 def mix_sql(plan: MixPlan = MixPlan()) -> str:
@@ -157,5 +170,5 @@ def mix_sql(plan: MixPlan = MixPlan()) -> str:
     l as {fill(f"select a.*, domain_budget from (select domain, lang, sum(capacity)::bigint capacity, {case('lang', plan.lang_weights)} weight from leaves group by all) a join d using (domain)", "domain", "lang", "domain_budget", "domain, lang", "lang_budget")},
     s as {fill(f"select v.*, lang_budget, {case('source', plan.source_weights)} weight from leaves v join l using (domain, lang)", "domain, lang", "source", "lang_budget", "domain, lang, source, supply", "budget")},
     b as (select *, case when supply > 0 then budget // supply else 0 end epochs, case when supply > 0 then budget % supply else 0 end rest from s),
-    o as (select k.*, epochs, rest, sum(tokens) over (partition by domain, lang, source order by md5(concat_ws(':', '{plan.seed}', epochs::bigint::varchar, coalesce(doc_id::varchar, ''))), doc_id, tokens) upto from keyed k join b using (domain, lang, source))
+    o as (select k.*, epochs, rest, sum(tokens) over (partition by domain, lang, source order by md5(concat_ws(':', '{plan.seed}', epochs::bigint::varchar, coalesce(doc_id::varchar, ''))), doc_id, tokens rows unbounded preceding) upto from keyed k join b using (domain, lang, source))
     select doc_id, domain, lang, source, tokens, (epochs + case when upto <= rest then 1 else 0 end)::bigint copies from o where epochs + case when upto <= rest then 1 else 0 end > 0"""
