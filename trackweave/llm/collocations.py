@@ -1,8 +1,8 @@
 """Phrases whose words stand together more often than their parts' frequencies explain, per language.
 
 Four passes over the texts, each of numpy arrays in mapped Arrow batches:
-1. Counters: every run of 1 to 5 words adds to one of 2^bits counters of its length, by its hash; the arrays are summed as a tree. A run that is frequent enough has a full counter, and so
-   have all runs within it: that makes candidates safe, as no frequent phrase is lost.
+1. Counters: every run of 1 to 4 words adds to two of 2^bits counters of its length, by its hashes; the arrays are summed as a tree. A run that is frequent enough has full counters, and so
+   have all runs within it: that makes candidates safe, as no frequent phrase is lost. Longer runs are candidates if those of four words within them are.
 2. Candidates: distinct runs with full counters throughout, single words too, each with its text.
 3. A minimal perfect hash over the candidates, in shards of about `slots` by hash. Mappers look each run up, compare the stored 128-bit key, bincount by slot, and the arrays are summed as a tree.
 4. Cuts: each candidate's own count and those of its first and last words are read by their slots. Counts below `least` end there.
@@ -10,7 +10,7 @@ Scores, containment and ranks are columns, in exact decimals.
 
 A word's key is a 128-bit hash of its bytes, a run's key is folded from the language's and its words' keys. A shard and its counts (24 bytes and some bits a slot) are all that is broadcast, one shard at
 a time, beside 5 * 2^bits bits of full counters; bits grow with the bytes of text up to `most_bits`. Beyond that counters fill up, so that more candidates are counted, in more shards, each of
-which is a further pass; results stay whole.
+which is a further pass; results stay whole. What a mapper holds and sends doesn't depend on how much it reads, so mappers are few and long: two a core, or one for 16 splits of the input if these are more.
 """
 
 from __future__ import annotations
@@ -41,10 +41,13 @@ class PhraseParams:
     top: int = 2000
     slots: int = 1 << 20
     most_bits: int = 24
+    sketched: int = 4
 
 
 #: Bytes of text for a counter: about 20 words, a fifth of the usual `least`.
 BYTES_A_COUNTER = 128
+#: Splits of the input that a mapper reads where they are many.
+SPLITS = 16
 #: Counters or slots of an array that is summed at a time, and arrays that a task sums at a time.
 BLOCK, FAN = 1 << 15, 64
 #: Lower case for A-Z, one sign between pieces (10) and one between words (32).
@@ -191,20 +194,28 @@ def _tree_sum(arrays: DataFrame, tasks: int, most: int | None = None) -> DataFra
     return arrays
 
 
+def _halves(hi: np.ndarray, lo: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's two counters, one in each half."""
+    drop = np.uint64(65 - bits)
+    return (hi >> drop).astype(np.int64), (lo >> drop).astype(np.int64) + (1 << bits - 1)
+
+
 def _full_counters(texts: DataFrame, tasks: int, bits: int, p: PhraseParams) -> tuple[np.ndarray, DataFrame]:
-    """Which counters of each length are full (bits of longest x 2^bits), and each language's words: lang, n."""
+    """Which counters of each length are full (bits of sketched x 2^bits), and each language's words: lang, n."""
+    lengths = min(p.sketched, p.longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, words = np.zeros((p.longest, 1 << bits), np.min_scalar_type(2 * p.least)), {}
+        counters, words = np.zeros((lengths, 1 << bits), np.int32), {}
         for batch in batches:
             for piece in pieces(batch):
                 runs = Runs(piece)
                 for lang, row in zip(runs.langs, np.bincount(runs.row, minlength=len(runs.langs)).tolist(), strict=True):
                     words[lang] = words.get(lang, 0) + row
-                for n, within, hi, _ in runs.by_length(p.longest):
-                    found = np.bincount((hi[within] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                    counters[n - 1] = np.minimum(counters[n - 1] + np.minimum(found, p.least), p.least)
-        for n in range(p.longest):
+                for n, within, hi, lo in runs.by_length(lengths):
+                    for at in _halves(hi[within], lo[within], bits):
+                        np.add.at(counters[n - 1], at, 1)
+            np.minimum(counters, p.least, out=counters)  # a batch has too few words for an overflow
+        for n in range(lengths):
             for row in _blocks(n + 1, counters[n]):
                 yield pa.RecordBatch.from_pylist([{**row, "lang": None, "n": None}], out)
         if words:
@@ -212,7 +223,7 @@ def _full_counters(texts: DataFrame, tasks: int, bits: int, p: PhraseParams) ->
 
     out = _ARROW.append(pa.field("lang", pa.string())).append(pa.field("n", pa.int64()))
     mapped = settled(texts.mapInArrow(run, f"{_ARRAYS}, lang string, n bigint"))
-    full = np.zeros((p.longest, (1 << bits) // 8), np.uint8)
+    full = np.zeros((lengths, (1 << bits) // 8), np.uint8)
     summed = _tree_sum(mapped.filter("part > 0").select("part", "block", "task", "counts"), tasks, p.least)
     for row in summed.mapInArrow(lambda batches: _bits(batches, p.least), _ARRAYS).toLocalIterator():
         packed = np.frombuffer(row["counts"], np.uint8)
@@ -226,14 +237,19 @@ def _bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pylist([{**r, "counts": np.packbits(_unpacked(r["counts"]) >= least, bitorder="little").tobytes()} for r in rows], _ARROW)
 
 
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _safe(runs: Runs, full: np.ndarray, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """length, places, and keys of the runs that have full counters, as all runs within them have."""
     before = None
     for n, within, hi, lo in runs.by_length(longest):
         ok = within if before is None else within & before[:-1] & before[1:]
         at = np.flatnonzero(ok)
-        counter = (hi[at] >> np.uint64(64 - bits)).astype(np.int64)
-        at = at[(full[n - 1][counter >> 3] >> (counter & 7).astype(np.uint8)) & 1 == 1]
+        if n <= len(full):
+            first, second = _halves(hi[at], lo[at], bits)
+            at = at[_set(full[n - 1], first) & _set(full[n - 1], second)]
         before = np.zeros(len(ok), bool)
         before[at] = True
         yield n, at, hi[at], lo[at]
@@ -332,7 +348,9 @@ def counted_phrases(docs: DataFrame, p: PhraseParams = PhraseParams()) -> tuple[
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    tasks = texts.rdd.getNumPartitions()
+    splits = texts.rdd.getNumPartitions()
+    tasks = min(splits, max(2 * spark.sparkContext.defaultParallelism, splits // SPLITS))
+    texts = texts.coalesce(tasks) if tasks else texts
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size, 1) / BYTES_A_COUNTER + 1)), BLOCK.bit_length() - 1), p.most_bits)
     full, words = _full_counters(texts, tasks, bits, p)
