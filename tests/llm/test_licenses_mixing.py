@@ -47,7 +47,7 @@ modification, are permitted provided that the following conditions are met:
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.""",
-    "GPL": """This program is free software: you can redistribute it and/or modify
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version.""",
@@ -61,7 +61,7 @@ Unless required by applicable law or agreed to in writing, software
 distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
 }
-WRAPPED_IDS = ["MITPermission,MITCondition,AsIs", "BSDRedist,BSDEndorse", "GPLFree", "ApacheVer,ApacheNotice,ApacheCopy,ApacheAsIs"]
+WRAPPED_IDS = ["MITPermission,MITCondition,AsIs", "BSDRedist,BSDEndorse", "GPL3Free", "ApacheVer,ApacheNotice,ApacheCopy,ApacheAsIs"]
 
 
 def test_sentences_over_lines(spark):
@@ -86,6 +86,31 @@ def test_further_licenses_and_declared_ones(spark):
     assert found(spark, list(cases)) == list(cases.values())
 
 
+GNU = """This {0} is free software{1} you can redistribute it and/or
+modify it under the terms of the GNU {2}General Public
+License as published by the Free Software Foundation{3} either
+version {4} of the License, or (at your option) any later version."""
+
+
+def test_versions_and_expressions(spark):
+    cases = {
+        GNU.format("library", ";", "Lesser ", ";", "2.1"): "LGPL-2.1",
+        GNU.format("program", ";", "", ";", "2"): "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License.": "GPL",
+        GNU.format("program", ":", "", ",", "3"): "GPL-3.0",
+        GNU.format("program", ":", "Affero ", ",", "3"): "AGPL-3.0",
+        GNU.format("library", ":", "Lesser ", ",", "3"): "LGPL-3.0",
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND " + " AND ".join(f"LicenseRef-{k:03}" for k in range(40)): ",".join(["classpath-exception-2.0", "gpl-2.0-or-later", *(f"licenseref-{k:03}" for k in range(40))]),
+        "SPDX-License-Identifier: OR": "",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "This library is distributed under the Artistic License 2.0.": "Artistic-2.0",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that\n\nAll advertising materials mentioning features or use of this software\nmust display the following acknowledgement:": "BSD-4-Clause",
+    }
+    got = dict(zip(cases, found(spark, list(cases)), strict=True))
+    assert got == cases
+
+
 def test_lines_that_are_sentences_stay_apart(spark):
     cases = {
         "Neither the name of\nLicensed under the MIT license\nmay be used to endorse or promote products derived from this software": "MIT",

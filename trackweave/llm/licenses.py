@@ -5,13 +5,16 @@ full stops inside numbers become one space) and mapped to the identifier of a kn
 sentence. A sentence may go on over line breaks and comment leaders, up to a full stop, a blank line or a line that
 is a known sentence by itself. The identifiers in order of appearance then run through ordered rules; the first rule whose
 sequence occurs, adjacent, names the licence, its identifiers are consumed, and the rest is matched again
-by the later rules. A line that declares an SPDX identifier has the identifier `SPDX:` and the declared words, which name the licence by themselves.
+by the later rules. A line that declares an SPDX expression has the identifier `SPDX:` and a licence for each licence that the expression joins by `or`, `and` or `with`; these name the licences by themselves.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: How the notices of the GNU licences begin and go on; the part before a semicolon is a sentence of its own.
+FREE = r"(this \S+ is free software )?you can redistribute it and or modify it under the terms of the "
+FSF = r" as published by the free software foundation,? (either )?"
 #: Identifier and pattern of a whole normalised sentence. The alternatives of a pattern start with a trigger word's sentence.
 SENTENCES = (
     ("ApacheVer", r"(this \S+ is )?licensed under the apache license,? version 2(\.0)?( the license)?"),
@@ -24,11 +27,27 @@ SENTENCES = (
     ("AsIs", r"the software is provided as is without warranty of any kind.*"),
     ("GPLv3", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 3(\.0)?( or any later version)?"),
     ("GPLv2", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 2(\.0)?( or any later version)?"),
+    ("LGPL3Free", rf"{FREE}gnu lesser general public license{FSF}version 3.*"),
+    ("LGPL21Free", rf"{FREE}gnu lesser general public license{FSF}version 2\.1.*"),
+    ("LGPL2Free", rf"{FREE}gnu (lesser|library) general public license{FSF}version 2.*"),
+    ("AGPL3Free", rf"{FREE}gnu affero general public license{FSF}version 3.*"),
+    ("GPL3Free", rf"{FREE}gnu general public license{FSF}version 3.*"),
+    ("GPL2Free", rf"{FREE}gnu general public license{FSF}version 2.*"),
+    ("LGPLFree", rf"{FREE}gnu (lesser|library) general public license( as published by the free software foundation)?"),
+    ("AGPLFree", rf"{FREE}gnu affero general public license( as published by the free software foundation)?"),
+    ("GPLOnly", rf"{FREE}gnu general public license( as published by the free software foundation)?"),
+    ("Either3", r"either version 3 of the license.*"),
+    ("Either21", r"either version 2\.1 of the license.*"),
+    ("Either2", r"either version 2 of the license.*"),
     ("GPLFree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*"),
     ("LGPL", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser|library) general public license.*"),
     ("CCBYNC4", r"(this \S+ is )?licensed under (a )?(cc by nc|creative commons attribution noncommercial) 4\.0( international)?( license)?"),
     ("CCBYSA4", r"(this \S+ is )?licensed under (a )?(cc by sa|creative commons attribution sharealike) 4\.0( international)?( license)?"),
     ("CCBY4", r"(this \S+ is )?licensed under (a )?(cc by|creative commons attribution) 4\.0( international)?( license)?"),
+    ("CCBYSA3", r"(this \S+ is )?licensed under (a |the )?(cc by sa|creative commons attribution share ?alike) 3\.0( unported)?( license)?"),
+    ("CCBY3", r"(this \S+ is )?licensed under (a |the )?(cc by|creative commons attribution) 3\.0( unported)?( license)?"),
+    ("Artistic2", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?(artistic license,? (version )?2\.0|the artistic license 2\.0)"),
+    ("BSDAdvert", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment.*"),
     ("BSDRedist", r"redistribution and use in source and binary forms with or without modification are permitted.*"),
     ("BSDEndorse", r"neither the name of .* may be used to endorse or promote products derived from this software.*"),
     ("AGPLv3", r"(this \S+ is )?(licensed|released|distributed) under the (terms of the )?gnu affero general public license.*"),
@@ -45,21 +64,43 @@ SENTENCES = (
 )
 #: What stands before a declared identifier, normalised.
 DECLARED = "spdx license identifier "
+#: Between the licences of an expression.
+JOINS = "(?:^| +)(?:or|and|with)(?: +|$)"
 #: Licence and its sequence of identifiers, the longest and most specific first.
 RULES = (
     ("Apache-2.0", ("ApacheVer", "ApacheNotice", "ApacheCopy", "ApacheAsIs")),
     ("MIT", ("MITPermission", "MITCondition", "AsIs")),
+    ("BSD-4-Clause", ("BSDRedist", "BSDAdvert", "BSDEndorse")),
+    ("BSD-4-Clause", ("BSDRedist", "BSDAdvert")),
     ("BSD-3-Clause", ("BSDRedist", "BSDEndorse")),
     ("Apache-2.0", ("ApacheVer",)),
     ("MIT", ("MITRelease",)),
     ("MIT", ("MITPermission",)),
     ("GPL-3.0", ("GPLv3",)),
     ("GPL-2.0", ("GPLv2",)),
+    ("LGPL-3.0", ("LGPL3Free",)),
+    ("LGPL-2.1", ("LGPL21Free",)),
+    ("LGPL-2.0", ("LGPL2Free",)),
+    ("AGPL-3.0", ("AGPL3Free",)),
+    ("GPL-3.0", ("GPL3Free",)),
+    ("GPL-2.0", ("GPL2Free",)),
+    ("LGPL-3.0", ("LGPLFree", "Either3")),
+    ("LGPL-2.1", ("LGPLFree", "Either21")),
+    ("LGPL-2.0", ("LGPLFree", "Either2")),
+    ("AGPL-3.0", ("AGPLFree", "Either3")),
+    ("GPL-3.0", ("GPLOnly", "Either3")),
+    ("GPL-2.0", ("GPLOnly", "Either2")),
+    ("LGPL", ("LGPLFree",)),
+    ("AGPL-3.0", ("AGPLFree",)),
+    ("GPL", ("GPLOnly",)),
     ("GPL", ("GPLFree",)),
     ("LGPL", ("LGPL",)),
     ("CC-BY-NC-4.0", ("CCBYNC4",)),
     ("CC-BY-SA-4.0", ("CCBYSA4",)),
     ("CC-BY-4.0", ("CCBY4",)),
+    ("CC-BY-SA-3.0", ("CCBYSA3",)),
+    ("CC-BY-3.0", ("CCBY3",)),
+    ("Artistic-2.0", ("Artistic2",)),
     ("BSD-2-Clause", ("BSDRedist",)),
     ("AGPL-3.0", ("AGPLv3",)),
     ("MPL-2.0", ("MPL2",)),
@@ -104,11 +145,18 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def declared(sentence: Column) -> Column:
+    """SPDX:a,SPDX:b of a normalised line that declares an expression of a and b, its words joined by hyphens; null if none is left."""
+    names = F.split(F.trim(F.replace(F.substring(sentence, F.lit(len(DECLARED) + 1), F.length(sentence)), F.lit(" or later"), F.lit("-or-later"))), JOINS)
+    names = F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("SPDX:"), F.replace(n, F.lit(" "), F.lit("-"))))
+    return F.when(F.size(names) > 0, F.array_join(names, ","))
+
+
 def sentence_id(sentence: Column) -> Column:
     """Identifier of a normalised sentence, or null; the first pattern wins."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        value = F.lit(name) if name != "SPDX" else F.concat(F.lit("SPDX:"), F.replace(F.substring(sentence, len(DECLARED) + 1, 200), F.lit(" "), F.lit("-")))
+        value = F.lit(name) if name != "SPDX" else declared(sentence)
         out = F.when(sentence.rlike(f"^(?:{pattern})$"), value).otherwise(out)
     return out
 
@@ -129,14 +177,18 @@ def scan(docs: DataFrame) -> DataFrame:
         x = x.withColumn(f"_r{i}", F.when(F.col("_rest").contains(f",{key},"), F.lit(name)))
         x = x.withColumn("_rest", F.replace("_rest", F.lit(f",{key},"), F.lit("|")))
         found.append(f"_r{i}")
-    declared = F.regexp_extract_all("sentence_ids", F.lit("SPDX:([^,]+)"), F.lit(1))
-    return x.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*found), declared)))), ",").alias("licenses"))
+    spdx = F.regexp_extract_all("sentence_ids", F.lit("SPDX:([^,]+)"), F.lit(1))
+    return x.select("doc_id", "sentence_ids", F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*found), spdx)))), ",").alias("licenses"))
+
+
+#: declared() of n in DuckDB.
+DECLARED_SQL = f"nullif(array_to_string(list_transform(list_filter(string_split_regex(trim(replace(substr(n, {len(DECLARED) + 1}), ' or later', '-or-later')), '{JOINS}'), lambda x: x <> ''), lambda x: 'SPDX:' || replace(x, ' ', '-')), ','), '')"
 
 
 def scan_sql() -> str:
     quoted = lambda s: s.replace("'", "''")
     norm = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+', ' ', 'g'), '\.([^0-9]|$)', '\1', 'g'), '(^|[^0-9])\.', '\1', 'g'))"
-    case = "case " + " ".join(f"when regexp_full_match(n, '{quoted(p)}') then " + (f"'{i}'" if i != "SPDX" else f"'SPDX:' || replace(substr(n, {len(DECLARED) + 1}, 200), ' ', '-')") for i, p in SENTENCES) + " end"
+    case = "case " + " ".join(f"when regexp_full_match(n, '{quoted(p)}') then " + (f"'{i}'" if i != "SPDX" else DECLARED_SQL) for i, p in SENTENCES) + " end"
     rest, steps = "r0", []
     for i, (_name, sequence) in enumerate(RULES):
         key = "," + ",,".join(sequence) + ","
