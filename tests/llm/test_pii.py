@@ -135,3 +135,35 @@ def test_keys(spark):
     drawn = [re.search(r"\d{16}", r["text"])[0] for r in pii.pseudonymise(docs).collect()]
     keyed = [re.search(r"\d{16}", r["text"])[0] for r in pii.pseudonymise(docs, KEY).collect()]
     assert drawn[0] == drawn[1] != keyed[0] == keyed[1]
+
+
+def mod97(t):
+    return int("".join(str(int(c, 36)) for c in t)) % 97
+
+
+def test_account_numbers(spark):
+    """Both writings, letters among the digits, a word behind, check digits that are wrong, and a card behind letters."""
+    values = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "BE68 5390 0754 7034"]
+    got, n = swapped(spark, [f"pay {v} now" for v in values] + ["pay BE68 5390 0754 7034 EUR", "pay DE88 3704 0044 0532 0130 00", "AB12 4111 1111 1111 1111"])
+    assert n[:6] == [1] * 6 and n[6:] == [0, 1]
+    for v, g in zip(values, got, strict=False):
+        new = g.removeprefix("pay ").removesuffix(" now")
+        plain, old = new.replace(" ", ""), v.replace(" ", "")
+        assert new != v and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", v) and mod97(plain[4:] + plain[:4]) == 1
+        assert re.sub(r"\D", "", plain[4:]) == digits(re.sub(r"\D", "", old[4:]), "iban")
+    assert got[0].replace(" ", "") == got[1].replace(" ", "")
+    assert got[5] == got[4].replace("now", "EUR") and got[6].endswith("DE88 3704 0044 0532 0130 00")
+    assert got[7] == "AB12 " + card("4111 1111 1111 1111")
+
+
+def test_key_in_no_plan(spark):
+    docs = spark.createDataFrame([(1, "call 415-555-2671")], "doc_id long, text string")
+    out = pii.pseudonymise(docs, KEY)
+    out.collect()
+    assert KEY not in out._jdf.queryExecution().toString() and KEY not in out._jdf.queryExecution().executedPlan().toString()
+    shown = spark.sql("set").collect()
+    pii.session_key(spark)
+    assert all(r["value"] != spark.conf.get(pii.KEY) for r in shown)
+    assert re.search("(?i)secret|password|token|access[.]?key", pii.KEY)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs.withColumn("_pii_key", F.lit("x")), KEY)
