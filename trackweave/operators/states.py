@@ -183,20 +183,10 @@ def farthest_order(d: DataFrame, key: str, order: str, columns: list[str]) -> Da
 
 
 def distances_to(edges: DataFrame, target: int) -> DataFrame:
-    """node, dist: least length from each node to the target, by rounds of relaxation until nothing changes (lengths aren't negative); parallel edges count by the shortest. The graph stays distributed."""
-    spark = edges.sparkSession
-    e = edges.groupBy("src", "dst").agg(F.min("length").alias("length"))
-    e = settled(e)
-    dist = spark.createDataFrame([(target, 0.0)], "node int, dist double")
-    last = None
-    while True:
-        step = e.join(dist, e.dst == dist.node).select(F.col("src").alias("node"), (F.col("length") + F.col("dist")).alias("dist"))
-        dist = dist.unionByName(step).groupBy("node").agg(F.min("dist").alias("dist"))
-        dist = settled(dist)
-        now = dist.agg(F.count("*"), F.sum(F.xxhash64("node", "dist").cast("decimal(20,0)"))).first()
-        if now == last:
-            return dist
-        last = now
+    """node, dist: least length from each node to the target, of edges src, dst, length; see paths.shortest_tree."""
+    from trackweave.operators.paths import shortest_tree
+
+    return shortest_tree(edges, [target]).select("node", "dist")
 
 
 def arrival_times(starts: DataFrame, edges: DataFrame, dist: DataFrame, least_speed: float = 0.5, cone: float = 90.0) -> DataFrame:

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from trackweave.operators import crowds, joins, metrics, states
 from trackweave.plans.catalog import P, SQL, _placed, _poly, query
 from trackweave.sources import readers, writers
-from trackweave.sources.shared import settled
+from trackweave.sources.shared import new_folder, settled
 
 C = F.col
 
 
 def _folder(d: DataFrame, name: str) -> str:
     """A new folder under the one that all executors share."""
-    import tempfile
-
-    context = d.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(d.sparkSession.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='trackweave-')}")
-    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(d.sparkSession, name)
 
 
 @query("detections", sql="select row_id, frame_id, track_id, confidence, class_name, x1, y2 from detections")

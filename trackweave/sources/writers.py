@@ -59,11 +59,16 @@ def write_frames(d: DataFrame, metadata: Mapping[str, str], path: str) -> None:
     d.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in metadata.items())).coalesce(1).write.json(f"{path}/metadata")
 
 
+def line(places: Column) -> Column:
+    """An array of places (lon, lat) as a GeoJSON line; a single place is none."""
+    shape = F.struct(F.lit("LineString").alias("type"), F.transform(places, lambda p: F.array(p.lon, p.lat)).alias("coordinates"))
+    return F.when(F.size(places) > 1, F.to_json(shape))
+
+
 def line_string(hops: DataFrame, key: str) -> DataFrame:
     """key, geojson: a line through the places (hop, lon, lat) in order; a single place is no line and has none."""
     g = hops.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("hop", "lon", "lat"))).alias("_h"))
-    line = F.struct(F.lit("LineString").alias("type"), F.transform("_h", lambda h: F.array(h.lon, h.lat)).alias("coordinates"))
-    return g.select(key, F.when(F.size("_h") > 1, F.to_json(line)).alias("geojson"))
+    return g.select(key, line(F.col("_h")).alias("geojson"))
 
 
 def write_depth(maps: DataFrame, path: str) -> None:
