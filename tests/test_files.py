@@ -50,7 +50,7 @@ def test_flight(spark, tmp_path):
     assert [(r["frame"], r["altitude"], r["below"]) for r in frames] == [(0, 41.0, 31.0), (1, 42.0, 32.0), (2, 41.5, 33.0)]
     (tmp_path / "zero.csv").write_text(FLIGHT.replace("-31,", "0,").replace("-32,", "0,").replace("-33,", "0,"))
     assert readers.read_telemetry(spark, uri(tmp_path / "zero.csv"), 3).count() == 0
-    assert readers.read_telemetry(spark, uri(tmp_path / "zero.csv"), 3, override=True).count() == 3
+    assert readers.read_telemetry(spark, uri(tmp_path / "zero.csv"), 3, override=-90.0).filter("pitch = -90 and below = 90").count() == 3
 
 
 def test_first_session(spark):

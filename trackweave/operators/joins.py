@@ -1,4 +1,4 @@
-"""Joins in time and space, without a cross join: as-of by hour buckets, radius and polygons by grid cells."""
+"""Joins in time and space, without a cross join: as-of by ranges of time, radius and polygons by grid cells."""
 
 from __future__ import annotations
 
@@ -10,32 +10,11 @@ from pyspark.sql import Window as W
 from trackweave.sources.shared import settled
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_id: str, bucket_us: int = 3_600_000_000) -> DataFrame:
-    """left plus right's row of the least distance in time (whole microseconds), the earlier one (by time, then right_id) on a tie.
+def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_id: str) -> DataFrame:
+    """left plus right's row of the least distance in time (whole microseconds), the earlier one (by time, then right_id) on a tie; see asof.nearest."""
+    from trackweave.operators.asof import nearest
 
-    Both sides are laid on buckets of time and ordered only within one; what a bucket's first rows need of the
-    buckets before and the last rows of those after is carried over from a table of one row per bucket that has right rows.
-    """
-    r = right.withColumn("_b", F.expr(f"{right_time} div {bucket_us}"))
-    key = F.struct(F.col(right_time).alias("t"), F.col(right_id).alias("i"))
-    edges = r.groupBy("_b").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
-    l = left.withColumn("_b", F.expr(f"{left_time} div {bucket_us}"))
-    blocks = l.select("_b").distinct().join(edges, "_b", "full")
-    order = W.orderBy("_b")
-    blocks = blocks.select("_b", F.last("_last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    names = left.columns
-    both = l.select("_b", F.col(left_time).alias("_t"), F.struct(*names).alias("_row"), F.lit(None).cast("struct<t:bigint,i:bigint>").alias("_r"), F.lit(1).alias("_side")).unionByName(
-        r.select("_b", F.col(right_time).alias("_t"), F.lit(None).cast(l.select(F.struct(*names)).schema[0].dataType).alias("_row"), key.cast("struct<t:bigint,i:bigint>").alias("_r"), F.lit(0).alias("_side")))
-    by = W.partitionBy("_b").orderBy("_t", "_side", "_r")
-    both = both.withColumns({"_prev": F.last("_r", True).over(by.rowsBetween(W.unboundedPreceding, 0)), "_next": F.first("_r", True).over(by.rowsBetween(0, W.unboundedFollowing))})
-    x = both.filter("_side = 1").join(blocks, "_b", "left")
-    prev, nxt = F.coalesce("_prev", F.col("_before").cast("struct<t:bigint,i:bigint>")), F.coalesce("_next", F.col("_after").cast("struct<t:bigint,i:bigint>"))
-    x = x.select("_row", "_t", prev.alias("_p"), nxt.alias("_n"))
-    near = F.when(F.col("_p").isNull(), F.col("_n")).when(F.col("_n").isNull() | (F.col("_t") - F.col("_p.t") <= F.col("_n.t") - F.col("_t")), F.col("_p")).otherwise(F.col("_n"))
-    x = x.withColumn("_m", near)
-    # of right rows of equal times the smallest id counts
-    ties = right.groupBy(F.col(right_time).alias("_rt")).agg(F.min(right_id).alias(right_id))
-    return x.withColumn("_rt", F.col("_m.t")).join(ties, "_rt", "left").select("_row.*", right_id, F.abs(F.col("_rt") - F.col("_t")).alias("dt_us"))
+    return nearest(left, right, left_time, right_time, right_id)
 
 
 def radius_neighbours(d: DataFrame, frame: list[str], n: str, e: str, key: str, radius: float = 10.0, slack: float = 1e-9) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions import geo
+from trackweave.operators.quantiles import percentiles
 
 
 def persons(d: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def residency(tracks: DataFrame, place: str = "place") -> DataFrame:
 
 
 def depth_range(d: DataFrame) -> DataFrame:
-    p = F.percentile("depth", F.array(F.lit(0.01), F.lit(0.99)))
-    return d.filter(geo.finite(F.col("depth")) > 0).agg(F.round(p[0], 6).alias("p1"), F.round(p[1], 6).alias("p99"), F.count("*").alias("n"))
+    """First and 99th percentile of all finite depths above 0, and their number; null without any."""
+    v = d.filter(geo.finite(F.col("depth")) > 0)
+    return v.agg(*(F.round(F.lit(x).cast("double"), 6).alias(n) for x, n in zip(percentiles(v, "depth", (0.01, 0.99)), ("p1", "p99"), strict=True)), F.count("*").alias("n"))
 
 
 def centre_depth(d: DataFrame, low: int = 3, high: int = 4) -> DataFrame:
@@ -69,12 +71,23 @@ def robust_depth(d: DataFrame) -> DataFrame:
     return d.join(cut, "frame_id").filter("depth <= _cut").groupBy("frame_id").agg(F.round(F.median("depth"), 6).alias("robust_depth"))
 
 
-def density_cap(d: DataFrame, value: str) -> DataFrame:
-    """99th percentile, 0.1 at least, interpolated."""
-    return d.agg(F.round(F.greatest(F.percentile(value, F.lit(0.99)), F.lit(0.1)), 6).alias("cap"))
+def density_cap(d: DataFrame, value: str, lower: bool = False) -> DataFrame:
+    """99th percentile, 0.1 at least, linear or that of the lower rank; 0.5 if there is no value."""
+    (found,) = percentiles(d, value, (0.99,), lower)
+    return d.sparkSession.range(1).select(F.round(F.lit(0.5 if found is None else max(found, 0.1)), 6).alias("cap"))
 
 
 def frame_rate(d: DataFrame) -> DataFrame:
     """(rows - 1) / seconds between the first and the last; 24 if that is undefined."""
     t = d.agg(F.count("*").alias("n"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("us"))
     return t.select(F.round(F.when(F.col("us") > 0, (F.col("n") - 1) * 1e6 / F.col("us")).otherwise(24.0), 9).alias("fps"))
+
+
+def kept_points(d: DataFrame, confidence: str, percent: float, colours: tuple[str, str, str] | None = None, black: bool = True, white: bool = True, z: str | None = None, nearest: float = 0.01) -> DataFrame:
+    """Points of a confidence at the table's percentile or above it (0: all) that is over 1e-5; with colours (0 to 255) not nearly black or white; with z finite and farther than `nearest`."""
+    (cut,) = percentiles(d, confidence, (percent / 100,)) if percent else (0.0,)
+    keep = (F.col(confidence) >= F.lit(cut).cast("double")) & (F.col(confidence) > 1e-5)
+    if colours:
+        r, g, b = (F.col(c) for c in colours)
+        keep = keep & (r + g + b >= 16 if black else F.lit(True)) & (~((r > 240) & (g > 240) & (b > 240)) if white else F.lit(True))
+    return d.filter(keep & (geo.finite(F.col(z)) > nearest if z else F.lit(True)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.operators import crowds, metrics
+from trackweave.operators import asof, crowds, metrics
 from trackweave.plans.catalog import P, query, rounded
 
 C = F.col
@@ -207,7 +207,30 @@ def telemetry_interpolate(t):
 
 @query("detections", sql=", q as (select quantile_cont(confidence, 0.5) cut from detections) select row_id from detections, q where confidence >= cut and confidence > 1e-5")
 def confident_points(d):
-    return d.crossJoin(F.broadcast(d.agg(F.percentile("confidence", F.lit(0.5)).alias("cut")))).filter("confidence >= cut and confidence > 1e-5").select("row_id")
+    return metrics.kept_points(d, "confidence", 50.0).select("row_id")
+
+
+_rgb = "(frame_id*37 + u*29 + v*11) % 256 r, (frame_id*53 + u*31) % 256 g, (frame_id*71 + v*43) % 256 b"
+
+
+@query("depth_pixels", sql=f""", x as (select frame_id, u, v, depth, {_rgb}, case when (frame_id + u) % 9 = 0 then 0.5 else depth end z from depth_pixels), q as (select quantile_cont(depth, 0.25) cut from x)
+ select frame_id, u, v, r, g, b from x, q where depth >= cut and depth > 1e-5 and r + g + b >= 16 and not (r > 240 and g > 240 and b > 240) and z > 0.6""")
+def coloured_points(p):
+    """Pixels as points with made-up colours: without the least confident quarter, black and white ground, and what is too near. Depth stands for confidence."""
+    x = p.selectExpr("frame_id", "u", "v", "depth", *_rgb.replace("% 256 ", "% 256 as ").split(", "), "case when (frame_id + u) % 9 = 0 then 0.5 else depth end z")
+    return metrics.kept_points(x, "depth", 25.0, colours=("r", "g", "b"), z="z", nearest=0.6).select("frame_id", "u", "v", "r", "g", "b")
+
+
+@query("detections", "telemetry", sql=""", l as (select row_id, epoch_us(ts) + (row_id % 3 - 1) * 864000000000 us from detections), r as (select epoch_us(ts) us, min((altitude, gimbal_yaw)) s from telemetry group by 1),
+ k as (select us, s[1] altitude, s[2] yaw, row_number() over (order by us) i, count(*) over () n from r),
+ x as (select l.row_id, l.us, least(greatest(coalesce(p.i, 0), 1), (select any_value(n) - 1 from k)) i from l asof left join k p on l.us >= p.us),
+ y as (select row_id, a.altitude a0, b.altitude a1, radians(a.yaw) y0, radians(b.yaw) y1, (x.us - a.us) / (b.us - a.us)::double w from x join k a on a.i = x.i join k b on b.i = x.i + 1)
+ select row_id, round(a0 + (a1 - a0) * w, 4) altitude, round(degrees(atan2(round(sin(y0) + (sin(y1) - sin(y0)) * w, 9) + 0, round(cos(y0) + (cos(y1) - cos(y0)) * w, 9) + 0)), 3) yaw from y""")
+def telemetry_between(d, t):
+    """Altitude and yaw at detections' times, a third of them ten days early and a third ten days late."""
+    us = lambda c: F.unix_micros(C(c).cast("timestamp"))
+    x = asof.interpolated(d.select("row_id", (us("ts") + (C("row_id") % 3 - 1) * 864000000000).alias("us")), t.select(us("ts").alias("us"), "altitude", C("gimbal_yaw").alias("yaw")), "us", "us", ["altitude"], ["yaw"])
+    return x.select("row_id", F.round("altitude", 4).alias("altitude"), F.round("yaw", 3).alias("yaw"))
 
 
 @query("detections")

@@ -147,6 +147,12 @@ def density_cap(d):
     return metrics.density_cap(joins.radius_neighbours(metrics.persons(d), ["video_id", "frame_id"], "pos_n", "pos_e", "row_id"), "density")
 
 
+@query("detections", sql=f", p as {P}, n as (select a.row_id, count(*) - 1 density from p a join p b on a.video_id = b.video_id and a.frame_id = b.frame_id and (a.pos_n-b.pos_n)*(a.pos_n-b.pos_n)+(a.pos_e-b.pos_e)*(a.pos_e-b.pos_e) <= 100 + 1e-9 group by a.row_id) select round(greatest((select density from (select density, row_number() over (order by density) - 1 k, count(*) over () c from n) where k = floor(0.99 * (c - 1))), 0.1), 6) cap")
+def density_cap_lower(d):
+    """The value at the lower rank, as a viewer takes it."""
+    return metrics.density_cap(joins.radius_neighbours(metrics.persons(d), ["video_id", "frame_id"], "pos_n", "pos_e", "row_id"), "density", lower=True)
+
+
 @query("telemetry", sql=", m as (select min(longitude*20037508.34/180) x0, max(longitude*20037508.34/180) x1, min(ln(tan((90+latitude)*pi()/360))/(pi()/180)*20037508.34/180) y0, max(ln(tan((90+latitude)*pi()/360))/(pi()/180)*20037508.34/180) y1 from telemetry), s as (select *, greatest(x1-x0, y1-y0) * 1.2 / 2 h from m) select round((x0+x1)/2-h, 3) west, round((x0+x1)/2+h, 3) east, round((y0+y1)/2-h, 3) south, round((y0+y1)/2+h, 3) north from s")
 def square_bounds(t):
     """Bounds with a tenth more on each side, as wide as high."""

@@ -108,16 +108,25 @@ def indexed(d: DataFrame, order: str = "seq") -> DataFrame:
     return x.withColumn("_n", n).join(F.broadcast(before), "_part").withColumn("i", F.col("_n") - 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_n", "count", "_before")
 
 
-def read_telemetry(spark: SparkSession, path: str, frames: int, least: float = 0.0, override: bool = False) -> DataFrame:
-    """frame, altitude (a missing one is the mean), pitch, roll, below (horizontal, within least to 90) and yaw of a video's frames, resampled from its rows; empty if the gimbal's pitch is zero throughout, unless overridden."""
+def read_telemetry(spark: SparkSession, path: str, frames: int, least: float = 0.0, override: float | None = None) -> DataFrame:
+    """frame, altitude, pitch, roll, below (horizontal, within least to 90), yaw and timestamp of a video's frames: even places along its rows, linear between neighbours, the time of the row before.
+
+    A missing altitude is the mean. If the gimbal's pitch is zero throughout, it is `override`, or without one the result is empty.
+    """
+    from trackweave.operators.asof import interpolated
+    from trackweave.sources.shared import settled
+
     t, _ = read_flight(spark, path, placed=())
-    t = t.withColumn("altitude", F.when(~F.isnan("altitude"), F.col("altitude")))
+    t = settled(indexed(t.withColumn("altitude", F.when(~F.isnan("altitude"), F.col("altitude")))))
     known = t.agg(F.max(F.abs("gimbal_pitch")).alias("most"), F.avg("altitude").alias("mean"), F.count("*").alias("n")).first()
-    if not known["n"] or (not known["most"] and not override):
-        t = t.limit(0)
-    i = spark.range(frames).select(F.col("id").alias("frame"), F.floor(F.col("id") * (known["n"] - 1) / max(1, frames - 1)).cast("bigint").alias("i"))
-    x = i.join(indexed(t), "i")
-    return x.select("frame", F.coalesce("altitude", F.lit(known["mean"])).alias("altitude"), F.col("gimbal_pitch").alias("pitch"), F.col("gimbal_roll").alias("roll"), F.least(F.greatest(-F.col("gimbal_pitch"), F.lit(least)), F.lit(90.0)).alias("below"), F.col("gimbal_yaw").alias("yaw"))
+    if known["n"] and not known["most"]:
+        t = t.withColumn("gimbal_pitch", F.lit(override).cast("double"))
+    empty = not known["n"] or (not known["most"] and override is None)
+    t = t.select(F.col("i").cast("double").alias("at"), F.coalesce("altitude", F.lit(known["mean"])).alias("altitude"), F.col("gimbal_pitch").alias("pitch"), F.col("gimbal_roll").alias("roll"), F.col("gimbal_yaw").alias("yaw"), F.col("i").alias("row"), "timestamp")
+    places = spark.range(0 if empty else frames).select(F.col("id").alias("frame"), (F.col("id") * float((known["n"] or 1) - 1) / max(1, frames - 1)).alias("place"))
+    x = interpolated(places, t.drop("row", "timestamp"), "place", "at", ["altitude", "pitch", "roll", "yaw"])
+    x = x.join(t.select("row", "timestamp"), F.floor(F.col("place")).cast("bigint") == F.col("row"))
+    return x.select("frame", "altitude", "pitch", "roll", F.least(F.greatest(-F.col("pitch"), F.lit(least)), F.lit(90.0)).alias("below"), "yaw", "timestamp")
 
 
 def session_trajectory(t: DataFrame) -> DataFrame:
