@@ -67,11 +67,11 @@ def test_arrays(spark, tmp_path):
     a, b = (readers.read_poses(spark, uri(tmp_path / f"{n}.npz")).first() for n in "ab")
     assert (a["r"], a["t"]) == (turn.ravel().tolist(), [1, 2, 3]) and (b["r"], b["t"]) == (turn.T.ravel().tolist(), (-turn.T @ [1, 2, 3]).tolist())
     (tmp_path / "d").mkdir()
-    for name, v in (("depth_metric_0001", 1), ("depth_0001", 2), ("depth_0002", 3), ("depth_3", 4), ("other", 9)):
+    for name, v in (("depth_metric_0001", 1), ("depth_0001", 2), ("depth_0002", 3), ("depth_3", 4), ("other", 9), ("frame_0007_depth", 5), ("0007", 6), ("0008", 7), ("depth_8", 9), ("frame_9_depth", 9), ("depth_metric_12345", 8)):
         np.save(tmp_path / "d" / name, np.full((2, 3), v, np.float32))
     maps = readers.read_depth(spark, uri(tmp_path / "d"))
-    assert [(r["frame"], r["h"], r["w"], r["depth"][0]) for r in maps.orderBy("frame").collect()] == [(1, 2, 3, 1.0), (2, 2, 3, 3.0), (3, 2, 3, 4.0)]
-    assert readers.depth_pixels(maps).filter("u = 2 and v = 1").count() == 3
+    assert [(r["frame"], r["h"], r["w"], r["depth"][0]) for r in maps.orderBy("frame").collect()] == [(1, 2, 3, 1.0), (2, 2, 3, 3.0), (3, 2, 3, 4.0), (7, 2, 3, 5.0), (8, 2, 3, 7.0), (12345, 2, 3, 8.0)]
+    assert readers.depth_pixels(maps).filter("u = 2 and v = 1").count() == 6
     np.save(tmp_path / "k.npy", np.array([[5, 0, 1], [0, 6, 2], [0, 0, 1.0]]))
     assert tuple(readers.read_intrinsics(spark, uri(tmp_path / "k.npy")).first()) == (0, 5.0, 6.0, 1.0, 2.0)
 
@@ -83,7 +83,8 @@ def test_texts(spark, tmp_path):
         json.dump({"long": [frame] * 3, "short": [frame]}, f)
     got = readers.read_annotations(spark, uri(tmp_path / "s.json.gz"), 2).orderBy("idx").collect()
     assert [(r["seq"], r["idx"], r["filepath"], r["extri"]) for r in got] == [("long", k, "x.jpg", [[1.0]]) for k in range(3)]
-    (tmp_path / "c.txt").write_text("frame cameraID k[0,0]\n0 0 1.5 2\n0 1 3 4\n1 0 5 6\n")
+    (tmp_path / "c.txt").write_text("frame cameraID k[0,0]\n0 0 1.5 2\n0 1 3 4\n1 0 5 6\n2 7 " + " ".join(str(k) for k in range(150)) + "\n")
+    assert readers.read_camera_text(spark, uri(tmp_path / "c.txt"), 7).first()["numbers"] == [float(k) for k in range(150)]
     assert [tuple(r) for r in readers.read_camera_text(spark, uri(tmp_path / "c.txt"), 0).orderBy("frame").collect()] == [(0, [1.5, 2.0]), (1, [5.0, 6.0])]
     (tmp_path / "p.json").write_text(json.dumps({"One": [11, 12, 13], "Two": [[21, 22, 23], [], [24, 25, 99]], "Way": {"from_osm_name": "High Street", "buffer_m": 4}, "None": [], "Null": None}))
     rings, buffers = readers.read_user_polygons(spark, uri(tmp_path / "p.json"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions import geo
-from trackweave.plans.catalog import _home, _n2, _with_home, query
+from trackweave.plans.catalog import SQL, _home, _n2, _with_home, query
+from trackweave.sources.adapters import ctes
 
 C = F.col
 
@@ -263,22 +264,37 @@ def running_average(d):
     return b.groupBy(F.floor(C("frame_id") / 50).cast("int").alias("run")).agg(F.round(F.sum(C("v") * C("n")) / F.sum("n"), 6).alias("meter"), F.sum("n").alias("n"))
 
 
-@query("poses", sql=", x as (select frame_id, tx, ty, tz, qx, qy from poses where frame_id < 400), n as (select frame_id, tx/l tx, ty/l ty, tz/l tz, qx/l qx, qy/l qy from (select *, sqrt(tx*tx+ty*ty+tz*tz+qx*qx+qy*qy) l from x)), s as (select a.frame_id, sum(a.tx*b.tx+a.ty*b.ty+a.tz*b.tz+a.qx*b.qx+a.qy*b.qy) s from n a, n b group by a.frame_id) select frame_id, round(s, 4) as total from s order by round(s, 4) desc, frame_id limit 1")
+@query("poses", sql=", x as (select frame_id, tx, ty, tz, qx, qy from poses), n as (select frame_id, tx/l tx, ty/l ty, tz/l tz, qx/l qx, qy/l qy from (select *, sqrt(tx*tx+ty*ty+tz*tz+qx*qx+qy*qy) l from x)), s as (select a.frame_id, sum(a.tx*b.tx+a.ty*b.ty+a.tz*b.tz+a.qx*b.qx+a.qy*b.qy) s from n a, n b group by a.frame_id) select frame_id, round(s, 4) as total from s order by round(s, 4) desc, frame_id limit 1")
 def most_common_frame(p):
     """The frame most like all others: the sum of its cosines is its product with the sum of unit vectors, so no pairs are made."""
     cols = ("tx", "ty", "tz", "qx", "qy")
     length = F.sqrt(sum((C(c) ** 2 for c in cols), F.lit(0.0)))
-    x = p.filter("frame_id < 400").select("frame_id", *((C(c) / length).alias(c) for c in cols))
+    x = p.select("frame_id", *((C(c) / length).alias(c) for c in cols))
     m = x.agg(*(F.sum(c).alias(f"s_{c}") for c in cols))
     t = F.round(sum((C(c) * C(f"s_{c}") for c in cols), F.lit(0.0)), 4)
     return x.crossJoin(F.broadcast(m)).select("frame_id", t.alias("total")).orderBy(F.desc("total"), "frame_id").limit(1)
 
 
-@query("depth_pixels", sql=", x as (select frame_id // 10 seg, frame_id % 10 as local, u, v, depth from depth_pixels), g as (select distinct seg from x), r as (select b.seg, median(a.depth / b.depth) filter (where b.depth > 1e-8 and a.depth > 1e-6 and a.local >= 8) step from x a join x b on a.seg + 1 = b.seg and a.local - 8 = b.local and a.u = b.u and a.v = b.v group by b.seg) select seg, round(coalesce(step, 1), 6) step, round(exp(sum(ln(coalesce(step, 1))) over (order by seg)), 5) as scale from g left join r using (seg)")
+_joint = "(a.seg + 1) % 7 <> 3 and b.depth > 1e-6 and a.depth > 1e-6"
+
+
+@query("depth_pixels")
 def overlap_scales(d):
-    """Each segment's scale from the last two frames of the one before and its own first two; 1 where there are none. The window is over a row per segment."""
+    """Each segment's scale to the first one's: from the last two frames of the one before, scaled, and its own first two; 1 outright where no pixel is valid in both (here: every seventh segment).
+
+    So scales are products of steps since the last such segment. The window is over a row per segment.
+    """
     x = d.select(F.floor(C("frame_id") / 10).cast("int").alias("seg"), (C("frame_id") % 10).alias("local"), "u", "v", "depth")
-    a = x.filter("local >= 8").select((C("seg") + 1).alias("seg"), (C("local") - 8).alias("local"), "u", "v", C("depth").alias("before"))
-    r = x.join(a, ["seg", "local", "u", "v"]).filter("depth > 1e-8 and before > 1e-6").groupBy("seg").agg(F.median(C("before") / C("depth")).alias("step"))
-    s = F.coalesce("step", F.lit(1.0))
-    return x.select("seg").distinct().join(r, "seg", "left").select("seg", F.round(s, 6).alias("step"), F.round(F.exp(F.sum(F.ln(s)).over(W.orderBy("seg"))), 5).alias("scale"))
+    a = x.filter("local >= 8 and (seg + 1) % 7 <> 3").select((C("seg") + 1).alias("seg"), (C("local") - 8).alias("local"), "u", "v", C("depth").alias("before"))
+    r = x.join(a, ["seg", "local", "u", "v"]).filter("depth > 1e-6 and before > 1e-6").groupBy("seg").agg(F.median(C("before") / C("depth")).alias("step"))
+    order = W.orderBy("seg").rowsBetween(W.unboundedPreceding, 0)
+    y = x.select("seg").distinct().join(r, "seg", "left").withColumn("run", F.sum(C("step").isNull().cast("int")).over(order))
+    scale = F.exp(F.sum(F.coalesce(F.ln("step"), F.lit(0.0))).over(W.partitionBy("run").orderBy("seg").rowsBetween(W.unboundedPreceding, 0)))
+    return y.select("seg", F.round("step", 6).alias("step"), F.round(scale, 5).alias("scale"))
+
+
+SQL["overlap_scales"] = ctes("depth_pixels").replace("with ", "with recursive ", 1) + f""", x as (select frame_id // 10 seg, frame_id % 10 as local, u, v, depth from depth_pixels),
+ r as (select b.seg, median(a.depth / b.depth) step from x a join x b on a.seg + 1 = b.seg and a.local - 8 = b.local and a.u = b.u and a.v = b.v where {_joint} group by b.seg),
+ g as (select seg, step, row_number() over (order by seg) k from (select distinct seg from x) left join r using (seg)),
+ w as (select seg, step, k, 1.0::double as scale from g where k = 1 union all select g.seg, g.step, g.k, case when g.step is null then 1.0 else w.scale * g.step end from w join g on g.k = w.k + 1)
+ select seg, round(step, 6) step, round(scale, 5) as scale from w"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from trackweave.operators import crowds, joins, metrics, states
 from trackweave.plans.catalog import P, SQL, _placed, _poly, query
-from trackweave.sources import readers, writers
+from trackweave.sources import keyed, readers, writers
 from trackweave.sources.shared import new_folder, settled
 
 C = F.col
@@ -219,3 +219,12 @@ def nearby_frames(p):
     """Of each frame, itself and seven drawn with repetition from those less than twice as many frames away."""
     top = p.agg((F.max("frame_id") + 1).alias("total"))
     return joins.nearby(p.select("frame_id").join(F.broadcast(top)), "frame_id", C("total"), 8, seed=7)
+
+
+@query("detections", "telemetry", sql=f", p as {P}, l as (select frame_id, track_id, max(row_id) row_id from detections where class_name = 'person' group by all), k as (select distinct seq % 40 frame_id, seq % 23 + 1 track_id from telemetry) select frame_id, track_id, row_id, confidence from k join l using (frame_id, track_id) join (select row_id, confidence from detections) using (row_id)")
+def indexed_lookups(d, t):
+    """Persons written as an indexed table, and those of a table of keys read from it."""
+    path = _folder(d, "tracks")
+    keyed.tracks_index(d, path)
+    wanted = t.select((C("seq") % 40).alias("frame_id"), (C("seq") % 23 + 1).alias("track_id"))
+    return keyed.find_all(wanted, path).select("frame_id", "track_id", "row_id", "confidence")

@@ -152,11 +152,17 @@ def _arrays(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def _numbered(path: str) -> int | None:
+#: Names of a frame's depth map, the first that is there counts; the number has four digits, or in the last two none in front.
+DEPTH_NAMES = ("depth_metric_{:04d}.npy", "depth_{:04d}.npy", "frame_{:04d}_depth.npy", "{:04d}.npy", "depth_metric_{}.npy", "depth_{}.npy")
+
+
+def depth_name(name: str) -> tuple[int, int] | None:
+    """Frame and rank of a depth map's file name; None of any other name."""
     import re
 
-    m = re.search(r"(\d+)\.npy$", path)
-    return int(m[1]) if m else None
+    number = re.search(r"(\d+)(?:_depth)?\.npy$", name)
+    rank = next((k for k, form in enumerate(DEPTH_NAMES) if number and form.format(int(number[1])) == name), None)
+    return None if rank is None else (int(number[1]), rank)
 
 
 def read_poses(spark: SparkSession, path: str, key: str = "poses") -> DataFrame:
@@ -174,13 +180,13 @@ def read_poses(spark: SparkSession, path: str, key: str = "poses") -> DataFrame:
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
-    """frame, h, w, depth (by rows) of one map a frame from .npy files: of a frame's files depth_metric_0007 goes before depth_0007, and these before the names without zeros."""
+    """frame, h, w, depth (by rows) of one map a frame from .npy files, under any of DEPTH_NAMES, the first of them that a frame has. Files of other names aren't depth maps."""
     def rows(where, content):
-        x = np.load(io.BytesIO(content))
-        name = where.rsplit("/", 1)[-1]
-        padded = len(name.rsplit("_", 1)[-1]) >= len("0000.npy")
-        yield pa.RecordBatch.from_arrays([pa.array([_numbered(where)], pa.int64()), pa.array([2 * (not padded) + (not name.startswith("depth_metric"))], pa.int32()), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.astype(np.float32).ravel()], pa.list_(pa.float32()))], ["frame", "rank", "h", "w", "depth"])
-    x = _arrays(spark, f"{path}/*.npy", "frame long, rank int, h int, w int, depth array<float>", rows).filter("frame is not null")
+        named = depth_name(where.rsplit("/", 1)[-1])
+        if named:
+            x = np.load(io.BytesIO(content))
+            yield pa.RecordBatch.from_arrays([pa.array([named[0]], pa.int64()), pa.array([named[1]], pa.int32()), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.astype(np.float32).ravel()], pa.list_(pa.float32()))], ["frame", "rank", "h", "w", "depth"])
+    x = _arrays(spark, f"{path}/*.npy", "frame long, rank int, h int, w int, depth array<float>", rows)
     return x.groupBy("frame").agg(F.min_by(F.struct("h", "w", "depth"), "rank").alias("_m")).select("frame", "_m.*")
 
 
@@ -208,7 +214,7 @@ def read_annotations(spark: SparkSession, path: str, least: int) -> DataFrame:
 def read_camera_text(spark: SparkSession, path: str, camera: int) -> DataFrame:
     """Numbers by frame of a text table with blanks between columns and a header, of one camera."""
     x = spark.read.text(path).filter(F.col("value").rlike(r"^\s*\d")).select(F.split(F.trim("value"), r"\s+").alias("_c"))
-    return x.filter(F.col("_c")[1].cast("int") == camera).select(F.col("_c")[0].cast("int").alias("frame"), F.transform(F.slice("_c", 3, 99), lambda c: c.cast("double")).alias("numbers"))
+    return x.filter(F.col("_c")[1].cast("int") == camera).select(F.col("_c")[0].cast("int").alias("frame"), F.transform(F.slice("_c", F.lit(3), F.greatest(F.size("_c") - 2, F.lit(0))), lambda c: c.cast("double")).alias("numbers"))
 
 
 def read_user_polygons(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
