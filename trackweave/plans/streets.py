@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.operators import crowds, joins, metrics, states
+from trackweave.operators import crowds, joins, metrics, overlay, states
 from trackweave.plans.catalog import P, SQL, _placed, _poly, query
 from trackweave.sources import keyed, readers, writers
 from trackweave.sources.shared import new_folder, settled
@@ -228,3 +228,20 @@ def indexed_lookups(d, t):
     keyed.tracks_index(d, path)
     wanted = t.select((C("seq") % 40).alias("frame_id"), (C("seq") % 23 + 1).alias("track_id"))
     return keyed.find_all(wanted, path).select("frame_id", "track_id", "row_id", "confidence")
+
+
+@query("polygon_vertices", sql=""", g as (select name, length(name) % 3 as shape, min(n) n0, max(n) n1, min(e) e0, max(e) e1 from polygon_vertices group by name having count(distinct n) = 2),
+ ns as (select shape, n, lead(n) over (partition by shape order by n) n2 from (select shape, n0 n from g union select shape, n1 from g)), es as (select shape, e, lead(e) over (partition by shape order by e) e2 from (select shape, e0 e from g union select shape, e1 from g))
+ select shape::int shape, round(sum((n2 - n) * (e2 - e)), 3) area from ns join es using (shape) where n2 is not null and e2 is not null and exists (select 1 from g where g.shape = ns.shape and n0 <= n and n2 <= n1 and e0 <= e and e2 <= e1) group by shape""")
+def square_unions(v):
+    """Areas of the unions of the square polygons, by the length of their names."""
+    squares = v.groupBy("name").agg(F.countDistinct("n").alias("_c")).filter("_c = 2")
+    x = v.join(squares, "name").select((F.length("name") % 3).cast("string").alias("name"), F.xxhash64("name", "ring_id").alias("ring_id"), "seq", "n", "e")
+    return overlay.union_areas(x).select(C("name").cast("int").alias("shape"), F.round("area", 3).alias("area"))
+
+
+@query("graph_edges", sql="select cast(y1 as int) as row, round(2 * 1.5 * (greatest(max(x1), max(x2)) - least(min(x1), min(x2))) + 1.5 * 1.5 * 32 * sin(2 * pi() / 64), 3) area from graph_edges where y1 = y2 group by y1")
+def buffered_rows(g):
+    """Areas within 1.5 m of the graph's rows, each of several edges in both directions."""
+    lines = g.filter("y1 = y2").select(C("y1").cast("int").cast("string").alias("name"), C("x1").alias("n"), C("y1").alias("e"), C("x2").alias("n2"), C("y2").alias("e2"), F.lit(1.5).alias("metres"))
+    return overlay.union_areas(overlay.buffers(lines)).select(C("name").cast("int").alias("row"), F.round("area", 3).alias("area"))
