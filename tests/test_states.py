@@ -24,9 +24,28 @@ def test_kalman_axes_do_not_interact():
         gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + 9 * np.eye(2))
         x, p = x + gain @ (z[k] - h @ x), (np.eye(4) - gain @ h) @ p
         out.append(x)
-    for axis in (0, 1):
-        got = states.kalman_axis(frames, z[:, axis], 1.0, 2.0, 3.0)
-        np.testing.assert_allclose(got, np.array(out)[:, [axis, axis + 2]])
+    k = states.Kalman(1.0, 2.0, (3.0, 3.0, 9.0))
+    held = k.begun(np.array(frames[:1]), np.array([[*z[0], 5.0]]))
+    for i in range(6):
+        held = k.advanced(held, np.array([frames[i]]), np.array([[*z[i], 5.0]])) if i else held
+        np.testing.assert_allclose(held[0, 1:3, :2].ravel(), np.array(out)[i])
+
+
+def test_tracks_pass_in_batches(spark):
+    """Long and short tracks, over the ends of Arrow batches, as each alone."""
+    rng = np.random.default_rng(2)
+    rows = [(k, int(t), int(f), *map(float, rng.normal(size=3))) for k, (t, f) in enumerate((t, f) for t, n in enumerate((300, 1, 40, 7, 90)) for f in np.cumsum(rng.integers(0, 4, n)))]
+    d = spark.createDataFrame(rows, "row_id long, track_id long, frame_id int, pos_n double, pos_e double, pos_d double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["row_id"]: tuple(r)[2:] for r in states.kalman_tracks(d.repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    k, held = states.Kalman(), {}
+    for row, track, frame, *z in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        at = np.array([frame]), np.array([z])
+        held[track] = k.advanced(held[track], *at) if track in held else k.begun(*at)
+        np.testing.assert_allclose(got[row], held[track][0, 1:3].ravel(), atol=1e-12)
 
 
 def test_assignment_is_least():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -9,36 +12,74 @@ from pyspark.sql import DataFrame, functions as F
 from trackweave.sources.shared import settled
 
 
-def kalman_axis(frames: np.ndarray, z: np.ndarray, dt: float, accel: float, sigma: float) -> np.ndarray:
-    """Positions and velocities of a constant-velocity filter on one axis. A gap of g frames is g predictions, in closed form; a repeated frame none."""
-    out = np.empty((len(z), 2))
-    x, v, p00, p01, p11 = float(z[0]), 0.0, 25.0, 0.0, 4.0
-    q, r = accel**2, sigma**2
-    out[0] = x, v
-    for k, g in enumerate(np.diff(frames).astype(float), 1):
+@dataclass(frozen=True)
+class Kalman:
+    """A constant-velocity filter on three axes that don't interact: variances of measurements by axis, and of acceleration.
+
+    A track's state is a row of 16 numbers: its frame, and for each axis place, velocity, and the three numbers of their covariance. Functions take many tracks at once, a row each.
+    """
+
+    fps: float = 24.0
+    accel: float = 0.5
+    sigma: tuple[float, float, float] = (5.0, 5.0, 2.0)
+
+    def begun(self, frame: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """States of tracks at their first rows."""
+        out = np.zeros((len(z), 6, 3))
+        out[:, 0, 0], out[:, 1], out[:, 3], out[:, 5] = frame, z, 25.0, 4.0
+        return out
+
+    def advanced(self, state: np.ndarray, frame: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """States after the next row of each. A gap of g frames is g predictions, in closed form; a repeated frame none. Axes of equal noise have equal gains, as these don't depend on what is measured."""
+        g = (frame - state[:, 0, 0]).astype(float)[:, None]
+        dt, q, r = 1 / self.fps, self.accel**2, np.array(self.sigma) ** 2
+        _, x, v, p00, p01, p11 = (state[:, k] for k in range(6))
         t = g * dt
-        x += t * v
-        p00 += 2 * t * p01 + t * t * p11 + q * dt**4 * (g / 4 + g * (g - 1) / 2 + g * (g - 1) * (2 * g - 1) / 6)
-        p01 += t * p11 + q * dt**3 * (g / 2 + g * (g - 1) / 2)
-        p11 += q * dt**2 * g
-        gain, lift = p00 / (p00 + r), p01 / (p00 + r)
-        off = float(z[k]) - x
-        x, v = x + gain * off, v + lift * off
-        p00, p01, p11 = p00 - gain * p00, p01 - gain * p01, p11 - lift * p01
-        out[k] = x, v
-    return out
+        x = x + t * v
+        p00 = p00 + 2 * t * p01 + t * t * p11 + q * dt**4 * (g / 4 + g * (g - 1) / 2 + g * (g - 1) * (2 * g - 1) / 6)
+        p01 = p01 + t * p11 + q * dt**3 * (g / 2 + g * (g - 1) / 2)
+        p11 = p11 + q * dt**2 * g
+        gain, lift, off = p00 / (p00 + r), p01 / (p00 + r), z - x
+        out = np.stack([np.zeros_like(x), x + gain * off, v + lift * off, p00 - gain * p00, p01 - gain * p01, p11 - lift * p01], 1)
+        out[:, 0, 0] = frame
+        return out
+
+
+FILTERED = tuple(f"kf_{x}" for x in ("n", "e", "d", "vn", "ve", "vd"))
+
+
+def _filtered(batches: Iterator[pd.DataFrame], k: Kalman) -> Iterator[pd.DataFrame]:
+    """Rows sorted by track, frame and row: all tracks of a batch go on side by side, a row of each at a time; the last one's state is carried to the next batch."""
+    last, held = None, None
+    for b in batches:
+        if not len(b):
+            continue
+        track, frame, z = b["track_id"].to_numpy(), b["frame_id"].to_numpy(), b[["pos_n", "pos_e", "pos_d"]].to_numpy(float)
+        starts = np.flatnonzero(np.concatenate([[True], track[1:] != track[:-1]]))
+        lengths = np.diff(np.append(starts, len(b)))
+        out, order = np.empty((len(b), 6)), np.argsort(-lengths, kind="stable")
+        begin, lengths = starts[order], lengths[order]
+        state = k.begun(frame[begin], z[begin])
+        if held is not None and track[0] == last:
+            at = int(np.flatnonzero(begin == 0)[0])
+            state[at] = k.advanced(held[None], frame[:1], z[:1])[0]
+        final = state.copy()
+        for j in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -j, side="left"))
+            rows = begin[:live] + j
+            if j:
+                state = k.advanced(state[:live], frame[rows], z[rows])
+                final[:live] = state
+            out[rows] = state[:live, 1:3].reshape(live, 6)
+        last, held = track[-1], final[int(np.argmax(begin))]
+        yield pd.DataFrame({"row_id": b["row_id"], "track_id": track, **{c: out[:, i] for i, c in enumerate(FILTERED)}})
 
 
 def kalman_tracks(d: DataFrame, fps: float = 24.0, accel: float = 0.5, sigma: float = 5.0, sigma_down: float = 2.0) -> DataFrame:
-    """row_id, track_id, smoothed place (kf_n, kf_e, kf_d) and velocity by track. Axes don't interact, so each has a filter of two states; those with equal noise share their gains."""
-    axes = {"n": sigma, "e": sigma, "d": sigma_down}
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["frame_id", "row_id"])
-        s = {x: kalman_axis(g["frame_id"].to_numpy(), g[f"pos_{x}"].to_numpy(), 1 / fps, accel, r) for x, r in axes.items()}
-        return pd.DataFrame({"row_id": g["row_id"], "track_id": g["track_id"], **{f"kf_{x}": s[x][:, 0] for x in axes}, **{f"kf_v{x}": s[x][:, 1] for x in axes}})
-    schema = "row_id long, track_id long, " + ", ".join(f"kf_{x} double" for x in ("n", "e", "d", "vn", "ve", "vd"))
-    return d.select("row_id", "track_id", "frame_id", "pos_n", "pos_e", "pos_d").groupBy("track_id").applyInPandas(run, schema)
+    """row_id, track_id, smoothed place (kf_n, kf_e, kf_d) and velocity by track, in order of frame and row. A track passes as a stream of batches, so a long one isn't held."""
+    k = Kalman(fps, accel, (sigma, sigma, sigma_down))
+    x = d.select("row_id", "track_id", "frame_id", "pos_n", "pos_e", "pos_d").repartition("track_id").sortWithinPartitions("track_id", "frame_id", "row_id")
+    return x.mapInPandas(lambda batches: _filtered(batches, k), "row_id long, track_id long, " + ", ".join(f"{c} double" for c in FILTERED))
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
