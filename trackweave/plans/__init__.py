@@ -1,3 +1,3 @@
 """The catalog of queries."""
 
-from trackweave.plans import catalog, depth, more, routes, streets, tracks  # noqa: F401  all add to the catalog
+from trackweave.plans import catalog, depth, flight, more, routes, streets, tracks  # noqa: F401  all add to the catalog

@@ -279,9 +279,9 @@ def cluster_cost_matrix(d):
 
 
 
-def _kalman_sql(down: float = 4.0) -> str:
+def _kalman_sql(down: float = 4.0, fps: float = 24.0, measured: str | None = None) -> str:
     """The same filter, row by row of a track: covariances of the horizontal axes (h) and the vertical one (z), predicted over a gap in closed form."""
-    dt, q, g = "(1.0::double/24.0::double)", "0.25::double", "(n.frame_id - w.frame_id)::double"
+    dt, q, g = f"(1.0::double/{fps}::double)", "0.25::double", "(n.frame_id - w.frame_id)::double"
     grown = (
         lambda a: f"w.{a}00 + 2*{g}*{dt}*w.{a}01 + {g}*{g}*{dt}*{dt}*w.{a}11 + {q}*{dt}*{dt}*{dt}*{dt}*({g}/4 + {g}*({g}-1)/2 + {g}*({g}-1)*(2*{g}-1)/6)",
         lambda a: f"w.{a}01 + {g}*{dt}*w.{a}11 + {q}*{dt}*{dt}*{dt}*({g}/2 + {g}*({g}-1)/2)",
@@ -292,7 +292,9 @@ def _kalman_sql(down: float = 4.0) -> str:
     gain = ", ".join(f"{a}00/({a}00+{r}) {a}k, {a}01/({a}00+{r}) {a}l" for a, r in (("h", "25.0::double"), ("z", f"{down}::double")))
     new = ", ".join(f"{x} + {a}k*(m{x} - {x}) {x}, v{x} + {a}l*(m{x} - {x}) v{x}" for x, a in (("pn", "h"), ("pe", "h"), ("pd", "z")))
     left = ", ".join(f"{a}00 - {a}k*{a}00 {a}00, {a}01 - {a}k*{a}01 {a}01, {a}11 - {a}l*{a}01 {a}11" for a in "hz")
-    return ctes("detections").replace("with ", "with recursive ", 1) + f""", m as (select row_id, track_id, frame_id, pos_n mpn, pos_e mpe, -(40 + row_id % 60)::double mpd, row_number() over (partition by track_id order by frame_id, row_id) k from detections),
+    start = ctes("detections").replace("with ", "with recursive ", 1) + ", " if measured is None else measured + ", "
+    rows = "m as (select row_id, track_id, frame_id, pos_n mpn, pos_e mpe, -(40 + row_id % 60)::double mpd, row_number() over (partition by track_id order by frame_id, row_id) k from detections)" if measured is None else "m as (select row_id, track_id, frame_id, pos_n mpn, pos_e mpe, pos_d mpd, row_number() over (partition by track_id order by frame_id, row_id) k from measured)"
+    return start + rows + f""",
      w as (select row_id, track_id, frame_id, k, mpn pn, 0.0::double vpn, mpe pe, 0.0::double vpe, mpd pd, 0.0::double vpd, 25.0::double h00, 0.0::double h01, 4.0::double h11, 25.0::double z00, 0.0::double z01, 4.0::double z11 from m where k = 1
       union all select row_id, track_id, frame_id, k, {new}, {left} from (select *, {gain} from (select n.row_id, n.track_id, n.frame_id, n.k, mpn, mpe, mpd, {moved}, {predicted} from m n join w on n.track_id = w.track_id and n.k = w.k + 1)))
      select row_id, track_id, round(pn, 6) + 0 kf_n, round(pe, 6) + 0 kf_e, round(pd, 6) + 0 kf_d, round(vpn, 6) + 0 kf_vn, round(vpe, 6) + 0 kf_ve, round(vpd, 6) + 0 kf_vd from w"""
