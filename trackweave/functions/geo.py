@@ -196,3 +196,13 @@ def undistorted(u: Column, v: Column, k1: float, k2: float, rounds: int = 12) ->
         return F.struct((u / s).alias("x"), (v / s).alias("y"))
     p = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u.alias("x"), v.alias("y")), step)
     return p["x"], p["y"]
+
+
+#: The colours of no density and of the most.
+SPARSE, DENSE = (204, 204, 204), (10, 36, 99)
+
+
+def density_colour(density: Column, most: float, least: float = 0.0) -> Column:
+    """A colour in hex between SPARSE and DENSE; what is outside of least to most has the colour of the end."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (density - least) / (most - least)))
+    return F.format_string("#%02X%02X%02X", *(F.floor(a * (1 - t) + b * t).cast("int") for a, b in zip(SPARSE, DENSE, strict=True)))

@@ -29,7 +29,7 @@ def radius_neighbours(d: DataFrame, frame: list[str], n: str, e: str, key: str,
 
 def nearest_point(points: DataFrame, key: str, n: str, e: str, nodes: DataFrame, node: str, node_n: str, node_e: str, cell: float) -> DataFrame:
     """points with the nearest node (squared distances rounded to 9 places; the smaller node on a tie), by grid cells: what has no node within a cell's width
-    among the nine cells around it is looked up again in cells four times as wide, until nothing is left. Without nodes, or with a null place, there is none."""
+    among the nine cells around it is looked up again in cells four times as wide, until nothing is left. The nodes are copied to nine cells each, the points to none. Without nodes, or with a null place, there is none."""
     left = points.select(F.col(key).alias("_k"), F.col(n).cast("double").alias("_n"), F.col(e).cast("double").alias("_e")).filter("_n is not null and _e is not null")
     at = nodes.select(F.col(node).alias("_node"), F.col(node_n).alias("_x"), F.col(node_e).alias("_y"))
     span = at.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).crossJoin(left.agg(F.min("_n").alias("n0"), F.max("_n").alias("n1"), F.min("_e").alias("e0"), F.max("_e").alias("e1"))).first()
@@ -38,8 +38,8 @@ def nearest_point(points: DataFrame, key: str, n: str, e: str, nodes: DataFrame,
         widest = max(max(span["x1"], span["n1"]) - min(span["x0"], span["n0"]), max(span["y1"], span["e1"]) - min(span["y0"], span["e0"]))
         shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
         while True:
-            around = left.withColumn("_s", F.explode(shifts)).withColumns({"_cn": F.floor(F.col("_n") / cell) + F.col("_s.a"), "_ce": F.floor(F.col("_e") / cell) + F.col("_s.b")}).drop("_s")
-            near = around.join(at.withColumns({"_cn": F.floor(F.col("_x") / cell), "_ce": F.floor(F.col("_y") / cell)}), ["_cn", "_ce"])
+            around = at.withColumn("_s", F.explode(shifts)).withColumns({"_cn": F.floor(F.col("_x") / cell) + F.col("_s.a"), "_ce": F.floor(F.col("_y") / cell) + F.col("_s.b")}).drop("_s")
+            near = left.withColumns({"_cn": F.floor(F.col("_n") / cell), "_ce": F.floor(F.col("_e") / cell)}).join(around, ["_cn", "_ce"])
             best = near.groupBy("_k").agg(F.min(F.struct(F.round((F.col("_n") - F.col("_x")) ** 2 + (F.col("_e") - F.col("_y")) ** 2, 9).alias("d"), F.col("_node").alias("node"))).alias("_b"))
             last = cell > widest
             best = settled(best if last else best.filter(F.col("_b.d") <= cell * cell))

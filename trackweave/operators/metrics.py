@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -91,3 +93,15 @@ def kept_points(d: DataFrame, confidence: str, percent: float, colours: tuple[st
         r, g, b = (F.col(c) for c in colours)
         keep = keep & (r + g + b >= 16 if black else F.lit(True)) & (~((r > 240) & (g > 240) & (b > 240)) if white else F.lit(True))
     return d.filter(keep & (geo.finite(F.col(z)) > nearest if z else F.lit(True)))
+
+
+def sample_errors(estimate: DataFrame, truth: DataFrame, key: str, axes: Sequence[str]) -> DataFrame:
+    """key and, by axis, estimate less truth of the samples that both have."""
+    t = truth.select(key, *(F.col(a).alias(f"_{a}") for a in axes))
+    return estimate.join(t, key).select(key, *((F.col(a) - F.col(f"_{a}")).alias(a) for a in axes))
+
+
+def rms(errors: DataFrame, axes: Sequence[str], place: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """rms_ of each axis, nulls and NaN left out, and rms_3d of those of the place together; null without samples."""
+    square = {a: F.avg(F.when(~F.isnan(a), F.col(a) * F.col(a))) for a in axes}
+    return errors.agg(*(F.sqrt(square[a]).alias(f"rms_{a}") for a in axes), F.sqrt(square[place[0]] + square[place[1]] + square[place[2]]).alias("rms_3d"))

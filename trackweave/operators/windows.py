@@ -54,9 +54,24 @@ def first_per(d: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def compact_ids(d: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """value to 1, 2, ... by first appearance. Only one row per id is ordered."""
+    """value to 1, 2, ... by first appearance. Only one row per id is ordered, in ranges whose counts are added up."""
+    from trackweave.sources.readers import indexed
+
     firsts = d.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("_at"))
-    return firsts.withColumn("compact_id", F.row_number().over(W.orderBy("_at"))).select(value, F.col("compact_id").cast("bigint").alias("compact_id"))
+    return indexed(firsts, "_at").select(value, (F.col("i") + 1).cast("bigint").alias("compact_id"))
+
+
+def concatenated(sets: list[DataFrame], order: str) -> DataFrame:
+    """The rows of several sets of equal columns with idx, their number in all, source, their set's number, and sample, their number within it by `order`; all from 0."""
+    from functools import reduce
+
+    from trackweave.sources.readers import indexed
+
+    parts, before = [], 0
+    for k, d in enumerate(sets):
+        parts.append(indexed(d, order).select(*d.columns, (F.col("i") + before).cast("bigint").alias("idx"), F.lit(k).alias("source"), F.col("i").cast("bigint").alias("sample")))
+        before += d.count()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sessions(d: DataFrame, flag: str, key: str, order: str) -> DataFrame:

@@ -174,10 +174,22 @@ def relative_altitude(t):
     return x.select("seq", F.round(windows.relative_to_first("altitude", "day", "seq"), 6).alias("climb"))
 
 
-QUERIES["hopping_segments"] = lambda spark, sf_dir: windows.hopping_segments(spark, 120, 30, 6)
-SQL["hopping_segments"] = "select s segment, s * 24 + k frame, k local from range(5) a(s), range(30) b(k) where s * 24 + k < 120"
-QUERIES["segment_dedupe"] = lambda spark, sf_dir: windows.hopping_segments(spark, 120, 30, 6).filter("segment = 0 or local >= 6")
-SQL["segment_dedupe"] = "select s segment, s * 24 + k frame, k local from range(5) a(s), range(30) b(k) where s * 24 + k < 120 and (s = 0 or k >= 6)"
+_hops = ", m as (select max(frame_id) + 1 m from poses), s as (select s * 24 s from m, range(1 + greatest(0, ceil((m - 30) / 24.0)::int)) t(s)), h as (select (s // 24)::bigint segment, (s + k)::bigint as frame, k as local from s, m, range(30) t(k) where s + k < m)"
+
+
+@query("poses", sql=_hops + " select segment, frame, local from h")
+def hopping_segments(p):
+    """Of the poses' frames, 30 a segment, 6 of them in the next one, too."""
+    frames = p.agg(F.max("frame_id")).first()[0] + 1
+    return windows.hopping_segments(p.sparkSession, frames, 30, 6)
+
+
+@query("poses", sql=_hops + " select segment, frame, local, round(tx, 6) tx from h join poses on frame_id = frame where segment = 0 or local >= 6")
+def segment_dedupe(p):
+    """Each pose once, in the first segment that has its frame."""
+    frames = p.agg(F.max("frame_id")).first()[0] + 1
+    kept = windows.hopping_segments(p.sparkSession, frames, 30, 6).filter("segment = 0 or local >= 6")
+    return kept.join(p.select(C("frame_id").cast("bigint").alias("frame"), F.round("tx", 6).alias("tx")), "frame")
 
 
 def _us(c):

@@ -157,8 +157,8 @@ def detection_depth(d, p):
     """Robust depth inside each detection's box, scaled to the depth map: median of what is up to the 70th percentile. Detections of frames without a map are left out."""
     lo = {a: F.least(F.bround(C(f"{a}1") / s), F.lit(7.0)) for a, s in (("x", F.lit(160.0)), ("y", F.lit(90.0)))}
     boxes = d.select("row_id", "frame_id", lo["x"].alias("u0"), F.greatest(F.bround(C("x2") / F.lit(160.0)), lo["x"] + 1).alias("u1"), lo["y"].alias("v0"), F.greatest(F.bround(C("y2") / F.lit(90.0)), lo["y"] + 1).alias("v1"))
-    maps = p.groupBy("frame_id").agg(F.collect_list(F.struct("u", "v", "depth")).alias("_map"))  # one frame's pixels
-    j = boxes.join(maps, "frame_id").withColumn("_in", F.array_sort(F.transform(F.filter("_map", lambda m: (m.u >= C("u0")) & (m.u < C("u1")) & (m.v >= C("v0")) & (m.v < C("v1"))), lambda m: m.depth)))
+    rows = boxes.select("row_id", "frame_id", C("u0").cast("int").alias("u0"), C("u1").cast("int").alias("u1"), F.explode(F.sequence(C("v0").cast("int"), C("v1").cast("int") - 1)).alias("v"))
+    j = rows.join(p, ["frame_id", "v"]).filter("u >= u0 and u < u1").groupBy("row_id", "frame_id").agg(F.array_sort(F.collect_list("depth")).alias("_in"))  # a box's own pixels, by rows of the map
     # percentile and median of the few pixels of a box, interpolated
     at = lambda x, q: (lambda k: F.element_at(x, (F.floor(k) + 1).cast("int")) + (F.element_at(x, (F.ceil(k) + 1).cast("int")) - F.element_at(x, (F.floor(k) + 1).cast("int"))) * (k - F.floor(k)))(q * (F.size(x) - 1))
     j = j.filter(F.size("_in") > 0).withColumn("_cut", at(C("_in"), F.lit(0.7))).withColumn("_low", F.filter("_in", lambda v: v <= C("_cut")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trackweave.operators import chain
-from trackweave.plans.catalog import SQL, _kalman_sql, query
+from trackweave.functions import geo
+from trackweave.operators import chain, metrics
+from trackweave.plans.catalog import SQL, _kalman_sql, _with_home, query
+from trackweave.plans.depth import _matrix, _r
 from trackweave.plans.streets import _folder
 from trackweave.sources import files, readers
 from trackweave.sources.adapters import ctes
@@ -63,3 +65,28 @@ SQL["flight_states"] = f"""{_head.rstrip()}, k as (select row_id, track_id, fram
   from k join (select row_id, depth_m from measured) using (row_id) join (select track_id, min(frame_id) first_detect_frame from detections group by track_id) q on q.track_id = k.track_id, home
   union all select frame_id, 0, null, null, latitude, longitude, altitude, null, sqrt(vel_north*vel_north + vel_east*vel_east) * 2.23694 from near join f using (i) where frame_id < {FRAMES})
  select frame_id, track_id, row_id, first_detect_frame, {', '.join(f'round({c}, {n}) {c}' for c, n in COLUMNS.items())} from s"""
+
+
+#: Errors of the poses against the telemetry row of the same number, about the first row.
+_errors = f""", o as (select latitude lat0, longitude lon0, altitude alt0 from telemetry where seq = 0), e as (select seq, tx - radians(longitude - lon0) * 6371000 * cos(radians(lat0)) x, ty - radians(latitude - lat0) * 6371000 y, tz - (altitude - alt0) z,
+ degrees(asin(greatest(-1, least(1, -{_r['12']})))) - gimbal_pitch pitch, degrees(atan2({_r['10']}, {_r['11']})) - gimbal_roll roll, degrees(atan2({_r['02']}, {_r['22']})) - gimbal_yaw yaw from poses join telemetry on seq = frame_id, o)"""
+AXES = ("x", "y", "z", "pitch", "roll", "yaw")
+
+
+def _errors_of(p: DataFrame, t: DataFrame) -> DataFrame:
+    e, n = geo.local_metres(C("latitude"), C("longitude"), C("lat0"), C("lon0"))
+    truth = _with_home(t).select(C("seq").alias("frame_id"), e.alias("x"), n.alias("y"), (C("altitude") - C("alt0")).alias("z"), C("gimbal_pitch").alias("pitch"), C("gimbal_roll").alias("roll"), C("gimbal_yaw").alias("yaw"))
+    pitch, roll, yaw = geo.euler(_matrix())
+    estimate = p.select("frame_id", C("tx").alias("x"), C("ty").alias("y"), C("tz").alias("z"), pitch.alias("pitch"), roll.alias("roll"), yaw.alias("yaw"))
+    return metrics.sample_errors(estimate, truth, "frame_id", AXES)
+
+
+@query("poses", "telemetry", sql=f"{_errors} select seq as frame_id, {', '.join(f'round({a}, 4) + 0 {a}' for a in AXES)} from e")
+def pose_errors(p, t):
+    """Estimate less truth, sample by sample."""
+    return _errors_of(p, t).select("frame_id", *((F.round(a, 4) + F.lit(0.0)).alias(a) for a in AXES))
+
+
+@query("poses", "telemetry", sql=f"{_errors} select {', '.join(f'round(sqrt(avg({a} * {a})), 4) rms_{a}' for a in AXES)}, round(sqrt(avg(x*x) + avg(y*y) + avg(z*z)), 4) rms_3d from e")
+def rms_errors(p, t):
+    return metrics.rms(_errors_of(p, t), AXES).select(*(F.round(f"rms_{a}", 4).alias(f"rms_{a}") for a in (*AXES, "3d")))

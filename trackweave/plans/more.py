@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.operators import asof, crowds, metrics
+from trackweave.functions import geo
+from trackweave.operators import asof, crowds, joins, metrics
 from trackweave.plans.catalog import P, query, rounded
+from trackweave.sources.shared import settled
 
 C = F.col
 _day = "epoch_us(ts) // 86400000000"
@@ -25,12 +27,6 @@ def _day_of(ts: str):
     return F.floor(F.unix_micros(C(ts).cast("timestamp")) / 86400000000)
 
 
-@query("poses", sql="select round(sqrt(avg((tx-qx)*(tx-qx))), 6) rms_x, round(sqrt(avg((ty-qy)*(ty-qy))), 6) rms_y, round(sqrt(avg((tz-qz)*(tz-qz))), 6) rms_z, round(sqrt(avg((tx-qx)*(tx-qx)+(ty-qy)*(ty-qy)+(tz-qz)*(tz-qz))), 6) rms_3d from poses")
-def rms_errors(p):
-    e = [(C(f"t{a}") - C(f"q{a}")) ** 2 for a in "xyz"]
-    return p.agg(*rounded(rms_x=F.sqrt(F.avg(e[0])), rms_y=F.sqrt(F.avg(e[1])), rms_z=F.sqrt(F.avg(e[2])), rms_3d=F.sqrt(F.avg(e[0] + e[1] + e[2]))))
-
-
 @query("polygon_vertices", sql=", w as (select name, seq, n + 1 as n2 from polygon_vertices where n > 10), k as (select name, seq, n from polygon_vertices where n < 24) select coalesce(k.name, w.name) as name, coalesce(k.seq, w.seq) as seq, round(coalesce(n2, n), 6) as n from k full join w on k.name = w.name and k.seq = w.seq")
 def polygon_upsert(v):
     """Vertices north of 10 replace or join those south of 24."""
@@ -49,9 +45,11 @@ def track_sets(d):
     return one.intersect(two).withColumn("side", F.lit("both")).unionByName(one.subtract(two).withColumn("side", F.lit("first")))
 
 
-@query("detections", "telemetry", sql="select kind, count(*) n from (select 'object' kind from detections union all select 'camera' from telemetry) group by kind")
+@query("detections", "telemetry", sql="select 'object' as kind, frame_id::bigint frame, track_id::bigint track, confidence from detections union all select 'camera', seq, 0, null from telemetry")
 def objects_and_camera(d, t):
-    return d.select(F.lit("object").alias("kind")).unionByName(t.select(F.lit("camera").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+    """All rows of both in one table; what the camera's lack is null."""
+    o = d.select(F.lit("object").alias("kind"), C("frame_id").cast("bigint").alias("frame"), C("track_id").cast("bigint").alias("track"), "confidence")
+    return o.unionByName(t.select(F.lit("camera").alias("kind"), C("seq").cast("bigint").alias("frame"), F.lit(0).cast("bigint").alias("track")), allowMissingColumns=True)
 
 
 @query("detections", sql="select crowd_id, count(*) n from detections where crowd_id is not null group by crowd_id order by n desc, min(row_id) limit 8")
@@ -82,10 +80,15 @@ def crowd_namespace(d):
     return d.filter("crowd_id is not null").select("row_id", g.alias("global_id"), F.floor(g / 10000).cast("int").alias("street"), (g % 10000).alias("local_id"), ((C("crowd_id") - 1) % 12).alias("palette"))
 
 
-@query("detections", sql="select row_id, printf('#%02X%02X%02X', floor(255 * confidence)::int, floor(255 * (1 - confidence))::int, 64) colour from detections")
+_near = f", p as {P}, n as (select a.row_id, count(*) - 1 density from p a join p b on a.video_id = b.video_id and a.frame_id = b.frame_id and (a.pos_n-b.pos_n)*(a.pos_n-b.pos_n)+(a.pos_e-b.pos_e)*(a.pos_e-b.pos_e) <= 100 + 1e-9 group by a.row_id), cap as (select greatest(quantile_cont(density, 0.99), 0.1) cap from n)"
+
+
+@query("detections", sql=f"{_near}, t as (select row_id, least(1, greatest(0, density / cap)) t from n, cap) select row_id, printf('#%02X%02X%02X', floor(204 * (1 - t) + 10 * t)::int, floor(204 * (1 - t) + 36 * t)::int, floor(204 * (1 - t) + 99 * t)::int) colour from t")
 def density_colours(d):
-    r = F.floor(255 * C("confidence")).cast("int")
-    return d.select("row_id", F.format_string("#%02X%02X%02X", r, F.floor(255 * (1 - C("confidence"))).cast("int"), F.lit(64)).alias("colour"))
+    """People's density on a scale up to its 99th percentile."""
+    n = settled(joins.radius_neighbours(metrics.persons(d), ["video_id", "frame_id"], "pos_n", "pos_e", "row_id"))
+    cap = metrics.density_cap(n, "density").first()["cap"]
+    return n.select("row_id", geo.density_colour(C("density").cast("double"), cap).alias("colour"))
 
 
 @query("telemetry", sql="select seq, k::int k, round(10 * cos(radians(drone_yaw - 45 + 3.75 * k)), 6) + 0 n, round(10 * sin(radians(drone_yaw - 45 + 3.75 * k)), 6) + 0 e from telemetry, range(25) r(k)")

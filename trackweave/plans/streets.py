@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from trackweave.operators import crowds, joins, metrics, overlay, states
+from trackweave.operators import crowds, joins, metrics, overlay, states, windows
 from trackweave.plans.catalog import P, SQL, _placed, _poly, query
 from trackweave.sources import keyed, readers, writers
 from trackweave.sources.shared import new_folder, settled
@@ -135,11 +135,10 @@ def within_buffer(d, g):
     return joins.near_lines(metrics.persons(d), "row_id", "pos_n", "pos_e", s, ("x1", "y1", "x2", "y2"), 1.5).select("row_id", "near")
 
 
-@query("detections", "telemetry", sql="select source, n from (select 'detections' as source, count(*) n from detections group by 1 union all select 'telemetry', count(*) from telemetry)")
+@query("detections", "telemetry", sql="select row_number() over (order by source, id) - 1 as idx, source, k as sample, id from (select 0 source, row_number() over (order by row_id) - 1 k, row_id::bigint id from detections union all select 1, row_number() over (order by seq) - 1, seq from telemetry)")
 def joined_datasets(d, t):
-    """Rows of several sets with their source."""
-    x = d.select(C("row_id").cast("bigint").alias("id"), F.lit("detections").alias("source")).unionByName(t.select(C("seq").cast("bigint").alias("id"), F.lit("telemetry").alias("source")))
-    return x.groupBy("source").agg(F.count("*").alias("n"))
+    """Two sets under one numbering: each row's number in all, its set, and its number there."""
+    return windows.concatenated([d.select(C("row_id").cast("bigint").alias("id")), t.select(C("seq").cast("bigint").alias("id"))], "id")
 
 
 @query("detections", sql=f", p as {P}, n as (select a.row_id, count(*) - 1 density from p a join p b on a.video_id = b.video_id and a.frame_id = b.frame_id and (a.pos_n-b.pos_n)*(a.pos_n-b.pos_n)+(a.pos_e-b.pos_e)*(a.pos_e-b.pos_e) <= 100 + 1e-9 group by a.row_id) select round(greatest(quantile_cont(density, 0.99), 0.1), 6) cap from n")
