@@ -97,3 +97,36 @@ def test_odd_archives(spark, tmp_path):
     for folder in ("plain", "packed"):
         rows = spark.read.format("warc").load(f"file://{tmp_path}/{folder}").select("record_id", "payload_bytes", F.length("payload").alias("n")).collect()
         assert [(r["record_id"][-2:-1], r["payload_bytes"], r["n"]) for r in rows if r["record_id"][-2:-1] in "24"] == [("2", 9_000_000, 9_000_000), ("4", 4, 4)]
+
+
+def http_record(n, body, named=None, kind="response"):
+    head = f"HTTP/1.1 200 OK\r\n{'' if named is None else f'Content-Length: {named}' + chr(13) + chr(10)}\r\n".encode()
+    block = head + body
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_http_lengths(spark, tmp_path):
+    """What the block holds counts, whatever the HTTP head says; of a revisit, which leaves its payload out, what it says."""
+    (tmp_path / "a.warc").write_bytes(http_record(1, b"hello", "abc") + http_record(2, b"hello") + http_record(3, b"hello", 999) + http_record(4, b"hello", 5) + http_record(5, b"", 77, "revisit") + http_record(6, b"", "x", "revisit"))
+    spark.dataSource.register(warc.WarcSource)
+    rows = spark.read.format("warc").load(f"file://{tmp_path}").select("record_id", "payload_bytes", "payload").collect()
+    assert [(r["record_id"][-2], r["payload_bytes"], bytes(r["payload"])) for r in rows] == [*((str(k), 5, b"hello") for k in (1, 2, 3, 4)), ("5", 77, b""), ("6", 0, b"")]
+
+
+def test_damaged_archives(spark, tmp_path):
+    """Records of damaged members, and one that is cut off at the end, are left out; the others come."""
+    import random
+
+    r = random.Random(1)
+    members = [gzip.compress(http_record(k, bytes(r.randrange(256) for _ in range(5000)))) for k in range(6)]
+    members[1] = members[1][:2000] + b"\x00" * 200 + members[1][2200:]
+    members[3] = members[3][:40] + b"\xff" * 20 + members[3][60:]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g/a.warc.gz").write_bytes(b"".join(members)[:-3000])
+    plain = b"".join(http_record(k, b"x" * 3000) for k in range(3))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.warc").write_bytes(plain[:-1000])
+    spark.dataSource.register(warc.WarcSource)
+    for columns in (["record_id", "payload"], ["record_id"], ["record_id", "payload_bytes"]):
+        got = {f: sorted(x["record_id"][-2] for x in spark.read.format("warc").load(f"file://{tmp_path}/{f}").select(*columns).collect()) for f in "gp"}
+        assert got == {"g": ["0", "2", "4"], "p": ["0", "1"]}

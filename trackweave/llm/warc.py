@@ -94,14 +94,18 @@ class WarcReader(DataSourceReader):
                     source.skip(length)
                     continue
                 http = (row["content_type"] or "").startswith("application/http")
-                if http or body:
-                    head, payload = source.block(length, http, body)
-                    row["payload_bytes"] = int(head.get("content-length", length)) if http else length
+                if body or http and "payload_bytes" in names:
+                    head, taken, payload = source.block(length, http, body)
+                    written = head.get("content-length", "")
+                    named = row["record_type"] == "revisit" and written.isascii() and written.isdigit()  # a revisit names the length of what it leaves out
+                    row["payload_bytes"] = int(written) if named else length - taken
                     row["payload"] = payload
                     row["computed_digest"] = digest(payload) if "computed_digest" in names and payload is not None and row["record_type"] != "revisit" else None
                 else:
                     source.skip(length)
                     row["payload_bytes"] = length
+                if source.short:
+                    continue  # damaged or cut off
                 yield tuple(row.get(c) for c in names)
 
 
@@ -122,39 +126,45 @@ class _Stream:
     #: Bytes of a line, and of a record's headers, that are held at most; headers beyond are passed over.
     HEAD = 1 << 20
 
+    #: Whether the last record's block had fewer bytes than it should, and whether the archive was damaged on the way.
+    short = broken = False
+
     def head(self) -> dict[str, str] | None:
-        lines, size = [], 0
-        while (line := self.line()) and not line.startswith(b"WARC/"):
-            pass  # blank lines between records, and what stands behind a record of unknown length
-        while line.strip():
-            if size < self.HEAD:
-                lines.append(line.rstrip(b"\r\n"))
-            size += len(line)
-            line = self.line()
-        return _fields(b"\r\n".join(lines)) if lines else None
+        while True:
+            lines, size, self.short, self.broken = [], 0, False, False
+            while (line := self.line()) and not line.startswith(b"WARC/"):
+                pass  # blank lines between records, and what stands behind a record of unknown length
+            while line.strip():
+                if size < self.HEAD:
+                    lines.append(line.rstrip(b"\r\n"))
+                size += len(line)
+                line = self.line()
+            if not self.broken:
+                return _fields(b"\r\n".join(lines)) if lines else None
 
-    def block(self, length: int, http: bool, body: bool) -> tuple[dict[str, str], bytes | None]:
+    def block(self, length: int, http: bool, body: bool) -> tuple[dict[str, str], int, bytes | None]:
+        """The HTTP head's fields, its bytes, and the rest of the block, if wanted."""
         taken, head = 0, {}
         if http:
             lines = []
             while taken < length:
                 line = self.line()
                 taken += len(line)
+                self.short |= not line
                 if not line.strip():
                     break
                 lines.append(line.rstrip(b"\r\n"))
             head = _fields(b"\r\n".join(lines))
-        if body:
-            return head, self.take(length - taken)
-        self.skip(length - taken)
-        return head, None
+        payload = self.take(length - taken) if body else self.skip(length - taken)
+        self.short |= body and len(payload) < length - taken
+        return head, taken, payload
 
 
 class _Plain(_Stream):
     """Records of a plain archive."""
 
     def __init__(self, f):
-        self.buffer = io.BufferedReader(f, 1 << 18)
+        self.buffer, self.size = io.BufferedReader(f, 1 << 18), f.size()
 
     def line(self):
         return self.buffer.readline(self.HEAD)
@@ -163,7 +173,7 @@ class _Plain(_Stream):
         return self.buffer.read(n)
 
     def skip(self, n):
-        self.buffer.seek(n, 1)
+        self.short |= self.buffer.seek(n, 1) > self.size
 
     def __iter__(self):
         while (head := self.head()) is not None:
@@ -171,7 +181,9 @@ class _Plain(_Stream):
 
 
 class _Members(_Stream):
-    """Records of an archive of gzip members, inflated as they are read."""
+    """Records of an archive of gzip members, inflated as they are read. Where a member is damaged, reading goes on at the next one, and the record it was in is left out."""
+
+    START = b"\x1f\x8b\x08"
 
     def __init__(self, f):
         self.f, self.z, self.data, self.raw = f, zlib.decompressobj(31), b"", b""
@@ -181,7 +193,11 @@ class _Members(_Stream):
             if self.z.eof:
                 self.raw, self.z = self.z.unused_data, zlib.decompressobj(31)
             raw = self.raw or self.f.read(1 << 18)
-            got = self.z.decompress(raw, 1 << 22)
+            try:
+                got = self.z.decompress(raw, 1 << 22)
+            except zlib.error:
+                self.resume(raw)
+                return False
             self.raw = self.z.unconsumed_tail
             if got:
                 self.data += got
@@ -189,6 +205,13 @@ class _Members(_Stream):
             if not raw:
                 return False
 
+    def resume(self, raw: bytes) -> None:
+        """Behind a damage, to what looks like the start of a member."""
+        self.broken, raw = True, raw[1:]
+        while (i := raw.find(self.START)) < 0 and (more := self.f.read(1 << 18)):
+            raw = raw[-2:] + more
+        self.raw, self.z, self.data = raw[i:] if i >= 0 else b"", zlib.decompressobj(31), b""
+
     def line(self):
         while (i := self.data.find(b"\n")) < 0:
             if len(self.data) >= self.HEAD or not self.more():
@@ -211,6 +234,7 @@ class _Members(_Stream):
             n -= len(self.data)
             self.data = b""
             if not self.more():
+                self.short = True
                 return
         self.data = self.data[n:]
 
