@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where none is set and the master is local, as in tests, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is needed: a folder that driver and executors share")
         folder = held or f"file://{tempfile.mkdtemp(prefix='trackweave-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
