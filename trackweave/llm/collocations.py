@@ -213,7 +213,7 @@ def _full_counters(texts: DataFrame, tasks: int, bits: int, p: PhraseParams) ->
                     words[lang] = words.get(lang, 0) + row
                 for n, within, hi, lo in runs.by_length(lengths):
                     for at in _halves(hi[within], lo[within], bits):
-                        np.add.at(counters[n - 1], at, 1)
+                        np.add.at(counters[n - 1], at, np.int32(1))  # of the counters' own type, else far slower
             np.minimum(counters, p.least, out=counters)  # a batch has too few words for an overflow
         for n in range(lengths):
             for row in _blocks(n + 1, counters[n]):
