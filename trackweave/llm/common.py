@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
-        if not held and not spark.sparkContext.master.startswith("local["):
+        if not held and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is needed: a folder that driver and executors share")
         folder = held or f"file://{tempfile.mkdtemp(prefix='trackweave-')}"
     if not spark.sparkContext.getCheckpointDir():
