@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from trackweave.functions import geo
 from trackweave.operators.quantiles import percentiles
+from trackweave.sources.shared import settled
 
 
 def persons(d: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def persons(d: DataFrame) -> DataFrame:
 
 def crowd_metrics(d: DataFrame) -> DataFrame:
     """One row: switches between consecutive known crowds of a track, share without a crowd (1 if there is nobody), crowds, and the spread of crowds per frame."""
-    p = persons(d).select("video_id", "track_id", "frame_id", "row_id", "crowd_id")
+    p = settled(persons(d).select("video_id", "track_id", "frame_id", "row_id", "crowd_id"))
     before = F.lag("crowd_id").over(W.partitionBy("track_id").orderBy("frame_id", "row_id"))
     switches = p.filter("crowd_id is not null").withColumn("_b", before).agg(F.coalesce(F.sum((F.col("_b") != F.col("crowd_id")).cast("int")), F.lit(0)).cast("bigint").alias("switches"))
     share = p.agg(F.coalesce(F.avg(F.col("crowd_id").isNull().cast("double")), F.lit(1.0)).alias("noise_ratio"), F.countDistinct("crowd_id").alias("unique_ids"))

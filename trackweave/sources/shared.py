@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = context.getCheckpointDir()
     if not held:
         held = spark.conf.get("spark.checkpoint.dir", "")
-        if not held and not context.master.startswith("local["):
+        if not held and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is needed: a folder that driver and executors share")
         context.setCheckpointDir(held or f"file://{tempfile.mkdtemp(prefix='trackweave-')}")
         held = context.getCheckpointDir()
