@@ -64,8 +64,15 @@ def depth_range(d: DataFrame) -> DataFrame:
     return v.agg(*(F.round(F.lit(x).cast("double"), 6).alias(n) for x, n in zip(percentiles(v, "depth", (0.01, 0.99)), ("p1", "p99"), strict=True)), F.count("*").alias("n"))
 
 
-def centre_depth(d: DataFrame, low: int = 3, high: int = 4) -> DataFrame:
-    return d.filter(F.col("u").between(low, high) & F.col("v").between(low, high)).groupBy("frame_id").agg(F.round(F.median("depth"), 6).alias("centre_depth"))
+def centre_depth(d: DataFrame, third: bool = False) -> DataFrame:
+    """frame_id, centre_depth: the median around each map's middle pixel, a twentieth of the shorter side to each side and one pixel at least, or with `third` of the middle third of both sides. A map's sides
+    are told by its largest u and v."""
+    sizes = d.groupBy("frame_id").agg((F.max("v") + 1).alias("_h"), (F.max("u") + 1).alias("_w"))
+    half = F.greatest(F.lit(1), F.floor(F.least("_h", "_w") / 20))
+    around = lambda c, size: F.col(c).between(F.floor(F.col(size) / 2) - half, F.floor(F.col(size) / 2) + half)
+    middle = lambda c, size: (F.col(c) >= F.floor(F.col(size) / 3)) & (F.col(c) < F.floor(2 * F.floor(F.col(size)) / 3))
+    inside = (lambda c, size: middle(c, size)) if third else around
+    return d.join(sizes, "frame_id").filter(inside("u", "_w") & inside("v", "_h")).groupBy("frame_id").agg(F.round(F.median("depth"), 6).alias("centre_depth"))
 
 
 def robust_depth(d: DataFrame) -> DataFrame:
@@ -106,3 +113,31 @@ def rms(errors: DataFrame, axes: Sequence[str], place: Sequence[str] = ("x", "y"
     """rms_ of each axis, nulls and NaN left out, and rms_3d of those of the place together; null without samples."""
     square = {a: F.avg(F.when(~F.isnan(a), F.col(a) * F.col(a))) for a in axes}
     return errors.agg(*(F.sqrt(square[a]).alias(f"rms_{a}") for a in axes), F.sqrt(square[place[0]] + square[place[1]] + square[place[2]]).alias("rms_3d"))
+
+
+def dominant_places(tracks: DataFrame, place: str = "place", order: str = "row_id") -> DataFrame:
+    """track_id, dominant, median_n, median_e: each track's most frequent place (the one seen first of equal ones), and its median position there, or of all its rows if the place has fewer than three. Rows
+    of tracks (track_id, place, order, pos_n, pos_e) without a place take no part."""
+    t = tracks.filter(F.col(place).isNotNull())
+    n = t.groupBy("track_id", place).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    top = n.groupBy("track_id").agg(F.max_by(F.struct(F.col(place).alias("place"), "n"), F.struct("n", -F.col("_first"))).alias("_top"))
+    j = t.join(top, "track_id")
+    counts = (F.col(place) == F.col("_top.place")) | (F.col("_top.n") < 3)
+    return j.filter(counts).groupBy("track_id").agg(F.first("_top.place").alias("dominant"), F.median("pos_n").alias("median_n"), F.median("pos_e").alias("median_e"))
+
+
+def remapped_frames(d: DataFrame, frame: str, frames: int, ratio: float | None = None) -> DataFrame:
+    """d with `frame` divided by the ratio, rounded half to even, within 0 and frames - 1. Without a ratio it is found: if the largest frame is beyond, so that it fits, else 1."""
+    if ratio is None:
+        most = d.agg(F.max(frame)).first()[0]
+        ratio = (most + 1) / frames if most is not None and most >= frames else 1.0
+    at = F.bround(F.col(frame) / F.lit(float(ratio))) if ratio != 1 else F.col(frame)
+    return d.withColumn(frame, F.greatest(F.lit(0), F.least(at, F.lit(frames - 1))).cast("bigint"))
+
+
+def bounds(d: DataFrame, lat: str, lon: str, margin: float) -> DataFrame:
+    """One row, south, north, west, east: the extent of all places and a margin; an error without any."""
+    held = d.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    out = held.agg(F.count("*").alias("_n"), (F.min(lat) - margin).alias("south"), (F.max(lat) + margin).alias("north"), (F.min(lon) - margin).alias("west"), (F.max(lon) + margin).alias("east"))
+    checked = F.when(F.col("_n") == 0, F.raise_error(F.lit("no places to bound")).cast("double")).otherwise(F.col("south"))
+    return out.select(checked.alias("south"), "north", "west", "east")

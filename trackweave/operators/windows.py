@@ -91,3 +91,18 @@ def hopping_segments(spark, frames: int, size: int, overlap: int) -> DataFrame:
 
 def relative_to_first(value: str, key: str, order: str) -> Column:
     return F.col(value) - F.first(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+
+
+def numbered_within(d: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """d with `k`, a row's number from 0 within its key's rows in order: numbers of one sort over ranges, less the key's first, so that no key is one task's work. The order must tell rows apart."""
+    from trackweave.sources.readers import indexed
+
+    x = indexed(d.withColumn("_order", F.struct(key, *order)), "_order").drop("_order")
+    first = x.groupBy(key).agg(F.min("i").alias("_first"))
+    return x.join(first, key).withColumn("k", F.col("i") - F.col("_first")).drop("i", "_first")
+
+
+def trail(d: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """d with `trail`: the columns of the key's rows up to this one, in order, as an array of structs. What a row carries grows along its key."""
+    by = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn("trail", F.collect_list(F.struct(*columns)).over(by))

@@ -40,7 +40,7 @@ query("detections", sql="select count(*) n_rows, count(*) filter (where class_na
 query("detections", sql=f"select video_id, frame_id, crowd_id, median(pos_n) centre_n, median(pos_e) centre_e, count(*) n from {P} where crowd_id is not null group by video_id, frame_id, crowd_id")(metrics.cluster_states)
 query("detections", sql=f"select row_id, round((pos_n - avg(pos_n) over w) / greatest(stddev_pop(pos_n) over w, 1e-6), 6) + 0 z_pos_n, round((pos_e - avg(pos_e) over w) / greatest(stddev_pop(pos_e) over w, 1e-6), 6) + 0 z_pos_e from {P} window w as (partition by video_id, frame_id)")(metrics.zscores)
 query("depth_pixels", sql="select round(quantile_cont(depth, 0.01), 6) p1, round(quantile_cont(depth, 0.99), 6) p99, count(*) n from depth_pixels where isfinite(depth) and depth > 0")(metrics.depth_range)
-query("depth_pixels", sql="select frame_id, round(median(depth), 6) centre_depth from depth_pixels where u between 3 and 4 and v between 3 and 4 group by frame_id")(metrics.centre_depth)
+query("depth_pixels", sql="select frame_id, round(median(depth), 6) centre_depth from depth_pixels where u between 3 and 5 and v between 3 and 5 group by frame_id")(metrics.centre_depth)
 query("depth_pixels", sql=", c as (select frame_id, quantile_cont(depth, 0.7) cut from depth_pixels group by frame_id) select frame_id, round(median(depth), 6) robust_depth from depth_pixels join c using (frame_id) where depth <= cut group by frame_id")(metrics.robust_depth)
 query("telemetry", sql="select round(case when max(epoch_us(ts)) > min(epoch_us(ts)) then (count(*) - 1) * 1e6 / (max(epoch_us(ts)) - min(epoch_us(ts))) else 24 end, 9) fps from telemetry")(metrics.frame_rate)
 
@@ -271,9 +271,10 @@ def frame_buckets(d):
     return x.select(C("frame_id").cast("bigint").alias("frame_id"), F.coalesce(F.size("_ids"), F.lit(0)).cast("bigint").alias("n_persons"), F.coalesce(F.array_join(C("_ids").cast("array<string>"), ","), F.lit("")).alias("ids"))
 
 
-@query("detections", sql="select row_id, least(greatest(round_even(frame_id / 2.5, 0), 0), 40)::bigint frame from detections")
+@query("detections", sql=", m as (select (max(frame_id) + 1) / 41.0::double ratio, max(frame_id) >= 41 beyond from detections) select row_id, least(greatest(case when beyond then round_even(frame_id / ratio, 0) else frame_id end, 0), 40)::bigint frame from detections, m")
 def frame_remap(d):
-    return d.select("row_id", F.least(F.greatest(F.bround(C("frame_id") / F.lit(2.5)), F.lit(0.0)), F.lit(40.0)).cast("bigint").alias("frame"))
+    """Frames on 41 depth maps, by the ratio that is found."""
+    return metrics.remapped_frames(d.select("row_id", C("frame_id").alias("frame")), "frame", 41)
 
 
 @query("telemetry", sql="select row_number() over (order by i) - 1 as sample, seq, altitude from (select i, floor(i * ((select count(*) from telemetry) - 1) / 119)::bigint k from range(120) r(i)) join telemetry on seq = k")

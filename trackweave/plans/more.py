@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from trackweave.functions import geo
-from trackweave.operators import asof, crowds, joins, metrics
+from trackweave.operators import asof, crowds, joins, metrics, windows
 from trackweave.plans.catalog import P, query, rounded
+from trackweave.sources.readers import indexed
 from trackweave.sources.shared import settled
 
 C = F.col
@@ -64,8 +65,20 @@ def best_trials(p):
 
 @query("detections", sql="select row_id from (select row_id, row_number() over (partition by video_id order by frame_id, row_id) - 1 k from detections) where k % 5 = 0")
 def every_fifth(d):
-    k = F.row_number().over(W.partitionBy("video_id").orderBy("frame_id", "row_id")) - 1
-    return d.withColumn("_k", k).filter("_k % 5 = 0").select("row_id")
+    return windows.numbered_within(d.select("row_id", "video_id", "frame_id"), "video_id", ["frame_id", "row_id"]).filter("k % 5 = 0").select("row_id")
+
+
+@query("detections", sql="select row_id, row_number() over (order by frame_id, track_id, row_id) - 1 as i from detections")
+def rows_in_order(d):
+    """Each row's number in the order of frames and tracks."""
+    x = indexed(d.select("row_id", F.struct("frame_id", "track_id", "row_id").alias("at")), "at")
+    return x.select("row_id", C("i").cast("bigint").alias("i"))
+
+
+@query("detections", sql="select row_id, string_agg(frame_id::varchar, '-') over (partition by track_id order by frame_id, row_id rows unbounded preceding) trail from detections")
+def track_trails(d):
+    """The frames of a track up to each of its rows."""
+    return windows.trail(d, "track_id", ["frame_id", "row_id"], ["frame_id"]).select("row_id", F.array_join(F.transform("trail", lambda x: x.frame_id.cast("string")), "-").alias("trail"))
 
 
 @query("detections", sql="select row_id from detections order by md5('7:' || row_id::varchar), row_id limit 100")
@@ -158,7 +171,7 @@ def frame_inliers(d):
 
 @query("telemetry", sql="select round(min(latitude) - 0.002, 6) south, round(max(latitude) + 0.002, 6) north, round(min(longitude) - 0.002, 6) west, round(max(longitude) + 0.002, 6) east from telemetry")
 def bounds_with_margin(t):
-    return t.agg(*rounded(south=F.min("latitude") - 0.002, north=F.max("latitude") + 0.002, west=F.min("longitude") - 0.002, east=F.max("longitude") + 0.002))
+    return metrics.bounds(t, "latitude", "longitude", 0.002).select(*rounded(south=C("south"), north=C("north"), west=C("west"), east=C("east")))
 
 
 @query("poses", sql="select frame_id, round(coalesce(case when tz > 1e-6 then 500 * tx / tz + 320 end, -1), 6) u, round(coalesce(case when tz > 1e-6 then 500 * ty / tz + 180 end, -1), 6) v from poses")

@@ -244,3 +244,30 @@ def buffered_rows(g):
     """Areas within 1.5 m of the graph's rows, each of several edges in both directions."""
     lines = g.filter("y1 = y2").select(C("y1").cast("int").cast("string").alias("name"), C("x1").alias("n"), C("y1").alias("e"), C("x2").alias("n2"), C("y2").alias("e2"), F.lit(1.5).alias("metres"))
     return overlay.union_areas(overlay.buffers(lines)).select(C("name").cast("int").alias("row"), F.round("area", 3).alias("area"))
+
+
+_dominant = _poly + """, k as (select row_id, track_id, place from placed where place is not null), n as (select track_id, place, count(*) n, min(row_id) f from k group by all),
+ t as (select track_id, arg_max(place, (n, -f)) dominant, max(n) n from n group by track_id)"""
+
+
+@query("detections", "polygon_vertices", sql=_dominant + """ select t.track_id, dominant, round(median(pos_n), 6) median_n, round(median(pos_e), 6) median_e from t join k using (track_id) join (select row_id, pos_n, pos_e from detections) using (row_id)
+ where n < 3 or place = dominant group by t.track_id, dominant""")
+def dominant_streets(d, v):
+    """Each track's main place and where it mostly is there."""
+    x = _placed(d, v).join(d.select("row_id", "pos_n", "pos_e"), "row_id")
+    m = metrics.dominant_places(x)
+    return m.select("track_id", "dominant", F.round("median_n", 6).alias("median_n"), F.round("median_e", 6).alias("median_e"))
+
+
+@query("detections", "polygon_vertices", sql=_dominant + " select dominant, count(*) n_tracks from t group by dominant order by n_tracks desc, min(track_id) limit 8")
+def largest_streets(d, v):
+    """The eight places that most tracks have as their main one; of equal ones that of the smaller track first."""
+    x = _placed(d, v).join(d.select("row_id", "pos_n", "pos_e"), "row_id")
+    g = metrics.dominant_places(x).groupBy("dominant").agg(F.count("*").alias("n_tracks"), F.min("track_id").alias("_first"))
+    return g.orderBy(F.desc("n_tracks"), "_first").limit(8).drop("_first")
+
+
+@query("depth_pixels", sql="select frame_id, round(median(depth), 6) third_depth from depth_pixels where u >= 2 and u < 5 and v >= 2 and v < 5 group by frame_id")
+def third_depth(p):
+    """The median of each map's middle third."""
+    return metrics.centre_depth(p, third=True).withColumnRenamed("centre_depth", "third_depth")
