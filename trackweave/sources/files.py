@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,10 +47,11 @@ class Sink(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.options, self.overwrite = options["path"].rstrip("/"), options, overwrite
         self.job = f"_job-{uuid.uuid4().hex}"
+        system, base = opened(self.path)
+        system.create_dir(f"{base}/{self.job}", recursive=True)  # once, by the driver: a task that outlives its job's end finds no folder to write to
 
     def _stream(self, name: str):
         system, base = opened(self.path)
-        system.create_dir(f"{base}/{self.job}", recursive=True)
         return system.open_output_stream(f"{base}/{self.job}/{name}")
 
     def _clear(self, but: str = "") -> None:
@@ -64,8 +66,15 @@ class Sink(DataSourceArrowWriter):
         from pyarrow import fs
 
         system, base = opened(self.path)
-        if system.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{base}/{self.job}")
+        for again in (True, True, False):  # a task may still be writing
+            try:
+                if system.get_file_info(f"{base}/{self.job}").type != fs.FileType.NotFound:
+                    system.delete_dir(f"{base}/{self.job}")
+                return
+            except OSError:
+                if not again:
+                    raise
+                time.sleep(0.2)
 
     def commit(self, messages: list[Written | None]) -> None:
         if self.overwrite:
