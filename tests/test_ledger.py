@@ -1,8 +1,9 @@
 """A run that is killed goes on without doing again what was done; versions that were cut short don't count."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from trackweave.sources.ledger import Ledger
+from trackweave.sources.ledger import Batch, Ledger
 
 
 @pytest.fixture
@@ -75,3 +76,30 @@ def test_version_cut_short(spark, ledger):
     assert states(ledger) == {"a": ("done", 1), "b": ("pending", 0)}
     ledger.record(["b"], "done")
     assert states(ledger) == {"a": ("done", 1), "b": ("done", 1)}
+
+
+def test_batch_goes_on_and_merges(spark, tmp_path):
+    """Five videos two at a time: one is missing, one fails, and the run is killed once; rows of unfinished videos stay as they were."""
+    rows = spark.createDataFrame([(v, k, "old") for v in range(5) for k in range(3)], "video_id int, k int, v string")
+    available, calls, state = rows.select("video_id").filter("video_id <> 4"), [], {"kill": True}
+
+    def work(some):
+        videos = sorted({r["video_id"] for r in some.select("video_id").collect()})
+        calls.append(videos)
+        if 2 in videos and state["kill"]:
+            raise Killed
+        if 1 in videos:
+            raise ValueError("broken")
+        return some.filter("k < 2").withColumns({"v": F.lit("new"), "state": F.col("k") * 10})
+
+    batch = Batch(spark, f"file://{tmp_path}/b")
+    with pytest.raises(Killed):
+        batch.run(rows, available, work, every=2)
+    see = lambda: {v: sorted((r["k"], r["v"], r["state"]) for r in batch.result(rows).filter(f"video_id = {v}").collect()) for v in range(5)}
+    new, old = [(0, "new", 0), (1, "new", 10)], [(k, "old", None) for k in range(3)]
+    assert see() == {0: new, 1: old, 2: old, 3: old, 4: old}
+    state["kill"] = False
+    batch.run(rows, available, work, every=2)
+    assert see() == {0: new, 1: old, 2: new, 3: new, 4: old}
+    assert calls == [[0, 1], [0], [1], [2, 3], [1, 2], [1], [2], [3]]
+    assert batch.ledger.states().filter("state = 'failed'").first()["unit"] == "1"

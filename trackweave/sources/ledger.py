@@ -6,6 +6,7 @@ version that a crash cut short is as if it had never been. Only Spark reads and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -76,8 +77,8 @@ class Ledger:
         if rows:
             self.put(self.spark.createDataFrame(rows, "unit string, state string, note string"))
 
-    def run(self, work: Callable[[list[str]], None], every: int = 10, retry: bool = True) -> None:
-        """work(units) for `every` units at a time, recorded after each; of units that fail together each is tried alone, so that one that fails doesn't keep the others from being done.
+    def run(self, work: Callable[[list[str]], str | None], every: int = 10, retry: bool = True) -> None:
+        """work(units) for `every` units at a time, recorded after each with the note that it returns; of units that fail together each is tried alone, so that one that fails doesn't keep the others from being done.
 
         work must write a unit's results whole or not at all, and may be called again for a unit whose results are there.
         """
@@ -85,13 +86,11 @@ class Ledger:
         for k in range(0, len(todo), every):
             some = todo[k : k + every]
             try:
-                work(some)
-                self.record(some, DONE)
+                self.record(some, DONE, work(some))
             except Exception:  # noqa: BLE001  any failure of the work is the unit's
                 for unit in some:
                     try:
-                        work([unit])
-                        self.record([unit], DONE)
+                        self.record([unit], DONE, work([unit]))
                     except Exception as e:  # noqa: BLE001
                         self.record([unit], FAILED, str(e)[:500])
 
@@ -100,3 +99,38 @@ class Ledger:
         left = [f"{r['unit']} ({r['state']})" for r in self.states().filter(F.col("state") != DONE).orderBy("unit").collect()]
         if left:
             raise RuntimeError(f"not all units are done: {', '.join(left)}")
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Rows by video, of which some have been worked on: results lie in parts under `path`, and a video's are those of the part that the ledger names. So what is read changes by whole parts, as the ledger does."""
+
+    spark: SparkSession
+    path: str
+
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, f"{self.path}/ledger")
+
+    def run(self, rows: DataFrame, available: DataFrame, work: Callable[[DataFrame], DataFrame], every: int = 10) -> None:
+        """work(rows of some videos) for `every` videos at a time, of those in `available` (video_id) that aren't done; its rows (video_id and others) replace theirs. A run that was stopped goes on with the next call."""
+        units = available.select(F.col("video_id").cast("string").alias("unit"))
+        there = rows.select(F.col("video_id").cast("string").alias("unit")).distinct()
+        self.ledger.start(there.join(units, "unit", "left_semi"))
+
+        def one(videos: list[str]) -> str:
+            part = uuid.uuid4().hex
+            work(rows.filter(F.col("video_id").cast("string").isin(videos))).write.parquet(f"{self.path}/parts/{part}")
+            return part
+
+        self.ledger.run(one, every)
+
+    def result(self, rows: DataFrame) -> DataFrame:
+        """The rows with those of finished videos replaced; videos that are missing, pending or failed have their own. Columns that only results have are null there."""
+        done = self.ledger.states().filter(F.col("state") == DONE).select(F.col("unit").alias("_unit"), F.col("note").alias("_part"))
+        rest = rows.withColumn("_unit", F.col("video_id").cast("string")).join(done.select("_unit"), "_unit", "left_anti").drop("_unit")
+        parts = sorted(r["_part"] for r in done.select("_part").distinct().collect())
+        for part in parts:
+            own = self.spark.read.parquet(f"{self.path}/parts/{part}").withColumn("_unit", F.col("video_id").cast("string"))
+            rest = rest.unionByName(own.join(done.filter(F.col("_part") == part).select("_unit"), "_unit", "left_semi").drop("_unit"), allowMissingColumns=True)
+        return rest

@@ -1,4 +1,4 @@
-"""Writers of states, frames, metadata, paths and batches. Spark commits a job's files at once, so a reader never sees half a table."""
+"""Writers of states, frames, metadata, paths and batches. A table and its metadata are two jobs, and Spark moves a job's files one by one at its end; where a reader must not see half of them, use files.OneObject, keyed or ledger.Batch."""
 
 from __future__ import annotations
 
@@ -81,5 +81,5 @@ def pending(videos: DataFrame, done: DataFrame, available: DataFrame) -> DataFra
 
 
 def write_batch(d: DataFrame, path: str) -> None:
-    """Replaces the videos that d has, by folders; other videos stay. A job that is stopped leaves all as it was, and pending() gives what is left to do."""
+    """Replaces the videos that d has, by folders; other videos stay. A job that is stopped before its end leaves all as it was; its end moves folder by folder. ledger.Batch replaces whole parts at once."""
     d.repartition("video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
