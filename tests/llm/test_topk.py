@@ -60,3 +60,19 @@ def test_repeated_ids(spark):
 def test_large_numbers_are_exact():
     a, b = np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 5.0], [-(2.0**40), 1.0]])
     assert topk.products(a, b, 2.0**81).tolist() == [[2**80 + 15, -(2**80) + 3]]
+
+
+def test_seeds_reach_the_driver_from_one_task(spark):
+    """However many splits the vectors have, or results of all of them meet in the driver."""
+    sc = spark.sparkContext
+    x = topk.quantised(spark.range(600).repartition(150).selectExpr("id vec_id", "array(double(id), 1d) embedding"), 256)
+    x = topk.settled(x)
+    sc.setJobGroup("seeds", "seeds")
+    found = topk.longest(x, 5)
+    assert {r["vec_id"] for r in found.collect()} == {595, 596, 597, 598, 599}
+    tracker, sizes = sc.statusTracker(), []
+    for job in tracker.getJobIdsForGroup("seeds"):
+        stages = [tracker.getStageInfo(s) for s in tracker.getJobInfo(job).stageIds]
+        sizes.append(max(s.numTasks for s in stages if s))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found.rdd.getNumPartitions() == 1 and max(sizes) <= 64

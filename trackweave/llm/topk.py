@@ -3,7 +3,7 @@
 Vectors are grouped by length: candidates are range-partitioned by norm and cut into buckets of similar norm, queries into
 blocks likewise. The longest candidates, a bounded number, give each query a first lower bound of its k-th best score. A bucket can hold a
 better one only if bound / (norm of the query * longest norm in the bucket), the local cosine threshold, is at most 1; blocks
-whose queries all rule a bucket out never meet it. A task takes its buckets by falling norm and raises its queries' bounds as scores come in. For the others, each query picks how it prunes by its local threshold: by
+whose queries all rule a bucket out never meet it. A task raises its queries' bounds as scores come in; pairs of block and bucket pass it as a stream, as a sort would keep each pair's vectors. For the others, each query picks how it prunes by its local threshold: by
 coordinate, if it is high (a unit vector of that cosine must lie in a narrow range on the query's largest coordinates; ranges are
 found in sorted columns), or else by length (only candidates long enough). What is left is verified by exact products.
 
@@ -128,8 +128,10 @@ def best_of_bucket(qi: np.ndarray, q: np.ndarray, least: np.ndarray, ci: np.ndar
         need = [kept(q[r], q_norms[r], least[r], c, norms, c, c, p) for r in wide]
         upto = max(len(c) if n.stop is None else n.stop for n in need)
         s = products(q[wide], c[:upto], bound)
-        for r, row in zip(wide, s, strict=True):
-            out += _top(qi[r], row, ci[:upto], least[r], p.k)
+        ok = (s >= least[wide, None]).astype(bool)
+        for j in np.flatnonzero(ok.any(1)):
+            at = np.flatnonzero(ok[j])
+            out += _top(qi[wide[j]], s[j][at], ci[at], least[wide[j]], p.k)
     return out
 
 
@@ -142,6 +144,11 @@ def _top(query: int, scores: np.ndarray, ids: np.ndarray, least: float, k: int)
     return [(int(query), i, -s) for s, i in found]
 
 
+def longest(x: DataFrame, n: int) -> DataFrame:
+    """The n longest vectors. Tasks send their n longest to one task, and it alone sends any to the driver; they are 64 at most, whatever the splits of x."""
+    return settled(x.coalesce(64).orderBy(F.desc("norm"), "vec_id").limit(n))
+
+
 def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each vector whose id is divisible by `every`.
 
@@ -150,7 +157,7 @@ def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()
     """
     small_batches(vectors.sparkSession)
     x = settled(quantised(vectors, p.scale))
-    seeds = [r.asDict() for r in x.orderBy(F.desc("norm"), "vec_id").limit(p.seeds).select("vec_id", "v").collect()]
+    seeds = [r.asDict() for r in longest(x, p.seeds).select("vec_id", "v").collect()]
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(s["v"]) for s in seeds}:
         own = [s for s in seeds if len(s["v"]) == dim]
@@ -182,7 +189,7 @@ def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()
     # blocks meet buckets in groups: a bucket goes to one, each block of queries to all
     spread = buckets.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     q = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least", "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_group"))
-    pairs = q.join(spread, ["_group", "dim"]).filter("high >= need").select("dim", "q_ids", "q_data", "least", "high", "ids", "data").sortWithinPartitions(F.desc("high"))
+    pairs = q.join(spread, ["_group", "dim"]).filter("high >= need").select("dim", "q_ids", "q_data", "least", "high", "ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, np.ndarray] = {}  # by block of queries: the k best scores that this task has seen of each
