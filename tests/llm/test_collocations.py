@@ -89,3 +89,22 @@ def test_perfect_hash():
         assert sorted(perfect.find(keys[:, 0], keys[:, 1]).tolist()) == list(range(n))
         assert (perfect.find(keys[:, 0], keys[:, 1] + np.uint64(1)) == -1).all()
         assert (perfect.find(r.integers(0, 1 << 63, 500).astype(np.uint64), np.zeros(500, np.uint64)) == -1).all()
+
+
+def test_large_tables_take_few_passes(spark, monkeypatch):
+    """Counters of a byte, of which there are four times as many, change nothing; several shards are counted in one pass over the texts."""
+    made, passes, counted = [], [], collocations._counted
+    monkeypatch.setattr(collocations, "NARROW", 1)
+    monkeypatch.setattr(collocations, "_counted", lambda texts, tasks, held, *rest: passes.append(len(held.value.held)) or counted(texts, tasks, held, *rest))
+    monkeypatch.setattr(collocations, "_shards", lambda c, shards=collocations._shards: made.append(c.select("shard").distinct().count()) or shards(c))
+    rows = texts(2, 200)
+    assert len(check(spark, rows, PhraseParams(least=3, slots=250))) > 10
+    assert made[0] > 4 and len(passes) == -(-made[0] // 4) and max(passes) == 4
+    check(spark, [("en", "one two " * 1000), *rows], PhraseParams(least=250))
+
+
+def test_byte_counters():
+    counters = np.zeros(8, np.uint8)
+    for at in ([1] * 1000, [2] * 60, [2] * 50 + [3], []):
+        collocations._add(counters, np.array(at, np.int64), 100)
+    assert counters.tolist() == [0, 100, 100, 1, 0, 0, 0, 0]

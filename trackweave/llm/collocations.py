@@ -8,9 +8,9 @@ Four passes over the texts, each of numpy arrays in mapped Arrow batches:
 4. Cuts: each candidate's own count and those of its first and last words are read by their slots. Counts below `least` end there.
 Scores, containment and ranks are columns, in exact decimals.
 
-A word's key is a 128-bit hash of its bytes, a run's key is folded from the language's and its words' keys. A shard and its counts (24 bytes and some bits a slot) are all that is broadcast, one shard at
-a time, beside 5 * 2^bits bits of full counters; bits grow with the bytes of text up to `most_bits`. Beyond that counters fill up, so that more candidates are counted, in more shards, each of
-which is a further pass; results stay whole. What a mapper holds and sends doesn't depend on how much it reads, so mappers are few and long: two a core, or one for 16 splits of the input if these are more.
+A word's key is a 128-bit hash of its bytes, a run's key is folded from the language's and its words' keys. A shard and its counts (24 bytes and some bits a slot) are all that is broadcast, `together` shards at
+a time, beside 5 * 2^bits bits of full counters; bits grow with the bytes of text up to `most_bits`, and beyond 2^24 counters have a byte each instead of four. Beyond `most_bits` they fill up, so that more
+candidates are counted, in more shards, of which `together` are a further pass; results stay whole. What a mapper holds and sends doesn't depend on how much it reads, so mappers are few and long: two a core, or one for 16 splits of the input if these are more.
 """
 
 from __future__ import annotations
@@ -40,12 +40,17 @@ class PhraseParams:
     absorbed: int = 100
     top: int = 2000
     slots: int = 1 << 20
-    most_bits: int = 24
+    most_bits: int = 26
     sketched: int = 4
+    together: int = 4
 
 
 #: Bytes of text for a counter: about 20 words, a fifth of the usual `least`.
 BYTES_A_COUNTER = 128
+#: Bits from which counters have a byte each, so that four times as many take the same room.
+NARROW = 25
+#: A key's shard is told by its second lane without these bits.
+SHARD_BITS = 40
 #: Splits of the input that a mapper reads where they are many.
 SPLITS = 16
 #: Counters or slots of an array that is summed at a time, and arrays that a task sums at a time.
@@ -157,6 +162,26 @@ class PerfectHash:
         return np.where(held, slot, -1)
 
 
+class Shards:
+    """Perfect hashes of some of `number` shards by key, with slots of their own each."""
+
+    def __init__(self, held: dict[int, PerfectHash], number: int) -> None:
+        self.held, self.number = held, number
+
+    def __len__(self) -> int:
+        return sum(map(len, self.held.values()))
+
+    def find(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 for those that aren't held."""
+        slot, shard, base = np.full(len(hi), -1), (lo >> np.uint64(SHARD_BITS)) % np.uint64(self.number), 0
+        for k, perfect in self.held.items():
+            at = np.flatnonzero(shard == k)
+            found = perfect.find(hi[at], lo[at])
+            slot[at] = np.where(found >= 0, found + base, -1)
+            base += len(perfect)
+        return slot
+
+
 def _blocks(part: int, counts: np.ndarray) -> Iterator[dict]:
     """An array in packed blocks, without those of zeros only."""
     for b in range(0, len(counts), BLOCK):
@@ -200,12 +225,22 @@ def _halves(hi: np.ndarray, lo: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return (hi >> drop).astype(np.int64), (lo >> drop).astype(np.int64) + (1 << bits - 1)
 
 
+def _add(counters: np.ndarray, at: np.ndarray, least: int) -> None:
+    """One more at each place. Counters of a byte are held to `least` at once, places in order, as each takes what a batch has for it in one step."""
+    if counters.dtype != np.uint8:
+        np.add.at(counters, at, np.int32(1))  # of the counters' own type, else far slower
+        return
+    at = np.sort(at.astype(np.uint32))
+    last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else np.zeros(0, int)
+    counters[at[last]] = np.minimum(counters[at[last]] + np.diff(last, prepend=-1), least)
+
+
 def _full_counters(texts: DataFrame, tasks: int, bits: int, p: PhraseParams) -> tuple[np.ndarray, DataFrame]:
     """Which counters of each length are full (bits of sketched x 2^bits), and each language's words: lang, n."""
-    lengths = min(p.sketched, p.longest)
+    lengths, narrow = min(p.sketched, p.longest), bits >= NARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, words = np.zeros((lengths, 1 << bits), np.int32), {}
+        counters, words = np.zeros((lengths, 1 << bits), np.uint8 if narrow else np.int32), {}
         for batch in batches:
             for piece in pieces(batch):
                 runs = Runs(piece)
@@ -213,8 +248,9 @@ def _full_counters(texts: DataFrame, tasks: int, bits: int, p: PhraseParams) ->
                     words[lang] = words.get(lang, 0) + row
                 for n, within, hi, lo in runs.by_length(lengths):
                     for at in _halves(hi[within], lo[within], bits):
-                        np.add.at(counters[n - 1], at, np.int32(1))  # of the counters' own type, else far slower
-            np.minimum(counters, p.least, out=counters)  # a batch has too few words for an overflow
+                        _add(counters[n - 1], at, p.least)
+            if not narrow:
+                np.minimum(counters, p.least, out=counters)  # a batch has too few words for an overflow
         for n in range(lengths):
             for row in _blocks(n + 1, counters[n]):
                 yield pa.RecordBatch.from_pylist([{**row, "lang": None, "n": None}], out)
@@ -290,10 +326,10 @@ def _shards(candidates: DataFrame) -> DataFrame:
 
 
 def _counted(texts: DataFrame, tasks: int, held, full, bits: int, p: PhraseParams) -> DataFrame:
-    """Blocks of the counts by slot of the shard in `held`."""
+    """Blocks of the counts by slot of the shards in `held`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        perfect = pickle.loads(held.value)
+        perfect = held.value
         counts = np.zeros(len(perfect), np.int64)
         for batch in batches:
             for piece in pieces(batch):
@@ -311,12 +347,12 @@ def _cut_names(longest: int) -> list[str]:
 
 
 def _cuts(candidates: DataFrame, held, counts, p: PhraseParams) -> DataFrame:
-    """Candidates with the counts of themselves and of their first k and last words, where the shard in `held` has them, else null."""
+    """Candidates with the counts of themselves and of their first k and last words, where the shards in `held` have them, else null."""
     names = _cut_names(p.longest)
     out = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), *((c, pa.int64()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        perfect = pickle.loads(held.value)
+        perfect = held.value
         for batch in batches:
             words = [x.encode().split(b" ") for x in batch.column("phrase").to_pylist()]
             lang = _keys([x.encode() for x in batch.column("lang").to_pylist()])
@@ -352,19 +388,20 @@ def counted_phrases(docs: DataFrame, p: PhraseParams = PhraseParams()) -> tuple[
     tasks = min(splits, max(2 * spark.sparkContext.defaultParallelism, splits // SPLITS))
     texts = texts.coalesce(tasks) if tasks else texts
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(max(size, 1) / BYTES_A_COUNTER + 1)), BLOCK.bit_length() - 1), p.most_bits)
+    bits = min(max(math.ceil(math.log2(max(size, 1) / BYTES_A_COUNTER + 1)), BLOCK.bit_length() - 1), p.most_bits if p.least < 256 else min(p.most_bits, NARROW - 1))
     full, words = _full_counters(texts, tasks, bits, p)
     candidates = settled(_candidates(texts, full, bits, p))
     number = -(-candidates.count() // p.slots)
-    candidates = candidates.withColumn("shard", F.pmod(F.xxhash64("lo"), F.lit(max(number, 1))))
+    candidates = candidates.withColumn("shard", F.shiftrightunsigned("lo", SHARD_BITS) % F.lit(max(number, 1)))
     shards = settled(_shards(candidates))
     counters, found = spark.sparkContext.broadcast(full), []
-    for shard in range(number):
-        blob = shards.filter(F.col("shard") == shard).select("hash").first()
-        if blob is None:
+    for first in range(0, number, p.together):
+        rows = shards.filter(F.col("shard").between(first, first + p.together - 1)).toLocalIterator()
+        perfect = Shards({r["shard"]: pickle.loads(r["hash"]) for r in rows}, number)
+        if not len(perfect):
             continue
-        held = spark.sparkContext.broadcast(blob["hash"])
-        counts = np.zeros(len(pickle.loads(blob["hash"])), np.int64)
+        held = spark.sparkContext.broadcast(perfect)
+        counts = np.zeros(len(perfect), np.int64)
         for row in _counted(texts, tasks, held, counters, bits, p).toLocalIterator():
             block = _unpacked(row["counts"])
             counts[row["block"] * BLOCK :][: len(block)] = block
