@@ -1,5 +1,7 @@
 """Clusters, hulls and cells against plain constructions."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def test_hull_and_cells():
     np.testing.assert_allclose(areas, share, atol=0.6)
 
 
+def _places(n, seed=0):
+    """Places of twentieths of a metre in blocks with gaps, many of them equal."""
+    rng = np.random.default_rng(seed)
+    return np.stack([8 * rng.integers(0, 5, n) + rng.integers(0, 100, n) / 20, 8 * rng.integers(0, 5, n) + rng.integers(0, 97, n) / 20], 1)
+
+
+def test_cells_side_by_side():
+    """All cells at once are those that one by one gives, and thousands of them take seconds."""
+    rng = np.random.default_rng(6)
+    line = np.stack([np.arange(40.0), np.zeros(40)], 1)
+    for p in (_places(400), _places(300)[rng.integers(0, 30, 300)], rng.uniform(0, 9, (200, 2)), np.zeros((4, 2)), line, np.vstack([rng.normal(0, 0.1, (60, 2)), [[1e3, 1e3], [0, 5e3]]])):
+        box = (p.min(0) - 5, p.max(0) + 5)
+        np.testing.assert_allclose(crowds.cell_areas(p, box), [crowds.cell_area(p, k, box) for k in range(len(p))], rtol=1e-6)
+    far = rng.uniform(0, 9, (200, 2)) + 5e6
+    np.testing.assert_allclose(crowds.cell_areas(far, (far.min(0), far.max(0))).sum(), np.prod(far.max(0) - far.min(0)))
+    p, began = _places(20_000), time.process_time()
+    areas = crowds.cell_areas(p, (p.min(0) - 5, p.max(0) + 5))
+    assert len(areas) == 20_000 and time.process_time() - began < 15
+
+
 def test_frames(spark):
     rows = [(1, 0, k, float(k % 3), float(k // 3)) for k in range(9)] + [(1, 1, 9, 1.0, 1.0), (1, 2, 10, 0.0, 0.0), (1, 2, 11, 3.0, 4.0), (1, 3, 12, None, 1.0)]
     d = spark.createDataFrame(rows, "video_id int, frame_id int, row_id long, pos_n double, pos_e double")

@@ -12,6 +12,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
+class Near:
+    """Points in cells of a grid over their first two coordinates, a few in each, for those nearest to some of them."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x, self.low = x, x[:, :2].min(0)
+        span = np.maximum(x[:, :2].max(0) - self.low, 1e-9)
+        self.size = max(float(np.sqrt(span[0] * span[1] / max(len(x) / 2, 1))), float(span.max()) / 4096)
+        self.shape = (span // self.size).astype(int) + 1
+        cell = self.cell(x)
+        flat = cell[:, 0] * self.shape[1] + cell[:, 1]
+        self.order = np.argsort(flat, kind="stable")
+        self.starts = np.searchsorted(flat[self.order], np.arange(self.shape[0] * self.shape[1] + 1))
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(((x[:, :2] - self.low) / self.size).astype(int), 0, self.shape - 1)
+
+    def within(self, at: np.ndarray, rings: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of places `at`, ascending, and of points: all pairs of a place and a point up to so many cells away."""
+        cell = self.cell(at)
+        rows = cell[:, :1] + np.arange(-rings, rings + 1)
+        left = np.maximum(cell[:, 1:2] - rings, 0)
+        right = np.minimum(cell[:, 1:2] + rings, self.shape[1] - 1)
+        inside = (rows >= 0) & (rows < self.shape[0])
+        row = np.where(inside, rows, 0) * self.shape[1]
+        a = self.starts[row + left]
+        n = np.where(inside, self.starts[row + right + 1] - a, 0).ravel()
+        ends = np.cumsum(n)
+        points = np.arange(ends[-1]) + np.repeat(a.ravel() - (ends - n), n)
+        return np.repeat(np.repeat(np.arange(len(at)), 2 * rings + 1), n), self.order[points]
+
+    def nearest(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points and squared distances of the k nearest to each place (all, if fewer), by distance and number."""
+        k = min(k, len(self.x))
+        who, far = np.full((len(at), k), -1), np.full((len(at), k), np.inf)
+        todo, rings = np.arange(len(at)), max(1, int(np.sqrt(k) / 2))
+        while len(todo):
+            again = []
+            for a in range(0, len(todo), step := max(1, 400_000 // (rings * rings * 8 + k))):
+                own = todo[a : a + step]
+                j, b = self.within(at[own], rings)
+                d = (at[own[j], 0] - self.x[b, 0]) ** 2
+                for c in range(1, self.x.shape[1]):
+                    d = d + (at[own[j], c] - self.x[b, c]) ** 2
+                if not len(j):
+                    again.append(own)
+                    continue
+                if k == 1:  # the first of the least of each
+                    head = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+                    order = np.flatnonzero(d == np.repeat(np.minimum.reduceat(d, head), np.diff(np.append(head, len(j)))))
+                else:
+                    order = np.lexsort((b, d, j))
+                j, b, d = j[order], b[order], d[order]
+                place = np.arange(len(j)) - np.searchsorted(j, j)
+                first = place < k
+                who[own[j[first]], place[first]], far[own[j[first]], place[first]] = b[first], d[first]
+                # beyond the cells seen nothing is nearer than they reach
+                sure = far[own, k - 1] < (rings * self.size * (1 - 1e-9)) ** 2
+                again.append(own[~sure] if rings < self.shape.max() else own[:0])
+            todo, rings = np.concatenate(again), rings * 2
+        return who, far
+
+
 def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int]]:
     """Edges (length, a, b) of the least tree over mutual reachability, ascending; memory stays linear in the points."""
     n = len(x)
@@ -210,10 +272,81 @@ def cell_area(p: np.ndarray, k: int, box: tuple[np.ndarray, np.ndarray]) -> floa
     return polygon_area(cell)
 
 
+def cell_areas(p: np.ndarray, box: tuple[np.ndarray, np.ndarray], first: int = 16) -> np.ndarray:
+    """cell_area of each point. Equal points have one cell. All cells are cut side by side, by a few of their nearest; if farther points can reach a cell, by those that are nearer to one of its corners than its own,
+    until there are none."""
+    middle = (box[0] + box[1]) / 2
+    q, place = np.unique(p - middle, axis=0, return_inverse=True)
+    (n0, e0), (n1, e1) = box - middle
+    extent = float(np.hypot(n1 - n0, e1 - e0))
+    near, areas, upto = Near(q), np.zeros(len(q)), min(len(q), first)
+    for a in range(0, len(q), 10_000):
+        live = np.arange(a, min(len(q), a + 10_000))
+        who, away = near.nearest(q[live], upto)
+        c, n = np.broadcast_to(np.array([(n0, e0), (n0, e1), (n1, e1), (n1, e0)], float), (len(live), 4, 2)), np.full(len(live), 4)
+        for j in range(1, upto):
+            used = np.arange(c.shape[1]) < n[:, None]
+            over = away[live - a, j] > 4 * np.where(used, ((c - q[live, None]) ** 2).sum(2), -1).max(1)
+            areas[live[over]] = _areas(c[over], n[over])
+            live, c, n = live[~over], c[~over], n[~over]
+            c, n = _cut(c, n, q[live], q[who[live - a, j]])
+        while len(live):
+            row, corner = np.nonzero(np.arange(c.shape[1]) < n[:, None])
+            at = c[row, corner]
+            who_at, least = near.nearest(at, 1)
+            gain = np.full(c.shape[:2], -1.0)
+            own = ((at - q[live[row]]) ** 2).sum(1)
+            gain[row, corner] = np.where(own - least[:, 0] > 1e-10 * own + 1e-12 * extent * np.sqrt(own), own - least[:, 0], -1.0)
+            other = np.zeros(c.shape[:2], int)
+            other[row, corner] = who_at[:, 0]
+            worst = gain.argmax(1)
+            over = (gain.max(1) <= 0) | (n < 3)
+            areas[live[over]] = _areas(c[over], n[over])
+            by = other[np.arange(len(live)), worst][~over]
+            live, c, n = live[~over], c[~over], n[~over]
+            c, n = _cut(c, n, q[live], q[by])
+    return areas[place.ravel()]
+
+
+def _cut(cell: np.ndarray, size: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (a cell a row, the first `size` count) of what is nearer to own than to other."""
+    mid, to = (own + other) / 2, other - own
+    used = np.arange(cell.shape[1]) < size[:, None]
+    side = np.where(used, (cell[:, :, 0] - mid[:, None, 0]) * to[:, None, 0] + (cell[:, :, 1] - mid[:, None, 1]) * to[:, None, 1], -1.0)
+    cut = np.flatnonzero((side > 0).any(1))
+    if not len(cut):
+        return np.array(cell), size
+    c, n, s, used = cell[cut], size[cut], side[cut], used[cut]
+    after = np.where(np.arange(c.shape[1]) + 1 < n[:, None], np.arange(c.shape[1]) + 1, 0)
+    s2, c2 = np.take_along_axis(s, after, 1), np.take_along_axis(c, after[:, :, None], 1)
+    crossing = used & (((s < 0) & (0 < s2)) | ((s2 < 0) & (0 < s)))
+    share = np.where(crossing, s / np.where(crossing, s - s2, 1.0), 0.0)
+    both = np.stack([c, c + (c2 - c) * share[:, :, None]], 2).reshape(len(cut), -1, 2)
+    held = np.stack([used & (s <= 0), crossing], 2).reshape(len(cut), -1)
+    count = held.sum(1)
+    width = max(cell.shape[1], int(count.max()))
+    new, out = np.zeros((len(cut), width, 2)), np.zeros((len(cell), width, 2))
+    row, col = np.nonzero(held)
+    new[row, (np.cumsum(held, 1) - 1)[row, col]] = both[row, col]
+    out[:, : cell.shape[1]] = cell
+    out[cut] = new
+    size = size.copy()
+    size[cut] = count
+    return out, size
+
+
+def _areas(cell: np.ndarray, size: np.ndarray) -> np.ndarray:
+    used = np.arange(cell.shape[1]) < size[:, None]
+    after = np.where(np.arange(cell.shape[1]) + 1 < size[:, None], np.arange(cell.shape[1]) + 1, 0)
+    c = np.where(used[:, :, None], cell - cell[:, :1], 0.0)
+    c2 = np.take_along_axis(c, after[:, :, None], 1)
+    return np.where(size < 3, 0.0, np.abs((c[:, :, 0] * c2[:, :, 1] - c[:, :, 1] * c2[:, :, 0]).sum(1)) / 2)
+
+
 def voronoi_density(d: DataFrame, least: float = 0.01, most: float = 200.0, margin: float = 5.0) -> DataFrame:
     """row_id, density (1 / area of its cell within the frame's bounds and a margin, the area held within least and most); one place alone has `most`, of two each max(5 x distance, 1)."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row_id").dropna(subset=["pos_n", "pos_e"])
+        g = g.sort_values("row_id").replace([np.inf, -np.inf], np.nan).dropna(subset=["pos_n", "pos_e"])
         p = g[["pos_n", "pos_e"]].to_numpy(float)
         if len(p) == 1:
             area = np.array([most])
@@ -221,6 +354,6 @@ def voronoi_density(d: DataFrame, least: float = 0.01, most: float = 200.0, marg
             area = np.full(2, max(5 * float(np.hypot(*(p[0] - p[1]))), 1.0))
         else:
             box = (p.min(0) - margin, p.max(0) + margin) if len(p) else None
-            area = np.clip([cell_area(p, k, box) for k in range(len(p))], least, most)
+            area = np.clip(cell_areas(p, box), least, most) if len(p) else p[:, 0]
         return pd.DataFrame({"row_id": g["row_id"], "density": np.round(1 / np.asarray(area, float), 4)})
     return d.select("video_id", "frame_id", "row_id", "pos_n", "pos_e").groupBy("video_id", "frame_id").applyInPandas(run, "row_id long, density double")
