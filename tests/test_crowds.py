@@ -101,3 +101,48 @@ def test_groups_nearer_than_epsilon_are_one():
     assert len(sets(crowds.stable_clusters(x, 4, 3))) == 4
     assert sets(crowds.stable_clusters(x, 4, 3, 0.01)) == sets(crowds.stable_clusters(x, 4, 3))
     assert sets(crowds.stable_clusters(x, 4, 3, 5.0)) == sets(crowds.stable_clusters(x, 4, 3, 500.0)) == pairs
+
+
+def _plain_tree(x, neighbours):
+    """Edges of the least tree as the definition has them: all distances at every step, ties to the smaller number, and from the point reached first."""
+    n = len(x)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(apart, 1)[:, min(neighbours, n) - 1]
+    near, source, left, at, edges = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool), 0, []
+    for _ in range(n - 1):
+        left[at] = False
+        reach = np.maximum(np.maximum(core, core[at]), apart[at])
+        closer = left & (reach < near)
+        near[closer], source[closer] = reach[closer], at
+        at = int(np.where(left, near, np.inf).argmin())
+        edges.append((float(near[at]), int(source[at]), at))
+    return sorted(edges)
+
+
+def test_trees_of_equal_distances_and_many_points():
+    rng = np.random.default_rng(8)
+    for x in (_places(500), _places(400)[rng.integers(0, 50, 400)], rng.normal(size=(300, 4)), rng.integers(0, 3, (300, 4)).astype(float), np.zeros((20, 2)), np.array([[0, 0], [1, 1.0]])):
+        for neighbours in (2, 3):
+            assert crowds._spanning_tree(x, neighbours) == _plain_tree(x, neighbours)
+    x, began = _places(9000), time.process_time()
+    assert len(crowds._spanning_tree(x, 2)) == 8999 and time.process_time() - began < 2.5
+
+
+def test_large_clusters_are_split_in_little_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(9).normal(size=(12_000, 2))
+    tracemalloc.start()
+    parts = crowds.split_large(x, np.ones(len(x), int), 40, rounds=2)
+    assert len(np.unique(parts)) == 300 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_trials_share_their_trees(spark, monkeypatch):
+    d = spark.createDataFrame([(1, k % 2, k, float(n), float(e)) for k, (n, e) in enumerate(_places(80))], "video_id int, frame_id int, row_id long, pos_n double, pos_e double")
+    got = crowds.search_parameters(d, [(3, 2), (4, 2), (90, 2)])
+    for r in got.collect():
+        c = crowds.density_clusters(d, r["least"], r["neighbours"]).join(d.select("row_id", "frame_id"), "row_id").groupBy("frame_id").agg(F.count_if(F.col("cluster").isNull()).alias("noise"), F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+        assert r["cost"] == c.agg(F.round(50.0 * F.sum("noise") / F.sum("n") + 2.0 * F.stddev_pop("clusters"), 6)).first()[0]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    assert [(r["trial"], r["cost"]) for r in crowds.search_parameters(d.limit(0), [(3, 2)]).collect()] == [(0, None)]

@@ -5,8 +5,6 @@ Frames are independent and a frame holds what one camera sees, so Spark groups b
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -75,22 +73,42 @@ class Near:
 
 
 def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int]]:
-    """Edges (length, a, b) of the least tree over mutual reachability, ascending; memory stays linear in the points."""
+    """Edges (length, a, b) of the least tree over mutual reachability, ascending; memory stays linear in the points.
+
+    Equal points that have `neighbours` of them are one for the rest. A step looks at those that are left, and takes roots only of those that may come nearer.
+    """
     n = len(x)
-    core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(1)), min(neighbours, n) - 1)[min(neighbours, n) - 1] for p in x])
-    near, source, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        left[at] = False
-        reach = np.maximum(np.maximum(core, core[at]), np.sqrt(((x - x[at]) ** 2).sum(1)))
-        closer = left & (reach < near)
-        near[closer], source[closer] = reach[closer], at
-        at = int(np.where(left, near, np.inf).argmin())
-        edges.append((float(near[at]), int(source[at]), at))
+    core = np.sqrt(Near(x).nearest(x, min(neighbours, n))[1][:, -1])
+    _, first, place = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    same = np.where(core == 0, first[place.ravel()], np.arange(n))
+    edges = [(0.0, int(same[k]), int(k)) for k in np.flatnonzero(same != np.arange(n))]
+    who = np.flatnonzero(same == np.arange(n))
+    left, axes, near, source = np.ones(len(who), bool), np.ascontiguousarray(x[who].T), np.full(len(who), np.inf), np.zeros(len(who), int)
+    limit, square, part = near.copy(), near.copy(), near.copy()
+    at = 0
+    for step in range(len(who) - 1):
+        number, own, place = who[at], core[who[at]], axes[:, at].copy()
+        left[at], near[at], limit[at] = False, np.inf, -1.0
+        if step % 256 == 255:
+            who, near, source, limit, axes = who[left], near[left], source[left], limit[left], np.ascontiguousarray(axes[:, left])
+            square, part, left = square[: len(who)], part[: len(who)], np.ones(len(who), bool)
+        np.subtract(axes[0], place[0], out=square)
+        np.multiply(square, square, out=square)
+        for axis, value in zip(axes[1:], place[1:], strict=True):
+            np.subtract(axis, value, out=part)
+            np.multiply(part, part, out=part)
+            np.add(square, part, out=square)
+        may = np.flatnonzero(square <= limit)
+        reach = np.maximum(np.maximum(core[who[may]], own), np.sqrt(square[may]))
+        closer = reach < near[may]
+        may, reach = may[closer], reach[closer]
+        near[may], source[may], limit[may] = reach, number, reach * reach * (1 + 1e-12)
+        at = int(near.argmin())
+        edges.append((float(near[at]), int(source[at]), int(who[at])))
     return sorted(edges)
 
 
-def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float = 0.0) -> np.ndarray:
+def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float = 0.0, tree: list[tuple[float, int, int]] | None = None) -> np.ndarray:
     """Labels from 1, 0 for noise, of the clusters that persist longest over falling density (the root is none).
 
     Groups merge along the tree; a merge of two groups of `least` or more closes both, and their stability is compared
@@ -111,22 +129,22 @@ def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float =
             i = parent[i]
         return i
 
-    def closed(root: int, density: float) -> tuple[float, list[list[int]]]:
-        """Stability and choice of a group that ends at this density."""
+    def closed(root: int, density: float) -> tuple[float, tuple]:
+        """Stability and choice of a group that ends at this density: its members, which are the first so many of a list that only grows, or a pair of choices."""
         s = state[root]
         own = s["sum"] - len(members[root]) * density
-        return max(own, s["below"]), [list(members[root])] if s["near"] or own >= s["below"] else s["choice"]
+        return max(own, s["below"]), (members[root], len(members[root])) if s["near"] or own >= s["below"] else s["choice"]
 
-    edges = _spanning_tree(x, neighbours)
+    edges = _spanning_tree(x, neighbours) if tree is None else tree
     for k, (length, a, b) in enumerate(edges):
         density = 1 / max(length, 1e-12)
         a, b = find(a), find(b)
         if len(members[a]) < len(members[b]):
             a, b = b, a
-        below, choice, total, near = 0.0, [], None, False
+        below, choice, total, near = 0.0, None, None, False
         if a in state and b in state:
             (sa, ca), (sb, cb) = closed(a, density), closed(b, density)
-            below, choice, near = sa + sb, ca + cb, length < epsilon
+            below, choice, near = sa + sb, (ca, cb), length < epsilon
         elif a in state:
             total, below, choice, near = state[a]["sum"] + len(members[b]) * density, state[a]["below"], state[a]["choice"], state[a]["near"]
         parent[b] = a
@@ -135,7 +153,14 @@ def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float =
         if len(members[a]) >= least:
             state[a] = {"sum": len(members[a]) * density if total is None else total, "below": below, "choice": choice, "near": near}
         if k == len(edges) - 1:
-            for c, who in enumerate(sorted((sorted(w) for w in state[a]["choice"]), key=lambda w: w[0]), 1):
+            chosen, todo = [], [state[a]["choice"]]
+            while todo:
+                who, more = todo.pop() or ([], 0)
+                if isinstance(more, int):
+                    chosen.append(sorted(who[:more]))
+                else:
+                    todo += who, more
+            for c, who in enumerate(sorted(filter(None, chosen), key=lambda w: w[0]), 1):
                 labels[who] = c
     return labels
 
@@ -149,32 +174,39 @@ def split_large(x: np.ndarray, labels: np.ndarray, most: int, rounds: int = 50)
         if k < 2:
             continue
         p = x[who]
-        centres = p[[0]]
+        centres, away = p[[0]], np.full(len(p), np.inf)
         while len(centres) < k:
-            centres = np.vstack([centres, p[((p[:, None] - centres[None]) ** 2).sum(2).min(1).argmax()]])
-        part = np.full(len(p), -1)
+            away = np.minimum(away, ((p - centres[-1]) ** 2).sum(1))
+            centres = np.vstack([centres, p[away.argmax()]])
+        part, step = np.full(len(p), -1), max(1, 2_000_000 // k)
         for _ in range(rounds):
-            now = ((p[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            now = np.concatenate([((p[a : a + step, None] - centres[None]) ** 2).sum(2).argmin(1) for a in range(0, len(p), step)])
             if (now == part).all():
                 break
             part = now
-            centres = np.array([p[part == c].mean(0) if (part == c).any() else centres[c] for c in range(k)])
+            own = np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=k))[:-1])
+            centres = np.array([p[own[c]].mean(0) if len(own[c]) else centres[c] for c in range(k)])
         for c in range(1, k):
             out[who[part == c]] = new
             new += 1
     return out
 
 
+def _scaled(g: pd.DataFrame, features: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """z-scores times weights of the rows whose features are finite, and which rows these are."""
+    x = g[[f for f, _ in features]].to_numpy(float)
+    ok = np.isfinite(x).all(1)
+    z = x[ok]
+    return (z - z.mean(0)) / np.maximum(z.std(0), 1e-6) * np.array([w for _, w in features]) if len(z) else z, ok
+
+
 def density_clusters(d: DataFrame, least: int = 3, neighbours: int = 2, most: int = 40, keys: tuple[str, ...] = ("video_id", "frame_id"), features: tuple[tuple[str, float], ...] = (("pos_n", 1.0), ("pos_e", 1.0)), epsilon: float = 0.0) -> DataFrame:
     """row_id, cluster (null for noise) by frame over z-scored features times their weights, such as places and velocities; a frame of fewer than `least` rows, or rows without finite features, are noise."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row_id")
-        x = g[[f for f, _ in features]].to_numpy(float)
-        ok = np.isfinite(x).all(1)
-        z = x[ok]
+        z, ok = _scaled(g, features)
         labels = np.zeros(len(g), int)
         if len(z):
-            z = (z - z.mean(0)) / np.maximum(z.std(0), 1e-6) * np.array([w for _, w in features])
             labels[ok] = split_large(z, stable_clusters(z, least, min(neighbours, least), epsilon), most)
         return pd.DataFrame({"row_id": g["row_id"], "cluster": pd.array(np.where(labels > 0, labels, -1), dtype="Int64").astype("Int64")}).replace({"cluster": {-1: pd.NA}})
     return d.select(*keys, "row_id", *(f for f, _ in features)).groupBy(*keys).applyInPandas(run, "row_id long, cluster long")
@@ -198,13 +230,17 @@ def macro_states(d: DataFrame, clusters: DataFrame) -> DataFrame:
 def search_parameters(d: DataFrame, trials: list[tuple[int, int]], weights: tuple[float, float] = (50.0, 2.0)) -> DataFrame:
     """trial, least, neighbours, cost of each pair of parameters, all trials at once: share of people without a cluster and spread of clusters per frame, weighted."""
     spark = d.sparkSession
-    costs = []
-    for k, (least, neighbours) in enumerate(trials):
-        c = density_clusters(d, least=least, neighbours=neighbours).join(d.select("row_id", "video_id", "frame_id"), "row_id")
-        per = c.groupBy("video_id", "frame_id").agg(F.count_if(F.col("cluster").isNull()).alias("noise"), F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
-        cost = weights[0] * F.sum("noise") / F.sum("n") + weights[1] * F.stddev_pop("clusters")
-        costs.append(per.agg(F.lit(k).alias("trial"), F.lit(least).alias("least"), F.lit(neighbours).alias("neighbours"), F.round(cost, 6).alias("cost")))
-    return reduce(DataFrame.unionByName, costs) if costs else spark.createDataFrame([], "trial int, least int, neighbours int, cost double")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        z, ok = _scaled(g.sort_values("row_id"), (("pos_n", 1.0), ("pos_e", 1.0)))
+        trees = {k: _spanning_tree(z, k) for k in {min(neighbours, least) for least, neighbours in trials if len(z) >= max(least, 2)}}
+        found = [np.bincount(split_large(z, stable_clusters(z, least, min(neighbours, least), tree=trees.get(min(neighbours, least))), 40), minlength=1) for least, neighbours in trials]
+        return pd.DataFrame({"trial": range(len(trials)), "noise": [int(f[0]) + int((~ok).sum()) for f in found], "n": len(g), "clusters": [int((f[1:] > 0).sum()) for f in found]})
+
+    per = d.select("video_id", "frame_id", "row_id", "pos_n", "pos_e").groupBy("video_id", "frame_id").applyInPandas(run, "trial int, noise long, n long, clusters long")
+    cost = weights[0] * F.sum("noise") / F.sum("n") + weights[1] * F.stddev_pop("clusters")
+    names = spark.createDataFrame([(k, *t) for k, t in enumerate(trials)], "trial int, least int, neighbours int")
+    return names.join(per.groupBy("trial").agg(F.round(cost, 6).alias("cost")), "trial", "left")
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:
