@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from trackweave.operators import crowds
+from trackweave.operators import crowds, joins
 
 
 def test_clusters_split_and_noise():
@@ -146,3 +146,16 @@ def test_trials_share_their_trees(spark, monkeypatch):
         assert r["cost"] == c.agg(F.round(50.0 * F.sum("noise") / F.sum("n") + 2.0 * F.stddev_pop("clusters"), 6)).first()[0]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1
     assert [(r["trial"], r["cost"]) for r in crowds.search_parameters(d.limit(0), [(3, 2)]).collect()] == [(0, None)]
+
+
+def test_neighbours_are_counted_by_cells(spark):
+    """As all pairs give, on the circle too, over tiles, and fast where each has thousands."""
+    rng = np.random.default_rng(10)
+    for x in (_places(700), rng.uniform(-30, 90, (500, 2)), np.zeros((5, 2)), np.array([[0.0, 0], [6, 8], [600, 800]]), rng.integers(-20, 20, (600, 2)).astype(float)):
+        plain = (((x[:, None] - x[None]) ** 2).sum(2) <= 100 + 1e-9).sum(1)
+        assert (joins.counts_within(x, x, 10.0, 1e-9) == plain).all()
+        d = spark.createDataFrame([(0, k, float(n), float(e)) for k, (n, e) in enumerate(x)] + [(0, -1, None, 1.0), (0, -2, float("nan"), 1.0)], "frame_id int, row_id long, pos_n double, pos_e double")
+        got = {r["row_id"]: r["density"] for r in joins.radius_neighbours(d, ["frame_id"], "pos_n", "pos_e", "row_id", tile=1.5).collect()}
+        assert got == dict(enumerate((plain - 1).tolist()))
+    x, began = _places(30_000), time.process_time()
+    assert len(joins.counts_within(x, x, 10.0, 1e-9)) == 30_000 and time.process_time() - began < 15

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from trackweave.operators.crowds import Near
 from trackweave.sources.shared import settled
 
 
@@ -17,14 +20,53 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_time: str, right_tim
     return nearest(left, right, left_time, right_time, right_id)
 
 
-def radius_neighbours(d: DataFrame, frame: list[str], n: str, e: str, key: str, radius: float = 10.0, slack: float = 1e-9) -> DataFrame:
-    """key and the number of other rows of the frame within the radius, by grid cells of its size."""
-    cell = lambda c: F.floor(F.col(c) / radius)
-    base = d.select(F.struct(*frame).alias("_f"), F.col(key).alias("_k"), F.col(n).alias("_n"), F.col(e).alias("_e"), cell(n).alias("_cn"), cell(e).alias("_ce"))
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    near = base.select("_f", F.col("_k").alias("_k2"), F.col("_n").alias("_n2"), F.col("_e").alias("_e2"), "_cn", "_ce", F.explode(shifts).alias("_s")).withColumns({"_cn": F.col("_cn") + F.col("_s.a"), "_ce": F.col("_ce") + F.col("_s.b")}).drop("_s")
-    hit = (F.col("_n") - F.col("_n2")) ** 2 + (F.col("_e") - F.col("_e2")) ** 2 <= radius * radius + slack
-    return base.join(near, ["_f", "_cn", "_ce"]).filter(hit).groupBy("_k").agg((F.count("*") - 1).alias("density")).withColumnRenamed("_k", key)
+def counts_within(x: np.ndarray, own: np.ndarray, radius: float, slack: float) -> np.ndarray:
+    """How many of the places x are within the radius of each of those in own, itself included. Of each row of small cells those that lie wholly within count by the row's running number, and only the places in
+    the cells that the circle crosses are compared."""
+    near, out = Near(x), np.zeros(len(own), np.int64)
+    s, (low_n, low_e), (rows, columns), give = near.size, near.low, near.shape, near.size * 1e-6
+    reach = int(np.ceil(radius / s)) + 1
+    shift = np.arange(-min(reach, rows), min(reach, rows) + 1)
+    for a in range(0, len(own), step := max(1, 100_000 // len(shift))):
+        n, e = own[a : a + step, :1], own[a : a + step, 1:]
+        row = near.cell(own[a : a + step])[:, :1] + shift
+        edge = low_n + row * s
+        least = np.maximum(np.maximum(edge - n, n - edge - s) - give, 0)
+        most = np.maximum(np.abs(n - edge), np.abs(n - edge - s)) + give
+        wide = np.sqrt(np.maximum(radius * radius + slack - least * least, 0)) + give
+        sure = np.sqrt(np.maximum(radius * radius - most * most, 0)) - give
+        seen = (row >= 0) & (row < rows) & (least * least <= radius * radius + slack)
+        first = np.clip(np.floor((e - wide - low_e) / s), 0, columns).astype(int)
+        end = np.maximum(np.clip(np.floor((e + wide - low_e) / s) + 1, 0, columns).astype(int), first)
+        left = np.clip(np.ceil((e - sure - low_e) / s), first, end).astype(int)
+        right = np.clip(np.floor((e + sure - low_e) / s), first, end).astype(int)
+        right = np.where((sure > 0) & (right > left), right, left)
+        base = np.where(seen, row, 0) * columns
+        at = lambda column, base=base: near.starts[base + column]
+        found = np.where(seen, at(right) - at(left), 0).sum(1)
+        begin = np.stack([at(first), at(right)], 2)
+        size = np.where(seen[:, :, None], np.stack([at(left), at(end)], 2) - begin, 0)
+        ends = np.cumsum(size)
+        place = near.order[np.arange(ends[-1]) + np.repeat(begin.ravel() - (ends - size.ravel()), size.ravel())]
+        who = np.repeat(np.arange(len(n)), size.sum((1, 2)))
+        hit = (n[who, 0] - x[place, 0]) ** 2 + (e[who, 0] - x[place, 1]) ** 2 <= radius * radius + slack
+        out[a : a + step] = found + np.bincount(who[hit], minlength=len(n))
+    return out
+
+
+def radius_neighbours(d: DataFrame, frame: list[str], n: str, e: str, key: str, radius: float = 10.0, slack: float = 1e-9, tile: float = 8.0) -> DataFrame:
+    """key and the number of other rows of the frame within the radius; rows without a finite place are left out. A frame is cut into tiles of so many radii, which hold copies of what is near their borders."""
+    side, margin = radius * tile, radius * (1 + 1e-6) + slack
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    base = d.select(F.col(key).alias("_k"), F.col(n).cast("double").alias("_n"), F.col(e).cast("double").alias("_e"), F.struct(*frame).alias("_f")).filter(finite("_n") & finite("_e"))
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / side), F.floor((F.col(c) + margin) / side)))
+    x = base.withColumn("_tn", tiles("_n")).withColumn("_te", tiles("_e")).withColumn("_own", (F.floor(F.col("_n") / side) == F.col("_tn")) & (F.floor(F.col("_e") / side) == F.col("_te")))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        p, own = g[["_n", "_e"]].to_numpy(float), g["_own"].to_numpy(bool)
+        return pd.DataFrame({key: g["_k"][own], "density": counts_within(p, p[own], radius, slack) - 1})
+
+    return x.groupBy("_f", "_tn", "_te").applyInPandas(run, f"`{key}` {dict(base.dtypes)['_k']}, density long")
 
 
 def nearest_point(points: DataFrame, key: str, n: str, e: str, nodes: DataFrame, node: str, node_n: str, node_e: str, cell: float) -> DataFrame:
