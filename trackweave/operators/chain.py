@@ -42,19 +42,21 @@ def box_depths(boxes: DataFrame, maps: DataFrame, width: float, height: float, r
     """key, depth_m: the median of a box's depths up to their percentile `rejected`, of boxes (key, frame, bbox in an image of width x height) on maps (frame, h, w, depth by rows). Boxes without an area on the
     map, or a finite depth above 0, and those of frames without a map, are left out.
 
-    Maps are cut into rows of pixels, and a box is joined to those that it covers and takes its part of each, so no box carries a map.
+    Maps are cut into rows of pixels, and a box is joined to those that it covers and takes its part of each, so no box carries a map. Boxes that cover the same pixels are one until their depth is known.
     """
     sizes = maps.select("frame", "h", "w")
     b = boxes.select("key", "frame", "bbox").join(sizes, "frame")
     side = lambda k, scale, size: F.bround(F.col("bbox")[k] * F.col(size) / scale)  # noqa: E731  halves to even
     clamp = lambda v, most: F.greatest(F.lit(0), F.least(v, most)).cast("int")
     b = b.select("key", "frame", clamp(side(0, width, "w"), F.col("w") - 1).alias("x1"), clamp(side(1, height, "h"), F.col("h") - 1).alias("y1"), clamp(side(2, width, "w"), F.col("w")).alias("x2"), clamp(side(3, height, "h"), F.col("h")).alias("y2"))
-    b = b.filter("x2 > x1 and y2 > y1").select("key", "frame", "x1", "x2", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("v"))
+    b = b.filter("x2 > x1 and y2 > y1")
+    pixels = ["frame", "x1", "y1", "x2", "y2"]
+    covered = b.select(pixels).distinct().withColumn("v", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)))
     lines = maps.select("frame", F.explode(F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda v: F.struct(v.cast("int").alias("v"), F.slice("depth", (v * F.col("w") + 1).cast("int"), F.col("w").cast("int")).alias("d")))).alias("_l")).select("frame", "_l.*")
     part = F.filter(F.slice("d", F.col("x1") + 1, F.col("x2") - F.col("x1")).cast("array<double>"), lambda x: (x > 0) & ~F.isnan(x) & (x != float("inf")))
-    held = b.join(lines, ["frame", "v"]).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(part))).alias("_d")).filter(F.size("_d") > 0)
-    near = held.withColumn("_cut", _at(F.col("_d"), rejected / 100)).select("key", F.filter("_d", lambda x: x <= F.col("_cut")).alias("_n"))
-    return near.select("key", _at(F.col("_n"), 0.5).alias("depth_m"))
+    held = covered.join(lines, ["frame", "v"]).groupBy(pixels).agg(F.array_sort(F.flatten(F.collect_list(part))).alias("_d")).filter(F.size("_d") > 0)
+    near = held.withColumn("_cut", _at(F.col("_d"), rejected / 100)).select(*pixels, F.filter("_d", lambda x: x <= F.col("_cut")).alias("_n"))
+    return b.join(near.select(*pixels, _at(F.col("_n"), 0.5).alias("depth_m")), pixels).select("key", "depth_m")
 
 
 def frames_of(telemetry: DataFrame, frames: DataFrame, fps: float) -> DataFrame:

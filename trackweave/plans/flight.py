@@ -28,7 +28,7 @@ def _read_back(d: DataFrame, t: DataFrame, p: DataFrame):
         C("latitude").alias("OSD.latitude"), C("longitude").alias("OSD.longitude"), C("altitude").alias("OSD.height [m]"), C("gimbal_pitch").alias("GIMBAL.pitch"), C("gimbal_yaw").alias("GIMBAL.yaw"), C("gimbal_roll").alias("GIMBAL.roll"),
         C("drone_yaw").alias("OSD.yaw"), C("drone_roll").alias("OSD.roll"), C("gimbal_mode").alias("GIMBAL.mode"), C("is_video").alias("CAMERA.isVideo"), C("vel_north").alias("OSD.xSpeed"), C("vel_east").alias("OSD.ySpeed"),
         F.date_format(clock, "M/d/yyyy").alias("CUSTOM.date [local]"), F.date_format(clock, "h:mm:ss.SSS a").alias("CUSTOM.updateTime [local]"), "seq")
-    record.coalesce(1).sortWithinPartitions("seq").write.csv(f"{path}/record", header=True)  # a record is one file
+    record.repartition(1).sortWithinPartitions("seq").write.csv(f"{path}/record", header=True)  # a record is one file; coalesce would have its task number all rows, too
     maps = p.groupBy(C("frame_id").cast("bigint").alias("frame")).agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "u", "depth"))), lambda x: x.depth.cast("float")).alias("depth"))
     maps.select("frame", F.lit(8).alias("h"), F.lit(8).alias("w"), "depth").write.format("npy").mode("append").save(f"{path}/depth")
     telemetry, home = readers.read_flight(spark, f"{path}/record")
