@@ -1,8 +1,11 @@
 """Depths of boxes against a plain construction."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trackweave.operators import chain
+from trackweave.plans import flight
+from trackweave.sources.adapters import view
 
 
 def test_equal_boxes_are_cut_once(spark):
@@ -21,3 +24,15 @@ def test_equal_boxes_are_cut_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(k for k, line in enumerate(plan) if "Generate explode(sequence(y1" in line)
     assert "Aggregate [" in plan[at + 1] and "key" not in plan[at + 1] and "y2" in plan[at + 1]
+
+
+def test_long_records_keep_their_time(spark):
+    """Half seconds of millions of rows pass 2^31 milliseconds."""
+    data = "/root/testdata/sf0.001"
+    late = F.col("seq") * 40_000
+    t = view(spark, data, "telemetry").withColumn("seq", late.cast("int"))
+    d, p = view(spark, data, "detections").limit(5), view(spark, data, "depth_pixels").filter("frame_id < 3")
+    telemetry, _ = flight._read_back(d, t, p)[1:3]
+    want = {1_704_067_200_000 + r["seq"] * 500 for r in t.filter("upper(is_video) = 'TRUE'").select("seq").collect()}
+    assert max(want) - 1_704_067_200_000 > 2**31
+    assert {r[0] for r in telemetry.select(F.unix_millis("timestamp")).collect()} == want

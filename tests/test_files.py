@@ -76,6 +76,24 @@ def test_arrays(spark, tmp_path):
     assert tuple(readers.read_intrinsics(spark, uri(tmp_path / "k.npy")).first()) == (0, 5.0, 6.0, 1.0, 2.0)
 
 
+def test_many_maps_are_read_by_few_tasks(spark, tmp_path):
+    """Neither the driver's listing nor the tasks follow the number of files."""
+    (tmp_path / "d").mkdir()
+    for k in range(300):
+        np.save(tmp_path / "d" / f"depth_{k:04d}.npy", np.full((1, 2), k, np.float32))
+    maps = readers.read_depth(spark, uri(tmp_path / "d"))
+    sc = spark.sparkContext
+    sc.setJobGroup("maps", "maps")
+    assert sorted((r["frame"], *r["depth"]) for r in maps.collect()) == [(k, float(k), float(k)) for k in range(300)]
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("maps") for s in tracker.getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) <= 8
+    assert "Scan binaryFile" not in maps._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "empty").mkdir()
+    assert readers.read_depth(spark, uri(tmp_path / "empty")).count() == 0
+
+
 def test_texts(spark, tmp_path):
     frame = {"filepath": "x.jpg", "extri": [[1.0]], "intri": [[2.0]]}
     (tmp_path / "s.jgz").write_bytes(b"")

@@ -84,6 +84,7 @@ def measured(tracks: DataFrame, telemetry: DataFrame, home: DataFrame, maps: Dat
     no depth map, or no valid depth in the box. intrinsics: frame, fx, fy, cx, cy; frames after the last have its."""
     rows, last = telemetry.count(), intrinsics.agg(F.max("frame")).first()[0]
     d = tracks.filter((F.col("frame_id") < rows) & (F.size("bbox") == 4))
+    maps = settled(maps.join(d.select(F.col("frame_id").cast("bigint").alias("frame")).distinct(), "frame", "left_semi"))
     depth = box_depths(d.select(F.col("row_id").alias("key"), F.col("frame_id").cast("bigint").alias("frame"), "bbox"), maps, p.width, p.height, p.rejected).filter("depth_m > 0")
     d = d.join(depth.withColumnRenamed("key", "row_id"), "row_id")
     sizes = maps.select(F.col("frame").alias("frame_id"), (F.col("w") / p.width).alias("_sx"), (F.col("h") / p.height).alias("_sy"))

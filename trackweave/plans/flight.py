@@ -11,6 +11,7 @@ from trackweave.plans.depth import _matrix, _r
 from trackweave.plans.streets import _folder
 from trackweave.sources import files, readers
 from trackweave.sources.adapters import ctes
+from trackweave.sources.shared import settled
 
 C = F.col
 PLAN = chain.ChainParams(fps=24.0, width=1280.0, height=720.0, flat=True)
@@ -23,7 +24,7 @@ def _read_back(d: DataFrame, t: DataFrame, p: DataFrame):
     spark, path = d.sparkSession, _folder(d, "flight")
     files.register(spark)
     d.select("frame_id", "track_id", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence", "class_name", "row_id").write.json(f"{path}/tracks")
-    clock = F.timestamp_millis(F.lit(1_704_067_200_000) + C("seq") * 500)
+    clock = F.timestamp_millis(F.lit(1_704_067_200_000) + C("seq").cast("bigint") * 500)
     record = t.select(
         C("latitude").alias("OSD.latitude"), C("longitude").alias("OSD.longitude"), C("altitude").alias("OSD.height [m]"), C("gimbal_pitch").alias("GIMBAL.pitch"), C("gimbal_yaw").alias("GIMBAL.yaw"), C("gimbal_roll").alias("GIMBAL.roll"),
         C("drone_yaw").alias("OSD.yaw"), C("drone_roll").alias("OSD.roll"), C("gimbal_mode").alias("GIMBAL.mode"), C("is_video").alias("CAMERA.isVideo"), C("vel_north").alias("OSD.xSpeed"), C("vel_east").alias("OSD.ySpeed"),
@@ -41,6 +42,7 @@ def _read_back(d: DataFrame, t: DataFrame, p: DataFrame):
 def flight_states(d, t, p):
     """Objects' rows and the camera's in the first frames."""
     rows, telemetry, home, maps, lens = _read_back(d, t, p)
+    rows, telemetry, home = settled(rows), settled(telemetry), settled(home)
     frames = d.sparkSession.range(FRAMES).select(C("id").alias("frame"))
     s = chain.all_states(rows, telemetry, home, maps, lens, frames, PLAN)
     return s.select("frame_id", "track_id", "row_id", "first_detect_frame", *(F.round(c, n).alias(c) for c, n in COLUMNS.items()))

@@ -179,15 +179,77 @@ def read_poses(spark: SparkSession, path: str, key: str = "poses") -> DataFrame:
     return _arrays(spark, path, "frame long, r array<double>, t array<double>", rows)
 
 
+def _named(spark: SparkSession, path: str, suffix: str) -> DataFrame | None:
+    """path: files of a folder with this ending, listed by one task, so that their number isn't the driver's memory; None if only Spark's readers can open the folder."""
+    from pyarrow import fs
+
+    from trackweave.sources.files import opened
+
+    if ":/" not in path and not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"):
+        return None
+    try:
+        if opened(path)[0].get_file_info(opened(path)[1]).type != fs.FileType.Directory:
+            return None
+    except (OSError, pa.ArrowException):
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(path)
+        for _ in (b for b in batches if b.num_rows):
+            names = [f.base_name for f in system.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.base_name.endswith(suffix) and not f.base_name.startswith(("_", "."))]
+            for k in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path.rstrip('/')}/{n}" for n in names[k : k + 10_000]], pa.string())], ["path"])
+    return spark.range(1).coalesce(1).mapInArrow(run, "path string")
+
+
+#: Bytes of maps that a reader's task hands on at a time, beyond a single map.
+MAP_BYTES = 4 << 20
+
+
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
-    """frame, h, w, depth (by rows) of one map a frame from .npy files, under any of DEPTH_NAMES, the first of them that a frame has. Files of other names aren't depth maps."""
-    def rows(where, content):
-        named = depth_name(where.rsplit("/", 1)[-1])
-        if named:
-            x = np.load(io.BytesIO(content))
-            yield pa.RecordBatch.from_arrays([pa.array([named[0]], pa.int64()), pa.array([named[1]], pa.int32()), pa.array([x.shape[0]], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.astype(np.float32).ravel()], pa.list_(pa.float32()))], ["frame", "rank", "h", "w", "depth"])
-    x = _arrays(spark, f"{path}/*.npy", "frame long, rank int, h int, w int, depth array<float>", rows)
-    return x.groupBy("frame").agg(F.min_by(F.struct("h", "w", "depth"), "rank").alias("_m")).select("frame", "_m.*")
+    """frame, h, w, depth (by rows) of one map a frame from .npy files, under any of DEPTH_NAMES, the first of them that a frame has. Files of other names aren't depth maps.
+
+    Names are listed by one task and dealt out by frame, so many small files are neither a task each few nor all of them in the driver; a folder that only Spark's readers know is read by these.
+    """
+    def table(maps: list[tuple]) -> pa.RecordBatch:
+        frame, rank, x = zip(*maps, strict=True)
+        depth = pa.ListArray.from_arrays(np.cumsum([0, *(m.size for m in x)], dtype=np.int32), np.concatenate([m.astype(np.float32).ravel() for m in x]))
+        return pa.RecordBatch.from_arrays([pa.array(frame, pa.int64()), pa.array(rank, pa.int32()), pa.array([m.shape[0] for m in x], pa.int32()), pa.array([m.shape[1] for m in x], pa.int32()), depth], ["frame", "rank", "h", "w", "depth"])
+
+    schema = "frame long, rank int, h int, w int, depth array<float>"
+    files = _named(spark, path, ".npy")
+    if files is None:
+        def rows(where, content):
+            if named := depth_name(where.rsplit("/", 1)[-1]):
+                yield table([(*named, np.load(io.BytesIO(content)))])
+        x = _arrays(spark, f"{path}/*.npy", schema, rows)
+        return x.groupBy("frame").agg(F.min_by(F.struct("h", "w", "depth"), "rank").alias("_m")).select("frame", "_m.*")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(*k, p) for p in b.column(0).to_pylist() if (k := depth_name(p.rsplit("/", 1)[-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["frame", "rank", "path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from trackweave.sources.files import opened
+
+        system, base = opened(path)
+        held, size = [], 0
+        for b in batches:
+            for frame, rank, where in zip(*(b.column(c).to_pylist() for c in ("frame", "rank", "path")), strict=True):
+                with system.open_input_stream(f"{base.rstrip('/')}/{where.rsplit('/', 1)[-1]}") as f:
+                    x = np.load(io.BytesIO(f.read()))
+                held.append((frame, rank, x))
+                size += x.size * 4
+                if size >= MAP_BYTES:
+                    yield table(held)
+                    held, size = [], 0
+        if held:
+            yield table(held)
+
+    first = files.mapInArrow(named, "frame long, rank int, path string").groupBy("frame").agg(F.min_by(F.struct("rank", "path"), "rank").alias("_f")).select("frame", "_f.*")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # names are small, what they stand for isn't
+    return first.repartition(tasks, "frame").mapInArrow(read, schema).drop("rank")
 
 
 def depth_pixels(maps: DataFrame) -> DataFrame:
