@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import crowds, joins
@@ -159,3 +160,24 @@ def test_neighbours_are_counted_by_cells(spark):
         assert got == dict(enumerate((plain - 1).tolist()))
     x, began = _places(30_000), time.process_time()
     assert len(joins.counts_within(x, x, 10.0, 1e-9)) == 30_000 and time.process_time() - began < 15
+
+
+@pytest.mark.parametrize("shape", ["normal", "copies", "two heaps", "far ones"])
+def test_large_trees_are_those_of_all_pairs(monkeypatch, shape):
+    """The same edges as by looking at all points in each step, and in less time where many places lie over one spot."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 4))
+    if shape == "copies":
+        x = np.repeat(x[:500], 5, 0) + np.round(rng.normal(size=(2500, 1))) * [[0, 0.25, 0, 0]]
+    elif shape == "two heaps":
+        x = x * 0.01 + np.where(rng.random((2500, 1)) < 0.5, 0.0, 5.0)
+    elif shape == "far ones":
+        x[::50] *= 100
+    for neighbours in (2, 3, 5):
+        took = []
+        for most in (10**9, 100):
+            monkeypatch.setattr(crowds, "PLAIN", most)
+            began = time.perf_counter()
+            took.append((crowds._spanning_tree(x, neighbours), time.perf_counter() - began))
+        assert took[0][0] == took[1][0] and len(took[0][0]) == 2499
+        assert shape != "two heaps" or took[1][1] < took[0][1]

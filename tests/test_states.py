@@ -1,6 +1,7 @@
 """Stateful operators against step-by-step versions and brute force."""
 
 import itertools
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -147,3 +148,24 @@ def test_nearby_draws(spark):
     assert all(max(0, r["f"] - 3) <= r["picked"] < min(100, r["f"] + 3) for r in rows if r["f"] is not None)
     assert [r["picked"] for r in rows if r["k"] == 0 and r["f"] is not None] == [0, 5, 5, 99]
     assert len({(r["f"], r["k"], r["picked"]) for r in rows}) == 16
+
+
+def test_large_assignments(monkeypatch):
+    """Rows that bid first leave the same pairs, in less time."""
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 4), (30, 30), (25, 60), (60, 25)):
+        cost, ties = rng.random((n, m)), np.round(rng.random((n, m)) * 4)
+        monkeypatch.setattr(states, "FEW", 10**9)
+        pairs, least = states.assignment(cost), sum(ties[a, b] for a, b in states.assignment(ties))
+        monkeypatch.setattr(states, "FEW", 0)
+        assert sorted(states.assignment(cost)) == sorted(pairs)
+        found = states.assignment(ties)
+        assert sum(ties[a, b] for a, b in found) == least and len({a for a, _ in found}) == len({b for _, b in found}) == min(n, m)
+    a = rng.normal(size=(600, 2))
+    cost = np.hypot(*(a[:, None] - (a + 0.1 * rng.normal(size=a.shape))[None]).transpose(2, 0, 1))
+    took = []
+    for few in (10**9, 256):
+        monkeypatch.setattr(states, "FEW", few)
+        began = time.perf_counter()
+        took.append((sorted(states.assignment(cost)), time.perf_counter() - began))
+    assert took[0][0] == took[1][0] and took[1][1] < took[0][1]

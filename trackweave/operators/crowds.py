@@ -5,6 +5,8 @@ Frames are independent and a frame holds what one camera sees, so Spark groups b
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -77,12 +79,35 @@ def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int
 
     Equal points that have `neighbours` of them are one for the rest. A step looks at those that are left, and takes roots only of those that may come nearer.
     """
-    n = len(x)
-    core = np.sqrt(Near(x).nearest(x, min(neighbours, n))[1][:, -1])
+    n, many = len(x), len(x) > PLAIN and x.shape[1] > 2
+    if many:
+        t = Leaves(x)
+        near = t.nearest(min(n, max(HELD, neighbours) + 1))
+        core = np.empty(n)
+        core[t.number] = np.sqrt(near[1][:, min(neighbours, n) - 1])
+    else:
+        core = np.sqrt(Near(x).nearest(x, min(neighbours, n))[1][:, -1])
     _, first, place = np.unique(x, axis=0, return_index=True, return_inverse=True)
     same = np.where(core == 0, first[place.ravel()], np.arange(n))
     edges = [(0.0, int(same[k]), int(k)) for k in np.flatnonzero(same != np.arange(n))]
     who = np.flatnonzero(same == np.arange(n))
+    if not many:
+        return sorted(edges + _grown(x, core, who))
+    if len(who) < n:
+        t = Leaves(x[who])
+        near = t.nearest(min(len(who), HELD + 1))
+    return sorted(edges + _grown_by_leaves(t, *near, core[who], who))
+
+
+#: Points up to which a tree looks at all that are left in each step, as it does in two dimensions, where equal lengths are frequent and a grid finds what is near.
+PLAIN = 4000
+#: Nearest points of each that a larger tree starts from.
+HELD = 12
+
+
+def _grown(x: np.ndarray, core: np.ndarray, who: np.ndarray) -> list[tuple[float, int, int]]:
+    """Edges of the least tree over the points `who`, in the order in which it grows from the first: always the nearest point (of equals that of the smallest number), from the earliest point that it is nearest to."""
+    edges = []
     left, axes, near, source = np.ones(len(who), bool), np.ascontiguousarray(x[who].T), np.full(len(who), np.inf), np.zeros(len(who), int)
     limit, square, part = near.copy(), near.copy(), near.copy()
     at = 0
@@ -105,7 +130,153 @@ def _spanning_tree(x: np.ndarray, neighbours: int) -> list[tuple[float, int, int
         near[may], source[may], limit[may] = reach, number, reach * reach * (1 + 1e-12)
         at = int(near.argmin())
         edges.append((float(near[at]), int(source[at]), int(who[at])))
-    return sorted(edges)
+    return edges
+
+
+def _leaves(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Numbers of points, ascending, by boxes of up to `size`, halved along their longest side."""
+    todo, out = [np.arange(len(x))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(np.sort(own))
+            continue
+        p = x[own]
+        order = own[np.argpartition(p[:, (p.max(0) - p.min(0)).argmax()], len(own) // 2)]
+        todo += [order[: len(own) // 2], order[len(own) // 2 :]]
+    return out
+
+
+class Leaves:
+    """Points by boxes of a few, in any number of dimensions, for those nearest to all of a box."""
+
+    def __init__(self, x: np.ndarray, size: int = 48) -> None:
+        self.own = _leaves(x, size)
+        self.starts = np.cumsum([0, *map(len, self.own)])
+        self.number = np.concatenate(self.own)
+        self.axes = np.ascontiguousarray(x[self.number].T)
+        self.low, self.high = (np.array([f(self.axes[:, a:b], 1) for a, b in zip(self.starts[:-1], self.starts[1:], strict=True)]).T for f in (np.min, np.max))
+
+    def away(self, leaf: int) -> np.ndarray:
+        """Lower bounds of squared distances to each box."""
+        gap = np.maximum(np.maximum(self.low - self.high[:, leaf, None], self.low[:, leaf, None] - self.high), 0.0)
+        return (gap * gap).sum(0) * (1 - 1e-9)
+
+    def places(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.starts[b], self.starts[b + 1]) for b in leaves])
+
+    def squares(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        out = (self.axes[0, to] - self.axes[0, at, None]) ** 2
+        for axis in self.axes[1:]:
+            out += (axis[to] - axis[at, None]) ** 2
+        return out
+
+    def nearest(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and squared distances of the k nearest to each place, itself among them, ascending."""
+        who, far = np.empty((len(self.number), k), int), np.empty((len(self.number), k))
+        for leaf in range(len(self.own)):
+            at = np.arange(self.starts[leaf], self.starts[leaf + 1])
+            away = self.away(leaf)
+            order = np.argsort(away, kind="stable")
+            some = 1 + int(np.searchsorted(np.cumsum(np.diff(self.starts)[order]), 3 * k))
+            while some < len(order):  # from the nearest boxes to all that can matter
+                d = self.squares(at, self.places(order[:some]))
+                enough = int(np.searchsorted(away[order], np.partition(d, k - 1, 1)[:, k - 1].max(), "right"))
+                if enough <= some:
+                    break
+                some = min(enough, 4 * some)
+            else:
+                d = self.squares(at, self.places(order))
+            to = self.places(order[:some])
+            pick = np.argpartition(d, k - 1, 1)[:, :k]
+            d = np.take_along_axis(d, pick, 1)
+            rank = np.argsort(d, 1, kind="stable")
+            who[at], far[at] = to[np.take_along_axis(pick, rank, 1)], np.take_along_axis(d, rank, 1)
+        return who, far
+
+
+def _grown_by_leaves(t: Leaves, who: np.ndarray, far: np.ndarray, core: np.ndarray, own: np.ndarray) -> list[tuple[float, int, int]]:
+    """The edges of _grown for many points: each one's nearest (who, far: as t.nearest has them), and between groups of points that are apart the shortest ways, found in boxes, hold a least tree, which then grows
+    along them. core: of each point; own: what the points are called, ascending.
+
+    Ways of exactly the same length are all there among each one's nearest points and as the shortest of a group.
+    """
+    n, k, core = len(own), who.shape[1], core[t.number]
+    reach = np.maximum(np.maximum(core[:, None], core[who]), np.sqrt(far))
+    beyond = np.maximum(core, np.sqrt(far[:, -1])) if k < n else np.full(n, np.inf)
+    group, extra = np.arange(n), []
+    leaf_of = np.repeat(np.arange(len(t.own)), np.diff(t.starts))
+    while group.any():
+        out = np.where(group[who] != group[:, None], reach, np.inf)
+        least = out.min(1)
+        best = np.full(n, np.inf)
+        np.minimum.at(best, group, least)
+        largest = np.bincount(group).argmax()
+        ask = (beyond <= best[group]) & (group != largest)
+        one = np.minimum.reduceat(group, t.starts[:-1])
+        one = np.where(one == np.maximum.reduceat(group, t.starts[:-1]), one, -1)  # the group that has all of a box
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for leaf in np.unique(leaf_of[ask]):
+            asking = np.flatnonzero(ask[t.starts[leaf] : t.starts[leaf + 1]]) + t.starts[leaf]
+            box = np.sqrt(t.away(leaf))
+            for g in np.unique(group[asking]):
+                at = asking[group[asking] == g]
+                at = at[beyond[at] <= best[g]]
+                order = np.flatnonzero((one != g) & (box <= best[g]))
+                order = order[np.argsort(box[order], kind="stable")]
+                for a in range(0, len(order) if len(at) else 0, 8):
+                    if box[order[a]] > best[g]:
+                        break
+                    to = t.places(order[a : a + 8])
+                    to = to[group[to] != g]
+                    d = np.maximum(np.maximum(core[to], core[at, None]), np.sqrt(t.squares(at, to)))
+                    best[g] = min(best[g], d.min())
+                    i, j = np.nonzero(d <= best[g])
+                    found.append((at[i], to[j], d[i, j]))
+        i, j, d = (np.concatenate(f) for f in zip(*found, strict=True))
+        keep = d == best[group[i]]
+        extra.append((i[keep], j[keep], d[keep]))
+        a, c = np.nonzero((out == best[group][:, None]) & (out < np.inf) & (group != largest)[:, None])
+        group = _joined(group, np.concatenate([a, i[keep]]), np.concatenate([who[a, c], j[keep]]))
+    i, j, d = (np.concatenate(f) for f in zip((np.repeat(np.arange(n), k), who.ravel(), reach.ravel()), *extra, strict=True))
+    i, j = t.number[np.concatenate([i, j])], t.number[np.concatenate([j, i])]  # in the order of the points' numbers, too
+    d = np.concatenate([d, d])
+    i, j, d = i[i != j], j[i != j], d[i != j]
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    at, end = (np.searchsorted(i, np.arange(n), side).tolist() for side in ("left", "right"))
+    j, d = j.tolist(), d.tolist()
+    edges, inside, rank, heap, new = [], [False] * n, [0] * n, [], 0
+    for joined in range(n):
+        inside[new], rank[new], source = True, joined, new
+        while joined < n - 1:  # a point in the heap has its next way out there
+            a, b = at[source], end[source]
+            while a < b and inside[j[a]]:
+                a += 1
+            at[source] = a
+            if a < b:
+                heappush(heap, (d[a], j[a], rank[source], source))
+            length, new, _, source = heappop(heap)
+            if not inside[new]:
+                edges.append((length, int(own[source]), int(own[new])))
+                heappush(heap, (length, new, rank[source], source))  # comes back once new is inside
+                break
+    return edges
+
+
+def _joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Groups, named by their least member's name, after those of a and b have become one."""
+    name = np.arange(group.max() + 1)
+    a, b = group[a], group[b]
+    while True:
+        low = np.minimum(name[a], name[b])
+        before = name.copy()
+        np.minimum.at(name, name[a], low)
+        np.minimum.at(name, name[b], low)
+        while (name[name] != name).any():
+            name = name[name]
+        if (name == before).all():
+            return name[group]
 
 
 def stable_clusters(x: np.ndarray, least: int, neighbours: int, epsilon: float = 0.0, tree: list[tuple[float, int, int]] | None = None) -> np.ndarray:

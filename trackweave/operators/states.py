@@ -82,11 +82,17 @@ def kalman_tracks(d: DataFrame, fps: float = 24.0, accel: float = 0.5, sigma: fl
     return x.mapInPandas(lambda batches: _filtered(batches, k), "row_id long, track_id long, " + ", ".join(f"{c} double" for c in FILTERED))
 
 
+#: Rows up to which each looks for its way at once.
+FEW = 256
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of least total cost (Hungarian method with potentials); all of the smaller side are assigned."""
     if cost.shape[0] > cost.shape[1]:
         return [(b, a) for a, b in assignment(cost.T)]
     n, m = cost.shape
+    if n > FEW:
+        return _assignment_of_many(np.ascontiguousarray(cost, float))
     u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         match[0], j0 = i, 0
@@ -109,6 +115,60 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
 
 
+def _assignment_of_many(cost: np.ndarray) -> list[tuple[int, int]]:
+    """As assignment, for no more rows than columns: first each row bids for its cheapest column at the price by which that beats its second, and a row that is outbid bids again; only rows that are left without a column
+    then look for the shortest way to one. Columns without a row keep the price 0."""
+    n, m = cost.shape
+    price, row_of, column_of = np.zeros(m), np.full(m, -1), np.full(n, -1)
+    todo = list(range(n))
+    for _ in range(2):
+        waiting, todo = todo[::-1], []
+        bids = 0
+        while waiting:
+            i = waiting.pop()
+            net = cost[i] - price
+            j = int(net.argmin())
+            first, net[j] = net[j], np.inf
+            other = int(net.argmin())
+            second = net[other]
+            tie = not first < second
+            if tie and row_of[j] >= 0:
+                j = other
+            out, bids = int(row_of[j]), bids + 1
+            if not tie and np.isfinite(second):
+                price[j] -= second - first
+            row_of[j], column_of[i] = i, j
+            if out >= 0:
+                column_of[out] = -1
+                (todo if tie or bids > 4 * n else waiting).append(out)
+    near = np.empty(m)
+    for i in np.flatnonzero(column_of < 0).tolist():
+        far, open_ = np.full(m, np.inf), price.copy()
+        rows, bases, seen, seen_at = [i], [0.0], [], []
+        while True:
+            np.subtract(cost[rows[-1]], open_, out=near)  # infinite where a column is seen
+            near += bases[-1]
+            np.minimum(far, near, out=far)
+            j = int(far.argmin())
+            length = far[j]
+            if row_of[j] < 0:
+                break
+            seen.append(j)
+            seen_at.append(length)
+            rows.append(int(row_of[j]))
+            bases.append(length - (cost[rows[-1], j] - price[j]))
+            far[j], open_[j] = np.inf, -np.inf
+        rows, bases, upto = np.array(rows), np.array(bases), len(seen)
+        while True:  # back along the rows that each column was nearest to
+            k = int((cost[rows[: upto + 1], j] - price[j] + bases[: upto + 1]).argmin())
+            row_of[j], column_of[rows[k]] = rows[k], j
+            if not k:
+                break
+            j, upto = seen[k - 1], k - 1
+        price[seen] -= length - np.array(seen_at)
+    return [(int(row_of[j]), j) for j in range(m) if row_of[j] >= 0]
+
+
 def cluster_identity(states: DataFrame, key: str, limit: float = 6.0, memory: int = 5, keep: float = 0.6) -> DataFrame:
     """Identities of clusters (key, frame_id, label, centre_n, centre_e) that last over frames: centres are matched to remembered ones at least cost
     within the limit, remembered centres follow with weight 1 - keep, and are forgotten after `memory` frames unseen. Sequential over frames, so a row per cluster, not per detection, goes in."""
@@ -160,8 +220,9 @@ def moving_identity(clusters: DataFrame, key: str = "video_id", weight: float =
             now, found = rows[places].to_numpy(float), {}
             if len(now) and held:
                 ids = list(held)
-                apart = (np.array([held[i][0] for i in ids])[:, None] - now[None]) / rows[spread].iloc[0].to_numpy(float)
-                cost = np.hypot(apart[..., 0], apart[..., 1]) + weight * np.hypot(apart[..., 2], apart[..., 3])
+                known, sd = np.array([held[i][0] for i in ids]), rows[spread].iloc[0].to_numpy(float)
+                n, e, vn, ve = ((known[:, None, k] - now[None, :, k]) / sd[k] for k in range(4))  # one after the other
+                cost = np.hypot(n, e) + weight * np.hypot(vn, ve)
                 found = {b: ids[a] for a, b in assignment(cost) if cost[a, b] <= limit}
             for k, state in enumerate(now):
                 if k in found:
