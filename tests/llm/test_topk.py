@@ -76,3 +76,19 @@ def test_seeds_reach_the_driver_from_one_task(spark):
         sizes.append(max(s.numTasks for s in stages if s))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert found.rdd.getNumPartitions() == 1 and max(sizes) <= 64
+
+
+def test_blocks_of_queries_do_not_follow_the_partitions(spark):
+    """A block is copied for cores and buckets, not for each partition of the shuffle."""
+    p = topk.SearchParams()
+    assert topk.spread_of(615_384, 600, 12, p) == topk.spread_of(615_384, 5000, 12, p) == 48
+    assert [topk.spread_of(n, 600, 12, p) for n in (0, 1, 2049, 40_000_000)] == [1, 1, 2, 600] and topk.spread_of(40_000_000, 5000, 12, p) == 1221
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(400)]
+    df, held = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        found = topk.search(df, 50, p)
+        assert "sequence(0, 96" not in found._jdf.queryExecution().logical().toString()
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == brute(rows, 50, 5, 256)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)

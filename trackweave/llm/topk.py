@@ -149,6 +149,12 @@ def longest(x: DataFrame, n: int) -> DataFrame:
     return settled(x.coalesce(64).orderBy(F.desc("norm"), "vec_id").limit(n))
 
 
+def spread_of(n: int, parts: int, cores: int, p: SearchParams) -> int:
+    """Groups that buckets of n vectors are dealt to: a few for each core, more only where one would have over 16 buckets. Each block of queries is copied to all of them, so they don't follow the shuffle's partitions."""
+    buckets = -(-n // p.bucket)
+    return max(1, min(parts, buckets, max(4 * cores, -(-buckets // 16))))
+
+
 def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each vector whose id is divisible by `every`.
 
@@ -183,12 +189,15 @@ def search(vectors: DataFrame, every: int = 50, p: SearchParams = SearchParams()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("dim", "ids", "data")), pa.array(least, pa.binary()), pa.array(need)], ["dim", "ids", "data", "least", "need"])
 
     parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = packed(x.repartitionByRange(parts, "dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm")), p.bucket)
-    queries = packed(x.filter(F.col("vec_id") % every == 0).repartitionByRange(max(1, parts // 4), "dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm")), p.block)
+    n, n_queries = x.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    full = lambda rows, size, most: max(1, min(most, -(-rows // size)))  # noqa: E731  partitions, none for less than a bucket or block
+    buckets = packed(x.repartitionByRange(full(n, p.bucket, parts), "dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm")), p.bucket)
+    queries = packed(x.filter(F.col("vec_id") % every == 0).repartitionByRange(full(n_queries, p.block, max(1, parts // 4)), "dim", F.desc("norm"), "vec_id").sortWithinPartitions("dim", F.desc("norm")), p.block)
     queries = queries.mapInArrow(bounded, "dim long, ids binary, data binary, least binary, need double")
     # blocks meet buckets in groups: a bucket goes to one, each block of queries to all
-    spread = buckets.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    q = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least", "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_group"))
+    groups = spread_of(n, parts, x.sparkSession.sparkContext.defaultParallelism, p)
+    spread = buckets.withColumn("_group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    q = queries.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least", "need", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
     pairs = q.join(spread, ["_group", "dim"]).filter("high >= need").select("dim", "q_ids", "q_data", "least", "high", "ids", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
